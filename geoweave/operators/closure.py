@@ -69,7 +69,9 @@ def rdfs_closure(quads: DataFrame, max_schema_rows: int = 5_000_000) -> DataFram
              .unionByName(facts.where(F.col("o_kind") != "literal").join(rng, "p").select(F.col("o").alias("x"), "c")))
     # type propagation: the closed hierarchy is schema-sized; a hot class with a third of all
     # instances stays on the streamed side of the (broadcast / skew-split) join.
-    sc_b = bounded_broadcast(sc.select(F.col("s").alias("c"), F.col("o").alias("d")), max_schema_rows)
+    # ``x a rdfs:Resource`` is never materialised, also not through an explicit ``C ⊑ rdfs:Resource``
+    sc_b = bounded_broadcast(sc.where(F.col("o") != RESOURCE).select(F.col("s").alias("c"), F.col("o").alias("d")),
+                             max_schema_rows)
     types = typed.unionByName(typed.join(sc_b, "c").select("x", F.col("d").alias("c")))
     classes = (sc.select(F.col("s").alias("c")).unionByName(sc.select(F.col("o").alias("c")))
                .unionByName(base.where((F.col("p") == RDF_TYPE) & (F.col("o") != CLASS)).select(F.col("o").alias("c")))

@@ -3,5 +3,5 @@
 Importing this package fills ``geoweave.plans.registry.QUERIES``.
 """
 
-from geoweave.plans import catalog, geo, kg, network, raster, relational, series  # noqa: F401
+from geoweave.plans import catalog, geo, kg, network, raster, relational, series, stream  # noqa: F401
 from geoweave.plans.registry import QUERIES  # noqa: F401
