@@ -21,6 +21,7 @@ from geoweave.functions import geom as G
 from geoweave.functions.pgcompat import stable_uuid
 from geoweave.operators.relational import with_ordinal
 from geoweave.operators.union import union_agg
+from geoweave.session import cut_lineage
 
 GROUND, ROOF, WALL, FLOOR = 35, 33, 34, 32
 BUILDING_LOD_KEYS = ["lod4_multi_surface_id", "lod3_multi_surface_id", "lod2_multi_surface_id",
@@ -137,7 +138,8 @@ def add_footprint(building: DataFrame, cityobject: DataFrame, thematic: DataFram
     sg = surfaces.where(F.col("geometry").isNotNull()).select("root_id", "geometry")
     ground = (sg.join(ts.where(F.col("objectclass_id") == GROUND), sg["root_id"] == ts["_troot"])
               .join(bwf.select(F.col("id").alias("building_id")), "building_id", "left_semi"))
-    precise = union_agg(ground.select("building_id", G.st_force2d("geometry").alias("g")), "building_id", "g", srid)
+    # the union is the expensive step and is read three times below: materialise it once (reliable checkpoint)
+    precise = cut_lineage(union_agg(ground.select("building_id", G.st_force2d("geometry").alias("g")), "building_id", "g", srid))
     bl = building.select(F.col("id").alias("_bid"), prefer_lod(building, BUILDING_LOD_KEYS).alias("_broot"))
     rough_src = (sg.where(G.st_area("geometry") > 0.0)
                  .join(bl, sg["root_id"] == bl["_broot"], "left")
@@ -146,15 +148,15 @@ def add_footprint(building: DataFrame, cityobject: DataFrame, thematic: DataFram
     # NOT EXISTS precise (NULL keys would be kept) … AND key IN (buildings without footprint) (drops them): T6
     rough_src = (rough_src.join(precise.select(F.col("building_id").alias("bkey")), "bkey", "left_anti")
                  .join(bwf.select(F.col("id").alias("bkey")), "bkey", "left_semi"))
-    rough = union_agg(rough_src.select("bkey", G.st_force2d("geometry").alias("g")), "bkey", "g", srid)
+    rough = cut_lineage(union_agg(rough_src.select("bkey", G.st_force2d("geometry").alias("g")), "bkey", "g", srid))
     fps = (precise.select(F.col("building_id").alias("id"), F.lit("precise").alias("kind"), F.col("g").alias("geom"))
            .unionByName(rough.select(F.col("bkey").alias("id"), F.lit("rough").alias("kind"), F.col("g").alias("geom"))))
     soup = (bwf.join(fps, "id", "left")
             .select("id", "gmlid", "zmin", F.explode_outer(G.st_dump("geom")).alias("part"))
             .select("id", "gmlid", G.st_force3d("part", F.col("zmin")).alias("geometry")))
     max_id = surfaces.agg(F.max("id")).first()[0] or 0
-    parents = with_ordinal(bwf.select("id", "gmlid"), ["id"], "ord").select(
-        (F.col("ord") + max_id).alias("footprint_id"), F.col("id").alias("bid"), "gmlid")
+    parents = cut_lineage(with_ordinal(bwf.select("id", "gmlid"), ["id"], "ord").select(
+        (F.col("ord") + max_id).alias("footprint_id"), F.col("id").alias("bid"), "gmlid"))
     n_par = parents.count()
     parent_rows = parents.select(F.col("footprint_id").alias("id"), F.concat("gmlid", F.lit("_footprint")).alias("gmlid"),
                                  F.lit(None).cast("bigint").alias("parent_id"), F.col("footprint_id").alias("root_id"),

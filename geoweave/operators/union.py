@@ -99,49 +99,77 @@ def _inside(px: float, py: float, xs: list[float], ys: list[float]) -> bool:
     return inside
 
 
-def _assign_holes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one group: shells (area > 0) become parts; holes go to the smallest shell containing them."""
-    shells = pdf[pdf["signed_area"] > 0].sort_values("ring_no")
-    holes = pdf[pdf["signed_area"] < 0]
-    part_of = {}
-    for _, h in holes.iterrows():
-        best, best_area = None, None
-        for _, s in shells.iterrows():
-            if _inside(h["xs"][0], h["ys"][0], s["xs"], s["ys"]) and (best_area is None or s["signed_area"] < best_area):
-                best, best_area = s["ring_no"], s["signed_area"]
-        part_of[h["ring_no"]] = best
-    out = []
-    for part, (_, s) in enumerate(shells.iterrows()):
-        out.append((s["_k"], part, 0, s["xs"], s["ys"]))
-        k = 1
-        for hr, sp in part_of.items():
-            if sp == s["ring_no"]:
-                h = holes[holes["ring_no"] == hr].iloc[0]
-                out.append((s["_k"], part, k, h["xs"], h["ys"]))
-                k += 1
-    return pd.DataFrame(out, columns=["_k", "part", "ring", "xs", "ys"])
+def _assign_holes(rings: list[tuple[int, float, list[float], list[float]]]) -> list[tuple[int, int, list, list]]:
+    """Shells (area > 0) become parts; each hole goes to the smallest shell containing it."""
+    shells = sorted((r for r in rings if r[1] > 0), key=lambda r: r[0])
+    holes = [r for r in rings if r[1] < 0]
+    out = [(part, 0, s[2], s[3]) for part, s in enumerate(shells)]
+    next_ring = [1] * len(shells)
+    for h in holes:
+        best = None
+        for part, s in enumerate(shells):
+            if _inside(h[2][0], h[3][0], s[2], s[3]) and (best is None or s[1] < shells[best][1]):
+                best = part
+        if best is not None:
+            out.append((best, next_ring[best], h[2], h[3]))
+            next_ring[best] += 1
+    return out
+
+
+def _outline_rows(key, g: pd.DataFrame) -> list[tuple]:
+    """One group: chain boundary edges into rings, attach holes, count overlap edges."""
+    net = g["net"].to_numpy()
+    overlap = int((np.abs(net) > 1).sum())
+    fwd = net > 0
+    ux, uy, vx, vy = (g[c].to_numpy() for c in ("ux", "uy", "vx", "vy"))
+    edges = pd.DataFrame({"_k": key, "ax": np.where(fwd, ux, vx), "ay": np.where(fwd, uy, vy),
+                          "bx": np.where(fwd, vx, ux), "by": np.where(fwd, vy, uy)})
+    rings = _chain(edges)
+    placed = _assign_holes(list(zip(rings["ring_no"], rings["signed_area"], rings["xs"], rings["ys"])))
+    return [(key, p, r, xs, ys, overlap) for p, r, xs, ys in placed]
+
+
+OUTLINE_COLS = ["_k", "part", "ring", "xs", "ys", "overlap_edges"]
+
+
+def _outline_batches(batches):
+    """``mapInPandas`` over partitions sorted by key: groups may straddle Arrow batches, so the
+    last (possibly incomplete) group of a batch is carried into the next one."""
+    carry = None
+    for pdf in batches:
+        if carry is not None and len(carry):
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = pdf["_k"].iloc[-1]
+        is_last = (pdf["_k"] == last).to_numpy()
+        carry, done = pdf[is_last], pdf[~is_last]
+        rows = [r for k, g in done.groupby("_k", sort=False) for r in _outline_rows(k, g)]
+        yield pd.DataFrame(rows, columns=OUTLINE_COLS)
+    if carry is not None and len(carry):
+        rows = [r for k, g in carry.groupby("_k", sort=False) for r in _outline_rows(k, g)]
+        yield pd.DataFrame(rows, columns=OUTLINE_COLS)
 
 
 def union_agg(df: DataFrame, key: str, geom_col: str = "geom", srid: int | None = None) -> DataFrame:
-    """Union of the polygons of each ``key`` group → ``(key, geom MULTIPOLYGON, overlap_edges)``."""
+    """Union of the polygons of each ``key`` group → ``(key, geom MULTIPOLYGON, overlap_edges)``.
+
+    Three shuffles: edge cancellation (partial aggregation), co-location of each
+    group's outline for the pandas ring-chaining step, one aggregate assembling
+    the nested geometry.
+    """
     edges = _edges(df, key, geom_col)
-    net = edges.groupBy(key, "ux", "uy", "vx", "vy").agg(F.sum("d").alias("net"))
-    overlaps = net.where(F.abs("net") > 1).groupBy(key).agg(F.count(F.lit(1)).alias("overlap_edges"))
-    boundary = net.where(F.col("net") != 0).select(
-        F.col(key).alias("_k"),
-        F.when(F.col("net") > 0, F.col("ux")).otherwise(F.col("vx")).alias("ax"),
-        F.when(F.col("net") > 0, F.col("uy")).otherwise(F.col("vy")).alias("ay"),
-        F.when(F.col("net") > 0, F.col("vx")).otherwise(F.col("ux")).alias("bx"),
-        F.when(F.col("net") > 0, F.col("vy")).otherwise(F.col("uy")).alias("by"))
+    net = edges.groupBy(key, "ux", "uy", "vx", "vy").agg(F.sum("d").alias("net")).where(F.col("net") != 0)
     ktype = df.schema[key].dataType.simpleString()
-    rings = boundary.groupBy("_k").applyInPandas(
-        _chain, f"_k {ktype}, ring_no int, signed_area double, xs array<double>, ys array<double>")
-    placed = rings.groupBy("_k").applyInPandas(
-        _assign_holes, f"_k {ktype}, part int, ring int, xs array<double>, ys array<double>")
+    # one Python call per Arrow batch (not per group): co-locate each group, sort, stream
+    keyed = net.withColumnRenamed(key, "_k").repartition("_k").sortWithinPartitions("_k")
+    outline = keyed.mapInPandas(
+        _outline_batches, f"_k {ktype}, part int, ring int, xs array<double>, ys array<double>, overlap_edges int")
     verts = F.transform(F.arrays_zip("xs", "ys"), lambda p: G.vertex(p["xs"], p["ys"]))
-    by_part = placed.groupBy("_k", "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("ring"), verts.alias("v")))), lambda r: r["v"]).alias("rings"))
-    by_geom = by_part.groupBy("_k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("part", "rings"))), lambda p: p["rings"]).alias("parts"))
-    out = by_geom.select(F.col("_k").alias(key), G.make_geom("MULTIPOLYGON", F.col("parts"), srid).alias(geom_col))
-    return out.join(overlaps, key, "left").fillna(0, ["overlap_edges"])
+    rings = outline.groupBy("_k").agg(
+        F.array_sort(F.collect_list(F.struct("part", "ring", verts.alias("v")))).alias("rs"),
+        F.max("overlap_edges").alias("overlap_edges"))
+    parts = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("rs", lambda r: r["part"]))),
+                        lambda p: F.transform(F.filter("rs", lambda r: r["part"] == p), lambda r: r["v"]))
+    return rings.select(F.col("_k").alias(key), G.make_geom("MULTIPOLYGON", parts, srid).alias(geom_col),
+                        F.col("overlap_edges").cast("long").alias("overlap_edges"))
