@@ -2,7 +2,10 @@
 
 All operators are set-at-a-time: many datasets are upserted in one plan (no
 per-dataset driver loop), and each returns the *new* quad table (immutable
-DataFrames; persist it with a staged overwrite).  Timestamps are passed in
+DataFrames; persist it with a staged overwrite).  Every update reads its input
+table several times, so each returned version is materialised with a reliable
+checkpoint: chained updates keep a constant-size plan instead of one that grows
+geometrically with the number of updates.  Timestamps are passed in
 (``now``) so reruns and oracles agree.
 """
 
@@ -17,6 +20,7 @@ from geoweave.functions.pgcompat import stable_uuid
 from geoweave.functions.terms import DCAT, DCT, RDF_TYPE, XSD
 from geoweave.operators.graph import null_safe_anti
 from geoweave.operators.mapping import QUAD_COLUMNS
+from geoweave.session import cut_lineage
 
 CATALOG = DCAT + "Catalog"
 DATASET = DCAT + "Dataset"
@@ -74,7 +78,7 @@ def upsert_catalog(quads: DataFrame, datasets: DataFrame, now: str, base: str) -
     out = null_safe_anti(quads.select(*QUAD_COLUMNS), old_desc)
     for i in inserts:
         out = out.unionByName(i)
-    return out.distinct()
+    return cut_lineage(out.distinct())
 
 
 def upsert_subsets(quads: DataFrame, subsets: DataFrame, now: str, base: str) -> DataFrame:
@@ -103,7 +107,7 @@ def upsert_subsets(quads: DataFrame, subsets: DataFrame, now: str, base: str) ->
     out = null_safe_anti(quads.select(*QUAD_COLUMNS), stale_links)
     for i in inserts:
         out = out.unionByName(i)
-    return out.distinct()
+    return cut_lineage(out.distinct())
 
 
 def refresh_references(quads: DataFrame, refs: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def refresh_references(quads: DataFrame, refs: DataFrame) -> DataFrame:
          .join(cats.select(F.col("name").alias("ref"), F.col("ds").alias("ref_ds")), "ref"))
     old = quads.where(F.col("p") == REFERENCES).join(r.select(F.col("ds").alias("s")).distinct(), "s", "left_semi")
     out = null_safe_anti(quads.select(*QUAD_COLUMNS), old)
-    return out.unionByName(r.select(*_t(F.col("ds"), REFERENCES, F.col("ref_ds")))).distinct()
+    return cut_lineage(out.unionByName(r.select(*_t(F.col("ds"), REFERENCES, F.col("ref_ds")))).distinct())
 
 
 def refresh_services(quads: DataFrame, services: DataFrame, base: str) -> DataFrame:
@@ -147,7 +151,7 @@ def refresh_services(quads: DataFrame, services: DataFrame, base: str) -> DataFr
     out = null_safe_anti(quads.select(*QUAD_COLUMNS), old)
     for i in inserts:
         out = out.unionByName(i)
-    return out.distinct()
+    return cut_lineage(out.distinct())
 
 
 def add_metadata(quads: DataFrame, names: Sequence[str] | DataFrame, templates: Sequence[tuple], prefixes=None) -> DataFrame:
@@ -158,7 +162,7 @@ def add_metadata(quads: DataFrame, names: Sequence[str] | DataFrame, templates:
     sel = cats.join(names.select(F.col(names.columns[0]).alias("name")), "name", "left_semi") if isinstance(names, DataFrame) \
         else cats.where(F.col("name").isin(list(names)))
     b = sel.select(F.col("ds").alias("dataset"))
-    return quads.select(*QUAD_COLUMNS).unionByName(construct(b, templates, prefixes, distinct=False)).distinct()
+    return cut_lineage(quads.select(*QUAD_COLUMNS).unionByName(construct(b, templates, prefixes, distinct=False)).distinct())
 
 
 def service_lookup(quads: DataFrame, name: str | None = None) -> DataFrame:
@@ -200,4 +204,26 @@ def remove_from_catalog(quads: DataFrame, names: Sequence[str] | DataFrame) -> D
     q = q.join(nodes.withColumnRenamed("node", "s"), "s", "left_anti")
     hit_o = (F.col("o_kind") == "iri")
     linked = q.where(hit_o).join(nodes.withColumnRenamed("node", "o"), "o", "left_semi")
-    return null_safe_anti(q, linked)
+    return cut_lineage(null_safe_anti(q, linked))
+
+
+def drop_dataset(spark, quads: DataFrame, name: str, graph: str | None = None, database: str | None = None) -> DataFrame:
+    """Remove a dataset — its database schema (``DROP SCHEMA … CASCADE`` when a catalog database
+    of that name exists), its named graph, and its catalogue entries (D9).  Returns the new quad table."""
+    db = database or name
+    if spark.catalog.databaseExists(db):
+        spark.sql(f"DROP SCHEMA IF EXISTS `{db}` CASCADE")
+    q = quads if graph is None else quads.where(~F.col("g").eqNullSafe(F.lit(graph)))
+    return remove_from_catalog(q, [name])
+
+
+def clone_graphs(quads: DataFrame, names: Sequence[str], target: str, service_type: str = "graph") -> DataFrame:
+    """Q12: copy the graphs named by the catalogue's services of the given datasets into ``target``.
+
+    The graph IRIs are the ``dcat:endpointURL`` of services with identifier
+    ``service_type`` (catalogue lookup, D7); the copy is U3.
+    """
+    from geoweave.operators.relational import copy_graphs
+
+    svc = service_lookup(quads).where(F.col("name").isin(list(names)) & (F.col("type") == service_type))
+    return copy_graphs(quads, svc.select(F.col("url").alias("g")).distinct(), target)

@@ -232,3 +232,42 @@ def assign_tiles(df: DataFrame, lon: str, lat: str, zoom: int, spec_col: str | N
     keys = ([spec_col] if spec_col else []) + ["tile_x", "tile_y"]
     return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_features"), F.min(lon).alias("lon_min"),
                                 F.max(lon).alias("lon_max"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"))
+
+
+def merge_parts(parts: DataFrame, id_col: str = "id", rel_col: str = "rel", height_col: str = "height",
+                geom_col: str = "geom", elevation: float = 50.0, srid: int | None = None) -> DataFrame:
+    """Building parts → one row per parent: average height, union of footprints, constant elevation.
+
+    Keeps parts that have a parent relation, a height, or are someone's parent (P9);
+    parent = relation else own id (P5); groups whose average height is NULL are
+    dropped (A1); the footprint union is G8 (edge-matched parts).
+    """
+    from geoweave.operators.relational import keep_related
+
+    kept = keep_related(parts, id_col, rel_col, height_col).withColumn(
+        "parent", F.coalesce(F.col(rel_col), F.col(id_col)))
+    heights = kept.groupBy("parent").agg(F.avg(height_col).alias("average_height")).where(
+        F.col("average_height").isNotNull())
+    shapes = union_agg(kept.select("parent", G.st_force2d(F.col(geom_col)).alias("g")), "parent", "g", srid)
+    return heights.join(shapes, "parent").select("parent", "average_height", F.lit(elevation).alias("elevation"),
+                                                 G.st_make_valid(F.col("g")).alias("geometry"), "overlap_edges")
+
+
+def city_triples(building: DataFrame, cityobject: DataFrame, base: str) -> DataFrame:
+    """Object-tree attributes of buildings as triples (K3): type, gmlid, parent/root links,
+    measured height, LoD0 footprint reference."""
+    from geoweave.functions import terms as T
+    from geoweave.operators.mapping import map_triples
+
+    b = building.join(cityobject.select("id", "gmlid"), "id")
+    s = T.iri(base + "Building/{id}")
+    cols = set(b.columns)
+    tpl = [(s, "a", T.const_iri(base + "Building")),
+           (s, base + "gmlId", T.literal("{gmlid}")),
+           (s, base + "measuredHeight", T.literal("{measured_height}", T.XSD + "double")),
+           (s, base + "lod0Footprint", T.iri(base + "SurfaceGeometry/{lod0_footprint_id}"))]
+    if "building_parent_id" in cols:
+        tpl.append((s, base + "hasParent", T.iri(base + "Building/{building_parent_id}")))
+    if "building_root_id" in cols:
+        tpl.append((s, base + "hasRoot", T.iri(base + "Building/{building_root_id}")))
+    return map_triples(b, tpl).distinct()

@@ -181,3 +181,8 @@ def copy_graphs(quads: DataFrame, names: Sequence[str] | DataFrame, target: str)
 def where_area(df: DataFrame, area: Column, gt: float = 0.0) -> DataFrame:
     """``ST_Area(geom) > x``."""
     return df.where(area > gt)
+
+
+def where_geom_type(df: DataFrame, geom_col: str, types: Sequence[str]) -> DataFrame:
+    """P10: keep rows whose geometry type is one of ``types`` (e.g. POLYGON, MULTIPOLYGON)."""
+    return df.where(F.upper(F.col(geom_col)["type"]).isin([t.upper() for t in types]))

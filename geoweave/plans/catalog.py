@@ -63,3 +63,26 @@ def nquads_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = to_nquads(tpch_quads(spark, sf_dir, ("orders",), mode="materialise", graphs=True))
     quads, _rejects = parse_nquads(text)
     return quads
+
+
+@query("services_clone", f"""
+SELECT '{EX}graph/clone' AS g, '{EX}doc/' || CAST(doc_id AS VARCHAR) AS s, '{EX}lang' AS p, lang AS o,
+       'literal' AS o_kind, NULL::VARCHAR AS o_dtype, NULL::VARCHAR AS o_lang
+FROM documents WHERE source IN ('src1', 'src2') AND lang IS NOT NULL
+""")
+def services_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register one graph service per dataset, look the services up in the catalogue,
+    and clone the graphs of two datasets into a target graph (U3)."""
+    from geoweave.functions import terms as T
+    from geoweave.operators.mapping import map_triples
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    ds, _subs = _datasets(spark, sf_dir, 1)
+    q = cut_lineage(C.upsert_catalog(spark.createDataFrame([], EMPTY_QUADS), ds, NOW1, EX))
+    services = ds.select("name", F.lit("graph").alias("type"), F.concat("name", F.lit("-graph")).alias("title"),
+                         F.concat(F.lit(EX + "graph/"), F.col("name")).alias("url"))
+    q = cut_lineage(C.refresh_services(q, services, EX))
+    data = map_triples(docs, [(T.iri(EX + "doc/{doc_id}"), EX + "lang", T.literal("{lang}"))],
+                       graph=F.concat(F.lit(EX + "graph/"), F.col("source")))
+    cloned = C.clone_graphs(q.unionByName(data), ["src1", "src2"], EX + "graph/clone")
+    return cloned.where(F.col("g") == EX + "graph/clone")

@@ -17,6 +17,9 @@ from geoweave.plans.registry import query
 from geoweave.plans.relational import UUID_SQL
 from geoweave.plans.tables import read
 
+EX_CITY = "https://example.org/city/"
+RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+XSD_DOUBLE = "http://www.w3.org/2001/XMLSchema#double"
 X0 = "(p_partkey % 100) * 100"
 Y0 = "floor(p_partkey / 100) * 100"
 W = "p_size"
@@ -355,3 +358,42 @@ def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     pts = c.select(((k % 360) - 179.5).alias("lon"), (((k % 170) - 84.75) / 1.2).alias("lat"))
     return C.assign_tiles(pts, "lon", "lat", 8)
+
+
+@query("merge_parts", """
+WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN p_partkey - 1 END AS rel,
+                  CASE WHEN p_size > 10 THEN p_size END AS height FROM part),
+kept AS (SELECT * FROM p WHERE rel IS NOT NULL OR height IS NOT NULL OR id IN (SELECT rel FROM p WHERE rel IS NOT NULL))
+SELECT COALESCE(rel, id) AS parent, round(avg(height), 6) AS average_height, 50.0 AS elevation,
+       CAST(count(*) AS DOUBLE) AS area, 4 AS n_vertices, CAST(0 AS BIGINT) AS overlap_edges
+FROM kept GROUP BY 1 HAVING avg(height) IS NOT NULL
+""")
+def merge_parts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 (+P9/P5/A1/G8): building parts (pairs of unit squares side by side) merged per parent."""
+    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    k = F.col("p_partkey")
+    x0 = (F.floor(k / 2) * 10 + k % 2).cast("double")
+    parts = p.select(k.alias("id"), F.when(k % 2 == 1, k - 1).alias("rel"),
+                     F.when(F.col("p_size") > 10, F.col("p_size")).alias("height"),
+                     G.box(x0, F.lit(0.0), x0 + 1.0, F.lit(1.0), srid=4326).alias("geom"))
+    m = C.merge_parts(parts, srid=4326)
+    return m.select("parent", F.round("average_height", 6).alias("average_height"), "elevation",
+                    G.st_area("geometry").alias("area"),
+                    (G.st_npoints("geometry") - F.size(F.col("geometry")["parts"])).alias("n_vertices"), "overlap_edges")
+
+
+@query("city_triples", f"""
+WITH b AS (SELECT p_partkey AS id FROM part)
+SELECT NULL::VARCHAR AS g, '{EX_CITY}Building/' || CAST(id AS VARCHAR) AS s, '{RDF_TYPE}' AS p, '{EX_CITY}Building' AS o,
+       'iri' AS o_kind, NULL::VARCHAR AS o_dtype, NULL::VARCHAR AS o_lang FROM b
+UNION ALL SELECT NULL, '{EX_CITY}Building/' || CAST(id AS VARCHAR), '{EX_CITY}gmlId', 'bldg_' || CAST(id AS VARCHAR),
+       'literal', NULL, NULL FROM b
+UNION ALL SELECT NULL, '{EX_CITY}Building/' || CAST(p_partkey AS VARCHAR), '{EX_CITY}measuredHeight',
+       CAST(CAST(p_size AS DOUBLE) AS VARCHAR), 'literal', '{XSD_DOUBLE}', NULL FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT NULL, '{EX_CITY}Building/' || CAST(p_partkey AS VARCHAR), '{EX_CITY}lod0Footprint',
+       '{EX_CITY}SurfaceGeometry/' || CAST(p_partkey * 10 + 9 AS VARCHAR), 'iri', NULL, NULL FROM part WHERE p_partkey % 3 = 0
+""")
+def city_triples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building object-tree attributes of the stand-in city tables as triples."""
+    t = city_tables(spark, sf_dir)
+    return C.city_triples(t["building"], t["cityobject"], EX_CITY)

@@ -143,3 +143,19 @@ def nodata_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir).withColumn("value", F.round("value", 1))
     return RS.apply_nodata(p, 0.0).select("row", "col", "value")
 
+
+
+@query("band_to_time", f"""
+WITH p AS ({PIXELS_SQL})
+SELECT raster, CAST(col % 4 + 1 AS INTEGER) AS band, row, col, value,
+       'emb_' || CAST(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (col % 4) DAY AS VARCHAR) AS layer
+FROM p
+""")
+def band_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each band is one time step; the layer is named ``var_time`` from the times table."""
+    import datetime as dt
+
+    p = pixels(spark, sf_dir).withColumn("band", (F.col("col") % 4 + 1).cast("int"))
+    times = spark.createDataFrame([(i, i + 1, dt.datetime(2024, 1, 1 + i)) for i in range(4)],
+                                  "index int, band int, time timestamp_ntz")
+    return RS.band_to_time(p, times, "emb").select("raster", "band", "row", "col", "value", "layer")

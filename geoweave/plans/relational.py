@@ -280,3 +280,23 @@ def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SERIAL-style ordinal without a single-partition window (range partitions + offsets)."""
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     return R.with_ordinal(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+# Attribute-equality style rules (property, value, fill) in the shape of an SLD rule list.
+STYLE_RULES = [("p_type", "SMALL", "#ba8591"), ("p_type", "LARGE", "#945200"), ("p_brand", "Brand#1", "#375623")]
+
+
+@query("style_rules", f"""
+SELECT p_partkey, 'p_type' AS rule_property, fill FROM part
+JOIN {sql_values([r for r in STYLE_RULES if r[0] == 'p_type'], ['property', 'value', 'fill'])} ON p_type = t.value
+UNION ALL
+SELECT p_partkey, 'p_brand', fill FROM part
+JOIN {sql_values([r for r in STYLE_RULES if r[0] == 'p_brand'], ['property', 'value', 'fill'])} ON p_brand = t.value
+""")
+def style_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output row per matching attribute-equality rule (rules table joined per property)."""
+    from geoweave.operators.styles import apply_style_rules
+
+    rules = spark.createDataFrame(STYLE_RULES, "property string, value string, fill string")
+    part = read(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand")
+    return apply_style_rules(part, rules).select("p_partkey", "rule_property", "fill")
