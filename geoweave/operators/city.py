@@ -138,33 +138,43 @@ def add_footprint(building: DataFrame, cityobject: DataFrame, thematic: DataFram
     sg = surfaces.where(F.col("geometry").isNotNull()).select("root_id", "geometry")
     ground = (sg.join(ts.where(F.col("objectclass_id") == GROUND), sg["root_id"] == ts["_troot"])
               .join(bwf.select(F.col("id").alias("building_id")), "building_id", "left_semi"))
-    # the union is the expensive step and is read three times below: materialise it once (reliable checkpoint)
-    precise = cut_lineage(union_agg(ground.select("building_id", G.st_force2d("geometry").alias("g")), "building_id", "g", srid))
+    # "a precise footprint exists" = the building has ground faces (the reference groups them even when
+    # their union is empty), so rough sources are known before any union is computed
+    has_ground = ground.select(F.col("building_id").alias("bkey")).distinct()
     bl = building.select(F.col("id").alias("_bid"), prefer_lod(building, BUILDING_LOD_KEYS).alias("_broot"))
     rough_src = (sg.where(G.st_area("geometry") > 0.0)
                  .join(bl, sg["root_id"] == bl["_broot"], "left")
                  .join(ts.select("building_id", "_troot"), sg["root_id"] == ts["_troot"], "left")
                  .withColumn("bkey", F.coalesce("_bid", "building_id")))
     # NOT EXISTS precise (NULL keys would be kept) … AND key IN (buildings without footprint) (drops them): T6
-    rough_src = (rough_src.join(precise.select(F.col("building_id").alias("bkey")), "bkey", "left_anti")
+    rough_src = (rough_src.join(has_ground, "bkey", "left_anti")
                  .join(bwf.select(F.col("id").alias("bkey")), "bkey", "left_semi"))
-    rough = cut_lineage(union_agg(rough_src.select("bkey", G.st_force2d("geometry").alias("g")), "bkey", "g", srid))
-    fps = (precise.select(F.col("building_id").alias("id"), F.lit("precise").alias("kind"), F.col("g").alias("geom"))
-           .unionByName(rough.select(F.col("bkey").alias("id"), F.lit("rough").alias("kind"), F.col("g").alias("geom"))))
+    # a building is either precise or rough, never both: one union pass over both face sets;
+    # the union is read several times below, so it is materialised once (reliable checkpoint)
+    faces = (ground.select(F.col("building_id").alias("bkey"), G.st_force2d("geometry").alias("g"))
+             .unionByName(rough_src.select("bkey", G.st_force2d("geometry").alias("g"))))
+    unioned = union_agg(faces, "bkey", "g", srid)
+    kind = F.when(F.col("_hg").isNotNull(), F.lit("precise")).otherwise(F.lit("rough"))
+    fps = cut_lineage(unioned.join(has_ground.withColumn("_hg", F.lit(True)), "bkey", "left")
+                      .select(F.col("bkey").alias("id"), kind.alias("kind"), F.col("g").alias("geom")))
     soup = (bwf.join(fps, "id", "left")
-            .select("id", "gmlid", "zmin", F.explode_outer(G.st_dump("geom")).alias("part"))
-            .select("id", "gmlid", G.st_force3d("part", F.col("zmin")).alias("geometry")))
+            .select("id", "gmlid", "zmin", F.posexplode_outer(G.st_dump("geom")).alias("part_no", "part"))
+            .select("id", "gmlid", "part_no", G.st_force3d("part", F.col("zmin")).alias("geometry")))
+    # new surface_geometry ids continue the existing sequence: parents first (by building id), then the
+    # children (by building id, part number) — one distributed ordinal pass, evaluated lazily
     max_id = surfaces.agg(F.max("id")).first()[0] or 0
-    parents = cut_lineage(with_ordinal(bwf.select("id", "gmlid"), ["id"], "ord").select(
-        (F.col("ord") + max_id).alias("footprint_id"), F.col("id").alias("bid"), "gmlid"))
-    n_par = parents.count()
+    par_src = bwf.select("id", "gmlid", F.lit(0).alias("_tag"), F.lit(-1).alias("part_no"),
+                         F.lit(None).cast(G.GEOM).alias("geometry"))
+    kid_src = soup.where(F.col("geometry")["type"] == "POLYGON").select(
+        "id", "gmlid", F.lit(1).alias("_tag"), "part_no", "geometry")
+    numbered = with_ordinal(par_src.unionByName(kid_src), ["_tag", "id", "part_no"], "ord").withColumn(
+        "new_id", F.col("ord") + max_id)
+    parents = numbered.where("_tag = 0").select(F.col("new_id").alias("footprint_id"), F.col("id").alias("bid"), "gmlid")
     parent_rows = parents.select(F.col("footprint_id").alias("id"), F.concat("gmlid", F.lit("_footprint")).alias("gmlid"),
                                  F.lit(None).cast("bigint").alias("parent_id"), F.col("footprint_id").alias("root_id"),
                                  F.lit(None).cast(G.GEOM).alias("geometry"), F.col("bid").alias("cityobject_id"))
-    kids = soup.where(F.col("geometry")["type"] == "POLYGON").join(parents.select("bid", "footprint_id"),
-                                                                    soup["id"] == F.col("bid"))
-    kids = with_ordinal(kids.withColumn("_gk", G.st_astext("geometry")), ["id", "_gk"], "ord")
-    child_rows = kids.select((F.col("ord") + max_id + n_par).alias("id"),
+    kids = numbered.where("_tag = 1").join(parents.select("bid", "footprint_id"), F.col("id") == F.col("bid"))
+    child_rows = kids.select(F.col("new_id").alias("id"),
                              F.concat("gmlid", F.lit("_footprint_child")).alias("gmlid"),
                              F.col("footprint_id").alias("parent_id"), F.col("footprint_id").alias("root_id"),
                              "geometry", F.col("id").alias("cityobject_id"))

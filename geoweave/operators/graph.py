@@ -104,11 +104,9 @@ def _join_bindings(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
             if v + aux in a.columns and v + aux in b.columns:
                 conds.append(a[v + aux].eqNullSafe(b[v + aux]))
     joined = a.join(b, reduce(lambda x, y: x & y, conds), how)
-    keep = []
-    for c in a.columns:
-        keep.append(a[c] if c in b.columns and how != "left" else a[c])
+    # shared variables (and their term details) come from the left side, which is never NULL-extended
     rest = [b[c] for c in b.columns if c not in a.columns]
-    return joined.select(*keep, *rest)
+    return joined.select(*[a[c] for c in a.columns], *rest)
 
 
 def bgp(quads: DataFrame, patterns: Sequence[Pattern], prefixes: Mapping[str, str] | None = None) -> DataFrame:

@@ -4,17 +4,19 @@ Plan (distributed except the last step):
 
 1. every ring is oriented (shells CCW, holes CW) and cut into directed edges whose
    end points are snapped to a 1e-8 grid (as the reference's ``ST_Union(g, 1e-8)``);
-2. ``groupBy(group, undirected edge)`` sums directions: an edge shared by two
-   neighbouring faces appears once each way and cancels; identical duplicate
-   faces (trap T7) are removed first so they cannot double-count;
+2. ``groupBy(group, undirected edge)`` records whether the edge occurs forwards
+   and/or backwards: an edge shared by two neighbouring faces occurs both ways
+   and cancels; identical duplicate faces (trap T7) repeat directed edges, which
+   therefore count once;
 3. the surviving boundary edges of a group — its outline only, not its input —
    are chained into rings with ``applyInPandas`` (the one step with no
    declarative form); collinear vertices are merged;
 4. rings are re-assembled into a MULTIPOLYGON with Spark aggregates.
 
-Inputs that overlap (an edge surviving with |net| > 1) or whose neighbours
-do not share exact edges (T-junctions) are outside this exact method; they are
-reported in the ``overlap_edges`` column instead of returning a wrong area.
+Inputs that overlap or whose neighbours do not share exact edges (T-junctions)
+are outside this exact method.  ``overlap_edges`` counts directed edges seen
+more than once in a group (duplicate or overlapping faces) as a diagnostic;
+exact duplicates do not change the result.
 """
 
 from __future__ import annotations
@@ -25,18 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions import geom as G
+from geoweave.session import cut_lineage
 
 GRID = 1e8  # 1 / 1e-8
 
 
 def _edges(df: DataFrame, key: str, geom_col: str) -> DataFrame:
-    valid = df.select(key, G.st_force2d(G.st_make_valid(F.col(geom_col))).alias("_g")).dropDuplicates([key, "_g"])
-    rings = valid.select(key, F.explode(F.flatten(F.col("_g")["parts"])).alias("ring"))
-    seg = rings.select(key, F.posexplode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1),
-                                                       F.slice("ring", 2, F.size("ring")))).alias("i", "e"))
+    """Directed boundary edges of every ring, shells oriented CCW and holes CW, snapped to the grid."""
+    g = F.col(geom_col)
+    parts = df.select(key, F.explode(g["parts"]).alias("part"))
+    rings = parts.select(key, F.posexplode("part").alias("ring_no", "ring"))
+    closed = F.when(F.col("ring")[0] == F.element_at("ring", -1), F.col("ring")).otherwise(
+        F.concat("ring", F.array(F.col("ring")[0])))
+    rings = rings.select(key, "ring_no", closed.alias("ring"))
+    sa = G.ring_signed_area(F.col("ring"))
+    flip = ((F.col("ring_no") == 0) & (sa < 0)) | ((F.col("ring_no") > 0) & (sa > 0))
+    seg = rings.select(key, flip.alias("flip"), F.explode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1),
+                                                                       F.slice("ring", 2, F.size("ring")))).alias("e"))
     snap = lambda c: F.round(c * GRID).cast("bigint")
-    e = seg.select(key, snap(F.col("e")["0"]["x"]).alias("ax"), snap(F.col("e")["0"]["y"]).alias("ay"),
-                   snap(F.col("e")["1"]["x"]).alias("bx"), snap(F.col("e")["1"]["y"]).alias("by"))
+    p0x, p0y = snap(F.col("e")["0"]["x"]), snap(F.col("e")["0"]["y"])
+    p1x, p1y = snap(F.col("e")["1"]["x"]), snap(F.col("e")["1"]["y"])
+    e = seg.select(key, F.when(F.col("flip"), p1x).otherwise(p0x).alias("ax"), F.when(F.col("flip"), p1y).otherwise(p0y).alias("ay"),
+                   F.when(F.col("flip"), p0x).otherwise(p1x).alias("bx"), F.when(F.col("flip"), p0y).otherwise(p1y).alias("by"))
     e = e.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
     fwd = F.struct("ax", "ay") < F.struct("bx", "by")
     return e.select(
@@ -119,7 +131,7 @@ def _assign_holes(rings: list[tuple[int, float, list[float], list[float]]]) -> l
 def _outline_rows(key, g: pd.DataFrame) -> list[tuple]:
     """One group: chain boundary edges into rings, attach holes, count overlap edges."""
     net = g["net"].to_numpy()
-    overlap = int((np.abs(net) > 1).sum())
+    overlap = int(g["_ov"].iloc[0]) if "_ov" in g.columns else int((np.abs(net) > 1).sum())
     fwd = net > 0
     ux, uy, vx, vy = (g[c].to_numpy() for c in ("ux", "uy", "vx", "vy"))
     edges = pd.DataFrame({"_k": key, "ax": np.where(fwd, ux, vx), "ay": np.where(fwd, uy, vy),
@@ -151,18 +163,80 @@ def _outline_batches(batches):
         yield pd.DataFrame(rows, columns=OUTLINE_COLS)
 
 
+SIMPLE_RING_LIMIT = 4096  # outlines longer than this are chained in pandas (the JVM trace is quadratic in length)
+
+
+def _jvm_single_ring(g: DataFrame, key: str, srid: int | None) -> tuple[DataFrame, DataFrame]:
+    """Groups whose outline is one simple ring, traced JVM-side; returns (done, rest).
+
+    With out-degree 1 the outline is a successor map; walking it ``n`` steps from
+    the smallest vertex must visit ``n`` distinct vertices and return to the start.
+    Anything else (several rings, touching rings, open chains) goes to ``rest``.
+    """
+    starts = F.transform("es", lambda e: e["a"])
+    n = F.size("es")
+    simple = (F.size(F.array_distinct(starts)) == n) & (n <= SIMPLE_RING_LIMIT) & (n >= 3)
+    cand = g.where(simple).withColumn("_m", F.map_from_arrays(starts, F.transform("es", lambda e: e["b"])))
+    first = F.array_min(F.map_keys("_m"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.size("es")), F.struct(first.alias("cur"), F.array(first).alias("pts")),
+                       lambda acc, i: F.struct(F.col("_m")[acc["cur"]].alias("cur"),
+                                               F.concat(acc["pts"], F.array(F.col("_m")[acc["cur"]])).alias("pts")))
+    traced = cand.withColumn("_pts", walk["pts"])
+    ok = ((F.element_at("_pts", -1) == F.element_at("_pts", 1))
+          & (F.size(F.array_distinct(F.slice("_pts", 1, F.size("es")))) == F.size("es")))
+    traced = traced.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    rest = g.where(~simple).unionByName(traced.where(~F.col("_ok")).select(*g.columns))
+    done = traced.where("_ok")
+    # drop collinear vertices (exact: differences as DECIMAL(38,0)), keep ring closed, start at the smallest vertex
+    pts = F.slice("_pts", 1, F.size("es"))
+    k = F.size(pts)
+    d = lambda c: c.cast("decimal(20,0)")
+    prev = lambda i: F.element_at(pts, F.when(i == 1, k).otherwise(i - 1))
+    nxt = lambda i: F.element_at(pts, F.when(i == k, F.lit(1)).otherwise(i + 1))
+    cross = lambda i: ((d(F.element_at(pts, i)["x"]) - d(prev(i)["x"])) * (d(nxt(i)["y"]) - d(F.element_at(pts, i)["y"]))
+                       - (d(F.element_at(pts, i)["y"]) - d(prev(i)["y"])) * (d(nxt(i)["x"]) - d(F.element_at(pts, i)["x"])))
+    kept = F.transform(F.filter(F.sequence(F.lit(1), k), lambda i: cross(i) != 0), lambda i: F.element_at(pts, i))
+    done = done.withColumn("_kept", kept)
+    lo = F.array_position("_kept", F.array_min("_kept"))
+    rot = F.concat(F.slice("_kept", lo, F.size("_kept")), F.slice("_kept", 1, lo - 1))
+    ring = F.transform(F.concat(rot, F.slice(rot, 1, 1)),
+                       lambda p: G.vertex(p["x"].cast("double") / GRID, p["y"].cast("double") / GRID))
+    out = done.select(F.col(key), G.make_geom("MULTIPOLYGON", F.array(F.array(ring)), srid).alias("_geom"),
+                      F.col("overlap_edges").cast("long").alias("overlap_edges"))
+    return out, rest
+
+
 def union_agg(df: DataFrame, key: str, geom_col: str = "geom", srid: int | None = None) -> DataFrame:
     """Union of the polygons of each ``key`` group → ``(key, geom MULTIPOLYGON, overlap_edges)``.
 
-    Three shuffles: edge cancellation (partial aggregation), co-location of each
-    group's outline for the pandas ring-chaining step, one aggregate assembling
-    the nested geometry.
+    Edge cancellation is a partial aggregation; each group's surviving outline
+    (bounded by the group's boundary, not its input) is then traced JVM-side when
+    it is one simple ring, and chained with pandas (``mapInPandas`` over
+    key-sorted partitions, one Python call per Arrow batch) otherwise.
     """
     edges = _edges(df, key, geom_col)
-    net = edges.groupBy(key, "ux", "uy", "vx", "vy").agg(F.sum("d").alias("net")).where(F.col("net") != 0)
+    # per undirected edge: present forwards / backwards (a duplicated face repeats its directed edges and must
+    # not count twice, trap T7); repeated directed edges are reported as overlap_edges
+    fw, bw = F.max(F.when(F.col("d") == 1, 1).otherwise(0)), F.max(F.when(F.col("d") == -1, 1).otherwise(0))
+    net = edges.groupBy(key, "ux", "uy", "vx", "vy").agg((fw - bw).alias("net"),
+                                                         (F.count(F.lit(1)) - fw - bw).alias("rep"))
+    fwd = F.col("net") > 0
+    a = F.struct(F.when(fwd, F.col("ux")).otherwise(F.col("vx")).alias("x"), F.when(fwd, F.col("uy")).otherwise(F.col("vy")).alias("y"))
+    b = F.struct(F.when(fwd, F.col("vx")).otherwise(F.col("ux")).alias("x"), F.when(fwd, F.col("vy")).otherwise(F.col("uy")).alias("y"))
+    grouped = net.groupBy(key).agg(
+        F.collect_list(F.when(F.col("net") != 0, F.struct(a.alias("a"), b.alias("b"), F.col("net")))).alias("es"),
+        F.count(F.when(F.col("rep") > 0, F.lit(1))).alias("overlap_edges")).where(F.size("es") > 0)
+    # the outline table (one row per group, bounded by its boundary) feeds two branches: materialise it once
+    grouped = cut_lineage(grouped)
+    done, rest = _jvm_single_ring(grouped, key, srid)
+    if rest.isEmpty():  # every outline was one simple ring: no Python step at all
+        return done.withColumnRenamed("_geom", geom_col)
+    # remaining groups: back to edge rows, chained in pandas
+    rest_edges = rest.select(F.col(key).alias("_k"), F.col("overlap_edges").alias("_ov"), F.explode("es").alias("e")).select(
+        "_k", F.col("e.a.x").alias("ux"), F.col("e.a.y").alias("uy"), F.col("e.b.x").alias("vx"), F.col("e.b.y").alias("vy"),
+        F.abs(F.col("e.net")).alias("net"), "_ov")
     ktype = df.schema[key].dataType.simpleString()
-    # one Python call per Arrow batch (not per group): co-locate each group, sort, stream
-    keyed = net.withColumnRenamed(key, "_k").repartition("_k").sortWithinPartitions("_k")
+    keyed = rest_edges.repartition("_k").sortWithinPartitions("_k")
     outline = keyed.mapInPandas(
         _outline_batches, f"_k {ktype}, part int, ring int, xs array<double>, ys array<double>, overlap_edges int")
     verts = F.transform(F.arrays_zip("xs", "ys"), lambda p: G.vertex(p["xs"], p["ys"]))
@@ -171,5 +245,6 @@ def union_agg(df: DataFrame, key: str, geom_col: str = "geom", srid: int | None
         F.max("overlap_edges").alias("overlap_edges"))
     parts = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("rs", lambda r: r["part"]))),
                         lambda p: F.transform(F.filter("rs", lambda r: r["part"] == p), lambda r: r["v"]))
-    return rings.select(F.col("_k").alias(key), G.make_geom("MULTIPOLYGON", parts, srid).alias(geom_col),
-                        F.col("overlap_edges").cast("long").alias("overlap_edges"))
+    complex_ = rings.select(F.col("_k").alias(key), G.make_geom("MULTIPOLYGON", parts, srid).alias("_geom"),
+                            F.col("overlap_edges").cast("long").alias("overlap_edges"))
+    return done.unionByName(complex_).withColumnRenamed("_geom", geom_col)
