@@ -27,6 +27,8 @@ RESOURCE = RDFS + "Resource"
 def transitive_closure(edges: DataFrame, src: str = "s", dst: str = "o", max_rounds: int = 64) -> DataFrame:
     """Semi-naive transitive closure of a binary relation (distinct pairs)."""
     known = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
+    if known.isEmpty():  # e.g. no subPropertyOf triples at all: nothing to iterate
+        return known.select(F.col("a").alias(src), F.col("b").alias(dst))
     delta = known
     for _ in range(max_rounds):
         step = (delta.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")

@@ -82,8 +82,8 @@ def polygon_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("flip_translate", f"""
-SELECT p_partkey, {Y0} + 1000.0 AS xmin, {X0} - 500.0 AS ymin, {Y0} + {D} + 1000.0 AS xmax,
-       {X0} + {W} - 500.0 AS ymax
+SELECT p_partkey, CAST({Y0} + 1000.0 AS DOUBLE) AS xmin, CAST({X0} - 500.0 AS DOUBLE) AS ymin,
+       CAST({Y0} + {D} + 1000.0 AS DOUBLE) AS xmax, CAST({X0} + {W} - 500.0 AS DOUBLE) AS ymax
 FROM part
 """)
 def flip_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +114,9 @@ def raw_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("extrude_surfaces", f"""
-SELECT 'bldg_' || CAST(p_partkey AS VARCHAR) AS building_gmlid, c AS class, n AS n_faces, area
+SELECT 'bldg_' || CAST(p_partkey AS VARCHAR) AS building_gmlid, c AS class, CAST(n AS BIGINT) AS n_faces, area
 FROM part, (VALUES (35, 1, 1.0), (33, 1, 1.0), (34, 4, 0.0)) t(c, n, f)
-CROSS JOIN LATERAL (SELECT round(f * {W} * {D}, 6) AS area)
+CROSS JOIN LATERAL (SELECT CAST(round(f * {W} * {D}, 6) AS DOUBLE) AS area)
 """)
 def extrude_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 + C3: extruded solids dumped to classified surfaces; per building & class: faces, 2D area."""
@@ -344,7 +344,7 @@ def reproject_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tile_assign", f"""
-WITH pts AS (SELECT {CUS_LON} AS lon, ({CUS_LAT}) / 1.2 AS lat FROM customer),
+WITH pts AS (SELECT CAST({CUS_LON} AS DOUBLE) AS lon, CAST({CUS_LAT} AS DOUBLE) / 1.2 AS lat FROM customer),
 t AS (SELECT lon, lat,
         CAST(least(greatest(floor((lon + 180.0) / 360.0 * 256.0), 0), 255) AS INTEGER) AS tile_x,
         CAST(least(greatest(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / 3.141592653589793) / 2.0 * 256.0), 0), 255) AS INTEGER) AS tile_y
@@ -364,7 +364,7 @@ def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN p_partkey - 1 END AS rel,
                   CASE WHEN p_size > 10 THEN p_size END AS height FROM part),
 kept AS (SELECT * FROM p WHERE rel IS NOT NULL OR height IS NOT NULL OR id IN (SELECT rel FROM p WHERE rel IS NOT NULL))
-SELECT COALESCE(rel, id) AS parent, round(avg(height), 6) AS average_height, 50.0 AS elevation,
+SELECT COALESCE(rel, id) AS parent, round(avg(height), 6) AS average_height, CAST(50.0 AS DOUBLE) AS elevation,
        CAST(count(*) AS DOUBLE) AS area, 4 AS n_vertices, CAST(0 AS BIGINT) AS overlap_edges
 FROM kept GROUP BY 1 HAVING avg(height) IS NOT NULL
 """)

@@ -94,7 +94,7 @@ PRIORITY_TAG = {"1-URGENT": "motorway", "2-HIGH": "trunk", "3-MEDIUM": "primary"
 @query("way_filter", f"""
 WITH t AS (SELECT o_orderkey AS way_id, CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY_TAG.items())} END AS value
            FROM orders)
-SELECT way_id, value, class_id, speed FROM t
+SELECT way_id, value, class_id, CAST(speed AS DOUBLE) AS speed FROM t
 JOIN (VALUES {', '.join(f"('{v}', {c}, {s!r})" for v, c, s in HIGHWAY_CONFIG)}) c(value, class_id, speed) USING (value)
 """)
 def way_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
