@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions.terms import RDF_TYPE, RDFS
 from geoweave.operators.mapping import QUAD_COLUMNS
-from geoweave.session import bounded_broadcast, cut_lineage
+from geoweave.session import bounded_broadcast, cut_lineage, hot_key_join
 
 SUBCLASS = RDFS + "subClassOf"
 SUBPROP = RDFS + "subPropertyOf"
@@ -69,12 +69,11 @@ def rdfs_closure(quads: DataFrame, max_schema_rows: int = 5_000_000) -> DataFram
     typed = (facts.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
              .unionByName(facts.join(dom, "p").select(F.col("s").alias("x"), "c"))
              .unionByName(facts.where(F.col("o_kind") != "literal").join(rng, "p").select(F.col("o").alias("x"), "c")))
-    # type propagation: the closed hierarchy is schema-sized; a hot class with a third of all
-    # instances stays on the streamed side of the (broadcast / skew-split) join.
+    # type propagation: a hot class (a third of all instances) is on the streamed side; the closed
+    # hierarchy is broadcast when provably schema-sized, otherwise the join is salted
+    sc_pairs = sc.where(F.col("o") != RESOURCE).select(F.col("s").alias("c"), F.col("o").alias("d"))
     # ``x a rdfs:Resource`` is never materialised, also not through an explicit ``C ⊑ rdfs:Resource``
-    sc_b = bounded_broadcast(sc.where(F.col("o") != RESOURCE).select(F.col("s").alias("c"), F.col("o").alias("d")),
-                             max_schema_rows)
-    types = typed.unionByName(typed.join(sc_b, "c").select("x", F.col("d").alias("c")))
+    types = typed.unionByName(hot_key_join(typed, sc_pairs, ["c"], "inner", max_schema_rows).select("x", F.col("d").alias("c")))
     classes = (sc.select(F.col("s").alias("c")).unionByName(sc.select(F.col("o").alias("c")))
                .unionByName(base.where((F.col("p") == RDF_TYPE) & (F.col("o") != CLASS)).select(F.col("o").alias("c")))
                .unionByName(typed.select("c")).distinct()

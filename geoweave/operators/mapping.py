@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from geoweave.functions import pgcompat, terms
 from geoweave.functions.util import as_col
+from geoweave.session import hot_key_join
 
 QUAD_COLUMNS = ["g", "s", "p", "o", "o_kind", "o_dtype", "o_lang"]
 QUAD_SCHEMA = "g string, s string, p string, o string, o_kind string, o_dtype string, o_lang string"
@@ -85,9 +86,10 @@ def canonicalise(quads: DataFrame, canon: DataFrame, iri_col: str = "iri", canon
     """
     cm = canon.select(F.col(iri_col).alias("_iri"), F.col(canonical_col).alias("_canon"))
     by_s = quads.join(cm, quads["s"] == cm["_iri"], "left").withColumn("s", F.coalesce("_canon", "s")).drop("_iri", "_canon")
-    cm2 = cm.withColumnRenamed("_iri", "_oiri").withColumnRenamed("_canon", "_ocanon")
-    by_o = by_s.join(cm2, (by_s["o"] == cm2["_oiri"]) & (by_s["o_kind"] == "iri"), "left")
-    return by_o.withColumn("o", F.coalesce("_ocanon", "o")).drop("_oiri", "_ocanon").select(*QUAD_COLUMNS)
+    # objects are where hot keys live (one class IRI may be the object of a third of all triples)
+    cm_o = cm.select(F.col("_iri").alias("o"), F.lit("iri").alias("o_kind"), F.col("_canon").alias("_ocanon"))
+    by_o = hot_key_join(by_s, cm_o, ["o", "o_kind"], "left")
+    return by_o.withColumn("o", F.coalesce("_ocanon", "o")).drop("_ocanon").select(*QUAD_COLUMNS)
 
 
 def spatial_literal(wkt: Column, srid: Column | int | None = None) -> Column:

@@ -63,3 +63,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def is_bounded(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                 max_broadcast_rows: int = 1_000_000, buckets: int = 32) -> DataFrame:
+    """Join where one key of ``big`` may hold a large share of its rows.
+
+    If ``small`` is provably bounded it is broadcast (no shuffle of ``big`` at all).
+    Otherwise the join is salted: each ``big`` row gets a *deterministic* salt
+    (hash of the whole row, so a retried task recomputes the same salt after an
+    executor loss) and ``small`` is replicated once per salt value, splitting a hot
+    key over ``buckets`` tasks.  ``how`` must keep ``big`` on the left
+    (inner / left / left_semi / left_anti).
+    """
+    if is_bounded(small, max_broadcast_rows):
+        return big.join(F.broadcast(small), on, how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(buckets)))
+    rep = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    return salted.join(rep, [*on, "_salt"], how).drop("_salt")
