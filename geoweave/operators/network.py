@@ -35,33 +35,37 @@ def haversine(lon1, lat1, lon2, lat2):
 
 
 def build_ways(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Split ways at shared nodes → edges with source, target, length (haversine) and point count."""
-    # positions may repeat inside a way: order by (pos, node_id) and renumber
-    wn = way_nodes.select("way_id", "pos", "node_id").withColumn(
-        "pos", F.row_number().over(Window.partitionBy("way_id").orderBy("pos", "node_id")))
+    """Split ways at shared nodes → edges with source, target, length (haversine) and point count.
+
+    Two shuffle stages: everything keyed by node (use count, coordinates) first,
+    then one way-keyed stage in which every window (renumbering, end flags,
+    running segment id, previous point) shares the same partitioning.  A vertex
+    closes one segment and opens the next, so each node row emits its segment
+    memberships with ``explode`` in a single pass (no union of two branches).
+    """
+    wn = way_nodes.select("way_id", "pos", "node_id")
+    shared = wn.groupBy("node_id").agg((F.count(F.lit(1)) >= 2).alias("_shared"))
+    geo = wn.join(shared, "node_id").join(nodes.select("node_id", "lon", "lat"), "node_id")
     w = Window.partitionBy("way_id")
-    ends = wn.withColumn("_first", F.col("pos") == F.min("pos").over(w)).withColumn(
-        "_last", F.col("pos") == F.max("pos").over(w))
-    shared = wn.groupBy("node_id").agg(F.count(F.lit(1)).alias("_uses")).where("_uses >= 2").select(
-        "node_id", F.lit(True).alias("_shared"))
-    flagged = ends.join(shared, "node_id", "left").withColumn(
-        "is_vertex", F.col("_first") | F.col("_last") | F.col("_shared").isNotNull())
-    geo = flagged.join(nodes.select("node_id", "lon", "lat"), "node_id")
-    wo = Window.partitionBy("way_id").orderBy("pos")
-    # a vertex closes the running segment and opens the next one: it belongs to both
-    seg = geo.withColumn("_seg", F.sum(F.col("is_vertex").cast("int")).over(wo))
-    closing = seg.where("is_vertex AND NOT _first").withColumn("_seg", F.col("_seg") - 1)
-    opening = seg.where(~F.col("_last") | ~F.col("is_vertex"))
-    pts = opening.unionByName(closing)
-    pts = pts.withColumn("_prev_lon", F.lag("lon").over(Window.partitionBy("way_id", "_seg").orderBy("pos"))) \
-             .withColumn("_prev_lat", F.lag("lat").over(Window.partitionBy("way_id", "_seg").orderBy("pos")))
-    step = F.when(F.col("_prev_lon").isNull(), F.lit(0.0)).otherwise(
-        haversine(F.col("_prev_lon"), F.col("_prev_lat"), F.col("lon"), F.col("lat")))
-    edges = pts.withColumn("_d", step).groupBy("way_id", "_seg").agg(
+    # positions may repeat inside a way: order by (pos, node_id) and renumber
+    geo = geo.withColumn("pos", F.row_number().over(w.orderBy("pos", "node_id")))
+    geo = (geo.withColumn("_first", F.col("pos") == 1)
+              .withColumn("_last", F.col("pos") == F.max("pos").over(w)))
+    geo = geo.withColumn("is_vertex", F.col("_first") | F.col("_last") | F.col("_shared"))
+    seg = geo.withColumn("_seg", F.sum(F.col("is_vertex").cast("int")).over(w.orderBy("pos")))
+    member = F.array(F.when(~(F.col("_last") & F.col("is_vertex")), F.col("_seg")),
+                     F.when(F.col("is_vertex") & ~F.col("_first"), F.col("_seg") - 1))
+    pts = seg.select("way_id", "pos", "node_id", "lon", "lat", F.explode(member).alias("_s")).where(F.col("_s").isNotNull())
+    wp = w.orderBy("_s", "pos")
+    pts = (pts.withColumn("_prev_lon", F.lag("lon").over(wp)).withColumn("_prev_lat", F.lag("lat").over(wp))
+              .withColumn("_prev_s", F.lag("_s").over(wp)))
+    step = F.when(F.col("_prev_s") == F.col("_s"),
+                  haversine(F.col("_prev_lon"), F.col("_prev_lat"), F.col("lon"), F.col("lat"))).otherwise(F.lit(0.0))
+    edges = pts.withColumn("_d", step).groupBy("way_id", "_s").agg(
         F.min_by("node_id", "pos").alias("source"), F.max_by("node_id", "pos").alias("target"),
         F.sum("_d").alias("length_m"), F.count(F.lit(1)).alias("n_points"))
     edges = edges.where(F.col("n_points") >= 2)
-    return edges.select(F.concat_ws("_", F.col("way_id").cast("string"), F.col("_seg").cast("string")).alias("edge_id"),
+    return edges.select(F.concat_ws("_", F.col("way_id").cast("string"), F.col("_s").cast("string")).alias("edge_id"),
                         "way_id", "source", "target", "length_m", "n_points")
 
 
