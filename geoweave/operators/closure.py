@@ -58,14 +58,17 @@ def rdfs_closure(quads: DataFrame, max_schema_rows: int = 5_000_000) -> DataFram
     ``a a A . A subClassOf B`` the result has 9 triples).
     """
     base = quads.select(*QUAD_COLUMNS).where(F.col("g").isNull())
-    sc = transitive_closure(base.where(F.col("p") == SUBCLASS).select("s", "o"))
-    sp = transitive_closure(base.where(F.col("p") == SUBPROP).select("s", "o"))
+    # one scan extracts every schema triple; the (schema-sized) result is materialised so the
+    # iterations and size checks below never re-read the instance data
+    schema = cut_lineage(base.where(F.col("p").isin(SUBCLASS, SUBPROP, DOMAIN, RANGE)).select("s", "p", "o"))
+    sc = transitive_closure(schema.where(F.col("p") == SUBCLASS).select("s", "o"))
+    sp = transitive_closure(schema.where(F.col("p") == SUBPROP).select("s", "o"))
     sp_b = bounded_broadcast(sp.select(F.col("s").alias("p"), F.col("o").alias("q")), max_schema_rows)
     # property inheritance: x p y, p ⊑ q → x q y
     inherited = base.join(sp_b, "p").select("g", "s", F.col("q").alias("p"), "o", "o_kind", "o_dtype", "o_lang")
-    facts = base.unionByName(inherited)
-    dom = bounded_broadcast(base.where(F.col("p") == DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("c")), max_schema_rows)
-    rng = bounded_broadcast(base.where(F.col("p") == RANGE).select(F.col("s").alias("p"), F.col("o").alias("c")), max_schema_rows)
+    facts = base.unionByName(inherited) if not sp.isEmpty() else base
+    dom = bounded_broadcast(schema.where(F.col("p") == DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("c")), max_schema_rows)
+    rng = bounded_broadcast(schema.where(F.col("p") == RANGE).select(F.col("s").alias("p"), F.col("o").alias("c")), max_schema_rows)
     typed = (facts.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
              .unionByName(facts.join(dom, "p").select(F.col("s").alias("x"), "c"))
              .unionByName(facts.where(F.col("o_kind") != "literal").join(rng, "p").select(F.col("o").alias("x"), "c")))
