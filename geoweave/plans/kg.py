@@ -424,9 +424,15 @@ def rdfs_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.rdfs_closure(class_tree_quads(spark, sf_dir))
 
 
-@query("nest_json")
+@query("nest_json", f"""
+SELECT {_iri_sql('customer', 'c_custkey')} AS id,
+       to_json({{'id': {_iri_sql('customer', 'c_custkey')}, 'name': [c_name],
+                 'balance': CASE WHEN c_acctbal > 0 THEN [CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR)]
+                                 ELSE CAST([] AS VARCHAR[]) END}})::VARCHAR AS json
+FROM customer
+""")
 def nest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q13: nest customer bindings into one JSON document per customer (rows-only check)."""
+    """Q13: nest customer bindings into one JSON document per customer."""
     quads = tpch_quads(spark, sf_dir, ("customer",))
     b = G.optional(G.bgp(quads, [("?c", "a", "ex:Customer"), ("?c", "ex:name", "?name")], PFX),
                    G.bgp(quads, [("?c", "ex:acctbal", "?bal")], PFX))

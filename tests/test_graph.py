@@ -110,3 +110,15 @@ def test_reference_closure_orders(spark):  # DatasetReaderTest fixture
     cyc = edges.unionByName(spark.createDataFrame([("implicitlyNamed", "nonTrivialWithOntology")], "name string, ref string"))
     with pytest.raises(ValueError):
         CL.reference_closure(cyc, names, "nonTrivialWithOntology")
+
+
+def test_quad_table_partition_pruning(spark, tmp_path):
+    from geoweave.sources.rdf import read_quad_table, write_quad_table
+
+    q = _people(spark)
+    write_quad_table(q, str(tmp_path / "quads"))
+    stored = read_quad_table(spark, str(tmp_path / "quads"))
+    b = G.bgp(stored, [("?x", f"<{EX}knows>", "?y")])
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "knows" in plan
+    assert rows(b, "x", "y") == [(EX + "alice", EX + "bob"), (EX + "bob", EX + "carol")]
