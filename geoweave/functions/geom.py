@@ -4,8 +4,8 @@
 part → ring → vertex.  A Point is ``[[[p]]]``, a LineString ``[[pts]]``, a Polygon
 ``[[shell, hole…]]``, Multi* have several parts; a POLYHEDRALSURFACE (extruded
 solid) has one single-ring part per face.  Everything below is a Catalyst
-expression (``transform`` / ``aggregate`` / ``flatten``), so it runs inside
-whole-stage codegen with no Python in the loop.
+expression (``transform`` / ``aggregate`` / ``flatten``): JVM-side, no Python in
+the loop (higher-order functions are interpreted rather than code-generated).
 """
 
 from __future__ import annotations
