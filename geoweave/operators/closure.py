@@ -105,7 +105,8 @@ def reference_closure(edges: DataFrame, names: DataFrame, root: str | None, src:
     (children first).  A reference to an unknown dataset or a cycle raises.
     """
     names = names.select(F.col(names.columns[0]).alias("name")).distinct()
-    e = edges.select(F.col(src).alias("name"), F.col(dst).alias("ref")).distinct()
+    # the edge table is joined in every round: materialise it once
+    e = cut_lineage(edges.select(F.col(src).alias("name"), F.col(dst).alias("ref")).distinct())
     missing = e.join(names.withColumnRenamed("name", "ref"), "ref", "left_anti")
     if not missing.isEmpty():
         bad = [r["ref"] for r in missing.select("ref").limit(5).collect()]

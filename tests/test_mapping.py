@@ -64,3 +64,16 @@ def test_canonicalise(spark):
                               M.QUAD_SCHEMA)
     c = spark.createDataFrame([("a", "A"), ("b", "B")], "iri string, canonical string")
     assert rows(M.canonicalise(q, c), "s", "o") == [("A", "B"), ("B", "b")]
+
+
+def test_virtual_mapping_prunes_branches_and_columns(spark):
+    from geoweave.operators import graph as G
+    from geoweave.plans.kg import PFX, tpch_quads
+    from tests.conftest import SF_SMALL
+
+    quads = tpch_quads(spark, SF_SMALL, ("nation", "customer", "orders"))
+    b = G.bgp(quads, [("?c", "ex:inNation", "?n")], PFX)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "c_nationkey" in plan and "c_name" not in plan and "c_acctbal" not in plan
+    assert "orders.parquet" not in plan and "o_orderkey" not in plan  # the orders branch is gone entirely
+    assert b.count() == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
