@@ -154,20 +154,21 @@ def city_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     b = boxes(spark, sf_dir)
     k = F.col("p_partkey")
     half = F.col("w") / 2
-    left = G.box(F.col("x0"), F.col("y0"), F.col("x0") + half, F.col("y0") + F.col("d"), F.col("elev"))
-    right = G.box(F.col("x0") + half, F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("d"), F.col("elev"))
-    top = lambda g: G.st_translate(g, 0.0, 0.0, F.col("w"))
+    kind = k % 3
+    # ground faces (kind 1) lie at the elevation, roof faces (kind 2) one height above it
+    z = F.when(kind == 1, F.col("elev")).otherwise(F.col("elev") + F.col("w"))
+    left = G.box(F.col("x0"), F.col("y0"), F.col("x0") + half, F.col("y0") + F.col("d"), z)
+    right = G.box(F.col("x0") + half, F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("d"), z)
     wall = G.make_geom("POLYGON", F.array(F.array(F.array(
         G.vertex(F.col("x0"), F.col("y0"), F.col("elev")), G.vertex(F.col("x0") + F.col("w"), F.col("y0"), F.col("elev")),
         G.vertex(F.col("x0") + F.col("w"), F.col("y0"), F.col("elev") + F.col("w")),
         G.vertex(F.col("x0"), F.col("y0"), F.col("elev") + F.col("w")), G.vertex(F.col("x0"), F.col("y0"), F.col("elev"))))))
-    kind = k % 3
     # surfaces: (surface id, class, geometry); ids: 10*key + n (n = 1..4), own footprint 10*key + 9
     faces = b.select("p_partkey", kind.alias("kind"), F.explode(F.array(
         F.struct(F.lit(1).alias("n"), F.when(kind == 1, F.lit(35)).otherwise(F.lit(33)).alias("cls"),
-                 F.when(kind == 1, left).otherwise(top(left)).alias("g")),
+                 left.alias("g")),
         F.struct(F.lit(2).alias("n"), F.when(kind == 1, F.lit(35)).otherwise(F.lit(33)).alias("cls"),
-                 F.when(kind == 1, right).otherwise(top(right)).alias("g")),
+                 right.alias("g")),
         F.struct(F.lit(3).alias("n"), F.lit(34).alias("cls"), wall.alias("g")))).alias("f"))
     faces = faces.where(F.col("kind") != 0).select(
         "p_partkey", (F.col("p_partkey") * 10 + F.col("f.n")).alias("sid"), F.col("f.cls").alias("cls"), F.col("f.g").alias("g"))
