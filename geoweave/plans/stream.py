@@ -19,7 +19,21 @@ def event_templates():
             (s, EX + "value", T.literal("{value}", T.XSD + "double"))]
 
 
-@query("events_stream_map")
+STREAM_SQL = f"""
+WITH e AS (SELECT DISTINCT ON (event_id) event_id, event_type, user_id, value FROM events)
+SELECT NULL::VARCHAR AS g, '{EX}event/' || url_encode(CAST(event_id AS VARCHAR)) AS s, '{T.RDF_TYPE}' AS p,
+       '{EX}EventType/' || url_encode(event_type) AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_dtype,
+       NULL::VARCHAR AS o_lang FROM e WHERE event_type IS NOT NULL
+UNION ALL
+SELECT NULL, '{EX}event/' || url_encode(CAST(event_id AS VARCHAR)), '{EX}byUser',
+       '{EX}user/' || url_encode(CAST(user_id AS VARCHAR)), 'iri', NULL, NULL FROM e WHERE user_id IS NOT NULL
+UNION ALL
+SELECT NULL, '{EX}event/' || url_encode(CAST(event_id AS VARCHAR)), '{EX}value', CAST(value AS VARCHAR), 'literal',
+       '{T.XSD}double', NULL FROM e WHERE value IS NOT NULL
+"""
+
+
+@query("events_stream_map", STREAM_SQL)
 def events_stream_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 on a stream: ``events.parquet`` consumed with ``availableNow``, duplicates by id skipped."""
     return run_available(spark, sf_dir, EVENTS_SCHEMA, lambda s: map_triples(s, event_templates()),
