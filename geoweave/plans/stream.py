@@ -1,4 +1,4 @@
-"""Streaming query: the events table read as a file stream and mapped to triples (rows-only check)."""
+"""Streaming query: the events table read as a file stream and mapped to triples (oracle: the batch mapping)."""
 
 from __future__ import annotations
 
