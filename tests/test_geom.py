@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import crs, geom as G
 from geoweave.operators.union import union_agg
-from tests.conftest import rows
 
 
 def one(spark, col):
@@ -36,7 +35,6 @@ def test_make_valid_orients_and_closes(spark):
 
 
 def test_union_of_adjacent_rectangles_and_hole(spark):
-    sq = lambda x, y: G.box(F.lit(float(x)), F.lit(float(y)), F.lit(float(x + 1)), F.lit(float(y + 1)))
     cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
     df = spark.createDataFrame([(1, x, y) for x, y in cells] + [(2, 0, 0), (2, 1, 0), (2, 1, 0)], "k int, x int, y int")
     df = df.select("k", G.box(F.col("x").cast("double"), F.col("y").cast("double"), F.col("x") + 1.0,
@@ -46,7 +44,6 @@ def test_union_of_adjacent_rectangles_and_hole(spark):
                                        F.size(F.col("geom")["parts"][0]).alias("nr"), "overlap_edges").collect()}
     assert got[1]["a"] == 8.0 and got[1]["np"] == 1 and got[1]["nr"] == 2  # ring of 8 squares: shell + hole
     assert got[2]["a"] == 2.0 and got[2]["nr"] == 1 and got[2]["overlap_edges"] == 4  # duplicate square: counted, no effect (T7)
-    _ = sq
 
 
 class PyMath:

@@ -1,6 +1,5 @@
 import heapq
 
-from pyspark.sql import functions as F
 
 from geoweave.operators import network as N
 from geoweave.sources.osm import read_osm
