@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoweave.llm.decontaminate import contaminated
 from geoweave.llm.minhash import near_duplicates
 from geoweave.llm.packing import pack
+from geoweave.llm.suffixes import repeat_digest
 from geoweave.plans.tables import read
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -20,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_benchmark_decontamination")
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op4_minhash_dedup", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -44,6 +51,26 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op6_suffix_array_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
+rep AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, i FROM w JOIN rep USING (m)),
+b AS (SELECT r, j, substr(x, 2 * j + 1, 2) AS h FROM (SELECT r, x, unnest(range(0, len(x) // 2)) AS j FROM d)),
+c AS (SELECT b.r, b.j, b.h, max(hit.i) OVER (PARTITION BY b.r ORDER BY b.j) AS last
+      FROM b LEFT JOIN hit ON hit.r = b.r AND hit.i = b.j),
+g AS (SELECT r, j, h, coalesce(j - last < 200, false) AS gone FROM c),
+k AS (SELECT r, j, h, gone, lag(gone, 1, false) OVER (PARTITION BY r ORDER BY j) AS before FROM g),
+s AS (SELECT r, count_if(gone) AS n_removed, count_if(gone AND NOT before) AS n_spans,
+        coalesce(string_agg(h, '' ORDER BY j) FILTER (NOT gone), '') AS kept FROM k GROUP BY r)
+SELECT d.doc_id, len(d.x) // 2 AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(s.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s ON s.r = d.r
+""")
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"))
