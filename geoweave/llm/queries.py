@@ -10,6 +10,7 @@ from geoweave.llm.decontaminate import contaminated
 from geoweave.llm.minhash import near_duplicates
 from geoweave.llm.packing import pack
 from geoweave.llm.suffixes import repeat_digest
+from geoweave.llm.toxicity import toxicity
 from geoweave.plans.tables import read
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -33,7 +34,7 @@ WITH RECURSIVE w AS (
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) >= 5
-      THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')))
+      THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 links AS (
@@ -71,6 +72,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"))
