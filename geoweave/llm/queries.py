@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoweave.llm.chat import REPLY, conversation_events, link_calls
 from geoweave.llm.decontaminate import contaminated
 from geoweave.llm.minhash import near_duplicates
 from geoweave.llm.packing import pack
+from geoweave.llm.quality import quality
 from geoweave.llm.suffixes import repeat_digest
+from geoweave.llm.tokencounts import section_tokens
+from geoweave.llm.topk import top_inner_products
 from geoweave.llm.toxicity import toxicity
+from geoweave.llm.urls import url_verdicts
 from geoweave.plans.tables import read
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -28,6 +33,25 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_exact_top_k", """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query("op4_minhash_dedup", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -52,6 +76,11 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op6_suffix_array_dedup", r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)),
@@ -80,3 +109,64 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_url_filters", r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+    string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN m ON m.doc_id = p.page_id GROUP BY host),
+g0 AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS p FROM h),
+a1 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k) AS k, any_value(g0.p) AS p FROM h, g0 GROUP BY suffix),
+s1 AS (SELECT 1 / coalesce(least(0.5, greatest(0.001, sum((k - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0))), 0.001) - 1 AS s FROM a1),
+r1 AS (SELECT suffix, (k + s * p) / (n + s) AS p FROM a1, s1),
+a2 AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(k) AS k, any_value(r1.p) AS p FROM h JOIN r1 USING (suffix) GROUP BY domain, suffix),
+s2 AS (SELECT 1 / coalesce(least(0.5, greatest(0.001, sum((k - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0))), 0.001) - 1 AS s FROM a2),
+r2 AS (SELECT domain, suffix, (k + s * p) / (n + s) AS p FROM a2, s2),
+a3 AS (SELECT host, h.n::DOUBLE AS n, h.k, r2.p FROM h JOIN r2 USING (domain, suffix)),
+s3 AS (SELECT 1 / coalesce(least(0.5, greatest(0.001, sum((k - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0))), 0.001) - 1 AS s FROM a3),
+r3 AS (SELECT host, n + s AS t, (k + s * p) / (n + s) AS p FROM a3, s3),
+b AS (SELECT host, p - 1.645 * sqrt(p * (1 - p) / (t + 1)) > 0.25 AS bad FROM r3),
+x AS (
+  SELECT page_id, host, path, bad, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM p JOIN b USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict FROM x
+""")
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read(spark, sf_dir, "pages", "page_id", "url"), read(spark, sf_dir, "labels"))
+
+
+@query("op10_chat_formatting", r"""
+WITH c AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, text,
+    len(list_filter(regexp_split_to_array(text, '[ \x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+cs AS (SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.call_id = c.call_id) THEN 'linked' ELSE 'pending' END AS status FROM c),
+rs AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.call_id = r.call_id) THEN 'linked' ELSE 'orphan' END AS status FROM r)
+SELECT conv_id, call_id, turn, 0 AS seq, 'call' AS kind, status, [] :: VARCHAR[] AS problems, turn AS anchor, 0 AS level,
+  '{"arguments":{"text":' || to_json(text) || ',"words":' || words || '},"call_id":"' || call_id || '","kind":"call","status":"' || status
+  || '","tool":"reply","valid":true}' AS json FROM cs
+UNION ALL
+SELECT conv_id, call_id, turn, 0, 'result', status, [] :: VARCHAR[], turn, CASE WHEN status = 'linked' THEN 1 ELSE 0 END,
+  '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"kind":"result","status":"' || status || '"}' FROM rs
+UNION ALL
+SELECT conv_id, NULL, turn, 0, 'message', 'plain', [] :: VARCHAR[], turn, 0,
+  '{"content":' || to_json(text) || ',"kind":"message","role":' || to_json(role) || '}'
+FROM conversations WHERE role NOT IN ('user', 'assistant')
+""")
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results, others = conversation_events(read(spark, sf_dir, "conversations"))
+    return link_calls(calls, results, REPLY, others)
