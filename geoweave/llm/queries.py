@@ -122,7 +122,7 @@ m AS (
 h AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
     string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN m ON m.doc_id = p.page_id GROUP BY host),
-g0 AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS p FROM h),
+g0 AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1) ELSE 0 END AS p FROM h),
 a1 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k) AS k, any_value(g0.p) AS p FROM h, g0 GROUP BY suffix),
 s1 AS (SELECT 1 / coalesce(least(0.5, greatest(0.001, sum((k - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0))), 0.001) - 1 AS s FROM a1),
 r1 AS (SELECT suffix, (k + s * p) / (n + s) AS p FROM a1, s1),

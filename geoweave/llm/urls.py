@@ -56,7 +56,7 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``host, n, k, rate, bound``: labelled and bad pages of each host, shrunk bad rate and its lower posterior bound.
 
     ``pages``: ``page_id, host``.  A page is bad if a label row with its id has quality 0 or toxic 1.  The bound is the posterior mean
-    less DEVIATIONS standard deviations of the beta posterior.  Without any label the corpus rate is one half.
+    less DEVIATIONS standard deviations of the beta posterior.  Without any label every rate is 0.
     """
     marks = (labels.select(F.col("doc_id").cast("long").alias("page_id"),
                            F.coalesce(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"), F.lit(0)).alias("bad"))
@@ -65,7 +65,7 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
                         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
                         .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    p0 = ((total.k or 0) + 0.5) / ((total.n or 0) + 1)
+    p0 = (total.k + 0.5) / (total.n + 1) if total.n else 0.0
     add = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     suffixes = cut_lineage(shrunk(hosts.groupBy("suffix").agg(*add).withColumn("p", F.lit(p0)), "p", "rate1"))
     domains = hosts.groupBy("domain", "suffix").agg(*add).join(suffixes.select("suffix", "rate1"), "suffix")
