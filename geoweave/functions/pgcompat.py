@@ -167,43 +167,34 @@ def parse_datetime(col, fmt: str, tz: str | None = None) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), local).cast("timestamp_ntz")
 
 
-def template_runs(template: str) -> list[int]:
-    """Lengths of the *completed* runs of equal characters (the last run never counts).
-
-    ``yyyymmdd`` → ``[4, 2, 0]``: the run-length rule of the reference's label
-    formatter (trap T8); offsets are computed once on the driver.
-    """
-    def longest_completed(s: str) -> int:
-        best, run = 0, 1
-        for i in range(1, len(s)):
-            if s[i] == s[i - 1]:
-                run += 1
-            else:
-                best, run = max(best, run), 1
-        return best
-
-    first = longest_completed(template)
-    second = longest_completed(template[first:])
-    third = longest_completed(template[first + second:])
-    return [first, second, third]
+def label_cuts(template: str) -> list[int]:
+    """Three places at which a date label is cut: each lies one field further, a field being the longest
+    run of one character that another run follows (the last run of a template never counts)."""
+    cuts, at = [], 0
+    for _ in range(3):
+        runs = [len(m[0]) for m in re.finditer(r"(.)\1*", template[at:])]
+        at += max(runs[:-1], default=0)
+        cuts.append(at)
+    return cuts
 
 
 def split_date_label(col, template: str) -> Column:
     """``20240203`` → ``2024/02/03``; > 8 chars → ``y/m/d:rest``; ≤ 6 → ``y/m``.
 
-    A template made of one repeated character leaves the value unchanged.
+    The number of cuts follows the value's length; a template of one repeated character makes none.
     """
     c = as_col(col).cast("string")
     if len(set(template)) == 1:
         return c
-    a, b, t = template_runs(template)
-    sub = lambda start, n: F.substring(c, start + 1, n)  # noqa: E731  (0-based start)
-    rest = lambda start: F.substring(c, start + 1, 2**31 - 1)
-    long_form = F.concat(sub(0, a), F.lit("/"), sub(a, b), F.lit("/"), sub(a + b, t), F.lit(":"), rest(a + b + t))
-    mid_form = F.concat(sub(0, a), F.lit("/"), sub(a, b), F.lit("/"), rest(a + b))
-    short_form = F.concat(sub(0, a), F.lit("/"), rest(a))
+    cuts = label_cuts(template)
+
+    def cut_at(places: list[int], marks: str) -> Column:
+        starts = [0, *places]
+        parts = [F.substring(c, x + 1, y - x) for x, y in zip(starts, places, strict=False)] + [F.substr(c, F.lit(starts[-1] + 1))]
+        return F.concat(*[x for part, mark in zip(parts, [*marks, ""], strict=True) for x in (part, F.lit(mark))])
+
     n = F.length(c)
-    return F.when(n > 8, long_form).when(n > 6, mid_form).otherwise(short_form)
+    return F.when(n > 8, cut_at(cuts, "//:")).when(n > 6, cut_at(cuts[:2], "//")).otherwise(cut_at(cuts[:1], "/"))
 
 
 def time_from_name(col, regex: str, fmt: str, tz: str | None = None) -> Column:

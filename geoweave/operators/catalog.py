@@ -110,10 +110,11 @@ def upsert_subsets(quads: DataFrame, subsets: DataFrame, now: str, base: str) ->
     return cut_lineage(out.distinct())
 
 
-def refresh_references(quads: DataFrame, refs: DataFrame) -> DataFrame:
+def refresh_references(quads: DataFrame, refs: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
     """``refs(name, ref)`` → delete every ``dct:references`` of those datasets, insert current.
 
-    Referenced datasets must exist; a missing one raises (the reference silently
+    ``loaded(name)``: datasets of this load; one without a row in ``refs`` (its list is now empty) loses its old
+    references too.  Referenced datasets must exist; a missing one raises (the reference silently
     does nothing — documented deviation).
     """
     cats = find_catalogs(quads)
@@ -122,7 +123,10 @@ def refresh_references(quads: DataFrame, refs: DataFrame) -> DataFrame:
         raise ValueError(f"referenced datasets missing: {[r[0] for r in missing.limit(5).collect()]}")
     r = (refs.join(cats, "name").select("ds", "ref")
          .join(cats.select(F.col("name").alias("ref"), F.col("ds").alias("ref_ds")), "ref"))
-    old = quads.where(F.col("p") == REFERENCES).join(r.select(F.col("ds").alias("s")).distinct(), "s", "left_semi")
+    touched = r.select(F.col("ds").alias("s"))
+    if loaded is not None:
+        touched = touched.unionByName(loaded.select(F.col(loaded.columns[0]).alias("name")).join(cats, "name").select(F.col("ds").alias("s")))
+    old = quads.where(F.col("p") == REFERENCES).join(touched.distinct(), "s", "left_semi")
     out = null_safe_anti(quads.select(*QUAD_COLUMNS), old)
     return cut_lineage(out.unionByName(r.select(*_t(F.col("ds"), REFERENCES, F.col("ref_ds")))).distinct())
 

@@ -219,9 +219,11 @@ def add_iris(objects: DataFrame, base_iri: str, previous: DataFrame | None = Non
 
 def import_objects(existing: DataFrame, incoming: DataFrame, lineage: str, append: bool = False,
                    key: str = "gmlid") -> DataFrame:
-    """Non-append deletes the lineage first; incoming rows with a known ``key`` are skipped."""
+    """Non-append deletes the lineage first; incoming rows with a known ``key`` are skipped, and of several incoming rows
+    with one new ``key`` one stays (rows without a key all stay)."""
     kept = existing if append else existing.where(~F.col("lineage").eqNullSafe(F.lit(lineage)))
     fresh = incoming.withColumn("lineage", F.lit(lineage)).join(kept.select(key), key, "left_anti")
+    fresh = fresh.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(fresh.where(F.col(key).isNull()))
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions.terms import RDF_TYPE, RDFS
 from geoweave.operators.mapping import QUAD_COLUMNS
-from geoweave.session import bounded_broadcast, cut_lineage, hot_key_join
+from geoweave.session import cut_lineage
 
 SUBCLASS = RDFS + "subClassOf"
 SUBPROP = RDFS + "subPropertyOf"
@@ -24,21 +24,19 @@ CLASS = RDFS + "Class"
 RESOURCE = RDFS + "Resource"
 
 
-def transitive_closure(edges: DataFrame, src: str = "s", dst: str = "o", max_rounds: int = 64) -> DataFrame:
-    """Semi-naive transitive closure of a binary relation (distinct pairs)."""
+def transitive_closure(edges: DataFrame, src: str = "s", dst: str = "o") -> DataFrame:
+    """Semi-naive transitive closure of a binary relation (distinct pairs).
+
+    Every round adds pairs or ends, and the pairs of a finite node set are finite, so cycles end too.
+    """
     known = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    if known.isEmpty():  # e.g. no subPropertyOf triples at all: nothing to iterate
-        return known.select(F.col("a").alias(src), F.col("b").alias(dst))
     delta = known
-    for _ in range(max_rounds):
+    while not delta.isEmpty():
         step = (delta.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
                 .select("a", F.col("c").alias("b")).distinct())
-        new = cut_lineage(step.join(known, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            return known.select(F.col("a").alias(src), F.col("b").alias(dst))
-        known = cut_lineage(known.unionByName(new))
-        delta = new
-    raise RuntimeError("transitive closure did not converge (depth guard)")
+        delta = cut_lineage(step.join(known, ["a", "b"], "left_anti"))
+        known = cut_lineage(known.unionByName(delta))
+    return known.select(F.col("a").alias(src), F.col("b").alias(dst))
 
 
 def _triple(s, p, o, kind="iri") -> list:
@@ -47,8 +45,24 @@ def _triple(s, p, o, kind="iri") -> list:
             F.lit(None).cast("string").alias("o_lang")]
 
 
-def rdfs_closure(quads: DataFrame, max_schema_rows: int = 5_000_000) -> DataFrame:
-    """Q10: RDFS entailment over the default graph (set semantics).
+def entailments(schema: DataFrame, sc: DataFrame, sp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a property and a class entail, one row each: ``p, supers, domains, ranges`` and ``c, above``.
+
+    Both follow the size of the schema, not of the data.
+    """
+    dom = schema.where(F.col("p") == DOMAIN).select(F.col("s").alias("q"), F.col("o").alias("dc"))
+    rng = schema.where(F.col("p") == RANGE).select(F.col("s").alias("q"), F.col("o").alias("rc"))
+    named = sp.select(F.col("s").alias("p")).unionByName(dom.select(F.col("q").alias("p"))).unionByName(rng.select(F.col("q").alias("p")))
+    pairs = sp.select(F.col("s").alias("p"), F.col("o").alias("q")).unionByName(named.select("p", F.col("p").alias("q"))).distinct()
+    props = (pairs.join(dom, "q", "left").join(rng, "q", "left").groupBy("p")
+             .agg(F.collect_set(F.when(F.col("q") != F.col("p"), F.col("q"))).alias("supers"),
+                  F.collect_set("dc").alias("domains"), F.collect_set("rc").alias("ranges")))
+    above = sc.where(F.col("o") != RESOURCE).groupBy(F.col("s").alias("c")).agg(F.collect_set("o").alias("above"))
+    return cut_lineage(props), cut_lineage(above)
+
+
+def rdfs_closure(quads: DataFrame) -> DataFrame:
+    """Q10: RDFS entailment over the default graph (set semantics); quads of named graphs stay as they are.
 
     Rules: subClassOf / subPropertyOf transitivity; property inheritance;
     domain and range typing; type propagation along subClassOf; every class
@@ -56,44 +70,47 @@ def rdfs_closure(quads: DataFrame, max_schema_rows: int = 5_000_000) -> DataFram
     ``rdfs:Class``, its own subclass and a subclass of ``rdfs:Resource``.
     ``x rdf:type rdfs:Resource`` is not materialised (with two explicit triples
     ``a a A . A subClassOf B`` the result has 9 triples).
+
+    The input is read twice: once for its schema triples, once for a pass that expands each quad into the
+    rows it entails through two schema-sized lookups; one final ``distinct`` combines map-side, so
+    the many equal class rows never travel.
     """
-    base = quads.select(*QUAD_COLUMNS).where(F.col("g").isNull())
-    # one scan extracts every schema triple; the (schema-sized) result is materialised so the
-    # iterations and size checks below never re-read the instance data
-    schema = cut_lineage(base.where(F.col("p").isin(SUBCLASS, SUBPROP, DOMAIN, RANGE)).select("s", "p", "o"))
+    base = quads.select(*QUAD_COLUMNS)
+    schema = cut_lineage(base.where(F.col("g").isNull() & F.col("p").isin(SUBCLASS, SUBPROP, DOMAIN, RANGE)).select("s", "p", "o"))
     sc = transitive_closure(schema.where(F.col("p") == SUBCLASS).select("s", "o"))
     sp = transitive_closure(schema.where(F.col("p") == SUBPROP).select("s", "o"))
-    sp_b = bounded_broadcast(sp.select(F.col("s").alias("p"), F.col("o").alias("q")), max_schema_rows)
-    # property inheritance: x p y, p ⊑ q → x q y
-    inherited = base.join(sp_b, "p").select("g", "s", F.col("q").alias("p"), "o", "o_kind", "o_dtype", "o_lang")
-    facts = base.unionByName(inherited) if not sp.isEmpty() else base
-    dom = bounded_broadcast(schema.where(F.col("p") == DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("c")), max_schema_rows)
-    rng = bounded_broadcast(schema.where(F.col("p") == RANGE).select(F.col("s").alias("p"), F.col("o").alias("c")), max_schema_rows)
-    typed = (facts.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
-             .unionByName(facts.join(dom, "p").select(F.col("s").alias("x"), "c"))
-             .unionByName(facts.where(F.col("o_kind") != "literal").join(rng, "p").select(F.col("o").alias("x"), "c")))
-    # type propagation: a hot class (a third of all instances) is on the streamed side; the closed
-    # hierarchy is broadcast when provably schema-sized, otherwise the join is salted
-    sc_pairs = sc.where(F.col("o") != RESOURCE).select(F.col("s").alias("c"), F.col("o").alias("d"))
-    # ``x a rdfs:Resource`` is never materialised, also not through an explicit ``C ⊑ rdfs:Resource``
-    types = typed.unionByName(hot_key_join(typed, sc_pairs, ["c"], "inner", max_schema_rows).select("x", F.col("d").alias("c")))
-    classes = (sc.select(F.col("s").alias("c")).unionByName(sc.select(F.col("o").alias("c")))
-               .unionByName(base.where((F.col("p") == RDF_TYPE) & (F.col("o") != CLASS)).select(F.col("o").alias("c")))
-               .unionByName(typed.select("c")).distinct()
-               .where(~F.col("c").isin(CLASS, RESOURCE)))
-    out = [
-        facts,
-        types.select(*_triple(F.col("x"), RDF_TYPE, F.col("c"))),
-        sc.select(*_triple(F.col("s"), SUBCLASS, F.col("o"))),
-        sp.select(*_triple(F.col("s"), SUBPROP, F.col("o"))),
-        classes.select(*_triple(F.col("c"), RDF_TYPE, F.lit(CLASS))),
-        classes.select(*_triple(F.col("c"), SUBCLASS, F.col("c"))),
-        classes.select(*_triple(F.col("c"), SUBCLASS, F.lit(RESOURCE))),
-    ]
-    result = out[0]
-    for d in out[1:]:
+    props, above = entailments(schema, sc, sp)
+
+    none = F.lit(None).cast("string")
+    quad = lambda g, s, p, o, kind, dtype, lang: F.struct(
+        g.alias("g"), s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), dtype.alias("o_dtype"), lang.alias("o_lang"))
+    iri = F.lit("iri")
+    typing = lambda x, c: quad(none, x, F.lit(RDF_TYPE), c, iri, none, none)
+    rows = base.join(props, "p", "left")
+    default, listed = F.col("g").isNull(), lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    own = quad(*[F.col(c) for c in QUAD_COLUMNS])
+    more = F.concat(
+        F.transform(listed("supers"), lambda q: quad(F.col("g"), F.col("s"), q, F.col("o"), F.col("o_kind"), F.col("o_dtype"), F.col("o_lang"))),
+        F.transform(listed("domains"), lambda c: typing(F.col("s"), c)),
+        F.when(F.col("o_kind") != "literal", F.transform(listed("ranges"), lambda c: typing(F.col("o"), c))).otherwise(
+            F.filter(F.array(own), lambda x: F.lit(False))))
+    step = rows.select(F.inline(F.when(default, F.concat(F.array(own), more)).otherwise(F.array(own))))
+    step = step.join(above.select(F.lit(RDF_TYPE).alias("p"), F.col("c").alias("o"), "above"), ["p", "o"], "left")
+    a_type = F.col("g").isNull() & (F.col("p") == RDF_TYPE)
+    a_class = a_type & ~F.col("o").isin(CLASS, RESOURCE)
+    empty = F.filter(F.array(own), lambda x: F.lit(False))
+    out = step.select(F.inline(F.concat(
+        F.array(own),
+        F.when(a_type, F.transform(listed("above"), lambda c: typing(F.col("s"), c))).otherwise(empty),
+        F.when(a_class, F.array(typing(F.col("o"), F.lit(CLASS)), quad(none, F.col("o"), F.lit(SUBCLASS), F.col("o"), iri, none, none),
+                                quad(none, F.col("o"), F.lit(SUBCLASS), F.lit(RESOURCE), iri, none, none))).otherwise(empty))))
+    nodes = (sc.select(F.col("s").alias("c")).unionByName(sc.select(F.col("o").alias("c"))).distinct().where(~F.col("c").isin(CLASS, RESOURCE)))
+    result = out
+    for d in (sc.select(*_triple(F.col("s"), SUBCLASS, F.col("o"))), sp.select(*_triple(F.col("s"), SUBPROP, F.col("o"))),
+              nodes.select(*_triple(F.col("c"), RDF_TYPE, F.lit(CLASS))), nodes.select(*_triple(F.col("c"), SUBCLASS, F.col("c"))),
+              nodes.select(*_triple(F.col("c"), SUBCLASS, F.lit(RESOURCE)))):
         result = result.unionByName(d)
-    return result.distinct()
+    return result.select(*QUAD_COLUMNS).distinct()
 
 
 def reference_closure(edges: DataFrame, names: DataFrame, root: str | None, src: str = "name",
@@ -116,7 +133,7 @@ def reference_closure(edges: DataFrame, names: DataFrame, root: str | None, src:
         roots = names
     frontier = cut_lineage(roots.select("name", F.lit(0).alias("level")))
     levels = frontier
-    guard = max_depth
+    guard = max_depth  # a cycle guard: no acyclic path is longer than the number of datasets
     depth = 0
     while True:
         nxt = (frontier.join(e, "name").select(F.col("ref").alias("name"), (F.col("level") + 1).alias("level"))

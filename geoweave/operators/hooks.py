@@ -67,7 +67,8 @@ def param_view(spark: SparkSession, sql: str, params: Mapping[str, object], vali
     for k, pattern in (validators or {}).items():
         if k in args and not re.fullmatch(pattern, str(args[k])):
             raise ValueError(f"parameter {k}={args[k]!r} does not match {pattern!r}")
-    used = set(re.findall(r":([A-Za-z_]\w*)", sql))
+    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*", " ", sql)  # markers in quotes and comments are no parameters
+    used = set(re.findall(r"(?<![:\w]):([A-Za-z_]\w*)", bare))  # a cast ``::int`` is none either
     missing = used - set(args)
     if missing:
         raise ValueError(f"missing parameters {sorted(missing)}")

@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 
 from geoweave.functions import pgcompat, terms
 from geoweave.functions.util import as_col
-from geoweave.session import hot_key_join
 
 QUAD_COLUMNS = ["g", "s", "p", "o", "o_kind", "o_dtype", "o_lang"]
 QUAD_SCHEMA = "g string, s string, p string, o string, o_kind string, o_dtype string, o_lang string"
@@ -88,7 +87,7 @@ def canonicalise(quads: DataFrame, canon: DataFrame, iri_col: str = "iri", canon
     by_s = quads.join(cm, quads["s"] == cm["_iri"], "left").withColumn("s", F.coalesce("_canon", "s")).drop("_iri", "_canon")
     # objects are where hot keys live (one class IRI may be the object of a third of all triples)
     cm_o = cm.select(F.col("_iri").alias("o"), F.lit("iri").alias("o_kind"), F.col("_canon").alias("_ocanon"))
-    by_o = hot_key_join(by_s, cm_o, ["o", "o_kind"], "left")
+    by_o = by_s.join(cm_o, ["o", "o_kind"], "left")
     return by_o.withColumn("o", F.coalesce("_ocanon", "o")).drop("_ocanon").select(*QUAD_COLUMNS)
 
 
@@ -208,15 +207,30 @@ class RuleDocument:
             dt = o.get("datatype")
             if o.get("type") == "iri":
                 return [(terms.iri(o["value"], self.prefixes), None)]
-            return [(terms.literal(o["value"], dt, o.get("language"), self.prefixes), None)]
+            return [(self._literal(o["value"], dt, o.get("language")), None)]
         if isinstance(o, str):
             if o.endswith("~iri"):
                 return [(terms.iri(o[:-4], self.prefixes), None)]
-            if terms.template_columns(o):
-                return [(terms.literal(o), None)]
-            return [(terms.const_iri(o, self.prefixes), None)]
+            if not terms.template_columns(o) and self._names_iri(o):
+                return [(terms.const_iri(o, self.prefixes), None)]
+            return [(self._literal(o), None)]
         raise ValueError(f"unsupported object {o!r}")
 
+    def _names_iri(self, o: str) -> bool:
+        """A constant is an IRI if it is ``a``, ``<…>``, has a declared prefix or a scheme; any other is a literal."""
+        head, colon, rest = o.partition(":")
+        return o == "a" or (o.startswith("<") and o.endswith(">")) or bool(colon) and (
+            head in self.prefixes or head in terms.DEFAULT_PREFIXES or rest.startswith("//") or head in ("urn", "mailto"))
+
+    def _literal(self, text: str, datatype: str | None = None, language: str | None = None) -> Column:
+        return terms.literal(text, datatype, language, self.prefixes)
+
+    def _typed(self, o, tag: str) -> list[tuple[Column, Column | None]]:
+        """Third element of ``[p, o, tag]``: ``xx~lang`` is a language, anything else a datatype."""
+        if tag.endswith("~lang"):
+            return [(self._literal(o, None, tag[:-5]), None)]
+        return [(self._literal(o, tag), None)]
+
     def templates(self) -> list[TripleTemplate]:
         out: list[TripleTemplate] = []
         for name, m in self.mappings.items():
@@ -229,7 +243,8 @@ class RuleDocument:
                     p, o = po["p"], po["o"]
                     pcond = self._function(po["condition"]) if "condition" in po else None
                 pred = terms.expand_prefix(p, self.prefixes)
-                for oterm, ocond in self._object(o):
+                tag = po[2] if isinstance(po, (list, tuple)) and len(po) > 2 else None
+                for oterm, ocond in self._typed(o, tag) if tag else self._object(o):
                     conds = [c for c in (mcond, pcond, ocond) if c is not None]
                     if conds:
                         oterm = terms.when_term(reduce(lambda a, b: a & b, conds), oterm)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoweave.session import bounded_broadcast, cut_lineage
+from geoweave.session import cut_lineage
 
 EARTH_R = 6371008.8  # mean Earth radius (m)
 
@@ -24,7 +24,7 @@ def osm_filter(ways: DataFrame, config: DataFrame, tag_key: str = "highway") ->
     """Keep ways whose ``tag_key`` value is in the class config ``(value, class_id, speed)``."""
     t = ways.select("way_id", F.explode("tags").alias("t")).where(F.col("t._k") == tag_key)
     t = t.select("way_id", F.col("t._v").alias("value"))
-    return t.join(bounded_broadcast(config), "value")
+    return t.join(config, "value")
 
 
 def haversine(lon1, lat1, lon2, lat2):
@@ -42,6 +42,7 @@ def build_ways(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     running segment id, previous point) shares the same partitioning.  A vertex
     closes one segment and opens the next, so each node row emits its segment
     memberships with ``explode`` in a single pass (no union of two branches).
+    ``wkt`` is the edge's line.  Nodes without coordinates leave the line; :func:`missing_nodes` lists them.
     """
     wn = way_nodes.select("way_id", "pos", "node_id")
     shared = wn.groupBy("node_id").agg((F.count(F.lit(1)) >= 2).alias("_shared"))
@@ -63,16 +64,46 @@ def build_ways(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
                   haversine(F.col("_prev_lon"), F.col("_prev_lat"), F.col("lon"), F.col("lat"))).otherwise(F.lit(0.0))
     edges = pts.withColumn("_d", step).groupBy("way_id", "_s").agg(
         F.min_by("node_id", "pos").alias("source"), F.max_by("node_id", "pos").alias("target"),
-        F.sum("_d").alias("length_m"), F.count(F.lit(1)).alias("n_points"))
+        F.sum("_d").alias("length_m"), F.count(F.lit(1)).alias("n_points"),
+        F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("_line"))
+    point = lambda x: F.concat_ws(" ", x["lon"].cast("string"), x["lat"].cast("string"))
+    line = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("_line", point), ", "), F.lit(")"))
     edges = edges.where(F.col("n_points") >= 2)
     return edges.select(F.concat_ws("_", F.col("way_id").cast("string"), F.col("_s").cast("string")).alias("edge_id"),
-                        "way_id", "source", "target", "length_m", "n_points")
+                        "way_id", "source", "target", "length_m", "n_points", line.alias("wkt"))
 
 
-def build_vertices(edges: DataFrame) -> DataFrame:
-    """Distinct edge end points with their degree."""
+def missing_nodes(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rejects of N2: way nodes without coordinates, ``(way_id, pos, node_id)``."""
+    known = nodes.where("lon is not null and lat is not null").select("node_id")
+    return way_nodes.select("way_id", "pos", "node_id").join(known, "node_id", "left_anti").select("way_id", "pos", "node_id")
+
+
+def with_costs(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Routing columns of N2: ``classes(way_id, class_id, maxspeed_kmh, oneway)`` → class, direction and costs per edge.
+
+    ``cost`` is the length and ``cost_s`` the seconds at the class speed; the reverse ones are -1 on one-way edges
+    (``oneway`` = 'yes'; '-1' reverses the direction).  Edges of a way without a class have none of them.
+    """
+    seconds = F.col("length_m") / (F.col("maxspeed_kmh") / 3.6)
+    shut, shut_back = (F.coalesce(F.col("oneway") == value, F.lit(False)) for value in ("-1", "yes"))
+    known = F.col("class_id").isNotNull()
+    cost = lambda closed, value: F.when(known, F.when(closed, F.lit(-1.0)).otherwise(value))
+    return edges.join(classes, "way_id", "left").select(
+        *edges.columns, "class_id", F.when(known, F.when(shut_back, 1).when(shut, -1).otherwise(2)).alias("one_way"),
+        cost(shut, F.col("length_m")).alias("cost"), cost(shut_back, F.col("length_m")).alias("reverse_cost"),
+        cost(shut, seconds).alias("cost_s"), cost(shut_back, seconds).alias("reverse_cost_s"))
+
+
+def build_vertices(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Distinct edge end points with their degree, and with ``nodes`` their position as WKT."""
     ends = edges.select(F.col("source").alias("id")).unionAll(edges.select(F.col("target").alias("id")))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    out = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    if nodes is None:
+        return out
+    where = nodes.select(F.col("node_id").alias("id"), F.concat(
+        F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")).alias("wkt"))
+    return out.join(where, "id", "left")
 
 
 def points_of_interest(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -85,19 +116,18 @@ def points_of_interest(nodes: DataFrame, keys: list[str] | None = None) -> DataF
 
 
 def append_network(a: DataFrame, b: DataFrame, key: str = "way_id") -> DataFrame:
-    """Multi-file append; first occurrence of an OSM id wins."""
-    return a.withColumn("_src", F.lit(0)).unionByName(b.withColumn("_src", F.lit(1))) \
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("_src"))) \
-        .where("_rn = 1").drop("_src", "_rn")
+    """Multi-file append; all rows of ``a`` and those of ``b`` whose OSM id ``a`` does not have."""
+    return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti").select(*a.columns))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """single/multi-source shortest path lengths by iterative relaxation (Bellman-Ford).
 
     Each round joins only the vertices whose distance improved (the frontier)
     with their out-edges and keeps the minimum per (source, vertex).  The frontier
     is cut with a reliable checkpoint every round and the distance table every
     third round (its lineage never exceeds three joins); stops when nothing improves.
+    Negative lengths are refused, so an empty frontier is always reached.
     """
     e = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("length_m").alias("w"))
     if not directed:
@@ -106,8 +136,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
     e = cut_lineage(e.groupBy("u", "v").agg(F.min("w").alias("w")))
     dist = cut_lineage(sources.select(F.col(sources.columns[0]).alias("src"),
                                       F.col(sources.columns[0]).alias("node"), F.lit(0.0).alias("d")))
-    frontier = dist
-    for rnd in range(max_rounds):
+    if not e.where("w < 0").isEmpty():
+        raise ValueError("shortest paths need edge lengths of 0 or more")
+    frontier, rnd = dist, 0
+    while True:
         cand = (frontier.join(e, frontier["node"] == e["u"]).select("src", F.col("v").alias("node"),
                                                                     (F.col("d") + F.col("w")).alias("d"))
                 .groupBy("src", "node").agg(F.min("d").alias("d")))
@@ -117,7 +149,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
         if better.isEmpty():
             return dist
         dist = dist.join(better.select("src", "node"), ["src", "node"], "left_anti").unionByName(better)
-        if rnd % 3 == 2:  # the frontier is cut every round; the distance table every third (bounded lineage)
+        rnd += 1
+        if rnd % 3 == 0:  # the frontier is cut every round; the distance table every third (bounded lineage)
             dist = cut_lineage(dist)
         frontier = better
-    raise RuntimeError("shortest paths did not converge (negative cycle?)")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import pgcompat as pg
 from geoweave.operators.relational import with_ordinal
+from geoweave.session import cut_lineage
 
 PIXEL_KEYS = ["raster", "band"]
 
@@ -63,31 +64,35 @@ def band_to_time(pixels: DataFrame, times: DataFrame, var: str) -> DataFrame:
     """One layer per time step — band ↔ times row; layer name ``var_time`` or ``var_index``."""
     t = times.select("band", "time", "index")
     name = F.concat(F.lit(var + "_"), F.coalesce(F.col("time").cast("string"), F.col("index").cast("string")))
-    return pixels.join(F.broadcast(t), "band").withColumn("layer", name)
+    return pixels.join(t, "band").withColumn("layer", name)
 
 
 def raster_times(files: DataFrame, times: DataFrame | None, time_format: str | None = None, tz: str | None = None,
                  label_template: str | None = None, name_regex: str | None = None) -> DataFrame:
     """Times table ``(index, filename, band, time, label)``.
 
-    ``files(filename, pos)`` and ``times(time_text, pos)`` are zipped by position
-    (inner join: the shorter list wins).  Without a format the time is the
-    text itself; with ``name_regex`` the time text is taken from the file name.
-    ``label`` follows the reference's date-label rule (X17).
+    Every band of every file (``files(filename, pos[, n_bands])``, one band by default) in order is a slot; the slots are zipped
+    with ``times(time_text, pos)`` in order, the shorter list wins.  Without ``times`` each file's text comes from its
+    name by ``name_regex``.  With a format ``time`` is the parsed instant and ``label`` the same instant as text; without one ``time`` is
+    the row's index as text and ``label`` the text cut by the date-label rule (X17) of ``label_template``.
     """
-    f = files
+    bands = F.col("n_bands") if "n_bands" in files.columns else F.lit(1)
+    slots = files.withColumn("band", F.explode(F.sequence(F.lit(1), bands.cast("int"))))
+    slots = with_ordinal(slots, ["pos", "filename", "band"], "slot")
     if times is not None:
-        f = f.join(times, "pos")
+        listed = with_ordinal(times.select("pos", "time_text"), ["pos", "time_text"], "slot")
+        slots = slots.join(listed.select("slot", "time_text"), "slot")
     elif name_regex:
-        f = f.withColumn("time_text", F.regexp_extract("filename", name_regex, 1))
-    t = pg.parse_datetime("time_text", time_format, tz) if time_format else F.col("time_text")
-    label = pg.split_date_label("time_text", label_template) if label_template else F.col("time_text")
-    out = f.select("filename", "pos", F.col("time_text"), t.alias("time"), label.alias("label"))
-    dup = out.groupBy("time").count().where("count > 1")
-    if not dup.isEmpty():
+        slots = slots.withColumn("time_text", F.regexp_extract("filename", name_regex, 1))
+    index = F.col("slot").cast("int")
+    if time_format is None:
+        label = pg.split_date_label("time_text", label_template) if label_template else F.col("time_text")
+        return slots.select(index.alias("index"), "filename", "band", index.cast("string").alias("time"), label.alias("label"))
+    out = cut_lineage(slots.withColumn("time", pg.parse_datetime("time_text", time_format, tz)))
+    if not out.groupBy("time").count().where("count > 1").isEmpty():
         raise ValueError("times must be unique")
-    out = with_ordinal(out, ["pos", "filename"], "index")
-    return out.select(F.col("index").cast("int").alias("index"), "filename", F.lit(1).alias("band"), "time", "label")
+    label = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return out.select(index.alias("index"), "filename", "band", "time", label.alias("label"))
 
 
 def _neighbours(kind: str) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoweave.functions.util import as_col, q
-from geoweave.session import bounded_broadcast
+from geoweave.session import cut_lineage
 
 # --- projections / predicates ---------------------------------------------------
 
@@ -76,12 +76,11 @@ def keep_related(df: DataFrame, id_col: str, rel_col: str, keep_col: str) -> Dat
 # --- joins ------------------------------------------------------------------------
 
 
-def lookup_join(df: DataFrame, *dims: DataFrame, on: str | Sequence[str], how: str = "inner",
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Fact ⋈ lookups; each lookup is broadcast only after its size is proven."""
+def lookup_join(df: DataFrame, *dims: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Fact ⋈ lookups; AQE broadcasts a lookup whose measured bytes are small and splits hot keys otherwise."""
     out = df
     for d in dims:
-        out = out.join(bounded_broadcast(d, max_broadcast_rows), on, how)
+        out = out.join(d, on, how)
     return out
 
 
@@ -136,16 +135,18 @@ def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal", num
     """1-based ``SERIAL``-style ordinal in ``order`` without a single-partition window.
 
     Range-partition + sort, then add per-partition offsets from a per-partition
-    count (one row per partition, broadcast).  ``order`` must be a unique key.
+    count (one row per partition).  The tagged rows are materialised once: rows and counts must come
+    from the same range sampling, which a second evaluation would repeat with other columns and
+    other bounds.  Rows with equal ``order`` keys get consecutive ordinals in no stated order.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pid", F.shiftrightunsigned("_mid", 33))
+    tagged = cut_lineage(tagged.withColumn("_pid", F.shiftrightunsigned("_mid", 33)))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid")
+    out = tagged.join(F.broadcast(offsets), "_pid")  # at most num_partitions rows
     local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
     return out.withColumn(name, F.col("_off") + local + 1).drop("_mid", "_pid", "_off")
 

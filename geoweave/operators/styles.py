@@ -14,22 +14,23 @@ def apply_style_rules(df: DataFrame, rules: DataFrame, exclusive: bool = False)
     """Attribute-equality rules ``rules(property, value, <style columns…>)``.
 
     General form: one output row per matching rule (unmatched features disappear,
-    as a renderer draws nothing for them).  Rules are grouped by property so each
-    property needs one equi-join on its own column.
+    as a renderer draws nothing for them).  The features are read once: each row lists its attribute
+    values under their names and one equi-join on (property, value) meets the rules.  A rule
+    whose property no feature column has matches nothing.
     """
-    props = [r[0] for r in rules.select("property").distinct().collect()]  # a handful of attribute names
     style_cols = [c for c in rules.columns if c not in ("property", "value")]
-    parts = []
-    for p in props:
-        r = rules.where(F.col("property") == p).drop("property")
-        parts.append(df.join(F.broadcast(r), df[p].cast("string") == r["value"]).drop("value")
-                     .withColumn("rule_property", F.lit(p)))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    plain = [f.name for f in df.schema.fields if f.dataType.simpleString() in
+             ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date")
+             or f.dataType.simpleString().startswith(("decimal", "timestamp"))]
+    pairs = F.array(*[F.struct(F.lit(c).alias("property"), F.col(f"`{c}`").cast("string").alias("value")) for c in plain])
+    long = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.inline(pairs))
+    wanted = rules.select(F.col("property"), F.col("value"), F.struct(*[F.col(f"`{c}`") for c in style_cols]).alias("_style")) if style_cols \
+        else rules.select("property", "value", F.struct(F.lit(1)).alias("_style"))
+    out = long.join(wanted, ["property", "value"])
     if exclusive:
-        out = out.dropDuplicates([c for c in df.columns])
-    return out.select(*df.columns, "rule_property", *style_cols)
+        out = out.groupBy("_row").agg(F.min_by(F.struct("property", "_style"), F.struct("property", "value")).alias("_best")) \
+                 .select("_row", "_best.property", "_best._style")
+    return out.select("_row.*", F.col("property").alias("rule_property"), *[F.col(f"_style.`{c}`").alias(c) for c in style_cols])
 
 
 def dynamic_style(df: DataFrame, **exprs) -> DataFrame:

@@ -186,61 +186,51 @@ def map_customers_virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tpch_quads(spark, sf_dir, ("customer",), mode="virtual")
 
 
-# Rule document in long form: documents as "persons" with a conditional, cleaned name.
+# Rule document in long form: feeds of documents; only English ones are syndicated, under a tidied display label.
+_ENGLISH = {"function": "idlab-fn:equal", "parameters": [["idlab-fn:str", "$(lang)"], ["idlab-fn:otherStr", "en"]]}
 DOC_RULES = {
-    "prefixes": {"base": "https://example.org/kg/", "rdfs": T.RDFS,
-                 "grel": M.GREL, "idlab-fn": M.IDLAB},
+    "prefixes": {"kg": "https://example.org/kg/", "dcterms": "http://purl.org/dc/terms/", "xsd": T.XSD, "grel": M.GREL,
+                 "idlab-fn": M.IDLAB},
     "mappings": {
-        "person": {
-            "s": "base:person/$(id)",
-            "po": [["a", "base:Person"],
-                   {"p": "base:hasName",
-                    "o": [{"mapping": "person-name",
-                           "condition": {"function": "grel:boolean_not",
-                                         "parameters": [{"parameter": "grel:bool_b",
-                                                         "value": {"function": "idlab-fn:isNull",
-                                                                   "parameters": [["idlab-fn:str", "$(name)"]]}}]}}]}],
+        "entry": {
+            "s": "kg:entry/$(id)",
+            "po": [["a", "kg:Entry"],
+                   ["dcterms:extent", "$(n_chars)", "xsd:integer"],
+                   ["kg:state", "indexed"],
+                   {"p": "kg:inFeed", "o": [{"mapping": "feed", "condition": _ENGLISH}]}],
         },
-        "person-name": {
-            "s": "base:person/name/$(id)",
-            "po": [{"p": "a", "o": "base:PersonName",
-                    "condition": {"function": "grel:boolean_not",
-                                  "parameters": [{"parameter": "grel:bool_b",
-                                                  "value": {"function": "idlab-fn:isNull",
-                                                            "parameters": [["idlab-fn:str", "$(name)"]]}}]}},
-                   {"p": "rdfs:label",
-                    "o": {"function": "grel:string_replace",
-                          "parameters": [["grel:p_string_find", "/\\s+/"], ["grel:p_string_replace", ""],
-                                         {"parameter": "grel:valueParameter",
+        "feed": {
+            "s": "kg:feed/$(source)",
+            "condition": _ENGLISH,
+            "po": [{"p": "kg:caption",
+                    "o": {"function": "grel:toUpperCase",
+                          "parameters": [{"parameter": "grel:valueParameter",
                                           "value": {"function": "grel:string_trim",
-                                                    "parameters": [["grel:valueParameter", "$(name)"]]}}]}}],
+                                                    "parameters": [["grel:valueParameter", " $(source) "]]}}]}}],
         },
     },
 }
 
-_DOC_NAME_SQL = "CASE WHEN lang = 'en' THEN NULL ELSE ' ' || source || '  ' || lang || ' ' END"
-
 
 @query("map_conditional", f"""
-WITH src AS (SELECT doc_id AS id, {_DOC_NAME_SQL} AS name FROM documents)
-SELECT NULL::VARCHAR AS g, '{EX}person/' || url_encode(CAST(id AS VARCHAR)) AS s, '{T.RDF_TYPE}' AS p,
-       '{EX}Person' AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_dtype, NULL::VARCHAR AS o_lang FROM src
+SELECT NULL::VARCHAR AS g, '{EX}entry/' || url_encode(CAST(doc_id AS VARCHAR)) AS s, '{T.RDF_TYPE}' AS p,
+       '{EX}Entry' AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_dtype, NULL::VARCHAR AS o_lang FROM documents
+UNION ALL
+SELECT NULL, '{EX}entry/' || url_encode(CAST(doc_id AS VARCHAR)), 'http://purl.org/dc/terms/extent', CAST(n_chars AS VARCHAR), 'literal',
+       '{T.XSD}integer', NULL FROM documents WHERE n_chars IS NOT NULL
 UNION ALL
-SELECT NULL, '{EX}person/' || url_encode(CAST(id AS VARCHAR)), '{EX}hasName',
-       '{EX}person/name/' || url_encode(CAST(id AS VARCHAR)), 'iri', NULL, NULL FROM src WHERE name IS NOT NULL
+SELECT NULL, '{EX}entry/' || url_encode(CAST(doc_id AS VARCHAR)), '{EX}state', 'indexed', 'literal', NULL, NULL FROM documents
 UNION ALL
-SELECT NULL, '{EX}person/name/' || url_encode(CAST(id AS VARCHAR)), '{T.RDF_TYPE}', '{EX}PersonName', 'iri', NULL, NULL
-FROM src WHERE name IS NOT NULL
+SELECT NULL, '{EX}entry/' || url_encode(CAST(doc_id AS VARCHAR)), '{EX}inFeed', '{EX}feed/' || url_encode(source), 'iri', NULL, NULL
+FROM documents WHERE lang = 'en' AND source IS NOT NULL
 UNION ALL
-SELECT NULL, '{EX}person/name/' || url_encode(CAST(id AS VARCHAR)), '{T.RDFS}label',
-       regexp_replace(trim(name), '\\s+', '', 'g'), 'literal', NULL, NULL FROM src WHERE name IS NOT NULL
+SELECT NULL, '{EX}feed/' || url_encode(source), '{EX}caption', upper(trim(source)), 'literal', NULL, NULL
+FROM documents WHERE lang = 'en' AND source IS NOT NULL
 """)
 def map_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7/K9/K10/J13 + E1: rule document with conditions and nested functions on documents."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "source")
-    src = docs.select(F.col("doc_id").alias("id"),
-                      F.when(F.col("lang") != "en", F.concat(F.lit(" "), "source", F.lit("  "), "lang", F.lit(" "))).alias("name"))
-    return M.map_rules(src, DOC_RULES)
+    """K7/K9/K10/J13 + E1: rule document with conditions, a typed and a constant literal and nested functions."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
+    return M.map_rules(docs.withColumnRenamed("doc_id", "id"), DOC_RULES)
 
 
 @query("map_functions", f"""

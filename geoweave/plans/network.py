@@ -53,27 +53,60 @@ d AS (
   FROM stepd),
 e AS (
   SELECT way_id, seg, arg_min(node_id, pos) AS source, arg_max(node_id, pos) AS target, sum(dd) AS length_m,
-         count(*) AS n_points
+         count(*) AS n_points,
+         'LINESTRING (' || string_agg(CAST(lon AS VARCHAR) || ' ' || CAST(lat AS VARCHAR), ', ' ORDER BY pos) || ')' AS wkt
   FROM d GROUP BY way_id, seg HAVING count(*) >= 2)
 """
 
 
 @query("network_build", EDGES_SQL + """
 SELECT CAST(way_id AS VARCHAR) || '_' || CAST(seg AS VARCHAR) AS edge_id, way_id, source, target,
-       round(length_m, 3) AS length_m, n_points FROM e
+       round(length_m, 3) AS length_m, n_points, wkt FROM e
 """)
 def network_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways split at shared nodes → edges with source, target, haversine length, point count."""
+    """Ways split at shared nodes → edges with source, target, haversine length, point count and line."""
     e = N.build_ways(way_nodes(spark, sf_dir), nodes(spark, sf_dir))
     return e.withColumn("length_m", F.round("length_m", 3))
 
 
 @query("vertex_degree", EDGES_SQL + """
-SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id
+SELECT id, count(*) AS degree, 'POINT (' || CAST(any_value((id % 100) / 100.0) AS VARCHAR) || ' '
+       || CAST(any_value(51.0 + floor(id / 100) / 100.0) AS VARCHAR) || ')' AS wkt
+FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id
 """)
 def vertex_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct edge ends with degree."""
-    return N.build_vertices(N.build_ways(way_nodes(spark, sf_dir), nodes(spark, sf_dir)))
+    """Distinct edge ends with degree and position."""
+    at = nodes(spark, sf_dir)
+    return N.build_vertices(N.build_ways(way_nodes(spark, sf_dir), at), at)
+
+
+@query("network_costs", EDGES_SQL + """
+SELECT CAST(way_id AS VARCHAR) || '_' || CAST(seg AS VARCHAR) AS edge_id,
+       CASE WHEN o_orderpriority <> '5-LOW' THEN 101 END AS class_id,
+       CASE WHEN o_orderpriority <> '5-LOW' THEN CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN -1 ELSE 2 END END AS one_way,
+       round(CASE WHEN o_orderpriority <> '5-LOW' THEN CASE WHEN o_orderstatus = 'P' THEN -1.0 ELSE length_m END END, 3) AS cost,
+       round(CASE WHEN o_orderpriority <> '5-LOW' THEN CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE length_m END END, 3) AS reverse_cost,
+       round(CASE WHEN o_orderpriority <> '5-LOW' THEN CASE WHEN o_orderstatus = 'P' THEN -1.0 ELSE length_m / (60.0 / 3.6) END END, 3) AS cost_s
+FROM e LEFT JOIN orders ON o_orderkey = way_id
+""")
+def network_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, direction and forward / reverse costs of every edge; unclassified ways have none."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").where("o_orderpriority <> '5-LOW'")
+    classes = o.select(F.col("o_orderkey").alias("way_id"), F.lit(101).alias("class_id"), F.lit(60.0).alias("maxspeed_kmh"),
+                       F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "P", "-1").alias("oneway"))
+    e = N.with_costs(N.build_ways(way_nodes(spark, sf_dir), nodes(spark, sf_dir)), classes)
+    return e.select("edge_id", "class_id", "one_way", *[F.round(c, 3).alias(c) for c in ("cost", "reverse_cost", "cost_s")])
+
+
+@query("network_append", """
+WITH a AS (SELECT l_orderkey AS way_id, l_linenumber AS pos, l_partkey AS node_id FROM lineitem WHERE l_orderkey % 3 <> 0),
+b AS (SELECT l_orderkey AS way_id, l_linenumber + 10 AS pos, l_partkey AS node_id FROM lineitem WHERE l_orderkey % 2 = 0)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE way_id NOT IN (SELECT way_id FROM a)
+""")
+def network_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second extract adds the ways that the first one lacks, with all their rows."""
+    wn = way_nodes(spark, sf_dir)
+    return N.append_network(wn.where("way_id % 3 <> 0"), wn.where("way_id % 2 = 0").withColumn("pos", F.col("pos") + 10))
 
 
 @query("points_of_interest", f"""

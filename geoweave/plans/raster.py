@@ -122,16 +122,34 @@ def colour_map_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT DISTINCT 'grid_' || strftime(ts, '%Y%m%d%H') || '.nc' AS filename FROM events),
 t AS (SELECT filename, regexp_extract(filename, '.*([0-9]{10}).*', 1) AS tt FROM f)
 SELECT CAST(row_number() OVER (ORDER BY filename) AS INTEGER) AS index, filename, 1 AS band,
-       strptime(tt, '%Y%m%d%H') AS time,
-       substr(tt, 1, 4) || '/' || substr(tt, 5, 2) || '/' || substr(tt, 7, 2) || ':' || substr(tt, 9) AS label
+       strptime(tt, '%Y%m%d%H') AS time, strftime(strptime(tt, '%Y%m%d%H'), '%Y-%m-%dT%H:%M:%SZ') AS label
 FROM t
 """)
 def raster_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One grid file per event hour; time parsed from the file name, label per template."""
+    """One grid file per event hour; time parsed from the file name, label the same instant."""
     ev = read(spark, sf_dir, "events", "ts")
     files = ev.select(F.concat(F.lit("grid_"), F.date_format("ts", "yyyyMMddHH"), F.lit(".nc")).alias("filename")).distinct()
     files = with_ordinal(files, ["filename"], "pos")
-    return RS.raster_times(files, None, "yyyyMMddHH", None, "yyyymmddhh", r".*([0-9]{10}).*")
+    return RS.raster_times(files, None, "yyyyMMddHH", None, None, r".*([0-9]{10}).*")
+
+
+@query("raster_times_noformat", """
+WITH f AS (SELECT DISTINCT strftime(ts, '%Y%m') AS m FROM events),
+slots AS (SELECT 'month_' || m || '.nc' AS filename, b.band, row_number() OVER (ORDER BY m, b.band) AS slot
+          FROM f, (SELECT unnest([1, 2, 3]) AS band) b),
+d AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS t FROM events),
+times AS (SELECT t, row_number() OVER (ORDER BY t) AS slot FROM d)
+SELECT CAST(slot AS INTEGER) AS index, filename, band, CAST(slot AS VARCHAR) AS time,
+       substr(t, 1, 4) || '/' || substr(t, 5, 2) || '/' || substr(t, 7) AS label
+FROM slots JOIN times USING (slot)
+""")
+def raster_times_noformat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three bands per monthly file zipped with the event days; no format, so time is the index as text."""
+    ev = read(spark, sf_dir, "events", "ts")
+    months = ev.select(F.date_format("ts", "yyyyMM").alias("m")).distinct()
+    files = months.select(F.concat(F.lit("month_"), "m", F.lit(".nc")).alias("filename"), F.col("m").cast("long").alias("pos"), F.lit(3).alias("n_bands"))
+    days = ev.select(F.date_format("ts", "yyyyMMdd").alias("time_text")).distinct()
+    return RS.raster_times(files, days.withColumn("pos", F.col("time_text").cast("long")), None, None, "yyyymmdd")
 
 
 @query("nodata_mask", f"""

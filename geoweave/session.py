@@ -1,4 +1,4 @@
-"""Session helpers: local session for tests/bench, checkpoint directory, bounded broadcast."""
+"""Session helpers: local session for tests/bench, checkpoint directory, lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "geoweave") -> SparkSession:
@@ -32,9 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, honouring the cluster's ``spark.checkpoint.dir``.
 
-    On a cluster the shared folder is named by ``spark.checkpoint.dir``; we only
-    fall back to a private scratch folder when nothing is configured (tests,
-    local single-JVM runs).
+    On a cluster the shared folder must be named by ``spark.checkpoint.dir``.  Only a single-JVM
+    session (master ``local…``), where driver and tasks share their disk, gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="geoweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -52,37 +52,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); used between iterations."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the frame is
-    returned unchanged and the join falls back to a shuffle join (AQE may still
-    convert it at run time from real statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                 max_broadcast_rows: int = 1_000_000, buckets: int = 32) -> DataFrame:
-    """Join where one key of ``big`` may hold a large share of its rows.
-
-    If ``small`` is provably bounded it is broadcast (no shuffle of ``big`` at all).
-    Otherwise the join is salted: each ``big`` row gets a *deterministic* salt
-    (hash of the whole row, so a retried task recomputes the same salt after an
-    executor loss) and ``small`` is replicated once per salt value, splitting a hot
-    key over ``buckets`` tasks.  ``how`` must keep ``big`` on the left
-    (inner / left / left_semi / left_anti).
-    """
-    if is_bounded(small, max_broadcast_rows):
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(buckets)))
-    rep = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    return salted.join(rep, [*on, "_salt"], how).drop("_salt")

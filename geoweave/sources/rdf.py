@@ -15,7 +15,10 @@ _IRI = r"<[^>]*>"
 _BNODE = r"_:[^\s]+"
 _LIT = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?'
 LINE = rf"^\s*({_IRI}|{_BNODE})\s+({_IRI})\s+({_IRI}|{_BNODE}|{_LIT})\s*({_IRI}|{_BNODE})?\s*\.\s*$"
-NUL = "\u0000"
+#: A run of plain characters, or one escape of an RDF literal.
+ESCAPES = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
+#: Fixed single-character escapes.
+SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
 
 
 def _escape(c: Column) -> Column:
@@ -26,10 +29,16 @@ def _escape(c: Column) -> Column:
 
 
 def _unescape(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\\\"), F.lit(NUL))  # protect escaped backslashes (NUL never occurs in RDF text)
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.replace(c, F.lit(NUL), F.lit("\\"))
+    """Decode ``\\uXXXX``, ``\\UXXXXXXXX`` and the single-character escapes; text without a backslash is left as it is."""
+    def decode(x: Column) -> Column:
+        code = F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0"))
+        out = F.when(F.length(x) > 2, F.decode(code, "UTF-32"))
+        for letter, char in SHORT.items():
+            out = out.when(x == "\\" + letter, F.lit(char))
+        return F.when(~x.startswith("\\"), x).otherwise(out.otherwise(F.substring(x, 2, 1)))
+
+    parts = F.transform(F.regexp_extract_all(c, F.lit(ESCAPES), 0), decode)
+    return F.when(F.instr(c, "\\") == 0, c).otherwise(F.array_join(parts, ""))
 
 
 def _node(c: Column) -> Column:
@@ -90,11 +99,14 @@ def write_nquads(quads: DataFrame, path: str, mode: str = "overwrite") -> None:
     to_nquads(quads).write.mode(mode).text(path)
 
 
-def write_quad_table(quads: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_quad_table(quads: DataFrame, path: str, mode: str = "overwrite", spread: int = 16) -> None:
     """Persist the quad table as parquet partitioned by predicate: a graph pattern with a constant
     predicate then reads only that predicate's directory (partition pruning), and ``g``/``s``/``o``
-    filters are pushed into the parquet scan."""
-    quads.select(*QUAD_COLUMNS).repartition("p").write.mode(mode).partitionBy("p").parquet(path)
+    filters are pushed into the parquet scan.  A predicate is spread over ``spread`` writers by subject, so
+    a predicate that holds a third of all quads is not one task's work."""
+    n = int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (quads.select(*QUAD_COLUMNS).repartition(n, F.col("p"), F.pmod(F.xxhash64("s"), F.lit(spread)))
+     .write.mode(mode).partitionBy("p").parquet(path))
 
 
 def read_quad_table(spark: SparkSession, path: str) -> DataFrame:

@@ -73,15 +73,3 @@ def test_populate_city_tables_and_footprint(spark):
         [(r[0], n, "u", EX + "b") for r in t["building"].select("id").collect() for n in ("uuid", "iri")],
         "cityobject_id long, attrname string, strval string, urival string"))
     assert sorted(r["building_height"] for r in layer.collect()) == [5.0, 10.0]
-
-
-def test_hot_key_join_salted_equals_plain(spark):
-    from geoweave.session import hot_key_join
-
-    big = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.col("id").alias("v"))
-    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
-    plain = rows(big.join(small, ["k"]))
-    assert rows(hot_key_join(big, small, ["k"], "inner", max_broadcast_rows=0, buckets=7)) == plain
-    assert rows(hot_key_join(big, small, ["k"], "inner")) == plain
-    left = rows(hot_key_join(big, small.where("k = 0"), ["k"], "left", max_broadcast_rows=0, buckets=5))
-    assert len(left) == 2000 and sum(1 for r in left if r[2] is None) == len([r for r in plain if r[0] == 1])

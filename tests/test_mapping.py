@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import terms as T
 from geoweave.operators import mapping as M
-from geoweave.plans.kg import DOC_RULES
 from tests.conftest import rows
 
 BASE = "https://example.org/kg/"
@@ -45,13 +44,22 @@ def test_rule_document_basic(spark):  # FIXTURES §3: 4 triples per row
 
 
 def test_rule_document_conditions_and_functions(spark):  # T12
-    df = spark.createDataFrame([(51251, " Laim"), (96182, "Mia "), (219581, " Ch e e"), (335910, None)],
-                               "id int, name string")
-    q = M.map_rules(df, DOC_RULES)
-    labels = sorted(r["o"] for r in q.where(F.col("p") == T.RDFS + "label").collect())
-    assert labels == ["Chee", "Laim", "Mia"]
-    only = q.where(F.col("s").contains("335910"))
-    assert rows(only, "p", "o") == [(T.RDF_TYPE, BASE + "Person")]
+    present = {"function": "grel:boolean_not", "parameters": [["grel:bool_b", {"function": "idlab-fn:isNull", "parameters": [["idlab-fn:str", "$(town)"]]}]]}
+    tidy = {"function": "grel:string_replace", "parameters": [
+        ["grel:p_string_find", "/\\s+/"], ["grel:p_string_replace", ""],
+        ["grel:valueParameter", {"function": "grel:string_trim", "parameters": [["grel:valueParameter", "$(town)"]]}]]}
+    doc = {"prefixes": {"kg": BASE, "grel": M.GREL, "idlab-fn": M.IDLAB},
+           "mappings": {"stop": {"s": "kg:stop/$(id)", "po": [["a", "kg:Stop"], {"p": "kg:town", "o": tidy, "condition": present},
+                                                            ["kg:line", "$(id)", "xsd:integer"], ["kg:note", "open daily", "en~lang"],
+                                                            ["kg:state", "active"]]}}}
+    df = spark.createDataFrame([(1, " Bad  Ems"), (2, "Ulm "), (3, None)], "id int, town string")
+    q = M.map_rules(df, doc)
+    assert sorted(r["o"] for r in q.where(F.col("p") == BASE + "town").collect()) == ["BadEms", "Ulm"]
+    one = {r["p"]: r for r in q.where(F.col("s") == BASE + "stop/3").collect()}
+    assert set(one) == {T.RDF_TYPE, BASE + "line", BASE + "note", BASE + "state"}
+    assert (one[BASE + "line"].o, one[BASE + "line"].o_dtype) == ("3", T.XSD + "integer")
+    assert (one[BASE + "note"].o, one[BASE + "note"].o_lang) == ("open daily", "en")
+    assert (one[BASE + "state"].o, one[BASE + "state"].o_kind) == ("active", "literal")
 
 
 def test_merge_mappings_last_wins(spark):

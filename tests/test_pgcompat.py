@@ -56,8 +56,8 @@ def test_path_helpers(spark):  # X15
 
 
 def test_date_label_runs():  # T8
-    assert pg.template_runs("yyyymmdd") == [4, 2, 0]
-    assert pg.template_runs("yyyyddmmz") == [4, 2, 2]
+    assert pg.label_cuts("yyyymmdd") == [4, 6, 6]
+    assert pg.label_cuts("yyyyddmmz") == [4, 6, 8]
 
 
 def test_split_date_label(spark):  # X17
