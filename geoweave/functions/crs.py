@@ -1,17 +1,16 @@
 """Closed-form coordinate transforms (S12 / G12) as Column math.
 
-Supported: EPSG:4326 ⇄ 3857 (web Mercator), 4326 → 4978 (geocentric), 4326 →
-UTM north (326xx WGS84, 258xx ETRS89 ≈ WGS84), 4326 → 27700 (British National
+Supported: EPSG:4326 ⇄ 3857 (web Mercator), 4326 → 4978 (geocentric), 4326 ⇄
+UTM north (326xx WGS84, 258xx ETRS89 ≈ WGS84), 4326 ⇄ 27700 (British National
 Grid: 7-parameter Helmert to OSGB36, then transverse Mercator on Airy 1830;
-~metre accuracy).  Unknown codes raise.
+~metre accuracy), and any pair of these through 4326.  Unknown codes raise.
 
 A transform is a list of *stages*; each stage maps the named values of the
 previous one to new named values.  On Spark every stage is one ``transform``
 over a ring's vertices producing a struct, so an intermediate (latitude in the
 iterative datum inverse, ν/ρ in the projection series) is computed once and
 referenced by name — a single nested expression would duplicate it
-exponentially.  The same stage text renders to nested SQL sub-selects for the
-DuckDB oracle (``SqlMath``).
+exponentially.
 """
 
 from __future__ import annotations
@@ -41,38 +40,6 @@ class SparkMath:
     pi = math.pi
 
 
-class _S:
-    """SQL expression text with arithmetic operators (oracle side only)."""
-
-    def __init__(self, t):
-        self.t = t if isinstance(t, str) else repr(float(t))
-
-    def _b(self, o, op, rev=False):
-        o = o if isinstance(o, _S) else _S(o)
-        return _S(f"({o.t} {op} {self.t})" if rev else f"({self.t} {op} {o.t})")
-
-    def __add__(self, o): return self._b(o, "+")  # noqa: E704
-    def __radd__(self, o): return self._b(o, "+", True)  # noqa: E704
-    def __sub__(self, o): return self._b(o, "-")  # noqa: E704
-    def __rsub__(self, o): return self._b(o, "-", True)  # noqa: E704
-    def __mul__(self, o): return self._b(o, "*")  # noqa: E704
-    def __rmul__(self, o): return self._b(o, "*", True)  # noqa: E704
-    def __truediv__(self, o): return self._b(o, "/")  # noqa: E704
-    def __rtruediv__(self, o): return self._b(o, "/", True)  # noqa: E704
-    def __neg__(self): return _S(f"(-{self.t})")  # noqa: E704
-
-
-def _fn(name):
-    return lambda *a: _S(f"{name}(" + ", ".join((x if isinstance(x, _S) else _S(x)).t for x in a) + ")")
-
-
-class SqlMath:
-    sin, cos, tan, sqrt, atan, atan2, ln, exp, radians, degrees = (
-        _fn("sin"), _fn("cos"), _fn("tan"), _fn("sqrt"), _fn("atan"), _fn("atan2"), _fn("ln"), _fn("exp"),
-        _fn("radians"), _fn("degrees"))
-    pi = math.pi
-
-
 Stage = Callable[[Callable[[str], object], type], dict]
 
 
@@ -179,6 +146,56 @@ def _tm_stages(ell, k0, lat0, lon0, fe, fn) -> list[Stage]:
     return [s1, s2, s3]
 
 
+def _tm_inverse_stages(ell, k0, lat0, lon0, fe, fn, iterations: int = 6) -> list[Stage]:
+    """Easting / northing → (lon, lat): footpoint latitude by iteration on the meridian arc, then the inverse series."""
+    a, invf = ell
+    b = a * (1 - 1 / invf)
+    e2 = (a * a - b * b) / (a * a)
+    n = (a - b) / (a + b)
+    phi0 = math.radians(lat0)
+
+    def arc(phi, m):
+        dp, sp = phi - phi0, phi + phi0
+        return b * k0 * ((1 + n + 1.25 * n ** 2 + 1.25 * n ** 3) * dp - (3 * n + 3 * n ** 2 + 2.625 * n ** 3) * m.sin(dp) * m.cos(sp)
+                         + (1.875 * n ** 2 + 1.875 * n ** 3) * m.sin(2 * dp) * m.cos(2 * sp)
+                         - (35.0 / 24.0) * n ** 3 * m.sin(3 * dp) * m.cos(3 * sp))
+
+    def init(v, m):
+        return {"north": v("y") - fn, "east": v("x") - fe, "phi": (v("y") - fn) / (a * k0) + phi0, "z": v("z")}
+
+    def step(v, m):
+        return {"north": v("north"), "east": v("east"), "phi": v("phi") + (v("north") - arc(v("phi"), m)) / (a * k0), "z": v("z")}
+
+    def local(v, m):
+        s, t = m.sin(v("phi")), m.tan(v("phi"))
+        w = 1 - e2 * s * s
+        return {"phi": v("phi"), "d": v("east"), "t": t, "sec": 1 / m.cos(v("phi")), "nu": a * k0 / m.sqrt(w),
+                "rho": a * k0 * (1 - e2) / (w * m.sqrt(w)), "z": v("z")}
+
+    def scaled(v, m):
+        u = v("d") / v("nu")
+        return {"phi": v("phi"), "t": v("t"), "t2": v("t") * v("t"), "sec": v("sec"), "u": u, "u2": u * u,
+                "ratio": v("nu") / v("rho"), "z": v("z")}
+
+    def done(v, m):
+        t2, u2, q = v("t2"), v("u2"), v("ratio")
+        eta2 = q - 1
+        north = v("t") * q * u2 / 2 * (1 - u2 / 12 * (5 + 3 * t2 + eta2 - 9 * t2 * eta2) + u2 * u2 / 360 * (61 + 90 * t2 + 45 * t2 * t2))
+        east = v("sec") * v("u") * (1 - u2 / 6 * (q + 2 * t2) + u2 * u2 / 120 * (5 + 28 * t2 + 24 * t2 * t2)
+                                    - u2 * u2 * u2 / 5040 * (61 + 662 * t2 + 1320 * t2 * t2 + 720 * t2 * t2 * t2))
+        return {"x": lon0 + m.degrees(east), "y": m.degrees(v("phi") - north), "z": v("z")}
+
+    return [init] + [step] * iterations + [local, scaled, done]
+
+
+def _utm(code: int) -> tuple | None:
+    """Ellipsoid and projection parameters of a northern UTM code (326xx WGS84, 258xx ETRS89), else None."""
+    if 32601 <= code <= 32660 or 25828 <= code <= 25838:
+        zone = code - 32600 if code > 32600 else code - 25800
+        return WGS84 if code > 32600 else GRS80, 0.9996, 0.0, -183.0 + 6 * zone, 500000.0, 0.0
+    return None
+
+
 def _keep_z(stage: Stage) -> Stage:
     """Carry the original z (as ``z0``) through stages that reuse ``z`` for geocentric values."""
     def st(v, m):
@@ -194,18 +211,25 @@ def stages(src: int, dst: int) -> list[Stage]:
         return []
     if src == 3857:
         return [_merc_inv] + stages(4326, dst)
+    def lift(v, m):
+        return {"x": v("x"), "y": v("y"), "z": 0.0 * v("x"), "z0": v("z")}
+
+    if src == 27700:
+        ecef = [_keep_z(s) for s in _ecef_stages(AIRY1830)]
+        geo = [_keep_z(s) for s in _geodetic_stages(WGS84)]
+        back = _keep_z(_helmert_stage(tuple(-p for p in HELMERT_WGS84_OSGB36)))
+        return [*_tm_inverse_stages(AIRY1830, **BNG), lift, *ecef, back, *geo, *stages(4326, dst)]
+    if _utm(src):
+        return _tm_inverse_stages(*_utm(src)) + stages(4326, dst)
     if src != 4326:
         raise ValueError(f"unsupported source CRS EPSG:{src}")
     if dst == 3857:
         return [_merc_fwd]
     if dst == 4978:
         return _ecef_stages(WGS84)
-    if 32601 <= dst <= 32660 or 25828 <= dst <= 25838:
-        zone = dst - 32600 if dst > 32600 else dst - 25800
-        return _tm_stages(WGS84 if dst > 32600 else GRS80, 0.9996, 0.0, -183.0 + 6 * zone, 500000.0, 0.0)
+    if _utm(dst):
+        return _tm_stages(*_utm(dst))
     if dst == 27700:
-        def lift(v, m):
-            return {"x": v("x"), "y": v("y"), "z": 0.0 * v("x"), "z0": v("z")}
         ecef = [_keep_z(s) for s in _ecef_stages(WGS84)]
         geo = [_keep_z(s) for s in _geodetic_stages(AIRY1830)]
         return [lift, *ecef, _keep_z(_helmert_stage(HELMERT_WGS84_OSGB36)), *geo, *_tm_stages(AIRY1830, **BNG)]
@@ -242,28 +266,13 @@ def st_transform(geom, dst: int, src: int) -> Column:
 
 def reproject_df(df, geom_col: str, dst: int, src: int | None = None):
     """S12 at DataFrame level: with ``src`` it is the label form (T16); otherwise the distinct
-    SRIDs present are read (a tiny aggregate) and one branch per SRID is unioned."""
-    from functools import reduce
-
+    SRIDs present are read (one row per CRS) and every row takes its own SRID's branch in a single scan."""
     if src is not None:
         return df.withColumn(geom_col, st_transform(F.col(geom_col), dst, src))
     srids = [r[0] for r in df.select(F.col(geom_col)["srid"]).distinct().collect()]
     if None in srids:
         raise ValueError("geometries without SRID: give src")
-    parts = [df.where(F.col(geom_col)["srid"] == s).withColumn(geom_col, st_transform(geom_col, dst, s)) for s in srids]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-# --- oracle side ---------------------------------------------------------------------------------
-
-def sql_transform(base_sql: str, keys: list[str], x: str, y: str, src: int, dst: int, z: str = "0.0") -> str:
-    """DuckDB SQL: ``keys`` + transformed ``x, y, z`` of ``base_sql`` rows, one sub-select per stage."""
-    k = ", ".join(keys)
-    sql = f"SELECT {k}, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({z} AS DOUBLE) AS z, CAST({z} AS DOUBLE) AS z0 FROM ({base_sql})"
-    for st in stages(src, dst):
-        out = st(lambda n: _S(n), SqlMath)
-        if "z0" not in out:
-            out["z0"] = _S("z0")
-        cols = ", ".join(f"{(e if isinstance(e, _S) else _S(e)).t} AS {name}" for name, e in out.items())
-        sql = f"SELECT {k}, {cols} FROM ({sql})"
-    return sql
+    out = F.col(geom_col)
+    for s in sorted(srids):
+        out = F.when(F.col(geom_col)["srid"] == s, st_transform(geom_col, dst, s)).otherwise(out)
+    return df.withColumn(geom_col, out)

@@ -99,9 +99,11 @@ def st_ymax(geom) -> Column:
 
 
 def st_envelope(geom) -> Column:
-    """Bounding-box POLYGON (index / footprint geometry)."""
+    """Bounding-box POLYGON; in 3D its southern corners carry the lowest and its northern ones the highest z."""
     g = as_col(geom)
-    return box(st_xmin(g), st_ymin(g), st_xmax(g), st_ymax(g), srid=g["srid"])
+    x0, y0, x1, y1, z0, z1 = st_xmin(g), st_ymin(g), st_xmax(g), st_ymax(g), st_zmin(g), st_zmax(g)
+    ring = F.array(vertex(x0, y0, z0), vertex(x1, y0, z0), vertex(x1, y1, z1), vertex(x0, y1, z1), vertex(x0, y0, z0))
+    return make_geom("POLYGON", F.array(F.array(ring)), g["srid"])
 
 
 def st_npoints(geom) -> Column:

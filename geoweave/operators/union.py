@@ -1,250 +1,184 @@
-"""``ST_Union`` aggregate for edge-matched polygon coverages.
-
-Plan (distributed except the last step):
-
-1. every ring is oriented (shells CCW, holes CW) and cut into directed edges whose
-   end points are snapped to a 1e-8 grid (as the reference's ``ST_Union(g, 1e-8)``);
-2. ``groupBy(group, undirected edge)`` records whether the edge occurs forwards
-   and/or backwards: an edge shared by two neighbouring faces occurs both ways
-   and cancels; identical duplicate faces (trap T7) repeat directed edges, which
-   therefore count once;
-3. the surviving boundary edges of a group — its outline only, not its input —
-   are chained into rings with ``applyInPandas`` (the one step with no
-   declarative form); collinear vertices are merged;
-4. rings are re-assembled into a MULTIPOLYGON with Spark aggregates.
-
-Inputs that overlap or whose neighbours do not share exact edges (T-junctions)
-are outside this exact method.  ``overlap_edges`` counts directed edges seen
-more than once in a group (duplicate or overlapping faces) as a diagnostic;
-exact duplicates do not change the result.
+"""``ST_Union`` aggregate for polygons in any position: overlapping, nested, touching, with T-junctions.
+
+The faces of one group (one feature's surfaces) are collected as distinct parts and overlaid in one vectorised step:
+
+1. coordinates are snapped to a 1e-8 grid (as ``ST_Union(g, 1e-8)`` does) relative to the group's corner;
+2. edges are split at crossings and at vertices that lie on them; equal pieces count once;
+3. a piece bounds the union if exactly one of its sides is covered; a side is covered if some face holds a point
+   beside the piece's middle by the even-odd rule, so the orientation of rings does not matter and
+   a self-crossing ring covers its lobes;
+4. boundary pieces, interior on their left, are chained clockwise at shared vertices, so faces that touch in a
+   point stay separate rings; collinear vertices go, and each hole joins the shell around it.
+
+A boundary that does not close, or a hole without a shell, raises; nothing is dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions import geom as G
-from geoweave.session import cut_lineage
 
 GRID = 1e8  # 1 / 1e-8
-
-
-def _edges(df: DataFrame, key: str, geom_col: str) -> DataFrame:
-    """Directed boundary edges of every ring, shells oriented CCW and holes CW, snapped to the grid."""
-    g = F.col(geom_col)
-    parts = df.select(key, F.explode(g["parts"]).alias("part"))
-    rings = parts.select(key, F.posexplode("part").alias("ring_no", "ring"))
-    closed = F.when(F.col("ring")[0] == F.element_at("ring", -1), F.col("ring")).otherwise(
-        F.concat("ring", F.array(F.col("ring")[0])))
-    rings = rings.select(key, "ring_no", closed.alias("ring"))
-    sa = G.ring_signed_area(F.col("ring"))
-    flip = ((F.col("ring_no") == 0) & (sa < 0)) | ((F.col("ring_no") > 0) & (sa > 0))
-    seg = rings.select(key, flip.alias("flip"), F.explode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1),
-                                                                       F.slice("ring", 2, F.size("ring")))).alias("e"))
-    snap = lambda c: F.round(c * GRID).cast("bigint")
-    p0x, p0y = snap(F.col("e")["0"]["x"]), snap(F.col("e")["0"]["y"])
-    p1x, p1y = snap(F.col("e")["1"]["x"]), snap(F.col("e")["1"]["y"])
-    e = seg.select(key, F.when(F.col("flip"), p1x).otherwise(p0x).alias("ax"), F.when(F.col("flip"), p1y).otherwise(p0y).alias("ay"),
-                   F.when(F.col("flip"), p0x).otherwise(p1x).alias("bx"), F.when(F.col("flip"), p0y).otherwise(p1y).alias("by"))
-    e = e.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
-    fwd = F.struct("ax", "ay") < F.struct("bx", "by")
-    return e.select(
-        key,
-        F.when(fwd, F.col("ax")).otherwise(F.col("bx")).alias("ux"), F.when(fwd, F.col("ay")).otherwise(F.col("by")).alias("uy"),
-        F.when(fwd, F.col("bx")).otherwise(F.col("ax")).alias("vx"), F.when(fwd, F.col("by")).otherwise(F.col("ay")).alias("vy"),
-        F.when(fwd, F.lit(1)).otherwise(F.lit(-1)).alias("d"))
-
-
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain one group's directed boundary edges into closed rings (integer grid coordinates)."""
-    key = pdf["_k"].iloc[0]
-    nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for ax, ay, bx, by in zip(pdf["ax"].to_numpy(), pdf["ay"].to_numpy(), pdf["bx"].to_numpy(), pdf["by"].to_numpy()):
-        nxt.setdefault((int(ax), int(ay)), []).append((int(bx), int(by)))
-    rows = []
-    ring_no = 0
-    for start in sorted(nxt):
-        while nxt.get(start):
-            ring = [start]
-            cur = start
-            while True:
-                outs = nxt.get(cur)
-                if not outs:
-                    break
-                cur = outs.pop()
-                ring.append(cur)
-                if cur == start:
-                    break
-            if len(ring) < 4 or ring[-1] != ring[0]:
-                continue
-            pts = ring[:-1]
-            # merge collinear vertices (exact on the integer grid)
-            changed = True
-            while changed and len(pts) > 3:
-                changed = False
-                for i in range(len(pts)):
-                    a, b, c = pts[i - 1], pts[i], pts[(i + 1) % len(pts)]
-                    if (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) == 0:
-                        pts.pop(i)
-                        changed = True
-                        break
-            i0 = min(range(len(pts)), key=lambda i: pts[i])  # canonical start: smallest vertex
-            pts = pts[i0:] + pts[:i0] + [pts[i0]]
-            xs = np.array([p[0] for p in pts], dtype=np.float64) / GRID
-            ys = np.array([p[1] for p in pts], dtype=np.float64) / GRID
-            area2 = float(np.dot(xs[:-1], ys[1:]) - np.dot(xs[1:], ys[:-1]))
-            rows.append((key, ring_no, area2 / 2.0, xs.tolist(), ys.tolist()))
-            ring_no += 1
-    return pd.DataFrame(rows, columns=["_k", "ring_no", "signed_area", "xs", "ys"])
-
-
-def _inside(px: float, py: float, xs: list[float], ys: list[float]) -> bool:
-    inside = False
-    n = len(xs) - 1
-    for i in range(n):
-        x1, y1, x2, y2 = xs[i], ys[i], xs[i + 1], ys[i + 1]
-        if (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1:
-            inside = not inside
-    return inside
-
-
-def _assign_holes(rings: list[tuple[int, float, list[float], list[float]]]) -> list[tuple[int, int, list, list]]:
-    """Shells (area > 0) become parts; each hole goes to the smallest shell containing it."""
-    shells = sorted((r for r in rings if r[1] > 0), key=lambda r: r[0])
-    holes = [r for r in rings if r[1] < 0]
-    out = [(part, 0, s[2], s[3]) for part, s in enumerate(shells)]
-    next_ring = [1] * len(shells)
-    for h in holes:
-        best = None
-        for part, s in enumerate(shells):
-            if _inside(h[2][0], h[3][0], s[2], s[3]) and (best is None or s[1] < shells[best][1]):
-                best = part
-        if best is not None:
-            out.append((best, next_ring[best], h[2], h[3]))
-            next_ring[best] += 1
-    return out
-
-
-def _outline_rows(key, g: pd.DataFrame) -> list[tuple]:
-    """One group: chain boundary edges into rings, attach holes, count overlap edges."""
-    net = g["net"].to_numpy()
-    overlap = int(g["_ov"].iloc[0]) if "_ov" in g.columns else int((np.abs(net) > 1).sum())
-    fwd = net > 0
-    ux, uy, vx, vy = (g[c].to_numpy() for c in ("ux", "uy", "vx", "vy"))
-    edges = pd.DataFrame({"_k": key, "ax": np.where(fwd, ux, vx), "ay": np.where(fwd, uy, vy),
-                          "bx": np.where(fwd, vx, ux), "by": np.where(fwd, vy, uy)})
-    rings = _chain(edges)
-    placed = _assign_holes(list(zip(rings["ring_no"], rings["signed_area"], rings["xs"], rings["ys"])))
-    return [(key, p, r, xs, ys, overlap) for p, r, xs, ys in placed]
-
-
-OUTLINE_COLS = ["_k", "part", "ring", "xs", "ys", "overlap_edges"]
-
-
-def _outline_batches(batches):
-    """``mapInPandas`` over partitions sorted by key: groups may straddle Arrow batches, so the
-    last (possibly incomplete) group of a batch is carried into the next one."""
-    carry = None
-    for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        last = pdf["_k"].iloc[-1]
-        is_last = (pdf["_k"] == last).to_numpy()
-        carry, done = pdf[is_last], pdf[~is_last]
-        rows = [r for k, g in done.groupby("_k", sort=False) for r in _outline_rows(k, g)]
-        yield pd.DataFrame(rows, columns=OUTLINE_COLS)
-    if carry is not None and len(carry):
-        rows = [r for k, g in carry.groupby("_k", sort=False) for r in _outline_rows(k, g)]
-        yield pd.DataFrame(rows, columns=OUTLINE_COLS)
-
-
-SIMPLE_RING_LIMIT = 4096  # outlines longer than this are chained in pandas (the JVM trace is quadratic in length)
-
-
-def _jvm_single_ring(g: DataFrame, key: str, srid: int | None) -> tuple[DataFrame, DataFrame]:
-    """Groups whose outline is one simple ring, traced JVM-side; returns (done, rest).
-
-    With out-degree 1 the outline is a successor map; walking it ``n`` steps from
-    the smallest vertex must visit ``n`` distinct vertices and return to the start.
-    Anything else (several rings, touching rings, open chains) goes to ``rest``.
-    """
-    starts = F.transform("es", lambda e: e["a"])
-    n = F.size("es")
-    simple = (F.size(F.array_distinct(starts)) == n) & (n <= SIMPLE_RING_LIMIT) & (n >= 3)
-    cand = g.where(simple).withColumn("_m", F.map_from_arrays(starts, F.transform("es", lambda e: e["b"])))
-    first = F.array_min(F.map_keys("_m"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.size("es")), F.struct(first.alias("cur"), F.array(first).alias("pts")),
-                       lambda acc, i: F.struct(F.col("_m")[acc["cur"]].alias("cur"),
-                                               F.concat(acc["pts"], F.array(F.col("_m")[acc["cur"]])).alias("pts")))
-    traced = cand.withColumn("_pts", walk["pts"])
-    ok = ((F.element_at("_pts", -1) == F.element_at("_pts", 1))
-          & (F.size(F.array_distinct(F.slice("_pts", 1, F.size("es")))) == F.size("es")))
-    traced = traced.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    rest = g.where(~simple).unionByName(traced.where(~F.col("_ok")).select(*g.columns))
-    done = traced.where("_ok")
-    # drop collinear vertices (exact: differences as DECIMAL(38,0)), keep ring closed, start at the smallest vertex
-    pts = F.slice("_pts", 1, F.size("es"))
-    k = F.size(pts)
-    d = lambda c: c.cast("decimal(20,0)")
-    prev = lambda i: F.element_at(pts, F.when(i == 1, k).otherwise(i - 1))
-    nxt = lambda i: F.element_at(pts, F.when(i == k, F.lit(1)).otherwise(i + 1))
-    cross = lambda i: ((d(F.element_at(pts, i)["x"]) - d(prev(i)["x"])) * (d(nxt(i)["y"]) - d(F.element_at(pts, i)["y"]))
-                       - (d(F.element_at(pts, i)["y"]) - d(prev(i)["y"])) * (d(nxt(i)["x"]) - d(F.element_at(pts, i)["x"])))
-    kept = F.transform(F.filter(F.sequence(F.lit(1), k), lambda i: cross(i) != 0), lambda i: F.element_at(pts, i))
-    done = done.withColumn("_kept", kept)
-    lo = F.array_position("_kept", F.array_min("_kept"))
-    rot = F.concat(F.slice("_kept", lo, F.size("_kept")), F.slice("_kept", 1, lo - 1))
-    ring = F.transform(F.concat(rot, F.slice(rot, 1, 1)),
-                       lambda p: G.vertex(p["x"].cast("double") / GRID, p["y"].cast("double") / GRID))
-    out = done.select(F.col(key), G.make_geom("MULTIPOLYGON", F.array(F.array(ring)), srid).alias("_geom"),
-                      F.col("overlap_edges").cast("long").alias("overlap_edges"))
-    return out, rest
+#: Grid steps within which a vertex lies on an edge, and from an edge's middle to the points beside it.
+NEAR, BESIDE = 1.5, 8.0
+
+
+def _covers(points: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """In how many polygons each point lies; the polygons' edges ``a -> b`` start at the indices ``first``."""
+    x, y = points[:, :1], points[:, 1:]
+    spans = (a[:, 1] > y) != (b[:, 1] > y)
+    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
+    hit = spans & (x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / rise + a[:, 0])
+    return (np.add.reduceat(hit.astype(np.int32), first, axis=1) % 2).sum(axis=1)
+
+
+def _pieces(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct undirected pieces of the edges, split at crossings and at vertices on them."""
+    d = b - a
+    length = np.hypot(d[:, 0], d[:, 1])
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    cuts: list[list[tuple[float, float, float]]] = [[(0.0, *p), (1.0, *q)] for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+    vertices = np.unique(a, axis=0)
+    rel = vertices[None] - a[:, None]
+    along = (rel * d[:, None]).sum(-1) / (length ** 2)[:, None]
+    on = (np.abs(cross(rel, d[:, None])) <= NEAR * length[:, None]) & (along * length[:, None] > NEAR) & ((1 - along) * length[:, None] > NEAR)
+    for i, k in zip(*np.nonzero(on), strict=True):
+        cuts[i].append((float(along[i, k]), *vertices[k].tolist()))
+    i, j = np.triu_indices(len(a), 1)
+    det = cross(d[i], d[j])
+    gap = a[j] - a[i]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = cross(gap, d[j]) / det, cross(gap, d[i]) / det
+    inner = lambda s, k: (s * length[k] > NEAR) & ((1 - s) * length[k] > NEAR)
+    apart = np.abs(det) > NEAR * np.maximum(length[i], length[j])
+    for x, y, s, w in ((i[k], j[k], t[k], u[k]) for k in np.flatnonzero(apart & inner(t, i) & inner(u, j))):
+        p = np.round(a[x] + s * d[x]).tolist()
+        cuts[x].append((float(s), *p))
+        cuts[y].append((float(w), *p))
+    found = set()
+    for own in cuts:
+        own.sort()
+        for (_, *p), (_, *q) in zip(own, own[1:], strict=False):
+            if p != q:
+                found.add((*min(p, q), *max(p, q)))
+    flat = np.array(sorted(found))
+    return flat[:, :2], flat[:, 2:]
+
+
+def _rings(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """Closed rings of directed pieces; at a shared vertex the next piece is the first one clockwise from the way back."""
+    start, out = [tuple(x) for x in p.tolist()], {}
+    end = [tuple(x) for x in q.tolist()]
+    angle = np.arctan2(q[:, 1] - p[:, 1], q[:, 0] - p[:, 0])
+    for k, v in enumerate(start):
+        out.setdefault(v, []).append(k)
+    left, rings = set(range(len(start))), []
+    while left:
+        first = k = min(left)
+        ring = []
+        while True:
+            left.discard(k)
+            ring.append(start[k])
+            back = angle[k] + np.pi
+            ways = [n for n in out.get(end[k], ()) if n in left or n == first]
+            if not ways:
+                raise ValueError(f"the boundary does not close at {end[k]}")
+            k = min(ways, key=lambda n: ((back - angle[n]) % (2 * np.pi)) or 2 * np.pi)
+            if k == first:
+                break
+        rings.append(np.array(ring))
+    return rings
+
+
+def _plain(ring: np.ndarray) -> np.ndarray:
+    """Ring without collinear vertices, closed, from its smallest vertex on."""
+    while len(ring) > 3:
+        before, after = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
+        turn = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0])
+        flat = turn <= NEAR * np.maximum(np.hypot(*before.T), np.hypot(*after.T))
+        flat &= ~np.roll(flat, 1) | (np.arange(len(flat)) % 2 == 0)  # of two flat neighbours one goes at a time
+        if not flat.any():
+            break
+        ring = ring[~flat]
+    k = min(range(len(ring)), key=lambda i: tuple(ring[i]))
+    return np.vstack([ring[k:], ring[: k + 1]])
+
+
+def overlay(parts: list[list[list[tuple[float, float]]]]) -> tuple[list[list[np.ndarray]], int]:
+    """Union of polygons (each a list of rings of (x, y)) as parts of rings, shell first; and the number of edge
+    pieces beside which two faces overlap."""
+    rings, first, n = [], [], 0
+    for part in parts:
+        mine = []
+        for ring in part:
+            r = np.round(np.array([v for v in ring if None not in v], float).reshape(-1, 2) * GRID)
+            r = r[np.append(True, (r[1:] != r[:-1]).any(1))] if len(r) else r
+            r = r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r
+            if len(r) >= 3:
+                mine.append(r)
+        if mine:
+            first.append(n)
+            n += sum(map(len, mine))
+            rings += mine
+    if not rings:
+        return [], 0
+    corner = np.min([r.min(0) for r in rings], axis=0)
+    rings = [r - corner for r in rings]
+    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, 0) for r in rings])
+    p, q = _pieces(a, b)
+    d = q - p
+    side = np.stack([-d[:, 1], d[:, 0]], 1) / np.hypot(d[:, 0], d[:, 1])[:, None] * BESIDE
+    middle = (p + q) / 2
+    starts = np.array(first)
+    faces = _covers(np.concatenate([middle + side, middle - side]), a, b, starts)
+    left, right = faces[: len(p)] > 0, faces[len(p):] > 0
+    overlap = int((np.maximum(faces[: len(p)], faces[len(p):]) > 1).sum())
+    rim = left != right
+    if not rim.any():
+        return [], 0
+    p, q, turn = p[rim], q[rim], right[rim][:, None]
+    found = [_plain(r) for r in _rings(np.where(turn, q, p), np.where(turn, p, q))]
+    area = [float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) for r in found]
+    shells = sorted((k for k in range(len(found)) if area[k] > 0), key=lambda k: tuple(found[k][0]))
+    out = {k: [found[k]] for k in shells}
+    for h in sorted((k for k in range(len(found)) if area[k] < 0), key=lambda k: tuple(found[k][0])):
+        r = found[h]
+        d = r[1] - r[0]
+        beside = (r[0] + r[1]) / 2 + np.array([-d[1], d[0]]) / np.hypot(*d) * BESIDE
+        around = [k for k in shells if _covers(beside[None], found[k][:-1], found[k][1:], np.array([0]))[0]]
+        if not around:
+            raise ValueError(f"the hole at {tuple(r[0] + corner)} has no shell")
+        out[min(around, key=lambda k: area[k])].append(r)
+    return [[(r + corner) / GRID for r in part] for part in out.values()], overlap
 
 
 def union_agg(df: DataFrame, key: str, geom_col: str = "geom", srid: int | None = None) -> DataFrame:
     """Union of the polygons of each ``key`` group → ``(key, geom MULTIPOLYGON, overlap_edges)``.
 
-    Edge cancellation is a partial aggregation; each group's surviving outline
-    (bounded by the group's boundary, not its input) is then traced JVM-side when
-    it is one simple ring, and chained with pandas (``mapInPandas`` over
-    key-sorted partitions, one Python call per Arrow batch) otherwise.
+    ``key`` is a feature and its rows its faces; repeated faces combine map-side.  Groups whose faces enclose no area have no row.
+    ``overlap_edges`` counts edge pieces beside which two different faces overlap (0 for a clean coverage).
     """
-    edges = _edges(df, key, geom_col)
-    # per undirected edge: present forwards / backwards (a duplicated face repeats its directed edges and must
-    # not count twice, trap T7); repeated directed edges are reported as overlap_edges
-    fw, bw = F.max(F.when(F.col("d") == 1, 1).otherwise(0)), F.max(F.when(F.col("d") == -1, 1).otherwise(0))
-    net = edges.groupBy(key, "ux", "uy", "vx", "vy").agg((fw - bw).alias("net"),
-                                                         (F.count(F.lit(1)) - fw - bw).alias("rep"))
-    fwd = F.col("net") > 0
-    a = F.struct(F.when(fwd, F.col("ux")).otherwise(F.col("vx")).alias("x"), F.when(fwd, F.col("uy")).otherwise(F.col("vy")).alias("y"))
-    b = F.struct(F.when(fwd, F.col("vx")).otherwise(F.col("ux")).alias("x"), F.when(fwd, F.col("vy")).otherwise(F.col("uy")).alias("y"))
-    grouped = net.groupBy(key).agg(
-        F.collect_list(F.when(F.col("net") != 0, F.struct(a.alias("a"), b.alias("b"), F.col("net")))).alias("es"),
-        F.count(F.when(F.col("rep") > 0, F.lit(1))).alias("overlap_edges")).where(F.size("es") > 0)
-    # the outline table (one row per group, bounded by its boundary) feeds two branches: materialise it once
-    grouped = cut_lineage(grouped)
-    done, rest = _jvm_single_ring(grouped, key, srid)
-    if rest.isEmpty():  # every outline was one simple ring: no Python step at all
-        return done.withColumnRenamed("_geom", geom_col)
-    # remaining groups: back to edge rows, chained in pandas
-    rest_edges = rest.select(F.col(key).alias("_k"), F.col("overlap_edges").alias("_ov"), F.explode("es").alias("e")).select(
-        "_k", F.col("e.a.x").alias("ux"), F.col("e.a.y").alias("uy"), F.col("e.b.x").alias("vx"), F.col("e.b.y").alias("vy"),
-        F.abs(F.col("e.net")).alias("net"), "_ov")
-    ktype = df.schema[key].dataType.simpleString()
-    keyed = rest_edges.repartition("_k").sortWithinPartitions("_k")
-    outline = keyed.mapInPandas(
-        _outline_batches, f"_k {ktype}, part int, ring int, xs array<double>, ys array<double>, overlap_edges int")
-    verts = F.transform(F.arrays_zip("xs", "ys"), lambda p: G.vertex(p["xs"], p["ys"]))
-    rings = outline.groupBy("_k").agg(
-        F.array_sort(F.collect_list(F.struct("part", "ring", verts.alias("v")))).alias("rs"),
-        F.max("overlap_edges").alias("overlap_edges"))
-    parts = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("rs", lambda r: r["part"]))),
-                        lambda p: F.transform(F.filter("rs", lambda r: r["part"] == p), lambda r: r["v"]))
-    complex_ = rings.select(F.col("_k").alias(key), G.make_geom("MULTIPOLYGON", parts, srid).alias("_geom"),
-                            F.col("overlap_edges").cast("long").alias("overlap_edges"))
-    return done.unionByName(complex_).withColumnRenamed("_geom", geom_col)
+    flat = lambda part: F.transform(part, lambda ring: F.transform(ring, lambda v: F.array(v["x"], v["y"])))
+    faces = df.select(F.col(key).alias("_k"), F.explode(F.col(geom_col)["parts"]).alias("part"))
+    grouped = faces.groupBy("_k").agg(F.array_sort(F.collect_set(flat(F.col("part")))).alias("parts"))
+    shape = "array<array<array<array<double>>>>"
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [overlay(parts) for parts in batch.column(1).to_pylist()]
+            keep = [k for k, (parts, _) in enumerate(rows) if parts]
+            nested = pa.array([[[r.tolist() for r in part] for part in rows[k][0]] for k in keep],
+                              pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), nested,
+                                              pa.array([rows[k][1] for k in keep], pa.int64())], ["_k", "parts", "overlap_edges"])
+
+    done = grouped.mapInArrow(run, f"_k {kind}, parts {shape}, overlap_edges long")
+    rings = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda v: G.vertex(v[0], v[1]))))
+    return done.select(F.col("_k").alias(key), G.make_geom("MULTIPOLYGON", rings, srid).alias(geom_col), "overlap_edges")

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import crs, geom as G
 from geoweave.operators import city as C
+from geoweave.operators.union import union_agg
 from geoweave.plans.registry import query
 from geoweave.plans.relational import UUID_SQL
+from geoweave.plans.sqlmath import sql_transform
 from geoweave.plans.tables import read
 
 EX_CITY = "https://example.org/city/"
@@ -288,7 +290,7 @@ SUP_LAT = "(s_suppkey % 170) - 84.75"
 
 
 def _crs_sql(table: str, key: str, lon: str, lat: str, dst: int, names=("x", "y"), z: bool = False) -> str:
-    inner = crs.sql_transform(f"SELECT {key}, {lon} AS lon, {lat} AS lat FROM {table}", [key], "lon", "lat", 4326, dst)
+    inner = sql_transform(f"SELECT {key}, {lon} AS lon, {lat} AS lat FROM {table}", [key], "lon", "lat", 4326, dst)
     cols = f"round(x, 3) AS {names[0]}, round(y, 3) AS {names[1]}" + (", round(z, 3) AS z" if z else "")
     return f"SELECT {key}, {cols} FROM ({inner})"
 
@@ -301,7 +303,10 @@ def _crs_point(df: DataFrame, key: str, lon, lat, dst: int, names=("x", "y"), z:
     return df.select(key, *cols)
 
 
-@query("reproject_mercator", _crs_sql("supplier", "s_suppkey", SUP_LON, SUP_LAT, 3857))
+@query("reproject_mercator", f"""
+SELECT s_suppkey, round(6378137.0 * radians({SUP_LON}), 3) AS x,
+       round(6378137.0 * ln(tan(pi() / 4 + radians({SUP_LAT}) / 2)), 3) AS y FROM supplier
+""")
 def reproject_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EPSG:4326 → 3857 on every vertex."""
     k = F.col("s_suppkey")
@@ -312,7 +317,11 @@ CUS_LON = "(c_custkey % 360) - 179.5"
 CUS_LAT = "(c_custkey % 170) - 84.75"
 
 
-@query("geocentric", _crs_sql("customer", "c_custkey", CUS_LON, CUS_LAT, 4978, z=True))
+@query("geocentric", f"""
+WITH p AS (SELECT c_custkey, radians({CUS_LON}) AS l, radians({CUS_LAT}) AS f, 0.0066943799901413165 AS e2 FROM customer),
+n AS (SELECT *, 6378137.0 / sqrt(1 - e2 * sin(f) ** 2) AS n FROM p)
+SELECT c_custkey, round(n * cos(f) * cos(l), 3) AS x, round(n * cos(f) * sin(l), 3) AS y, round(n * (1 - e2) * sin(f), 3) AS z FROM n
+""")
 def geocentric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EPSG:4326 → 4978 (earth-centred XYZ, the 3D-tiles frame)."""
     k = F.col("c_custkey")
@@ -398,3 +407,39 @@ def city_triples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Building object-tree attributes of the stand-in city tables as triples."""
     t = city_tables(spark, sf_dir)
     return C.city_triples(t["building"], t["cityobject"], EX_CITY)
+
+
+@query("union_overlaps", """
+WITH p AS (SELECT p_partkey AS k, p_size % 7 + 2 AS w, p_size % 5 + 2 AS h FROM part)
+SELECT k, CAST(w * 4 + 4 * h - least(w, 4) * least(h, 4) + 6 AS DOUBLE) AS area, 1 AS n_parts, 0 AS n_holes FROM p
+""")
+def union_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 on shapes that overlap (two bars in an L), touch along part of an edge (T-junction) and lie inside each other."""
+    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    w, h, z = (F.col("p_size") % 7 + 2).cast("double"), (F.col("p_size") % 5 + 2).cast("double"), F.lit(0.0)
+    faces = F.array(G.box(z, z, w, F.lit(4.0)), G.box(z, z, F.lit(4.0), h), G.box(F.lit(-2.0), F.lit(0.5), z, F.lit(3.5)),
+                    G.box(F.lit(0.25), F.lit(0.25), F.lit(0.75), F.lit(0.75)))
+    u = union_agg(p.select(F.col("p_partkey").alias("k"), F.explode(faces).alias("geom")), "k")
+    rings = F.aggregate(F.transform(F.col("geom")["parts"], F.size), F.lit(0), lambda a, b: a + b)
+    n = F.size(F.col("geom")["parts"])
+    return u.select("k", F.round(G.st_area("geom"), 6).alias("area"), n.alias("n_parts"), (rings - n).alias("n_holes"))
+
+
+def _there_and_back(df: DataFrame, key: str, lon, lat, code: int) -> DataFrame:
+    away = crs.st_transform(G.point(lon, lat, srid=4326), code, 4326)
+    v = crs.st_transform(away, 4326, code)["parts"][0][0][0]
+    return df.select(key, F.round(v["x"], 5).alias("lon"), F.round(v["y"], 5).alias("lat"))
+
+
+@query("reproject_bng_back", f"SELECT c_custkey, round({BNG_LON}, 5) AS lon, round({BNG_LAT}, 5) AS lat FROM customer")
+def reproject_bng_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WGS84 → British National Grid → WGS84; the oracle is the coordinates one began with."""
+    k = F.col("c_custkey")
+    return _there_and_back(read(spark, sf_dir, "customer", "c_custkey"), "c_custkey", -7.0 + (k % 80) / 10.0, 50.0 + (k % 90) / 10.0, 27700)
+
+
+@query("reproject_utm_back", f"SELECT s_suppkey, round({UTM_LON}, 5) AS lon, round({UTM_LAT}, 5) AS lat FROM supplier")
+def reproject_utm_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geographic → UTM zone 32N → geographic."""
+    k = F.col("s_suppkey")
+    return _there_and_back(read(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", 6.0 + (k % 60) / 10.0, 45.0 + (k % 100) / 10.0, 25832)

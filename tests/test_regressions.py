@@ -103,3 +103,63 @@ def test_style_rules_read_features_once(spark):
     rules = spark.createDataFrame([("u", "a", "red"), ("v", "b", "blue"), ("id", "3", "grey"), ("none", "a", "x")], "property string, value string, colour string")
     assert rows(styles.apply_style_rules(df, rules), "id", "rule_property", "colour") == [(1, "u", "red"), (1, "v", "blue"), (2, "v", "blue"), (3, "id", "grey")]
     assert styles.apply_style_rules(df, rules, exclusive=True).count() == 3
+
+
+def _boxes(*corners):
+    return [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]] for x0, y0, x1, y1 in corners]
+
+
+def _area(parts):
+    ring = lambda r: abs(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum())) / 2
+    return round(sum(ring(p[0]) - sum(ring(h) for h in p[1:]) for p in parts), 9)
+
+
+@pytest.mark.parametrize(("faces", "area", "shells", "holes"), [
+    (_boxes((0, 0, 4, 4), (1, 1, 3, 3)), 16, 1, 0),  # box in a box
+    (_boxes((0, 0, 4, 4), (2, 1, 6, 4)), 22, 1, 0),  # overlap
+    (_boxes((0, 0, 4, 2), (0, 0, 2, 2), (2, 0, 4, 2)), 8, 1, 0),  # floor and split roof
+    (_boxes((0, 0, 4, 2), (0, 2, 2, 4), (2, 2, 4, 4)), 16, 1, 0),  # T-junction
+    (_boxes((0, 0, 1, 1), (1, 1, 2, 2)), 2, 2, 0),  # corner touch
+    (_boxes((0, 0, 3, 1), (0, 2, 3, 3), (0, 0, 1, 3), (2, 0, 3, 3)), 8, 1, 1),  # frame of overlapping bars
+    (_boxes((0, 0, 5, 5)) + [[[(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)]]], 25, 1, 0),
+    ([[[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]]], 2, 2, 0),  # bow-tie
+    ([[[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]]], 12, 1, 1),
+    ([[[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]]] + _boxes((2, 2, 6, 3)), 15, 1, 1),
+    ([[[(0.1, 0.2), (3.3, 0.7), (1.7, 2.9), (0.1, 0.2)]], [[(1.0, 0.1), (2.9, 2.2), (0.4, 2.0), (1.0, 0.1)]]], None, 1, 0),
+    ([[[(0, 0), (1, 0), (0, 0)]]], 0, 0, 0)])
+def test_union_of_polygons_in_any_position(faces, area, shells, holes):
+    from geoweave.operators.union import overlay
+
+    for shift in (0.0, 530_000.25):
+        moved = [[[(x + shift, y + shift) for x, y in r] for r in f] for f in faces]
+        parts, _ = overlay(moved)
+        assert len(parts) == shells and sum(len(p) - 1 for p in parts) == holes
+        if area is not None:
+            local = [[r - shift for r in p] for p in parts]
+            assert abs(_area(local) - area) < 1e-6
+
+
+def test_inverse_projections_against_published_points(spark):
+    from geoweave.functions import crs
+    from tests.test_geom import run_stages
+
+    # worked example of the Ordnance Survey's guide to coordinate systems (Airy 1830, OSGB36)
+    back = run_stages(crs._tm_inverse_stages(crs.AIRY1830, **crs.BNG), 651409.903, 313177.270)
+    assert abs(back["y"] - (52 + 39 / 60 + 27.2531 / 3600)) < 3e-8 and abs(back["x"] - (1 + 43 / 60 + 4.5177 / 3600)) < 3e-8
+    for code, lon, lat in ((27700, -2.5, 53.1), (27700, 1.2, 51.9), (32633, 14.2, 48.7), (25832, 9.9, 53.5)):
+        there = run_stages(crs.stages(4326, code), lon, lat)
+        home = run_stages(crs.stages(code, 4326), there["x"], there["y"])
+        assert abs(home["x"] - lon) < 2e-7 and abs(home["y"] - lat) < 2e-7
+    df = spark.createDataFrame([(27700, 400000.0, 300000.0), (4326, 10.0, 50.0)], "srid int, x double, y double")
+    from geoweave.functions import geom as G
+    df = df.select(G.make_geom("POINT", F.array(F.array(F.array(G.vertex(F.col("x"), F.col("y"))))), F.col("srid")).alias("geom"))
+    got = crs.reproject_df(df, "geom", 4326).select(F.col("geom")["parts"][0][0][0].alias("p"), F.col("geom")["srid"].alias("s")).collect()
+    assert {r.s for r in got} == {4326} and sorted(round(r.p.x) for r in got) == [-2, 10]
+
+
+def test_envelope_keeps_z(spark):
+    from geoweave.functions import geom as G
+
+    ring = F.array(*[G.vertex(F.lit(x), F.lit(y), F.lit(z)) for x, y, z in ((0.0, 0.0, 7.0), (2.0, 0.0, 9.0), (2.0, 3.0, 8.0), (0.0, 0.0, 7.0))])
+    df = spark.range(1).select(G.make_geom("POLYGON", F.array(F.array(ring))).alias("g"))
+    assert tuple(df.select(G.st_zmin(G.st_envelope("g")), G.st_zmax(G.st_envelope("g")), G.st_area(G.st_envelope("g"))).first()) == (7.0, 9.0, 6.0)
