@@ -123,7 +123,9 @@ def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFra
     ext = pixels.groupBy(*PIXEL_KEYS).agg(F.max("row").alias("_mr"), F.max("col").alias("_mc"))
     nr = F.ceil((F.col("_mr") + 1) * scale).cast("long")
     nc = F.ceil((F.col("_mc") + 1) * scale).cast("long")
+    # target rows are dealt out before their cells are made, so one large raster is many tasks' work
     grid = (ext.select(*PIXEL_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), nr - 1)).alias("t_row"), nc.alias("_nc"))
+            .repartition(*PIXEL_KEYS, "t_row")
             .select(*PIXEL_KEYS, "t_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nc") - 1)).alias("t_col")))
     sr = (F.col("t_row") + 0.5) / scale - 0.5
     sc = (F.col("t_col") + 0.5) / scale - 0.5
@@ -149,12 +151,11 @@ def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFra
 
 def mosaic(rasters: Sequence[tuple[DataFrame, int, str]]) -> tuple[DataFrame, DataFrame]:
     """Many rasters → one layer.  Each input is ``(pixels, priority, location)``; where
-    footprints overlap the highest priority wins.  Returns ``(pixels, index)`` where the
+    footprints overlap the highest priority wins, and among equal ones the greatest location.  Returns ``(pixels, index)`` where the
     index has one row per input: location, footprint (row/col bounds), priority."""
     tagged = [p.withColumn("_prio", F.lit(prio)).withColumn("location", F.lit(loc)) for p, prio, loc in rasters]
     u = reduce(lambda a, b: a.unionByName(b), tagged)
-    best = u.groupBy("band", "row", "col").agg(
-        F.max_by(F.struct("value", "location"), "_prio").alias("_b"))
+    best = u.groupBy("band", "row", "col").agg(F.max(F.struct("_prio", "location", "value")).alias("_b"))
     px = best.select("band", "row", "col", F.col("_b.value").alias("value"), F.col("_b.location").alias("location"))
     index = u.groupBy("location").agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"),
                                       F.min("col").alias("col_min"), F.max("col").alias("col_max"),

@@ -2,7 +2,7 @@
 stateless operators (term templates, triple mapping) run unchanged on a streaming DataFrame,
 and "skip known ids" (C10) becomes ``dropDuplicates`` with state.
 
-The stream is written with ``foreachBatch`` to a parquet table; the checkpoint and the
+The stream is written with ``foreachBatch`` to a parquet table, one folder a batch; the checkpoint and the
 table live under the session's ``spark.checkpoint.dir`` (the cluster's shared folder).
 """
 
@@ -21,7 +21,10 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 def run_available(spark: SparkSession, source_dir: str, schema: str, transform, name: str,
                   file_glob: str = "*.parquet", dedupe_key: str | None = None) -> DataFrame:
     """Run ``transform`` over every file already in ``source_dir`` (trigger ``availableNow``),
-    append each micro-batch to a parquet table, and return that table."""
+    write each micro-batch to its own folder of a parquet table, and return that table.
+
+    ``dedupe_key``: rows whose key was seen before are skipped; the state grows with the distinct keys, so a stream
+    without end should carry a watermark on its time column and de-duplicate within it."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/stream-{name}-{uuid.uuid4().hex[:8]}"
     out_path, ckpt = f"{run}/table", f"{run}/_checkpoint"
@@ -30,14 +33,14 @@ def run_available(spark: SparkSession, source_dir: str, schema: str, transform,
         stream = stream.dropDuplicates([dedupe_key])
     mapped = transform(stream)
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").parquet(out_path)
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")  # a batch that is retried replaces itself
 
     q = mapped.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     try:
-        return spark.read.parquet(out_path)
+        return spark.read.parquet(out_path).drop("epoch")
     except AnalysisException:  # no micro-batch had rows: nothing was written
         return spark.createDataFrame([], mapped.schema)
