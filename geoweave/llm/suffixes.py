@@ -26,9 +26,11 @@ from geoweave.llm.common import (U64, ByteHash, mix, slices, small_batches, spre
 from geoweave.session import cut_lineage
 
 #: Bytes of a repeated string, of an anchor's substring, and windows in a piece.
-LENGTH, GRAM, SPAN = 200, 48, 32
+LENGTH, GRAM, SPAN = 200, 48, 60
+#: Pieces after which a task may start a new family of suffix arrays.
+GROUP = 1000
 #: Bytes hashed at once; a longer text is cut, with the cuts overlapping by a window.
-SEGMENT = 500_000
+SEGMENT = 300_000
 #: Low bits of a hash that are replaced by the position (more than SEGMENT and its overlap).
 PLACE = U64((1 << 24) - 1)
 
@@ -130,35 +132,45 @@ class SuffixLevels:
 def match_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """``key, ph, mask``: which windows of each distinct piece occur in another piece of its key.
 
-    ``pieces``: ``key, ph, bytes``, one row per distinct piece.  Each task indexes the pieces of its keys batch by batch.
+    ``pieces``: ``key, ph, bytes``, one row per distinct piece.  Each task indexes the pieces of its keys batch by batch,
+    keys in order, and starts a new family at the first new key after GROUP pieces, so memory follows the largest key.
     """
+    def masks(family: SuffixLevels, names: list[pa.RecordBatch], done: int) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(done, np.int64)
+        hit = np.unique(np.concatenate([np.zeros(0, np.int64), *family.matched]))
+        np.bitwise_or.at(mask, hit // SPAN, np.left_shift(np.int64(1), hit % SPAN))
+        table = pa.Table.from_batches(names).append_column("mask", pa.array(mask))
+        return iter(table.filter(pa.array(mask != 0)).to_batches())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, names, done = SuffixLevels(length), [], 0
+        family, names, done, last = SuffixLevels(length), [], 0, None
         for batch in batches:
-            windows, owner = [], []
-            for k, raw in enumerate(batch.column(2)):
-                data = np.frombuffer(raw.as_py(), np.uint8)
-                view = np.lib.stride_tricks.sliding_window_view(data, length)
-                windows.append(view)
-                owner.append((done + k) * SPAN + np.arange(len(view)))
-            if windows:
-                flat = np.ascontiguousarray(np.concatenate(windows)).view(f"S{length}").ravel()
-                family.add(flat, np.concatenate(owner))
-                names.append(batch.select([0, 1]))
-                done += batch.num_rows
+            keys = np.asarray(batch.column(0))
+            new = [int(k) for k in np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if k or keys[0] != last]
+            at = 0
+            while at < batch.num_rows:
+                if done >= GROUP and at in new:
+                    yield from masks(family, names, done)
+                    family, names, done = SuffixLevels(length), [], 0
+                end = next((k for k in new if k > at and done + k - at >= GROUP), batch.num_rows)
+                windows, owner = [], []
+                for k, raw in enumerate(batch.column(2)[at:end]):
+                    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw.as_py(), np.uint8), length)
+                    windows.append(view)
+                    owner.append((done + k) * SPAN + np.arange(len(view)))
+                family.add(np.ascontiguousarray(np.concatenate(windows)).view(f"S{length}").ravel(), np.concatenate(owner))
+                names.append(batch.select([0, 1]).slice(at, end - at))
+                done, at = done + end - at, end
+            last = keys[-1] if len(keys) else last
         if done:
-            mask = np.zeros(done, np.int64)
-            hit = np.unique(np.concatenate([np.zeros(0, np.int64), *family.matched]))
-            np.bitwise_or.at(mask, hit // SPAN, np.left_shift(np.int64(1), hit % SPAN))
-            table = pa.Table.from_batches(names).append_column("mask", pa.array(mask))
-            yield from table.filter(pa.array(mask != 0)).to_batches()
+            yield from masks(family, names, done)
 
     n = spread(pieces.sparkSession)
-    return pieces.repartition(n, "key").mapInArrow(run, "key long, ph long, mask long")
+    return pieces.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, ph long, mask long")
 
 
 def cut_pieces(affected: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, th, at, key, ph, bytes``: pieces of the wanted stretches of each affected text."""
+    """``doc_id, th, at, n, key, ph``: pieces of the wanted stretches of each affected text, by place and windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -168,24 +180,37 @@ def cut_pieces(affected: DataFrame, length: int = LENGTH) -> DataFrame:
                     continue
                 raw, ids = text.as_py().encode(), (doc_id.as_py(), th.as_py())
                 for w in wanted:
-                    lo, n, a, h = w["lo"], w["n"], w["lo"] + w["rel"], w["h"] & (1 << 64) - 1
-                    s = lo
-                    while s < lo + n:
+                    s, end, a, h = w["lo"], w["lo"] + w["n"], w["lo"] + w["rel"], w["h"] & (1 << 64) - 1
+                    while s < end:
                         q = (a - s) // SPAN  # windows at distances q * SPAN .. q * SPAN + SPAN - 1 before the anchor
-                        e = min(lo + n - 1, a - q * SPAN)
+                        e = min(end - 1, a - q * SPAN)
                         core = raw[a - q * SPAN: a - q * SPAN - SPAN + 1 + length]
-                        part = raw[s: e + length]
                         key = xxhash.xxh3_64_intdigest(core, h ^ q)
-                        ph = xxhash.xxh3_64_intdigest(part, (a - s) * 1024 + e - s)
-                        rows.append((*ids, s, key - (1 << 63), ph - (1 << 63), part))
+                        ph = xxhash.xxh3_64_intdigest(raw[s: e + length], (a - s) * 1024 + e - s)
+                        rows.append((*ids, s, e - s + 1, key - (1 << 63), ph - (1 << 63)))
                         s = e + 1
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                             ["doc_id", "th", "at", "key", "ph", "bytes"])
+                                             ["doc_id", "th", "at", "n", "key", "ph"])
 
     return affected.select("doc_id", "th", "text", "want").mapInArrow(
-        run, "doc_id long, th long, at int, key long, ph long, bytes binary")
+        run, "doc_id long, th long, at int, n short, key long, ph long")
+
+
+def piece_bytes(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``key, ph, bytes`` of the pieces listed in ``texts(text, pieces)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, pieces in zip(*batch.columns, strict=True):
+                raw = text.as_py().encode()
+                rows += [(x["key"], x["ph"], raw[x["at"]: x["at"] + x["n"] - 1 + length]) for x in pieces.as_py()]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["key", "ph", "bytes"])
+
+    return texts.select("text", "pieces").mapInArrow(run, "key long, ph long, bytes binary")
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -200,9 +225,9 @@ def repeats(documents: DataFrame, length: int = LENGTH, with_text: bool = False)
     small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"),
                              F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(anchor_table(texts, length), "anchors")
-    often = cut_lineage(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"))
-    found = stored(found.join(often, "h"), "repeated")
+    # the anchors are computed twice rather than stored: they are many, and most of them occur once
+    often = cut_lineage(anchor_table(texts, length).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"))
+    found = stored(anchor_table(texts, length).join(often, "h"), "repeated")
 
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "lo")).alias("rep")),
                      "stretches")
@@ -220,15 +245,16 @@ def repeats(documents: DataFrame, length: int = LENGTH, with_text: bool = False)
                       .drop("d", "t"), "affected")
 
     pieces = stored(cut_pieces(affected, length), "pieces")
-    kinds = cut_lineage(pieces.groupBy("key", "ph").agg(F.count("*").alias("times")))
+    kinds = cut_lineage(pieces.groupBy("key", "ph").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n")).alias("rep")))
     mixed = cut_lineage(kinds.groupBy("key").count().where("count > 1").select("key"))
-    rims = (pieces.join(mixed, "key", "left_semi").groupBy("key", "ph").agg(F.first("bytes").alias("bytes")))
+    wanted = cut_lineage(kinds.join(mixed, "key", "left_semi").groupBy(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
+                         .agg(F.collect_list(F.struct("rep.at", "rep.n", "key", "ph")).alias("pieces")))
+    rims = affected.select("doc_id", "th", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     masks = (kinds.where("times > 1").select("key", "ph", F.lit(-1).cast("long").alias("mask"))
-             .unionByName(match_pieces(rims, length)).groupBy("key", "ph").agg(F.bit_or("mask").alias("mask")))
+             .unionByName(match_pieces(piece_bytes(rims, length), length)).groupBy("key", "ph").agg(F.bit_or("mask").alias("mask")))
     masks = cut_lineage(masks)
-    hits = (pieces.select("doc_id", "th", "at", "key", "ph", F.octet_length("bytes").alias("size")).join(masks, ["key", "ph"])
-            .select(F.col("doc_id").alias("d"), F.col("th").alias("t"),
-                    F.struct("at", (F.col("size") - length + 1).alias("n"), "mask").alias("hit")))
+    hits = (pieces.join(masks, ["key", "ph"])
+            .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.struct("at", "n", "mask").alias("hit")))
     hits = cut_lineage(hits.groupBy("d", "t").agg(F.collect_list("hit").alias("hits")))
     ready = (affected.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
              .select("doc_id", "th", "text", "full", "hits"))
