@@ -110,22 +110,43 @@ def _plain(ring: np.ndarray) -> np.ndarray:
     return np.vstack([ring[k:], ring[: k + 1]])
 
 
+def _canonical(ring: list[tuple[float, float]]) -> tuple[tuple[float, float], ...]:
+    """Open ring of snapped vertices, counter-clockwise from the smallest one; repeated vertices count once."""
+    r = [v for k, v in enumerate(ring) if v != ring[k - 1]]
+    if len(r) < 3:
+        return ()
+    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r[-1:] + r, r, strict=False)) < 0:
+        r.reverse()
+    k = r.index(min(r))
+    return tuple(r[k:] + r[:k])
+
+
+def _convex(ring: tuple[tuple[float, float], ...]) -> list[tuple[float, float]] | None:
+    """The ring without collinear vertices if it is convex, else None."""
+    steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    turns = [u[0] * v[1] - u[1] * v[0] for u, v in zip(steps[-1:] + steps, steps, strict=False)]
+    for axis in (0, 1):
+        signs = [d[axis] > 0 for d in steps if d[axis]]
+        if sum(x != y for x, y in zip(signs[-1:] + signs, signs, strict=False)) > 2:
+            return None
+    return None if min(turns) < 0 or max(turns) <= 0 else [v for v, t in zip(ring, turns, strict=True) if t]
+
+
 def overlay(parts: list[list[list[tuple[float, float]]]]) -> tuple[list[list[np.ndarray]], int]:
     """Union of polygons (each a list of rings of (x, y)) as parts of rings, shell first; and the number of edge
     pieces beside which two faces overlap."""
+    snapped = lambda ring: [(float(round(x * GRID)), float(round(y * GRID))) for x, y in ring if x is not None and y is not None]
+    faces = {tuple(r for r in (_canonical(snapped(ring)) for ring in part) if r) for part in parts} - {()}
+    if len(faces) == 1:
+        (face,) = faces
+        plain = _convex(face[0]) if len(face) == 1 else None
+        if plain:
+            return [[np.array([*plain, plain[0]]) / GRID]], 0
     rings, first, n = [], [], 0
-    for part in parts:
-        mine = []
-        for ring in part:
-            r = np.round(np.array([v for v in ring if None not in v], float).reshape(-1, 2) * GRID)
-            r = r[np.append(True, (r[1:] != r[:-1]).any(1))] if len(r) else r
-            r = r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r
-            if len(r) >= 3:
-                mine.append(r)
-        if mine:
-            first.append(n)
-            n += sum(map(len, mine))
-            rings += mine
+    for face in sorted(faces):
+        first.append(n)
+        n += sum(map(len, face))
+        rings += [np.array(r) for r in face]
     if not rings:
         return [], 0
     corner = np.min([r.min(0) for r in rings], axis=0)
