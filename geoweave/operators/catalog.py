@@ -49,10 +49,10 @@ def _lit(c) -> F.Column:
 
 
 def find_catalogs(quads: DataFrame) -> DataFrame:
-    """(ds, name) for every catalogue entry: ``?ds a dcat:Catalog ; dct:title ?name``."""
+    """(ds, name) for every catalogue entry: ``?ds a dcat:Catalog ; dct:title ?name``; of equal titles the smallest IRI."""
     typed = quads.where((F.col("p") == RDF_TYPE) & (F.col("o") == CATALOG)).select(F.col("s").alias("ds"))
     titles = quads.where(F.col("p") == TITLE).select(F.col("s").alias("ds"), F.col("o").alias("name"))
-    return typed.join(titles, "ds").dropDuplicates(["name"])
+    return typed.join(titles, "ds").groupBy("name").agg(F.min("ds").alias("ds")).select("ds", "name")
 
 
 def upsert_catalog(quads: DataFrame, datasets: DataFrame, now: str, base: str) -> DataFrame:

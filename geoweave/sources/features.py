@@ -35,13 +35,18 @@ def geojson_geometry(col, srid: int = 4326):
 
 
 def read_features(spark: SparkSession, path: str, properties_schema: str, srid: int = 4326,
-                  geom_col: str = "geom") -> DataFrame:
+                  geom_col: str = "geom", lines: bool = False) -> DataFrame:
     """``FeatureCollection`` files → one row per feature: ``properties.*`` + ``geom``.
 
     An explicit properties schema is required (integer coordinates would infer as
     BIGINT, a single nested object as struct instead of array); the geometry is
-    read as raw JSON text and decoded by type.
+    read as raw JSON text and decoded by type.  A collection is one JSON value, so one file is one task; with
+    ``lines`` the files hold one feature per line (newline-delimited GeoJSON) and are split like any text.
     """
+    feature = f"properties struct<{properties_schema}>, geometry string"
+    if lines:
+        f = spark.read.schema(feature).json(path)
+        return f.where("properties is not null or geometry is not null").select("properties.*", geojson_geometry("geometry", srid).alias(geom_col))
     schema = f"features array<struct<properties: struct<{properties_schema}>, geometry: string>>"
     raw = spark.read.option("multiLine", "true").schema(schema).json(path)
     f = raw.select(F.explode("features").alias("f"))

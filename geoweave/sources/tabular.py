@@ -48,12 +48,25 @@ def group_by_driver(files: DataFrame) -> DataFrame:
 
 def append_files(frames: Mapping[str, DataFrame], table: str | None = None) -> DataFrame | dict[str, DataFrame]:
     """Many files into one layer (first truncates, the rest append ≡ one union with missing columns
-    as NULL); without a table name every file stays its own table, keyed by file stem."""
+    as NULL); without a table name every file stays its own table, keyed by file stem.
+
+    For frames that come from different readers; files of one format and schema are better read in one scan
+    (:func:`read_files`), whose plan does not grow with their number."""
     if table is None:
         return dict(frames)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames.values())
 
 
+def read_files(spark: SparkSession, paths: Sequence[str], fmt: str, schema: str | None = None, **options) -> DataFrame:
+    """Any number of files of one format as one scan; ``_source`` names the file of each row.
+
+    Without a schema Parquet and ORC merge the files' schemas, so a column that a file lacks is NULL there.
+    """
+    reader = spark.read.format(fmt).options(**options)
+    reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
+    return reader.load(list(paths)).withColumn("_source", F.col("_metadata.file_path"))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] | None = None,
                 fmt: str = "parquet") -> None:
     """Truncate (``overwrite``) or ``append``; parent folders are created as needed."""

@@ -62,3 +62,19 @@ def test_tbox(spark):
                                "source string, type string, target string, relation string, domain string, range string, comment string")
     t = tbox.tbox_to_triples(df, "http://ex.org/")
     assert t.count() == 6
+
+
+def test_newline_delimited_features(spark, tmp_path):
+    lines = ['{"type":"Feature","properties":{"id":%d},"geometry":{"type":"Point","coordinates":[%d,2]}}' % (k, k) for k in range(3)]
+    (tmp_path / "f.geojsonl").write_text("\n".join(lines) + "\n")
+    df = features.read_features(spark, str(tmp_path / "f.geojsonl"), "id int", lines=True)
+    assert sorted((r.id, r.geom.parts[0][0][0].x) for r in df.collect()) == [(0, 0.0), (1, 1.0), (2, 2.0)]
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    for k in range(4):
+        df = spark.range(k + 1).withColumnRenamed("id", "a")
+        (df.withColumn("b", df.a) if k else df).write.parquet(str(tmp_path / f"p{k}"))
+    got = tabular.read_files(spark, [str(tmp_path / f"p{k}") for k in range(4)], "parquet")
+    assert got.count() == 10 and got.where("b is null").count() == 1
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
