@@ -9,6 +9,7 @@ views (dictionary size and window phase), are calibrated to a probability on the
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,35 +42,38 @@ def tokens(text: str) -> list[str]:
 
 
 def without_copies(texts: list[str]) -> list[int]:
-    """Indices of texts that share no minhash key with an earlier one."""
-    sets = shingle_sets(*text_buffer(pa.array(texts, pa.string())))
-    full = [i for i, s in enumerate(sets) if len(s)]
+    """Indices of texts that share no minhash key with an earlier one; a few texts at a time are hashed."""
     out: list[int] = []
     seen: set[tuple[int, int]] = set()
-    if full:
+    for at in range(0, len(texts), 200):
+        sets = shingle_sets(*text_buffer(pa.array(texts[at: at + 200], pa.string())))
+        full = [i for i, s in enumerate(sets) if len(s)]
+        if not full:
+            continue
         for i, keys in zip(full, signatures([sets[i] for i in full], 8, 2)[1].tolist(), strict=True):
             own = set(enumerate(keys))
             if not own & seen:
-                out.append(i)
+                out.append(at + i)
             seen |= own
     return out
 
 
-def dictionaries(toxic: list[str], ordinary: list[str], common: int) -> tuple[bytes, bytes]:
-    """Contents of the toxic and of the ordinary dictionary; the strongest strings stand last, nearest to the data."""
-    bad, good = Counter(), Counter()
-    for t in toxic:
-        bad.update(set(tokens(t)))
-    for t in ordinary:
-        good.update(set(tokens(t)))
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
+def document_frequencies(texts: list[str]) -> Counter:
+    out: Counter = Counter()
+    for t in texts:
+        out.update(set(tokens(t)))
+    return out
+
 
+def dictionaries(bad: Counter, n: int, good: Counter, m: int, common: int) -> tuple[bytes, bytes]:
+    """Contents of the toxic and of the ordinary dictionary, from document frequencies among ``n`` toxic and ``m`` ordinary
+    texts; the strongest strings stand last, nearest to the data."""
     def z(w: str) -> float:
         p = (bad[w] + good[w]) / (n + m)
         return (bad[w] / n - good[w] / m) / max(1e-9, (p * (1 - p) * (1 / n + 1 / m)) ** 0.5)
 
-    typical = sorted((w for w in bad if bad[w] > 2 and z(w) > TYPICAL), key=lambda w: (z(w), w))[-MOST_TYPICAL:]
-    base = sorted(good, key=lambda w: (good[w], w))[-common:]
+    typical = sorted((w for w, k in bad.items() if k > 2 and z(w) > TYPICAL), key=lambda w: (z(w), w))[-MOST_TYPICAL:]
+    base = heapq.nlargest(common, good, key=lambda w: (good[w], w))[::-1]
     shared = " " + " ".join(w for w in base if w not in set(typical)) + " "
     return (shared + " ".join(typical) + " ").encode(), shared.encode()
 
@@ -104,16 +108,21 @@ class Toxicity:
     def __init__(self, documents: DataFrame, labels: DataFrame):
         small_batches(documents.sparkSession)
         sample = labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, TOXIC, ORDINARY, MAX_CHARS)
-        rows = sample.orderBy("doc_id").collect()  # bounded by TOXIC, ORDINARY and MAX_CHARS
-        rows = [rows[i] for i in without_copies([r.text for r in rows])]
-        toxic, ordinary = [r.text for r in rows if r.y == 1], [r.text for r in rows if r.y == 0]
+        ids, toxic, ordinary = [], [], []
+        for r in sample.orderBy("doc_id").toLocalIterator():  # bounded by TOXIC, ORDINARY and MAX_CHARS
+            ids.append(r.doc_id)
+            (toxic if r.y == 1 else ordinary).append((r.doc_id, r.text))
+        texts = dict(toxic + ordinary)
+        kept = {ids[i] for i in without_copies([texts[i] for i in ids])}
+        toxic, ordinary = ([t for i, t in part if i in kept] for part in (toxic, ordinary))
         self.pairs: list[tuple[bytes, bytes]] = []
         self.model: Logistic | None = None
         if not toxic or not ordinary:
             return
-        self.pairs = [dictionaries(toxic, ordinary, common) for common, _ in VIEWS]
-        ids = {r.doc_id for r in rows}
-        found = [r for r in scored(sample, ["doc_id", "y"], self.pairs, None).toLocalIterator() if r.doc_id in ids]
+        bad, good = document_frequencies(toxic), document_frequencies(ordinary)
+        self.pairs = [dictionaries(bad, len(toxic), good, len(ordinary), common) for common, _ in VIEWS]
+        del texts, toxic, ordinary, bad, good  # the fit needs features only
+        found = [r for r in scored(sample, ["doc_id", "y"], self.pairs, None).toLocalIterator() if r.doc_id in kept]
         self.model = Logistic(np.array([r.features for r in found]), np.array([r.y for r in found]))
 
     def scores(self, documents: DataFrame, columns: list[str]) -> DataFrame:
