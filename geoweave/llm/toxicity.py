@@ -4,7 +4,8 @@ A short window of words compresses better with the dictionary of the class that
 holds the words that ordinary documents use most; the toxic one the same words and, nearest to the window, those that
 toxic documents use significantly more often.  Near copies in the sample are set aside first: their chance words
 would pass for typical ones.  Length differences over all windows of a whole text, in two independent
-views (dictionary size and window phase), are calibrated to a probability on the sample.
+views (dictionary size and window phase), are calibrated to a probability on the sample, weighted to the class ratio of
+all labels.
 """
 
 from __future__ import annotations
@@ -122,8 +123,8 @@ class Toxicity:
         bad, good = document_frequencies(toxic), document_frequencies(ordinary)
         self.pairs = [dictionaries(bad, len(toxic), good, len(ordinary), common) for common, _ in VIEWS]
         del texts, toxic, ordinary, bad, good  # the fit needs features only
-        found = [r for r in scored(sample, ["doc_id", "y"], self.pairs, None).toLocalIterator() if r.doc_id in kept]
-        self.model = Logistic(np.array([r.features for r in found]), np.array([r.y for r in found]))
+        found = [r for r in scored(sample, ["doc_id", "y", "weight"], self.pairs, None).toLocalIterator() if r.doc_id in kept]
+        self.model = Logistic(*(np.array([r[c] for r in found]) for c in ("features", "y", "weight")))
 
     def scores(self, documents: DataFrame, columns: list[str]) -> DataFrame:
         """``columns`` of ``documents`` and ``score``."""
