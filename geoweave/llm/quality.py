@@ -2,7 +2,8 @@
 
 Statistics are Spark columns.  Small trees are boosted on the statistics of a bounded labelled sample, every path
 from a root becomes a rule, a lasso logistic regression keeps few of them, and the kept rules are
-compiled back into one Spark column expression, so scoring runs without Python.
+compiled back into one Spark column expression, so scoring runs without Python.  The sample's rows are weighted to the class ratio
+of all labels.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.samples import fold, labelled_sample
+from geoweave.llm.samples import fold, labelled_sample, unit_mean
 
 #: Bounds of the labelled sample (documents of each class, characters of a document) and the held-out fold.
 GOOD, POOR, MAX_CHARS = 8000, 4000, 200_000
@@ -61,10 +62,12 @@ class Rule:
         return out
 
 
-def boosted_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> list[Rule]:
-    """Rules of all inner and leaf paths of boosted regression trees on logistic gradients."""
+def boosted_rules(x: np.ndarray, y: np.ndarray, names: list[str], weights: np.ndarray | None = None) -> list[Rule]:
+    """Rules of all inner and leaf paths of boosted regression trees on logistic gradients of weighted rows."""
+    own = unit_mean(np.ones(len(y)) if weights is None else weights)
+    mean = np.average(y, weights=own)
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    f = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    f = np.full(len(y), np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     rules: dict[frozenset, Rule] = {}
 
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, path: tuple, depth: int, out: np.ndarray) -> None:
@@ -94,19 +97,21 @@ def boosted_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> list[Rule]:
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-f))
         step = np.zeros(len(y))
-        grow(np.arange(len(y)), y - p, p * (1 - p), (), 0, step)
+        grow(np.arange(len(y)), own * (y - p), own * p * (1 - p), (), 0, step)
         f = f + RATE * step
     return list(rules.values())
 
 
-def lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, steps: int = 300) -> np.ndarray:
-    """Intercept and weights of an L1-penalised logistic regression by accelerated proximal gradient steps."""
+def lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, steps: int = 300,
+          weights: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and weights of an L1-penalised logistic regression of weighted rows by accelerated proximal gradient steps."""
     z = np.c_[np.ones(len(r)), r]
-    rate = 4 * len(z) / np.linalg.norm(z, 2) ** 2
+    own = unit_mean(np.ones(len(y)) if weights is None else weights)
+    rate = 4 * len(z) / np.linalg.norm(z * np.sqrt(own)[:, None], 2) ** 2
     w = np.zeros(z.shape[1]) if start is None else start.copy()
     v, t = w.copy(), 1.0
     for _ in range(steps):
-        grad = z.T @ (1 / (1 + np.exp(-np.clip(z @ v, -30, 30))) - y) / len(z)
+        grad = z.T @ (own * (1 / (1 + np.exp(-np.clip(z @ v, -30, 30))) - y)) / len(z)
         new = v - rate * grad
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - rate * penalty, 0)
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -121,28 +126,29 @@ class Quality:
         sample = labelled_sample(documents, labels, "quality", FOLDS, HELD_OUT, GOOD, POOR, MAX_CHARS)
         stats = statistics(F.col("text"))
         self.names = list(stats)
-        rows = sample.select("doc_id", "y", *[c.alias(n) for n, c in stats.items()]).orderBy("doc_id").collect()
-        y = np.array([r.y for r in rows], float)
+        rows = sample.select("doc_id", "y", "weight", *[c.alias(n) for n, c in stats.items()]).orderBy("doc_id").collect()
+        y, k = np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float)
         self.rules: list[tuple[Rule, float]] = []
         self.intercept = 0.0
         if len(set(y.tolist())) < 2:
             self.intercept = {0: 0.0, 1: 4.0, -1: -4.0}[int(np.sign(y.mean() - 0.5)) if len(y) else 0]
             return
         x = np.array([[r[n] for n in self.names] for r in rows], float)
-        rules = boosted_rules(x, y, self.names)
+        rules = boosted_rules(x, y, self.names, k)
         if not rules:
-            self.intercept = float(np.log(y.mean() / (1 - y.mean())))
+            mean = np.average(y, weights=k)
+            self.intercept = float(np.log(mean / (1 - mean)))
             return
         full = {n: x[:, k] for k, n in enumerate(self.names)}
         r = np.stack([rule.holds(full) for rule in rules], 1).astype(float)
         check = np.arange(len(y)) % 5 == 0  # rows in order of doc_id
         best, start = (np.inf, 0.0), None
         for penalty in (0.03, 0.01, 0.005, 0.002, 0.001):
-            start = lasso(r[~check], y[~check], penalty, start)
+            start = lasso(r[~check], y[~check], penalty, start, weights=k[~check])
             p = 1 / (1 + np.exp(-np.clip(np.c_[np.ones(check.sum()), r[check]] @ start, -30, 30)))
-            loss = -np.mean(np.log(np.where(y[check] == 1, p, 1 - p) + 1e-9))
+            loss = -np.average(np.log(np.where(y[check] == 1, p, 1 - p) + 1e-9), weights=k[check])
             best = min(best, (loss, penalty))
-        w = lasso(r, y, best[1], steps=600)
+        w = lasso(r, y, best[1], steps=600, weights=k)
         self.intercept = float(w[0])
         self.rules = [(rule, float(k)) for rule, k in zip(rules, w[1:], strict=True) if abs(k) > 1e-6]
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from geoweave.llm import samples, toxicity
+from geoweave.llm import quality, samples, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,16 @@ def test_toxicity_score_does_not_depend_on_the_bound(mixed, monkeypatch):
     marked = lambda found: found[found.doc_id % 6 == 0]
     assert abs(marked(free).score.mean() - 0.5) < 0.1 and marked(free).predicted.mean() < 0.1
     assert abs(marked(bound).score.mean() - 0.5) < 0.15 and marked(bound).predicted.mean() < 0.3  # a smaller sample: some noise
+
+
+def test_quality_score_does_not_depend_on_the_bound(mixed, monkeypatch):
+    docs, labels = mixed
+    # statistics see no rude words: mark them by digits instead; three in four of the marked documents are good
+    docs = docs.selectExpr("doc_id", "if(doc_id % 6 = 0, concat(text, ' 12345678901234567890'), text) AS text")
+    labels = labels.selectExpr("doc_id", "int(doc_id % 6 <> 0 OR doc_id % 24 <> 0) AS quality", "toxic")
+    free = quality.quality(docs, labels).toPandas()
+    monkeypatch.setattr(quality, "GOOD", 240)
+    bound = quality.quality(docs, labels).toPandas()
+    marked = lambda found: found[found.doc_id % 6 == 0]
+    assert abs(marked(free).score.mean() - 0.75) < 0.1
+    assert abs(marked(bound).score.mean() - marked(free).score.mean()) < 0.1
