@@ -27,15 +27,26 @@ from geoweave.functions import geom as G
 GRID = 1e8  # 1 / 1e-8
 #: Grid steps within which a vertex lies on an edge, and from an edge's middle to the points beside it.
 NEAR, BESIDE = 1.5, 8.0
+#: Pairs (edge and edge, vertex and edge, point and edge) that are compared at a time; bounds memory, not what is compared.
+PAIRS = 1 << 18
+
+
+def _blocks(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows, each of about PAIRS cells of ``width`` a row."""
+    step = max(1, PAIRS // max(1, width))
+    return (slice(at, min(n, at + step)) for at in range(0, n, step))
 
 
 def _covers(points: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
     """In how many polygons each point lies; the polygons' edges ``a -> b`` start at the indices ``first``."""
-    x, y = points[:, :1], points[:, 1:]
-    spans = (a[:, 1] > y) != (b[:, 1] > y)
     rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
-    hit = spans & (x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / rise + a[:, 0])
-    return (np.add.reduceat(hit.astype(np.int32), first, axis=1) % 2).sum(axis=1)
+    out = np.zeros(len(points), np.int64)
+    for s in _blocks(len(points), len(a)):
+        x, y = points[s, :1], points[s, 1:]
+        spans = (a[:, 1] > y) != (b[:, 1] > y)
+        hit = spans & (x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / rise + a[:, 0])
+        out[s] = (np.add.reduceat(hit.astype(np.int32), first, axis=1) % 2).sum(axis=1)
+    return out
 
 
 def _pieces(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,22 +56,25 @@ def _pieces(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
     cuts: list[list[tuple[float, float, float]]] = [[(0.0, *p), (1.0, *q)] for p, q in zip(a.tolist(), b.tolist(), strict=True)]
     vertices = np.unique(a, axis=0)
-    rel = vertices[None] - a[:, None]
-    along = (rel * d[:, None]).sum(-1) / (length ** 2)[:, None]
-    on = (np.abs(cross(rel, d[:, None])) <= NEAR * length[:, None]) & (along * length[:, None] > NEAR) & ((1 - along) * length[:, None] > NEAR)
-    for i, k in zip(*np.nonzero(on), strict=True):
-        cuts[i].append((float(along[i, k]), *vertices[k].tolist()))
-    i, j = np.triu_indices(len(a), 1)
-    det = cross(d[i], d[j])
-    gap = a[j] - a[i]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t, u = cross(gap, d[j]) / det, cross(gap, d[i]) / det
+    for rows in _blocks(len(a), len(vertices)):
+        rel, size = vertices[None] - a[rows, None], length[rows, None]
+        along = (rel * d[rows, None]).sum(-1) / size ** 2
+        on = (np.abs(cross(rel, d[rows, None])) <= NEAR * size) & (along * size > NEAR) & ((1 - along) * size > NEAR)
+        for i, k in zip(*np.nonzero(on), strict=True):
+            cuts[rows.start + i].append((float(along[i, k]), *vertices[k].tolist()))
     inner = lambda s, k: (s * length[k] > NEAR) & ((1 - s) * length[k] > NEAR)
-    apart = np.abs(det) > NEAR * np.maximum(length[i], length[j])
-    for x, y, s, w in ((i[k], j[k], t[k], u[k]) for k in np.flatnonzero(apart & inner(t, i) & inner(u, j))):
-        p = np.round(a[x] + s * d[x]).tolist()
-        cuts[x].append((float(s), *p))
-        cuts[y].append((float(w), *p))
+    for rows in _blocks(len(a), len(a)):
+        i, j = np.nonzero(np.arange(rows.start, rows.stop)[:, None] < np.arange(len(a)))
+        i += rows.start
+        det = cross(d[i], d[j])
+        gap = a[j] - a[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = cross(gap, d[j]) / det, cross(gap, d[i]) / det
+        apart = np.abs(det) > NEAR * np.maximum(length[i], length[j])
+        for x, y, s, w in ((i[k], j[k], t[k], u[k]) for k in np.flatnonzero(apart & inner(t, i) & inner(u, j))):
+            p = np.round(a[x] + s * d[x]).tolist()
+            cuts[x].append((float(s), *p))
+            cuts[y].append((float(w), *p))
     found = set()
     for own in cuts:
         own.sort()
