@@ -209,14 +209,16 @@ def similar_in_blocks(members: DataFrame, threshold: int, block: int = BLOCK) ->
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
-    """One row per row of ``documents``: ``doc_id, th, n_shingles, cls, component_id, kept``.
+    """One row per row of ``documents``: ``doc_id, th, n_shingles, cls, component_id, kept, comp``.
 
     Words are maximal runs of other than white space (A-Z lower-cased), a set holds the distinct five-word
     shingles, with fewer words the whole sequence; documents of similarity ``threshold`` percent or more are linked and
     ``component_id`` is the smallest doc_id reachable.  ``kept``: doc_id equals component_id.
     A null or empty text, or one of white space only, has an empty set, is linked with nothing and is its own
     component.  Repeated rows share their doc_id, so each says the same.  A null doc_id never names a component unless it is alone: 
-    then component_id is null and the row counts as kept.  Other columns of ``documents`` are not read.
+    then component_id is null and the row counts as kept.  ``comp`` is the component's own identity (its smallest class,
+    null for an empty set): components whose smallest doc_id is the same or null stay apart by it.  Other columns of ``documents``
+    are not read.
     """
     rows = stored(sketch(documents, bands, width), "sketch")
     classes = (rows.where("cls is not null").groupBy("cls")
@@ -265,13 +267,14 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, bands: int
     whole = components(part.select(F.col("node").alias("x"), F.col("comp").alias("y")).unionByName(lifted))
     label = cut_lineage(whole.withColumnRenamed("node", "cls").join(classes.select("cls", "low"), "cls"))
     lowest = cut_lineage(label.groupBy("comp").agg(F.min("low").alias("component_id")))
-    named = label.join(lowest, "comp").select("cls", "component_id")
+    named = label.join(lowest, "comp").select("cls", "comp", "component_id")
     each = cut_lineage(classes.select("cls", "low").join(named, "cls", "left")
-                       .select("cls", F.coalesce("component_id", "low").alias("component_id")))
-    alone = rows.where("cls is null").withColumn("component_id", F.col("doc_id"))
+                       .select("cls", F.when(F.col("comp").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"),
+                               F.coalesce("comp", "cls").alias("comp")))
+    alone = rows.where("cls is null").withColumn("component_id", F.col("doc_id")).withColumn("comp", F.col("cls"))
     out = rows.where("cls is not null").join(each, "cls").unionByName(alone)
     return out.select("doc_id", "th", "n_shingles", "cls", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "comp")
 
 
 def shingle_table(documents: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -292,13 +295,13 @@ def shingle_table(documents: DataFrame, chosen: DataFrame) -> DataFrame:
 def deduplicate(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``documents`` with one row of each near-duplicate group, the one whose doc_id names the group.
 
-    Rows without words all stay.  Rows that agree in doc_id and text are one document, of which one row stays; among different
-    texts with the group's doc_id the one with the smallest fingerprint stays.  All columns are kept as they are.
+    A group is a component, whatever ids its rows bear.  Rows without words all stay.  Rows that agree in doc_id and text are one
+    document, of which one row stays; among different texts of a group with its doc_id (or, if all its ids are null, without one) the
+    one with the smallest fingerprint stays.  All columns are kept as they are.
     """
     found = near_duplicates(documents, threshold)
-    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("cls")).alias("unnamed")]
-    chosen = (found.where("kept and cls is not null").groupBy(*group, "th").agg(F.count("*").alias("rows"))
-              .groupBy("component_id", "unnamed").agg(F.min(F.struct("th", "rows")).alias("best"))
+    chosen = (found.where("kept and cls is not null").groupBy("comp", "component_id", "th").agg(F.count("*").alias("rows"))
+              .groupBy("comp", "component_id").agg(F.min(F.struct("th", "rows")).alias("best"))
               .select(F.col("component_id").alias("id"), "best.th", "best.rows"))
     empty = found.where("cls is null").select(F.col("doc_id").alias("id"), "th").distinct().withColumn("rows", F.lit(1).cast("long"))
     chosen = cut_lineage(chosen.unionByName(empty))
