@@ -10,6 +10,7 @@ from geoweave.llm.chat import REPLY, conversation_events, link_calls
 from geoweave.llm.decontaminate import contaminated
 from geoweave.llm.minhash import near_duplicates
 from geoweave.llm.packing import pack
+from geoweave.llm.phrases import collocations
 from geoweave.llm.quality import quality
 from geoweave.llm.suffixes import repeat_digest
 from geoweave.llm.tokencounts import section_tokens
@@ -170,3 +171,30 @@ FROM conversations WHERE role NOT IN ('user', 'assistant')
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results, others = conversation_events(read(spark, sf_dir, "conversations"))
     return link_calls(calls, results, REPLY, others)
+
+
+@query("op13_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= 100),
+e AS (
+  SELECT lang, unnest([array_to_string(x[1:k - 1], ' '), array_to_string(x[2:], ' ')]) AS phrase, a
+  FROM (SELECT lang, k, a, string_split(phrase, ' ') AS x FROM f WHERE k > 2)),
+g AS (SELECT lang, phrase, max(a) AS longer FROM e GROUP BY lang, phrase),
+c AS (SELECT f.* FROM f LEFT JOIN g USING (lang, phrase) WHERE k > 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+x AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS x, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, t.n, cut,
+    ((1000::HUGEINT * x.a * t.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.x[1:cut], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.x[cut + 1:], ' ') JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+FROM b QUALIFY rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents", "lang", "text"))
