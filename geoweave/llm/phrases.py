@@ -21,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import small_batches, stored
+from geoweave.llm.common import slices, small_batches, stored
 
 #: Words of one shard; a longer document makes a shard of its own.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 #: Words that a task holds in unfinished shards of all its languages.
-OPEN_WORDS = 4_000_000
+OPEN_WORDS = 2_500_000
+#: Rows of an index that are extended at a time.
+CHUNK_ROWS = 400_000
 
 #: Lower-cases A-Z, turns every piece separator into a full stop and a tab into a space.
 _TABLE = bytes(32 if b == 9 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -134,6 +136,7 @@ class Bwt:
                 rank = new
             width += step
         order = np.argsort(rank, kind="stable")
+        del rank
         self.bwt = text[order - 1]  # the symbol before each suffix; before the first stands the closing break
         self.first = np.searchsorted(text[order], np.arange(symbols + 1))
         at = np.argsort(self.bwt, kind="stable")
@@ -167,9 +170,11 @@ class BidirectionalIndex:
         other, size) of each extension; breaks are counted in the other side's order but never extended over.
         """
         bwt = self.side(left)
-        row = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
-        key = np.repeat(np.arange(len(lo)) * self.symbols, size) + bwt.bwt[row]
-        key, n = np.unique(key, return_counts=True)
+        parts = []
+        for i, j in slices(np.zeros(len(lo), np.int64), size, CHUNK_ROWS):  # a pattern's rows stay together
+            row = np.repeat(lo[i:j] - np.r_[0, np.cumsum(size[i:j])[:-1]], size[i:j]) + np.arange(int(size[i:j].sum()))
+            parts.append(np.unique(np.repeat(np.arange(i, j) * self.symbols, size[i:j]) + bwt.bwt[row], return_counts=True))
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
         pattern, word = key // self.symbols, key % self.symbols
         start = np.searchsorted(pattern, np.arange(len(lo)))
         total = np.r_[0, np.cumsum(n)]
