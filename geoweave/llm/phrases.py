@@ -1,12 +1,17 @@
 """Phrase collocations per language: an FM-index per shard of word ids, n-gram counts summed across the shards.
 
 Documents of one language and partition form shards of a bounded number of words.  A shard keeps its own vocabulary and its
-text as word ids.  Two global rounds narrow the text down exactly: words, then word pairs below ``least`` occurrences in the
-language become breaks, since no candidate can hold them.  What is left is indexed in both directions by a BWT sorted to the
-longest phrase's depth; intervals are extended by one word at a time, to the right in the reversed text's index and to the
-left in the text's own, which enumerates every phrase with its count in the shard.  Spark sums the counts.
+text as word ids.  The text is indexed in both directions by a BWT sorted to the longest phrase's depth; intervals are
+extended by one word at a time, to the right in the reversed text's index and to the left in the text's own, which
+enumerates every phrase with its count in the shard.
 
-Only a shard (at most ``SHARD_WORDS`` words, or one document) is ever held by a task.
+Counts are summed in two rounds, pairs first, then phrases of three words and more in what is left of the text when pairs
+below ``least`` occurrences in the language have become breaks (no longer candidate can hold them).  In a round a shard deals
+the 96-bit fingerprints of its phrases and their counts to hash ranges, in packed rows; a range sums all shards' counts and
+answers each with the places of the frequent ones; the first shard that holds a frequent phrase spells it out.  Shuffled bytes
+follow the number of words, whatever the share of frequent ones.
+
+A task holds one shard (at most ``SHARD_WORDS`` words, or one document) or one range (about ``RANGE_KEYS`` fingerprints).
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import slices, small_batches, stored
+from geoweave.llm.common import U64, mix, slices, small_batches, stored
 
 #: Words of one shard; a longer document makes a shard of its own.
 SHARD_WORDS = 1_500_000
@@ -29,13 +35,16 @@ SHARD_WORDS = 1_500_000
 OPEN_WORDS = 2_500_000
 #: Rows of an index that are extended at a time.
 CHUNK_ROWS = 400_000
+#: Phrase fingerprints that one range sums at a time, about.
+RANGE_KEYS = 400_000
 
 #: Lower-cases A-Z, turns every piece separator into a full stop and a tab into a space.
 _TABLE = bytes(32 if b == 9 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 SHARD = "shard long, lang string, n long, words array<string>, counts array<long>, ids binary"
-PAIRS = "shard long, lang string, words array<string>, ids binary, phrases array<string>, counts array<long>"
-PHRASES = "lang string, k int, phrase string, n long"
+KEYS = "part long, shard long, high binary, low binary, n binary"
+KEPT = "of long, part long, kept binary, owned binary, totals binary"
+FOUND = "shard long, lang string, words array<string>, ids binary, k int, phrase string, a long"
 
 
 class _Vocabulary(dict):
@@ -101,21 +110,6 @@ def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made += 1
 
 
-def keep_runs(ids: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Text in which positions outside ``keep`` are breaks, runs of breaks are one and runs of one word are gone."""
-    ids = np.where(keep, ids, 0)
-    inner = ids > 0
-    beside = np.zeros(len(ids), bool)
-    beside[1:] |= inner[:-1]
-    beside[:-1] |= inner[1:]
-    ids = np.where(inner & beside, ids, 0)
-    if not len(ids):
-        return np.zeros(1, np.int64)
-    stay = (ids > 0) | np.r_[True, ids[:-1] > 0]
-    ids = ids[stay]
-    return ids if ids[-1] == 0 else np.append(ids, 0)
-
-
 class Bwt:
     """BWT of a text whose suffixes are sorted by their first ``depth`` symbols; exact for patterns of that length."""
 
@@ -213,57 +207,147 @@ def _strings(vocabulary: pa.Array, words: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*(vocabulary.take(pa.array(words[:, i] - 1)) for i in range(words.shape[1])), " ")
 
 
-def _column(table: pa.Table, name: str):
-    return table.column(name)[0].values
-
-
-def count_pairs(shards: pa.Table, frequent: pa.Table) -> pa.Table:
-    """A shard's text of frequent words (by their places in its vocabulary) and the counts of all its word pairs."""
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.binary()),
-                        ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-    places = np.sort(frequent.column("place").to_numpy()) if frequent.num_rows and shards.num_rows else np.zeros(0, np.int64)
-    if not len(places):
-        return schema.empty_table()
-    old = _column(shards, "words")
-    new = np.zeros(len(old) + 1, np.int64)
-    new[places + 1] = np.arange(1, len(places) + 1)
-    vocabulary = old.take(pa.array(places))
-    ids = new[unpack(shards.column("ids")[0].as_py())]
-    ids = keep_runs(ids, ids > 0)
-    words, counts = next(enumerate_phrases(ids, 2, len(places) + 1))
-    return pa.Table.from_arrays([
-        shards.column("shard").combine_chunks(), shards.column("lang").combine_chunks(),
-        pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary.cast(pa.string())), pa.array([pack(ids)]),
-        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), _strings(vocabulary, words).cast(pa.string())),
-        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))], schema=schema)
-
-
-def count_longer(longest: int):
-    """Counter of a shard's phrases of 3 to ``longest`` words, given the places of its frequent pairs."""
-    def run(shards: pa.Table, frequent: pa.Table) -> pa.Table:
-        schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-        places = np.sort(frequent.column("place").to_numpy()) if frequent.num_rows and shards.num_rows else np.zeros(0, np.int64)
-        if not len(places):
-            return schema.empty_table()
-        vocabulary = _column(shards, "words")
-        symbols = len(vocabulary) + 1
-        ids = unpack(shards.column("ids")[0].as_py())
-        pair = np.r_[ids[:-1] * symbols + ids[1:], 0]
-        inner = (ids > 0) & (np.r_[ids[1:], 0] > 0)
-        good = np.unique(pair[inner])[places]  # the enumeration gave the pairs in this order
-        at = np.minimum(np.searchsorted(good, pair), len(good) - 1)
-        parts = split_runs(ids, inner & (good[at] == pair))
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of an array with bytes of equal weight together, which compresses sorted numbers."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+class ShardText:
+    """A shard's vocabulary and word ids, its phrases and their fingerprints."""
+
+    def __init__(self, lang: str, words: pa.Array, ids: bytes):
+        self.lang, self.words, self.ids = lang, words, unpack(ids)
+        raw = b"".join(map(xxhash.xxh3_128_digest, words.to_pylist()))
+        both = np.frombuffer(raw, U64).reshape(-1, 2)
+        self.one, self.two = (np.append(U64(0), both[:, i]) for i in (0, 1))
+
+    def phrases(self, shortest: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k, (words, counts) in enumerate(enumerate_phrases(self.ids, longest, len(self.words) + 1), 2):
+            if k >= shortest and len(counts):
+                yield words, counts
+
+    def fingerprints(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of each phrase, its length and its language."""
+        seed = xxhash.xxh3_64_intdigest(self.lang, words.shape[1])
+        high = np.full(len(words), seed, U64)
+        low = ~high
+        for i in range(words.shape[1]):
+            high = mix(high * U64(0x9FB21C651E98DF25) + self.one[words[:, i]])
+            low = mix(low * U64(0xD6E8FEB86659FD93) + self.two[words[:, i]])
+        return high, (low >> U64(32)).astype(np.uint32)
+
+    def dealt(self, words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the phrases by fingerprint, the ordered fingerprints and each one's range."""
+        high, low = self.fingerprints(words)
+        order = np.argsort(high, kind="stable")
+        high = high[order]
+        return order, high, low[order], (((high >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+
+
+def emit_keys(shortest: int, longest: int, parts: int):
+    """Packed fingerprints and counts of each shard's phrases, a row for each range and phrase length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("n", pa.binary())])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shard, lang, ids = (batch.column(c)[at].as_py() for c in ("shard", "lang", "ids"))
+                text = ShardText(lang, batch.column("words")[at].values, ids)
+                for words, counts in text.phrases(shortest, longest):
+                    order, high, low, part = text.dealt(words, parts)
+                    counts = counts[order].astype(U64)
+                    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+                    # ranges of a length are told apart by it, so that a shard's answers can be matched
+                    rows = [[int(part[i]) * (longest + 1) + words.shape[1], shard, _planes(high[i:j]), _planes(low[i:j]), _planes(counts[i:j])]
+                            for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                    for i in range(0, len(rows), 1000):
+                        yield _record(rows[i:i + 1000], schema)
+    return run
+
+
+def sum_range(least: int):
+    """Frequent fingerprints of one range: for each shard the places it holds, those it is first to hold, and their totals."""
+    def run(table: pa.Table) -> pa.Table:
+        schema = pa.schema([("of", pa.int64()), ("part", pa.int64()), ("kept", pa.binary()), ("owned", pa.binary()), ("totals", pa.binary())])
+        order = np.argsort(table.column("shard").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        high, low, n = ([_from_planes(x.as_py(), kind) for x in table.column(c)] for c, kind in
+                        (("high", U64), ("low", np.uint32), ("n", U64)))
+        sizes = np.array([len(x) for x in high])
+        high, low, n = np.concatenate(high), np.concatenate(low), np.concatenate(n).astype(np.int64)
+        order = np.lexsort((np.arange(len(high)), low, high))
+        high, low = high[order], low[order]
+        new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]
+        total = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        kept, owned, totals = np.zeros(len(n), bool), np.zeros(len(n), bool), np.zeros(len(n), np.int64)
+        kept[order] = total >= least
+        owned[order] = new & (total >= least)
+        totals[order] = total
+        rows, end = [], 0
+        for shard, part, size in zip(table.column("shard").to_pylist(), table.column("part").to_pylist(), sizes, strict=True):
+            k, o, t = kept[end:end + size], owned[end:end + size], totals[end:end + size]
+            end += size
+            if k.any():
+                rows.append([shard, part, np.packbits(k).tobytes(), np.packbits(o).tobytes(), t[o].tobytes()])
+        return pa.Table.from_batches([_record(rows, schema)])
+    return run
+
+
+def spell(shortest: int, longest: int, parts: int, narrow: bool):
+    """Rows of the frequent phrases that a shard owns; with ``narrow`` also the shard's text cut down to frequent pairs."""
+    def run(shards: pa.Table, kept: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.binary()),
+                            ("k", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
         out = []
-        lang = shards.column("lang")[0]
-        for k, (words, counts) in enumerate(enumerate_phrases(parts, longest, symbols), 2):
-            if k > 2 and len(counts):
-                out.append(pa.Table.from_arrays([
-                    pa.repeat(lang, len(counts)), pa.repeat(pa.scalar(k, pa.int32()), len(counts)),
-                    _strings(vocabulary, words).cast(pa.string()), pa.array(counts, pa.int64())], schema=schema))
+        if not shards.num_rows or not kept.num_rows:
+            return schema.empty_table()
+        shard, lang, ids = (shards.column(c)[0].as_py() for c in ("shard", "lang", "ids"))
+        text = ShardText(lang, shards.column("words")[0].values, ids)
+        answers = {r["part"]: r for r in kept.to_pylist()}
+        for words, _ in text.phrases(shortest, longest):
+            order, _, _, part = text.dealt(words, parts)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            good, own, totals = [], [], []
+            for i, j in zip(first, np.r_[first[1:], len(part)], strict=True):
+                r = answers.get(int(part[i]) * (longest + 1) + words.shape[1])
+                if r is not None:
+                    k, o = (np.unpackbits(np.frombuffer(r[c], np.uint8), count=j - i).astype(bool) for c in ("kept", "owned"))
+                    good.append(order[i:j][k])
+                    own.append(order[i:j][o])
+                    totals.append(np.frombuffer(r["totals"], np.int64))
+            if not good:
+                continue
+            good, own, totals = np.concatenate(good), np.concatenate(own), np.concatenate(totals)
+            n = len(own)
+            out.append(pa.Table.from_arrays([
+                pa.repeat(shard, n), pa.repeat(lang, n).cast(pa.string()), pa.nulls(n, schema.field("words").type), pa.nulls(n, pa.binary()),
+                pa.repeat(pa.scalar(words.shape[1], pa.int32()), n), _strings(text.words, words[own]).cast(pa.string()),
+                pa.array(totals, pa.int64())], schema=schema))
+            if narrow:
+                ids, vocabulary = narrowed(text, words[good])
+                row = [shard, lang, vocabulary, pack(ids), None, None, None]
+                out.append(pa.Table.from_batches([_record([row], schema)]))
         return pa.concat_tables(out) if out else schema.empty_table()
     return run
 
 
+def narrowed(text: ShardText, pairs: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The shard's text cut at all pairs but the given ones, over the words that are left."""
+    ids, symbols = text.ids, len(text.words) + 1
+    good = np.sort(pairs[:, 0] * symbols + pairs[:, 1])
+    pair = np.r_[ids[:-1] * symbols + ids[1:], 0]
+    at = np.minimum(np.searchsorted(good, pair), len(good) - 1)
+    ids = split_runs(ids, (ids > 0) & (np.r_[ids[1:], 0] > 0) & (good[at] == pair))
+    used = np.unique(ids[ids > 0])
+    new = np.zeros(symbols, np.int64)
+    new[used] = np.arange(1, len(used) + 1)
+    return new[ids], text.words.take(pa.array(used - 1)).to_pylist()
+
+
 def split_runs(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """Text cut wherever a word is not linked to its right neighbour; runs of fewer than three words go, as they hold no longer phrase."""
     n = len(ids)
@@ -287,23 +371,21 @@ def phrase_counts(documents: DataFrame, longest: int, least: int) -> tuple[DataF
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
     shards = stored(texts.mapInArrow(build_shards, SHARD), "phrase-shards")
     totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-
-    def summed(df: DataFrame, strings: str) -> tuple[DataFrame, DataFrame]:
-        """Global counts of each shard's strings, and the places of the frequent ones in it."""
-        each = df.select("shard", "lang", F.posexplode(F.arrays_zip(strings, "counts"))).select(
-            "shard", "lang", F.col("pos").alias("place"), F.col(f"col.{strings}").alias("phrase"), F.col("col.counts").alias("n"))
-        frequent = stored(each.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-counts")
-        return frequent, each.join(frequent, ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), F.col("place").cast("long").alias("place"))
-
-    words, places = summed(shards, "words")
-    pairs = stored(shards.select("shard", "lang", "words", "ids").groupBy("shard").cogroup(places.groupBy("of"))
-                   .applyInArrow(count_pairs, PAIRS), "phrase-pairs")
-    twos, places = summed(pairs, "phrases")
-    longer = (pairs.select("shard", "lang", "words", "ids").groupBy("shard").cogroup(places.groupBy("of"))
-              .applyInArrow(count_longer(longest), PHRASES)
-              .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    counts = (words.select("lang", F.lit(1).alias("k"), "phrase", "a")
-              .unionByName(twos.select("lang", F.lit(2).alias("k"), "phrase", "a")).unionByName(longer))
+    parts = max(8, (shards.agg(F.sum("n")).first()[0] or 0) // RANGE_KEYS)
+    words = (shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+             .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a")).where(F.col("a") >= least))
+
+    def counted(texts: DataFrame, shortest: int, longest: int, narrow: bool) -> DataFrame:
+        texts = texts.select("shard", "lang", "words", "ids")
+        kept = (texts.mapInArrow(emit_keys(shortest, longest, parts), KEYS).groupBy("part").applyInArrow(sum_range(least), KEPT))
+        return stored(texts.groupBy("shard").cogroup(kept.groupBy("of"))
+                      .applyInArrow(spell(shortest, longest, parts, narrow), FOUND), "phrase-counts")
+
+    pairs = counted(shards, 2, 2, True)
+    counts = words.select("lang", F.lit(1).alias("k"), "phrase", "a").unionByName(pairs.where("k = 2").select("lang", "k", "phrase", "a"))
+    if longest > 2:
+        more = counted(pairs.where("ids is not null"), 3, longest, False)
+        counts = counts.unionByName(more.select("lang", "k", "phrase", "a"))
     return stored(counts, "phrases"), totals
 
 
