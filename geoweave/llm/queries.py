@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoweave.llm.alignment import align_tokens
 from geoweave.llm.chat import REPLY, conversation_events, link_calls
 from geoweave.llm.decontaminate import contaminated
 from geoweave.llm.minhash import near_duplicates
@@ -173,6 +174,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(calls, results, REPLY, others)
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op13_collocations", r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
