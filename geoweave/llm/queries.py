@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from geoweave.llm.alignment import align_tokens
 from geoweave.llm.chat import REPLY, conversation_events, link_calls
 from geoweave.llm.decontaminate import contaminated
+from geoweave.llm.extraction import main_texts
 from geoweave.llm.minhash import near_duplicates
 from geoweave.llm.packing import pack
 from geoweave.llm.phrases import collocations
@@ -174,6 +175,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(calls, results, REPLY, others)
 
 
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read(spark, sf_dir, "pages"))
+
+
 @query("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
