@@ -35,11 +35,11 @@ VIEWS = ((1000, 0), (1500, 4))
 #: A word is typical of toxic text from this z-score of its document frequencies; at most so many are kept.
 TYPICAL, MOST_TYPICAL = 6.0, 2000
 THRESHOLD = 0.7
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str) -> list[str]:
-    return NOT_LETTERS.sub(" ", text.lower()).split()
+    return LETTERS.findall(text.lower())
 
 
 def without_copies(texts: list[str]) -> list[int]:
@@ -89,13 +89,29 @@ def compressor(content: bytes) -> zs.ZstdCompressor:
         content, dict_type=zs.DICT_TYPE_RAWCONTENT))
 
 
-def distances(text: str, pairs: list[tuple[bytes, bytes]]) -> list[float]:
-    """Features of a text's windows: how much shorter each gets with the toxic dictionary, in every view."""
+class _Lengths(dict):
+    """``window -> bytes saved by the toxic dictionary``; each distinct window is compressed once."""
+
+    def __init__(self, bad: bytes, good: bytes):
+        super().__init__()
+        self.bad, self.good = compressor(bad).compress, compressor(good).compress
+
+    def __missing__(self, window: str) -> int:
+        raw = window.encode()
+        self[window] = saved = len(self.good(raw)) - len(self.bad(raw))
+        return saved
+
+
+def distances(text: str, pairs: list[tuple[bytes, bytes]], known: list[_Lengths] | None = None) -> list[float]:
+    """Features of a text's windows: how much shorter each gets with the toxic dictionary, in every view.
+
+    ``known`` keeps windows between the texts of a batch.
+    """
     words, out = tokens(text), []
-    for (bad, good), (_, phase) in zip(pairs, VIEWS, strict=True):
-        a, b = compressor(bad).compress, compressor(good).compress
+    for k, (_, phase) in enumerate(VIEWS):
+        saved = known[k] if known else _Lengths(*pairs[k])
         parts = [words[:phase], *(words[i: i + WINDOW] for i in range(phase, len(words), WINDOW))]
-        d = np.array([len(b(w)) - len(a(w)) for w in ((" " + " ".join(p) + " ").encode() for p in parts if p)] or [0])
+        d = np.array([saved[f" {' '.join(p)} "] for p in parts if p] or [0])
         top = np.sort(d)[::-1]
         out += [min(top[0], 10), min(top[:2].sum(), 16), min(top[:4].sum(), 30), np.clip(d.mean(), -2, 3), (d >= 2).mean(),
                 (d >= 3).mean(), (d >= 4).mean(), (d < 0).mean(), np.log1p(len(d)), np.log1p((d >= 3).sum()),
@@ -137,12 +153,14 @@ def scored(documents: DataFrame, columns: list[str], pairs: list[tuple[bytes, by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [distances(t.as_py() or "", pairs) for t in batch.column(len(columns))] if pairs else []
+            texts = [t.as_py() or "" for t in batch.column(len(columns))]
+            known = [_Lengths(*pair) for pair in pairs]
+            x = [distances(t, pairs, known) for t in texts] if pairs else []
             if pairs and model is None:
                 extra, name = pa.array(x, pa.list_(pa.float64())), "features"
             else:
                 score = model.score(np.array(x).reshape(batch.num_rows, -1)) if pairs and x else np.zeros(batch.num_rows)
-                blank = np.array([not NOT_LETTERS.sub("", t.as_py() or "") for t in batch.column(len(columns))], bool)
+                blank = np.array([not LETTERS.search(t) for t in texts], bool)
                 extra, name = pa.array(np.where(blank, 0.0, score)), "score"
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], extra], [*columns, name])
 
