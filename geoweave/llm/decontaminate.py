@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling over shared-token seeds.
 
 The benchmark is read in blocks of bounded size; each block is one pass over the documents without a shuffle.
-In a task a rolling Karp-Rabin hash of ``min_tile`` tokens finds the places where a document and an item agree; the longest
-common run that is still unmarked on both sides becomes a tile, again and again, down to ``min_tile`` tokens.  An item
-counts as leaked if its tiles cover ``threshold`` of its tokens, in whatever order they stand.
+In a task a rolling Karp-Rabin hash of ``min_tile`` tokens finds which seeds of an item a document holds; items whose seeds could
+not cover enough are passed over.  For each other item, one at a time, the seeds' places join to maximal runs; the longest
+that is still unmarked on both sides becomes a tile, again and again, down to ``min_tile`` tokens.  An item counts as leaked if its
+tiles cover ``threshold`` of its tokens, in whatever order they stand.  Memory follows the texts, not the pairs of places.
 """
 
 from __future__ import annotations
@@ -19,12 +20,19 @@ from pyspark.sql import functions as F
 
 from geoweave.llm.common import U64, mix, slices, small_batches, text_buffer, word_table, words
 
-#: Tokens are runs of ASCII letters and digits and of non-ASCII characters, lower-cased.
+#: Tokens are runs of ASCII letters and digits and of other characters that are no punctuation, symbol or space, lower-cased; each
+#: character of a script written without spaces is one.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+MARKS = r"[\x{80}-\x{A9}\x{AB}-\x{B1}\x{B4}\x{B6}-\x{B8}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{20A0}-\x{20CF}\x{2190}-\x{2BFF}\x{2E00}-\x{2E7F}\x{3000}-\x{303F}\x{FE10}-\x{FE6F}\x{FEFF}-\x{FF0F}\x{FF1A}-\x{FF20}]"
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 MIN_TILE = 5
 THRESHOLD = 0.5
+#: Items below ``min_tile`` tokens match as one whole tile if they have at least so many; a lone word is no passage.
+SHORTEST = 2
 #: Bytes of benchmark text that one pass carries to the tasks.
 BLOCK_BYTES = 8_000_000
+#: Pairs of places looked at together.
+PAIRS = 1_000_000
 
 _FACTORS = mix(np.arange(1, 65, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
@@ -41,38 +49,79 @@ def _seeds(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return at, mix(total)
 
 
+def tokenised(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts in which separators are ASCII and every token of an unspaced script stands alone."""
+    texts = pc.utf8_lower(texts)
+    for pattern, new in ((MARKS, " "), (UNSPACED, r" \0 ")):
+        found = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+        if pc.any(found).as_py():
+            texts = pc.if_else(found, pc.replace_substring_regex(texts, pattern, new), texts)
+    return texts
+
+
 class Items:
-    """One block of the benchmark, indexed by the seeds of its items."""
+    """One block of the benchmark: distinct token sequences, indexed by their seeds of ``k`` tokens."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], k: int):
         self.ids, self.k = [r[0] for r in rows], k
-        text = pc.utf8_lower(pa.array([r[1] or "" for r in rows], pa.string()))
-        h, row, _, _ = words(*text_buffer(text), word_table("", LETTERS))
-        self.first = np.searchsorted(row, np.arange(len(rows) + 1))
-        at, seed = _seeds(h, row, k)
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.item, self.at = seed[order], row[at][order], (at - self.first[row[at]])[order]
-
-    def tokens(self, item: int) -> int:
-        return int(self.first[item + 1] - self.first[item])
+        h, row, _, _ = words(*text_buffer(tokenised(pa.array([r[1] or "" for r in rows], pa.string()))), word_table("", LETTERS))
+        self.h, self.first = h, np.searchsorted(row, np.arange(len(rows) + 1))
+        same: dict[bytes, list[int]] = {}
+        for i in range(len(rows)):
+            same.setdefault(h[self.first[i]:self.first[i + 1]].tobytes(), []).append(i)
+        self.rows = {own[0]: own for own in same.values()}  # rows with the same tokens share a result
+        lead = np.isin(row, list(self.rows))
+        self.by_seed = {}
+        size = np.diff(self.first)
+        for n in {k, *(x for x in np.unique(size).tolist() if SHORTEST <= x < k)}:
+            at, seed = _seeds(h, row, n)
+            own = lead[at] & (size[row[at]] == n if n < k else True)
+            at, seed = at[own], seed[own]
+            order = np.argsort(seed, kind="stable")
+            self.by_seed[n] = (seed[order], row[at][order], (at - self.first[row[at]])[order])
+
+    def tokens(self, item: int) -> np.ndarray:
+        return self.h[self.first[item]:self.first[item + 1]]
+
+
+def runs(doc: np.ndarray, item: np.ndarray, k: int, place: np.ndarray, of: np.ndarray, upto: np.ndarray, where: np.ndarray
+         ) -> list[tuple[int, int, int]]:
+    """Maximal common runs of ``k`` tokens or more as (-length, item place, document place), from the seeds' places.
+
+    Seed j stands in the item at ``where[j]`` and in the document at ``place[of[j]:upto[j]]``.  Of runs over the same tokens of the item
+    only the first are kept that the tiles, which mark no more tokens than the item has, cannot all block.
+    """
+    out = []
+    enough = len(item) + len(item) ** 2 // k + 1
+    for q, a, b in zip(where.tolist(), of.tolist(), upto.tolist(), strict=True):
+        found = []
+        for c in range(a, b, PAIRS):
+            p = place[c:min(b, c + PAIRS)]
+            if q:  # a run that begins earlier holds this seed
+                p = p[(p == 0) | (doc[p - 1] != item[q - 1])]
+            n = np.full(len(p), k)
+            open_ = np.arange(len(p))
+            while len(open_):
+                open_ = open_[(p[open_] + n[open_] < len(doc)) & (q + n[open_] < len(item))]
+                open_ = open_[doc[p[open_] + n[open_]] == item[q + n[open_]]]
+                n[open_] += 1
+            found.append((n, p))
+        if not found:
+            continue
+        n, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(-n, kind="stable")
+        n, p = n[order], p[order]
+        new = np.r_[True, n[1:] != n[:-1]] if len(n) else np.zeros(0, bool)
+        rank = np.arange(len(n)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(n) else n
+        out += [(-int(x), q, int(y)) for x, y in zip(n[rank < enough], p[rank < enough], strict=True)]
+    return out
 
 
-def tile(match: list[tuple[int, int]], k: int) -> tuple[int, int]:
-    """Covered item tokens and number of tiles, from all places ``(document, item)`` where ``k`` tokens agree.
+def tile(heap: list[tuple[int, int, int]], k: int) -> tuple[int, int]:
+    """Covered item tokens and number of tiles, from the maximal runs ``(-length, item place, document place)``.
 
     Longest first; ties go to the earlier place in the item, then in the document.
     """
-    heap: list[tuple[int, int, int]] = []
-    run: tuple[int, int, int] | None = None
-    for diagonal, d, i in sorted((d - i, d, i) for d, i in match):
-        if run and run[0] == diagonal and d == run[1] + run[2] - k + 1:
-            run = (diagonal, run[1], run[2] + 1)
-        else:
-            if run:
-                heap.append((-run[2], run[1] - run[0], run[1]))
-            run = (diagonal, d, k)
-    if run:
-        heap.append((-run[2], run[1] - run[0], run[1]))
     heapq.heapify(heap)
     in_doc: set[int] = set()
     in_item: set[int] = set()
@@ -98,28 +147,48 @@ def tile(match: list[tuple[int, int]], k: int) -> tuple[int, int]:
 
 def leaks(texts: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
     """``(row, item, tokens, covered, tiles)`` of every document and item with enough coverage."""
-    buf, start, end = text_buffer(pc.utf8_lower(texts))
+    buf, start, end = text_buffer(tokenised(texts))
     table = word_table("", LETTERS)
     for i, j in slices(start, end):
         h, row, _, _ = words(buf, start[i:j], end[i:j], table)
-        at, seed = _seeds(h, row, items.k)
-        low = np.searchsorted(items.seed, seed)
-        hit = np.flatnonzero(items.seed[np.minimum(low, len(items.seed) - 1)] == seed) if len(items.seed) else []
-        if not len(hit):
-            continue
-        high = np.searchsorted(items.seed, seed[hit], "right")
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), high.tolist(), strict=True):
-            r = int(row[p])
-            for q in range(a, b):
-                found.setdefault((r, int(items.item[q])), []).append((p, int(items.at[q])))
-        for (r, item), match in sorted(found.items()):
-            n = items.tokens(item)
-            if len(set(x for _, x in match)) + items.k - 1 < threshold * n and len(match) * items.k < threshold * n:
-                continue  # too few seeds for the threshold
-            covered, tiles = tile(match, items.k)
-            if covered >= threshold * n:
-                yield i + r, item, n, covered, tiles
+        first = np.searchsorted(row, np.arange(j - i + 1))
+        for k, (seeds, item_of, item_at) in items.by_seed.items():
+            at, seed = _seeds(h, row, k)
+            low = np.searchsorted(seeds, seed)
+            hit = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == seed) if len(seeds) else []
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((low[hit], row[at[hit]]))]  # by document and seed, places in order
+            place, low = at[hit], low[hit]
+            r = row[place]
+            local = place - first[r]
+            group = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (low[1:] != low[:-1])])
+            upto = np.r_[group[1:], len(place)]
+            high = np.searchsorted(seeds, seeds[low[group]], "right")
+            many = high - low[group]
+            head = np.flatnonzero(np.diff(r[group], prepend=-1))  # first seed of each document
+            for a, b in slices(np.zeros(len(head), np.int64), np.add.reduceat(many, head), PAIRS):
+                g = np.arange(head[a], head[b] if b < len(head) else len(group))
+                of = np.repeat(g, many[g])  # every place of an item at which one of the document's seeds stands
+                entry = np.arange(len(of)) - np.repeat(np.cumsum(many[g]) - many[g], many[g]) + low[group][of]
+                order = np.lexsort((item_at[entry], item_of[entry], r[group][of]))
+                of, entry = of[order], entry[order]
+                key = r[group][of] * len(items.ids) + item_of[entry]
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                q = item_at[entry]
+                reach = np.minimum(np.diff(q, append=0), k)
+                reach[np.r_[new[1:], len(q)] - 1] = k
+                bound = np.add.reduceat(reach, new)  # tokens that the seeds can cover at most
+                for x, y, most in zip(new.tolist(), np.r_[new[1:], len(q)].tolist(), bound.tolist(), strict=True):
+                    item, d = int(item_of[entry[x]]), int(r[group][of[x]])
+                    tokens = items.tokens(item)
+                    if most < threshold * len(tokens):
+                        continue
+                    doc = h[first[d]:first[d + 1]]
+                    covered, tiles = tile(runs(doc, tokens, k, local, group[of[x:y]], upto[of[x:y]], q[x:y]), k)
+                    if covered >= threshold * len(tokens):
+                        for same in items.rows[item]:
+                            yield i + d, same, len(tokens), covered, tiles
 
 
 def benchmark_blocks(benchmark: DataFrame, min_tile: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
@@ -136,8 +205,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_tile: int = MIN
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, n_tokens, covered, coverage, n_tiles`` of each document that holds an item of the benchmark.
 
-    Only leaks have rows.  Null and empty texts, and items of fewer than ``min_tile`` tokens, match nothing; an empty table gives no
-    rows; each of repeated documents has its rows, repeated items count once.  Other columns are not read.
+    Only leaks have rows.  Null and empty texts, and items of a lone token, match nothing; an item of fewer than ``min_tile`` tokens
+    matches as a whole; an empty table gives no rows; each of repeated documents has its rows, repeated items count once.  Texts
+    of any length, repetitive ones too, are tiled whole.  Other columns are not read.
     """
     small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -3,7 +3,10 @@
 import random
 import zlib
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,14 +29,35 @@ def frame(spark, rows):
 @settings(max_examples=150, deadline=None)
 def test_tiles_follow_the_definition(doc, item):
     k = 3
-    places = [(d, i) for d in range(len(doc) - k + 1) for i in range(len(item) - k + 1) if doc[d:d + k] == item[i:i + k]]
-    assert decontaminate.tile(places, k) == brute.tiling(doc, item, k)
+    where = [i for i in range(len(item) - k + 1)]
+    places = [[d for d in range(len(doc) - k + 1) if doc[d:d + k] == item[i:i + k]] for i in where]
+    ends = np.cumsum([0] + [len(p) for p in places])
+    found = decontaminate.runs(np.array(doc), np.array(item), k, np.array([d for p in places for d in p], int), ends[:-1], ends[1:],
+                               np.array(where)) if ends[-1] else []
+    assert decontaminate.tile(found, k) == brute.tiling(doc, item, k)
+
+
+def test_repetitive_texts_and_shared_templates():
+    """A million equal words against an item of the same word, and ten thousand items that share a template."""
+    items = decontaminate.Items([(1, "w " * 40), (2, "w " * 40), (3, "w " * 300 + "end")], 5)
+    got = list(decontaminate.leaks(pa.array(["w " * 1_000_000, "w " * 39, None]), items, 0.5))
+    assert sorted(got) == [(0, 0, 40, 40, 1), (0, 1, 40, 40, 1), (0, 2, 301, 300, 1), (1, 0, 40, 39, 1), (1, 1, 40, 39, 1)]
+    template = " ".join(f"t{i}" for i in range(20))
+    items = decontaminate.Items([(i, f"{template} {' '.join(f'own{i}x{j}' for j in range(30))}") for i in range(10_000)], 5)
+    texts = pa.array([f"before {template} after", f"{template} {' '.join(f'own77x{j}' for j in range(30))}"] * 20)
+    assert {x[1:] for x in decontaminate.leaks(texts, items, 0.5)} == {(77, 50, 50, 1)}
+
+
+def test_short_items_and_other_scripts():
+    items = decontaminate.Items([(1, "too short"), (2, "lone"), (3, "日本語のテキスト、漢字。"), (4, "“quoted—words” of five tokens"), (5, "สวัสดีครับ"), (6, "")], 5)
+    texts = pa.array(["this is too short, really", "lone too", "前置き日本語のテキスト漢字後", "quoted words of five tokens", "too\u00a0SHORT", "ก สวัสดีครับ"])
+    assert sorted((r, items.ids[i]) for r, i, *_ in decontaminate.leaks(texts, items, 0.5)) == [(0, 1), (2, 3), (3, 4), (4, 1), (5, 5)]
 
 
 def test_leaks(spark):
     rng = random.Random(1)
     words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
-    items = [(1, " ".join(a := words(40))), (2, " ".join(b := words(30))), (3, None), (4, "too short"), (2, " ".join(b)), (None, " ".join(c := words(12)))]
+    items = [(1, " ".join(a := words(40))), (2, " ".join(b := words(30))), (3, None), (4, "two words"), (2, " ".join(b)), (None, " ".join(c := words(12)))]
     docs = [(1, " ".join(words(30) + a + words(30))), (2, " ".join(words(9) + a[20:] + words(9) + a[:20])),
             (3, " ".join(a[:15] + words(40))), (4, ", ".join(b).upper()), (5, None), (6, ""), (7, " ".join(words(80))), (None, " ".join(c)),
             (8, " ".join(a + b)), (8, " ".join(a + b)), (9, " ".join(words(40_000) + b + words(300_000)))]
@@ -164,7 +188,7 @@ def test_rules_compile_to_what_they_mean(spark):
     x = rng.random((400, 3))
     y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.4)).astype(float)
     rules = quality.boosted_rules(x, y, ["a", "b", "c"])
-    w = quality.lasso(np.stack([r.holds(dict(zip("abc", x.T, strict=True))) for r in rules], 1).astype(float), y, 0.002)
+    w = quality.lasso(np.array([r.holds(dict(zip("abc", x.T, strict=True))) for r in rules]).T.astype(float), y, 0.002)
     model = object.__new__(quality.Quality)
     model.intercept, model.rules = float(w[0]), [(r, float(k)) for r, k in zip(rules, w[1:], strict=True) if k]
     assert len(model.rules) < len(rules)
@@ -202,3 +226,24 @@ def test_sample_leaves_out_the_held_out_fold(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     ids = [r.doc_id for r in samples.labelled_sample(docs, labels, "toxic", 3, 1, 10, 20, 10**6).collect()]
     assert 0 < len(ids) <= 30 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+
+
+def test_compression_distances_by_definition():
+    """Window lengths from a compressor per call, features by hand; kept windows change nothing."""
+    bad, good = toxicity.dictionaries(toxicity.Counter({"vile": 9, "foul": 8, "and": 9}), 10, toxicity.Counter({"and": 50, "the": 60, "tree": 9}), 60, 10)
+    pairs = [(bad, good)] * 2
+    text = "The tree, and the vile FOUL vile thing 77 und " * 30
+    w = [x for x in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+    want = []
+    for _, phase in toxicity.VIEWS:
+        parts = [w[:phase]] + [w[i:i + 8] for i in range(phase, len(w), 8)]
+        d = [len(toxicity.compressor(good).compress(x)) - len(toxicity.compressor(bad).compress(x))
+             for x in ((" " + " ".join(p) + " ").encode() for p in parts if p)]
+        top = sorted(d, reverse=True)
+        want += [min(top[0], 10), min(sum(top[:2]), 16), min(sum(top[:4]), 30), max(-2, min(3, sum(d) / len(d))),
+                 *(sum(x >= k for x in d) / len(d) for k in (2, 3, 4)), sum(x < 0 for x in d) / len(d), math.log1p(len(d)),
+                 *(math.log1p(sum(x >= k for x in d)) for k in (3, 4, 5)), sum(max(x - 1, 0) for x in d) / len(d)]
+    known = [toxicity._Lengths(*p) for p in pairs]
+    for kept in (None, known, known):
+        assert np.allclose(toxicity.distances(text, pairs, kept), want)
+    assert top[0] > 0 and toxicity.distances("", pairs) == toxicity.distances("7 !", pairs)
