@@ -62,9 +62,9 @@ def signatures(sets: list[np.ndarray], bands: int, width: int) -> tuple[np.ndarr
     """128-bit set identities (n, 2) and both collections' keys (n, bands) of non-empty sets."""
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    ident = np.stack([mix(np.add.reduceat(mix(flat ^ U64(0xA5A5)), at)), mix(np.add.reduceat(mix(flat + U64(77)), at))], 1)
+    ident = np.array([mix(np.add.reduceat(mix(flat ^ U64(0xA5A5)), at)), mix(np.add.reduceat(mix(flat + U64(77)), at))]).T
     seeds = mix(np.arange(1, 2 * bands * width + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-    mins = np.stack([np.minimum.reduceat(flat * s, at) for s in seeds], 1)
+    mins = np.array([np.minimum.reduceat(flat * s, at) for s in seeds]).T
     keys = np.zeros((len(sets), 2 * bands), U64)
     for k in range(2 * bands):
         keys[:, k] = k + 1

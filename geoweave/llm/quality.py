@@ -140,7 +140,7 @@ class Quality:
             self.intercept = float(np.log(mean / (1 - mean)))
             return
         full = {n: x[:, k] for k, n in enumerate(self.names)}
-        r = np.stack([rule.holds(full) for rule in rules], 1).astype(float)
+        r = np.array([rule.holds(full) for rule in rules]).T.astype(float)
         check = np.arange(len(y)) % 5 == 0  # rows in order of doc_id
         best, start = (np.inf, 0.0), None
         for penalty in (0.03, 0.01, 0.005, 0.002, 0.001):
