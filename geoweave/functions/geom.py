@@ -171,7 +171,7 @@ def geometry_type(geom) -> Column:
 
 def st_make_valid(geom) -> Column:
     """G9 (limited): drop consecutive duplicate vertices, close rings, orient shells CCW / holes CW,
-    drop rings with fewer than 4 points.  Self-intersections are *not* repaired (see ``is_simple_ring``)."""
+    drop rings with fewer than 4 points.  Self-intersections need ``operators.union.make_valid``."""
     g = as_col(geom)
 
     def dedupe(ring):

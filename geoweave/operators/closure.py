@@ -61,6 +61,28 @@ def entailments(schema: DataFrame, sc: DataFrame, sp: DataFrame) -> tuple[DataFr
     return cut_lineage(props), cut_lineage(above)
 
 
+def schema_closure(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Schema triples ``s, p, o`` of the default graph and the closed subPropertyOf relation.
+
+    A property below subClassOf, subPropertyOf, domain or range makes schema triples of its own triples; these can put
+    further properties there, so both are repeated until nothing is new.  Without such a property the data is read once.
+    """
+    terms = [SUBCLASS, SUBPROP, DOMAIN, RANGE]
+    default = base.where(F.col("g").isNull()).select("s", "p", "o", "o_kind")
+    schema = cut_lineage(default.where(F.col("p").isin(terms)).select("s", "p", "o").distinct())
+    lifted = None
+    while True:
+        sp = transitive_closure(schema.where(F.col("p") == SUBPROP).select("s", "o"))
+        lifts = sp.where(F.col("o").isin(terms) & (F.col("s") != F.col("o")))
+        lifts = cut_lineage(lifts if lifted is None else lifts.join(lifted, ["s", "o"], "left_anti"))
+        if lifts.isEmpty():
+            return schema, sp
+        new = (default.where(F.col("o_kind") != "literal").join(lifts.select(F.col("s").alias("p"), F.col("o").alias("q")), "p")
+               .select("s", F.col("q").alias("p"), "o").distinct())
+        schema = cut_lineage(schema.unionByName(new).distinct())
+        lifted = lifts if lifted is None else cut_lineage(lifted.unionByName(lifts))
+
+
 def rdfs_closure(quads: DataFrame) -> DataFrame:
     """Q10: RDFS entailment over the default graph (set semantics); quads of named graphs stay as they are.
 
@@ -71,14 +93,15 @@ def rdfs_closure(quads: DataFrame) -> DataFrame:
     ``x rdf:type rdfs:Resource`` is not materialised (with two explicit triples
     ``a a A . A subClassOf B`` the result has 9 triples).
 
-    The input is read twice: once for its schema triples, once for a pass that expands each quad into the
+    Schema triples that follow from sub-properties of these four are part of the schema (``schema_closure``).
+
+    The input is read twice (and once more for each round of such sub-properties): for its schema triples, and for a pass that expands each quad into the
     rows it entails through two schema-sized lookups; one final ``distinct`` combines map-side, so
     the many equal class rows never travel.
     """
     base = quads.select(*QUAD_COLUMNS)
-    schema = cut_lineage(base.where(F.col("g").isNull() & F.col("p").isin(SUBCLASS, SUBPROP, DOMAIN, RANGE)).select("s", "p", "o"))
+    schema, sp = schema_closure(base)
     sc = transitive_closure(schema.where(F.col("p") == SUBCLASS).select("s", "o"))
-    sp = transitive_closure(schema.where(F.col("p") == SUBPROP).select("s", "o"))
     props, above = entailments(schema, sc, sp)
 
     none = F.lit(None).cast("string")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,9 +132,25 @@ def bgp(quads: DataFrame, patterns: Sequence[Pattern], prefixes: Mapping[str, st
     return acc
 
 
-def optional(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left outer join on the shared variables."""
-    return _join_bindings(left, right, "left")
+def optional(left: DataFrame, right: DataFrame, maybe: Sequence[str] = ()) -> DataFrame:
+    """Left outer join on the shared variables.
+
+    ``maybe`` names shared variables that an earlier OPTIONAL may have left unbound.  An unbound variable is compatible with any
+    value and takes the right side's: solutions are split by which of these they bind, each kind has its own equi-join.
+    """
+    names = [v.lstrip("?") for v in maybe if v.lstrip("?") in left.columns and v.lstrip("?") in right.columns]
+    if not names:
+        return _join_bindings(left, right, "left")
+    out = None
+    for bound in product((True, False), repeat=len(names)):
+        free = [v for v, b in zip(names, bound, strict=True) if not b]
+        kind = left.where(reduce(lambda x, y: x & y, [F.col(v).isNotNull() == F.lit(b) for v, b in zip(names, bound, strict=True)]))
+        taken = [c for v in free for c in (v, *(v + a for a in AUX)) if c in left.columns]  # null on this side: the right one's stand in
+        joined = _join_bindings(kind.drop(*taken), right, "left")
+        part = joined.select(*[F.col(c) if c in joined.columns else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns],
+                             *[F.col(c) for c in right.columns if c not in left.columns])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def bind(df: DataFrame, var: str, expr: Column) -> DataFrame:

@@ -223,21 +223,35 @@ def _geometry(done: DataFrame, key: str, geom_col: str, srid: int | None) -> Dat
 def union_agg(df: DataFrame, key: str, geom_col: str = "geom", srid: int | None = None, small: int = SMALL) -> DataFrame:
     """Union of the polygons of each ``key`` group → ``(key, geom MULTIPOLYGON, overlap_edges)``.
 
-    ``key`` is a feature and its rows its faces; repeated faces combine map-side.  Groups whose faces enclose no area have no row.
+    ``key`` is a feature and its rows its faces; repeated faces combine.  Groups whose faces enclose no area have no row.
     ``overlap_edges`` counts edge pieces beside which two different faces overlap (0 for a clean coverage).
     Features of up to ``small`` vertices are overlaid in one step, the faces of larger ones by ``large_union``.
     """
+    size = F.aggregate(F.col(geom_col)["parts"], F.lit(0), lambda n, part: n + F.aggregate(part, F.lit(0), lambda m, ring: m + F.size(ring)))
+    large = cut_lineage(df.select(F.col(key).alias("_k"), size.alias("n")).groupBy("_k").agg(F.sum("n").alias("n"))
+                        .where(F.col("n") > small).select("_k"))
     faces = df.select(F.col(key).alias("_k"), F.explode(F.col(geom_col)["parts"]).alias("part")).select("_k", _flat("part").alias("part"))
-    faces = faces.groupBy("_k", "part").agg(F.count("*").alias("_n")).drop("_n")
-    size = F.aggregate("part", F.lit(0), lambda n, ring: n + F.size(ring))
-    sized = faces.groupBy("_k").agg(F.sum(size).alias("n"))
-    large = cut_lineage(sized.where(F.col("n") > small).select("_k"))
     if large.isEmpty():
         return _geometry(_overlaid(faces), key, geom_col, srid)
     done = _overlaid(faces.join(large, "_k", "left_anti")).unionByName(large_union(faces.join(large, "_k", "left_semi")))
     return _geometry(done, key, geom_col, srid)
 
 
+def make_valid(df: DataFrame, key: str, geom_col: str = "geom", srid: int | None = None, small: int = SMALL) -> DataFrame:
+    """``df`` with valid areas: rings are noded at their crossings and the faces that an odd number of rings of a part holds are kept.
+
+    ``key`` identifies a row.  A bow tie becomes its two lobes, a hole that reaches over its shell adds what lies outside, parts
+    that overlap are joined; what encloses no area becomes an empty multipolygon.  Other geometry types and nulls stay.
+    """
+    areal = F.col(geom_col)["type"].isin("POLYGON", "MULTIPOLYGON")
+    valid = union_agg(df.where(areal).select(key, geom_col), key, geom_col, srid, small).select(
+        F.col(key).alias("_id"), F.col(geom_col)["parts"].alias("_parts"))
+    empty = F.filter(F.col(geom_col)["parts"], lambda p: F.lit(False))
+    rows = df.join(valid, df[key].eqNullSafe(F.col("_id")), "left")
+    fixed = F.col(geom_col).withField("parts", F.coalesce("_parts", empty)).withField("type", F.lit("MULTIPOLYGON"))
+    return rows.withColumn(geom_col, F.when(areal, fixed).otherwise(F.col(geom_col))).select(*df.columns)
+
+
 def _overlaid(faces: DataFrame) -> DataFrame:
     """Overlay of all faces of a feature in one step."""
     grouped = faces.groupBy("_k").agg(F.array_sort(F.collect_set("part")).alias("parts"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import crs, geom as G
 from geoweave.operators import city as C
-from geoweave.operators.union import union_agg
+from geoweave.operators.union import make_valid, union_agg
 from geoweave.plans.registry import query
 from geoweave.plans.relational import UUID_SQL
 from geoweave.plans.sqlmath import sql_transform
@@ -443,3 +443,40 @@ def reproject_utm_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geographic → UTM zone 32N → geographic."""
     k = F.col("s_suppkey")
     return _there_and_back(read(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", 6.0 + (k % 60) / 10.0, 45.0 + (k % 100) / 10.0, 25832)
+
+
+@query("union_large_feature", """
+WITH c AS (SELECT DISTINCT floor(p_partkey / 100) AS y, 2 * (p_partkey % 100) + u AS x FROM part, (SELECT unnest([0, 1, 2]) AS u)),
+b AS (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS run FROM c)
+SELECT 'all' AS k, count(*) / 2 AS area, (SELECT count(DISTINCT y % 2) FROM c) AS n_rows FROM b
+""")
+def union_large_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as the overlapping faces of one feature, a grid of cells over it."""
+    k = F.col("p_partkey")
+    x, y = (k % 100).cast("double"), F.floor(k / 100).cast("double")
+    faces = read(spark, sf_dir, "part", "p_partkey").select(F.lit("all").alias("k"), G.box(x, y, x + 1.5, y + 1.0).alias("geom"), (y % 2).alias("y"))
+    rows = faces.groupBy("k").agg(F.count_distinct("y").alias("n_rows"))
+    return union_agg(faces, "k", small=100).join(rows, "k").select("k", F.round(G.st_area("geom"), 6).alias("area"), "n_rows")
+
+
+def _ring(*xy) -> F.Column:
+    points = [G.vertex(x, y) for x, y in xy]
+    return F.array(*points, points[0])
+
+
+@query("make_valid_bowtie", """
+WITH p AS (SELECT p_partkey AS k, p_size % 9 + 2 AS w, p_size % 5 + 2 AS h FROM part)
+SELECT k, CASE k % 4 WHEN 0 THEN w * h / 2 WHEN 1 THEN w * h + 1 WHEN 2 THEN 0 ELSE w * h - 1 END AS area,
+  CASE k % 4 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 END AS n_parts FROM p
+""")
+def make_valid_bowtie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bow ties, holes beside their shell, spikes without area, shells given twice around a hole."""
+    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, w, h, z = F.col("p_partkey"), (F.col("p_size") % 9 + 2).cast("double"), (F.col("p_size") % 5 + 2).cast("double"), F.lit(0.0)
+    shell = _ring((z, z), (w, z), (w, h), (z, h))
+    unit = lambda x: _ring((x, z + 0.5), (x + 1, z + 0.5), (x + 1, z + 1.5), (x, z + 1.5))
+    shapes = [F.array(F.array(_ring((z, z), (w, h), (w, z), (z, h)))), F.array(F.array(shell, unit(w + 1))), F.array(F.array(_ring((z, z), (w, h), (w, h)))),
+              F.array(F.array(shell, unit(z + 0.5)), F.array(shell, unit(z + 0.5)))]
+    parts = F.when(k % 4 == 0, shapes[0]).when(k % 4 == 1, shapes[1]).when(k % 4 == 2, shapes[2]).otherwise(shapes[3])
+    rows = p.select(k.alias("k"), G.make_geom("MULTIPOLYGON", parts).alias("geom"))
+    return make_valid(rows, "k").select("k", F.round(G.st_area("geom"), 6).alias("area"), F.size(F.col("geom")["parts"]).alias("n_parts"))

@@ -295,6 +295,21 @@ def bgp_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.optional(left, right).select("c", "bal")
 
 
+@query("bgp_optional_chain", f"""
+WITH v AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR) END AS bal FROM customer),
+x AS (SELECT {_iri_sql('customer', 'k')} AS c, bal, CASE WHEN k % 3 = 0 THEN bal ELSE 'other' END AS seen FROM v)
+SELECT c, coalesce(bal, seen) AS v, bal IS NOT DISTINCT FROM seen OR bal IS NULL AND seen IS NOT NULL AS agreed FROM x
+""")
+def bgp_optional_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: a second OPTIONAL over a variable that the first may leave unbound: it binds it there and must agree elsewhere."""
+    quads = tpch_quads(spark, sf_dir, ("customer",))
+    first = G.optional(G.bgp(quads, [("?c", "a", "ex:Customer")], PFX), G.bgp(quads, [("?c", "ex:acctbal", "?v")], PFX))
+    first = first.select("c", "v")
+    key = F.substring_index("c", "/", -1).cast("long")
+    second = first.select("c", F.when(key % 3 == 0, F.col("v")).otherwise(F.lit("other")).alias("v"), F.lit(True).alias("hit")).where("v is not null")
+    return G.optional(first, second, maybe=["?v"]).select("c", "v", F.coalesce("hit", F.col("v").isNull()).alias("agreed"))
+
+
 @query("bgp_path", f"""
 SELECT {_iri_sql('order', 'o_orderkey')} AS o, {_iri_sql('nation', 'c_nationkey')} AS n
 FROM orders JOIN customer ON o_custkey = c_custkey
@@ -414,6 +429,26 @@ def rdfs_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.rdfs_closure(class_tree_quads(spark, sf_dir))
 
 
+@query("rdfs_meta", f"""
+SELECT '{EX}RegionClass' || CAST(n_regionkey AS VARCHAR) AS o, count(*) AS n
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+UNION ALL SELECT '{EX}Place', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
+def rdfs_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10: class tree stated by a property that only a further property puts below subClassOf; instances reach the top."""
+    tree = class_tree_quads(spark, sf_dir)
+    own = tree.withColumn("p", F.when(F.col("p") == _SC, F.lit(EX + "within")).otherwise(F.col("p")))
+    tops = own.where(F.col("p") == EX + "within").select(F.col("o").alias("s")).distinct().withColumn("o", F.lit(EX + "Place"))
+    rules = spark.createDataFrame([(EX + "within", EX + "narrower", EX + "below"), (EX + "below", T.RDFS + "subPropertyOf", T.RDFS + "subPropertyOf"),
+                                   (EX + "narrower", _SC, T.RDFS + "subPropertyOf")],
+                                  "s string, o string, p string")
+    facts = tops.withColumn("p", F.lit(EX + "narrower")).unionByName(rules.select("s", "o", "p"))
+    iri = {"g": F.lit(None).cast("string"), "o_kind": F.lit("iri"), "o_dtype": F.lit(None).cast("string"), "o_lang": F.lit(None).cast("string")}
+    closed = closure.rdfs_closure(own.unionByName(facts.withColumns(iri).select(*own.columns)))
+    return (closed.where((F.col("p") == T.RDF_TYPE) & F.col("s").startswith(EX + "customer/"))
+            .where(F.col("o").startswith(EX + "RegionClass") | (F.col("o") == EX + "Place")).groupBy("o").agg(F.count("*").alias("n")))
+
+
 @query("nest_json", f"""
 SELECT {_iri_sql('customer', 'c_custkey')} AS id,
        to_json({{'id': {_iri_sql('customer', 'c_custkey')}, 'name': [c_name],

@@ -122,3 +122,11 @@ def test_quad_table_partition_pruning(spark, tmp_path):
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan and "knows" in plan
     assert rows(b, "x", "y") == [(EX + "alice", EX + "bob"), (EX + "bob", EX + "carol")]
+
+
+def test_optional_after_an_unbound_optional(spark):
+    """Solutions that leave a variable unbound take the second OPTIONAL's value; bound ones must agree."""
+    left = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3"), ("d", None)], "c string, v string")
+    right = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "7", "p"), ("b", "8", "q"), ("c", "4", "z")], "c string, v string, w string")
+    got = {tuple(r) for r in G.optional(left, right, maybe=["?v"]).collect()}
+    assert got == {("a", "1", "x"), ("b", "7", "p"), ("b", "8", "q"), ("c", "3", None), ("d", None, None)}

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geoweave.functions import geom as G
-from geoweave.operators.union import large_union, overlay, union_agg
+from geoweave.operators.union import large_union, make_valid, overlay, union_agg
 
 
 def area(parts):
@@ -49,3 +49,17 @@ def test_union_agg_takes_both_ways(spark):
     one, many = (union_agg(df, "k", small=n).select(F.round(G.st_area("geom"), 6).alias("a"), F.size(F.col("geom")["parts"]).alias("n"),
                                                     "overlap_edges").collect() for n in (10**6, 100))
     assert one == many and one[0].a == 30.5 * 30
+
+
+def test_make_valid(spark):
+    rings = {"bow": [[[0, 0], [2, 2], [2, 0], [0, 2]]], "eight": [[[0, 0], [4, 0], [4, 4], [2, 4], [2, -2], [0, -2]]],
+             "hole": [[[0, 0], [4, 0], [4, 4], [0, 4]], [[3, 1], [6, 1], [6, 3], [3, 3]]], "spike": [[[0, 0], [5, 5], [0, 0]]]}
+    rows = [(k, "POLYGON", [[[float(x), float(y)] for x, y in [*r, r[0]]] for r in v]) for k, v in rings.items()]
+    vertex = F.transform("r", lambda ring: F.transform(ring, lambda v: G.vertex(v[0], v[1])))
+    df = spark.createDataFrame(rows, "k string, t string, r array<array<array<double>>>").select(
+        "k", G.make_geom(F.col("t"), F.array(vertex)).alias("geom")).unionByName(
+        spark.range(1).select(F.lit("point").alias("k"), G.point(F.lit(1.0), F.lit(2.0)).alias("geom")))
+    got = {r.k: (r.t, r.a, r.n) for r in make_valid(df, "k").select("k", F.col("geom")["type"].alias("t"), F.round(G.st_area("geom"), 6).alias("a"),
+                                                                   F.size(F.col("geom")["parts"]).alias("n")).collect()}
+    assert got == {"bow": ("MULTIPOLYGON", 2.0, 2), "eight": ("MULTIPOLYGON", 12.0, 2), "hole": ("MULTIPOLYGON", 18.0, 2),
+                   "spike": ("MULTIPOLYGON", 0.0, 0), "point": ("POINT", 0.0, 1)}
