@@ -202,21 +202,44 @@ def _term_cols(df: DataFrame, t: Term, prefixes, position: str) -> tuple[Column,
 def construct(bindings: DataFrame, templates: Sequence[Pattern], prefixes: Mapping[str, str] | None = None,
               graph: str | None = None, distinct: bool = True) -> DataFrame:
     """Q7: instantiate triple templates for every binding row (one scan, explode)."""
-    items = []
-    for tpl in templates:
-        s, p, o = tpl[:3]
-        g = tpl[3] if len(tpl) > 3 else graph
-        sv = _term_cols(bindings, s, prefixes, "s")[0]
-        pv = _term_cols(bindings, p, prefixes, "p")[0]
-        ov, ok, odt, ol = _term_cols(bindings, o, prefixes, "o")
-        gv = _term_cols(bindings, g, prefixes, "g")[0] if g is not None else F.lit(None).cast("string")
-        items.append(F.struct(gv.alias("g"), sv.cast("string").alias("s"), pv.cast("string").alias("p"),
-                              ov.cast("string").alias("o"), ok.alias("o_kind"), odt.alias("o_dtype"), ol.alias("o_lang")))
-    out = bindings.select(F.explode(F.array(*items)).alias("t")).select("t.*")
-    out = out.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
+    out = _instances(bindings, [F.struct(*_quad(bindings, t, prefixes, graph)) for t in templates])
     return out.distinct() if distinct else out
 
 
+def _quad(bindings: DataFrame, template: Pattern, prefixes, graph: str | None) -> list[Column]:
+    """The seven quad columns of one template over the bindings."""
+    s, p, o = template[:3]
+    g = template[3] if len(template) > 3 else graph
+    ov, ok, odt, ol = _term_cols(bindings, o, prefixes, "o")
+    gv = _term_cols(bindings, g, prefixes, "g")[0] if g is not None else F.lit(None)
+    sv, pv = _term_cols(bindings, s, prefixes, "s")[0], _term_cols(bindings, p, prefixes, "p")[0]
+    parts = [gv, sv, pv, ov, ok, odt, ol]
+    return [c.cast("string").alias(n) for c, n in zip(parts, QUAD_COLUMNS, strict=True)]
+
+
+def _instances(bindings: DataFrame, items: list[Column]) -> DataFrame:
+    out = bindings.select(F.explode(F.array(*items)).alias("t")).select("t.*")
+    return out.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
+
+
+def changes(bindings: DataFrame, delete: Sequence[Pattern], insert: Sequence[Pattern],
+            prefixes: Mapping[str, str] | None = None, graph: str | None = None) -> DataFrame:
+    """Quads that an update takes away (``added`` false) and brings (true), both template sets from one pass over the bindings."""
+    items = [F.struct(*_quad(bindings, t, prefixes, graph), F.lit(added).alias("added"))
+             for added, templates in ((False, delete), (True, insert)) for t in templates]
+    return _instances(bindings, items)
+
+
+def apply_changes(quads: DataFrame, changed: DataFrame) -> DataFrame:
+    """The quad table after ``changed``, as a set: one aggregation by quad (NULL-safe, combined before the shuffle).
+
+    A quad both deleted and inserted stays, as in SPARQL Update, where the deletions come first; deleting an absent quad does nothing.
+    """
+    rows = quads.select(*QUAD_COLUMNS, F.lit(None).cast("boolean").alias("added")).unionByName(changed)
+    last = rows.groupBy(*QUAD_COLUMNS).agg(F.max("added").alias("added"))
+    return last.where(F.coalesce("added", F.lit(True))).select(*QUAD_COLUMNS)
+
+
 def null_safe_anti(quads: DataFrame, remove: DataFrame) -> DataFrame:
     """Quads not in ``remove`` (all seven columns compared NULL-safely)."""
     r = remove.select(*[F.col(c).alias("_r_" + c) for c in QUAD_COLUMNS])
@@ -228,16 +251,12 @@ def modify(quads: DataFrame, delete: Sequence[Pattern], insert: Sequence[Pattern
            prefixes: Mapping[str, str] | None = None, graph: str | None = None) -> DataFrame:
     """Q8: ``DELETE {…} INSERT {…} WHERE {…}`` → the new quad table (set semantics).
 
-    The WHERE bindings are computed once against the *old* table and reused for
-    both template sets, as SPARQL Update requires.
+    The WHERE bindings are computed against the *old* table and feed both template sets, as SPARQL Update requires.
+    ``sources.rdf.update_quad_table`` does the same to a stored table and rewrites only the predicates it touches.
     """
-    b = bgp(quads, where, prefixes)
-    kept = quads
-    if delete:
-        kept = null_safe_anti(quads, construct(b, delete, prefixes, graph))
-    if insert:
-        kept = kept.unionByName(construct(b, insert, prefixes, graph, distinct=False))
-    return kept.distinct()
+    if not delete and not insert:
+        return quads.distinct()
+    return apply_changes(quads, changes(bgp(quads, where, prefixes), delete, insert, prefixes, graph))
 
 
 def run_rules(quads: DataFrame, rules: Sequence[Mapping], prefixes: Mapping[str, str] | None = None,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweave.functions import terms as T
 from geoweave.operators import closure, graph as G, mapping as M
 from geoweave.plans.fixed import CROP_COLOURS, CROP_LABELS
-from geoweave.plans.registry import query
+from geoweave.plans.registry import QUERIES, query
 from geoweave.plans.relational import style_join_df
 from geoweave.plans.tables import read
+from geoweave.session import ensure_checkpoint_dir
+from geoweave.sources import rdf
 
 EX = "https://example.org/kg/"
 PFX = {"ex": EX}
@@ -489,3 +493,38 @@ def reference_closure_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edges.select(F.col("name").cast("string").alias("name"), F.col("ref").cast("string").alias("ref"))
     out = closure.reference_closure(edges, names, "0")
     return out.select("name", F.col("level").cast("int").alias("level"))
+
+
+def _stored(spark: SparkSession, sf_dir: str, tables, graphs: bool = False) -> str:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quads-{uuid.uuid4().hex}"
+    rdf.write_quad_table(tpch_quads(spark, sf_dir, tables, mode="materialise", graphs=graphs), path)
+    return path
+
+
+@query("modify_stored", QUERIES["modify_where"][1])
+def modify_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8 on a stored quad table: the update of ``modify_where``, which rewrites two predicates of the orders."""
+    path = _stored(spark, sf_dir, ("orders",))
+    rdf.update_quad_table(spark, path, [("?o", "ex:status", G.Lit("F"))], [("?o", "a", "ex:FinishedOrder")],
+                          [("?o", "ex:status", G.Lit("F"))], PFX)
+    return rdf.read_quad_table(spark, path)
+
+
+@query("rules_stored", QUERIES["rules_in_order"][1])
+def rules_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9 on a stored quad table: rules in order, each rewriting the predicates it inserts into."""
+    path = _stored(spark, sf_dir, ("customer", "orders"))
+    rdf.run_rules_stored(spark, path, RULES, PFX)
+    return rdf.read_quad_table(spark, path)
+
+
+@query("remove_stored", f"""
+WITH q AS ({union_sql(order_sql())}), gone AS (SELECT s FROM q WHERE p = '{EX}status' AND o = 'F')
+SELECT DISTINCT * FROM q WHERE s NOT IN (SELECT s FROM gone)
+""")
+def remove_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9's removal on a stored quad table: every finished order leaves all its predicates."""
+    path = _stored(spark, sf_dir, ("orders",))
+    finished = G.bgp(rdf.read_quad_table(spark, path), [("?o", "ex:status", G.Lit("F"))], PFX)
+    rdf.remove_nodes_stored(spark, path, finished.select("o"))
+    return rdf.read_quad_table(spark, path)

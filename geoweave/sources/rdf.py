@@ -6,10 +6,14 @@ lines that do not match go to a reject frame instead of failing the load.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.operators.mapping import QUAD_COLUMNS
+from geoweave.operators.graph import Pattern, apply_changes, bgp, changes
+from geoweave.operators.mapping import QUAD_COLUMNS, QUAD_SCHEMA
+from geoweave.session import cut_lineage
 
 _IRI = r"<[^>]*>"
 _BNODE = r"_:[^\s]+"
@@ -99,16 +103,67 @@ def write_nquads(quads: DataFrame, path: str, mode: str = "overwrite") -> None:
     to_nquads(quads).write.mode(mode).text(path)
 
 
+def _by_predicate(quads: DataFrame, spread: int) -> DataFrame:
+    """A predicate is spread over ``spread`` writers by subject: one that holds a third of all quads is not one task's work."""
+    n = int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return quads.select(*QUAD_COLUMNS).repartition(n, F.col("p"), F.pmod(F.xxhash64("s"), F.lit(spread)))
+
+
 def write_quad_table(quads: DataFrame, path: str, mode: str = "overwrite", spread: int = 16) -> None:
     """Persist the quad table as parquet partitioned by predicate: a graph pattern with a constant
     predicate then reads only that predicate's directory (partition pruning), and ``g``/``s``/``o``
-    filters are pushed into the parquet scan.  A predicate is spread over ``spread`` writers by subject, so
-    a predicate that holds a third of all quads is not one task's work."""
-    n = int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (quads.select(*QUAD_COLUMNS).repartition(n, F.col("p"), F.pmod(F.xxhash64("s"), F.lit(spread)))
-     .write.mode(mode).partitionBy("p").parquet(path))
+    filters are pushed into the parquet scan."""
+    _by_predicate(quads, spread).write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("p").parquet(path)
 
 
 def read_quad_table(spark: SparkSession, path: str) -> DataFrame:
     """Read a quad table written by :func:`write_quad_table` (columns in the usual order)."""
-    return spark.read.parquet(path).select(*QUAD_COLUMNS)
+    return spark.read.schema(QUAD_SCHEMA).parquet(path).where(F.col("s").isNotNull()).select(*QUAD_COLUMNS)
+
+
+def change_quad_table(spark: SparkSession, path: str, changed: DataFrame, spread: int = 16) -> list[str]:
+    """Apply ``changed`` (:func:`geoweave.operators.graph.changes`) to a stored quad table; the predicates rewritten.
+
+    Copy on write by predicate: only the folders of predicates that ``changed`` names are read and replaced, all others keep their
+    files.  The new files are staged and take the place of the old ones when the job commits, so a lost executor costs
+    a retry.  A replaced folder also holds one row without a subject, which readers skip: a predicate
+    whose last quad goes is so replaced as well.  The list on the driver has one entry a predicate folder.  One writer at a time.
+    """
+    changed = cut_lineage(changed)
+    touched = sorted(r.p for r in changed.select("p").distinct().collect())
+    if not touched:
+        return []
+    old = read_quad_table(spark, path).where(F.col("p").isin(touched))
+    emptied = spark.createDataFrame([(p,) for p in touched], "p string").select(
+        *[F.col(c) if c == "p" else F.lit(None).cast("string").alias(c) for c in QUAD_COLUMNS])
+    new = apply_changes(old, changed).unionByName(emptied)
+    (_by_predicate(new, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("p").parquet(path))
+    return touched
+
+
+def update_quad_table(spark: SparkSession, path: str, delete: Sequence[Pattern], insert: Sequence[Pattern], where: Sequence[Pattern],
+                      prefixes: Mapping[str, str] | None = None, graph: str | None = None) -> list[str]:
+    """Q8 on a stored table: ``DELETE {…} INSERT {…} WHERE {…}``, touching only the changed predicates."""
+    bindings = bgp(read_quad_table(spark, path), where, prefixes)
+    return change_quad_table(spark, path, changes(bindings, delete, insert, prefixes, graph)) if delete or insert else []
+
+
+def run_rules_stored(spark: SparkSession, path: str, rules: Sequence[Mapping], prefixes: Mapping[str, str] | None = None) -> list[list[str]]:
+    """Q9 on a stored table: each rule once, in order; every rule reads what the one before it left."""
+    return [update_quad_table(spark, path, r.get("delete", []), r.get("insert", []), r["where"], prefixes, r.get("graph"))
+            for r in rules]
+
+
+def copy_graphs_stored(spark: SparkSession, path: str, names: Sequence[str], target: str) -> list[str]:
+    """U3 on a stored table: copy whole graphs into ``target``."""
+    quads = read_quad_table(spark, path).where(F.col("g").isin(list(names)))
+    return change_quad_table(spark, path, quads.withColumn("g", F.lit(target)).withColumn("added", F.lit(True)))
+
+
+def remove_nodes_stored(spark: SparkSession, path: str, nodes: DataFrame) -> list[str]:
+    """D9's removal on a stored table: every quad with one of ``nodes`` (first column) as subject or as IRI object."""
+    quads, node = read_quad_table(spark, path), nodes.select(F.col(nodes.columns[0]).alias("_node")).distinct()
+    out = quads.join(node, F.col("s") == F.col("_node"), "left_semi")
+    linked = quads.where("o_kind = 'iri'").join(node, F.col("o") == F.col("_node"), "left_semi")
+    return change_quad_table(spark, path, out.unionByName(linked).withColumn("added", F.lit(False)))
