@@ -253,6 +253,12 @@ def _ring_transform(ring: Column, sts: list[Stage]) -> Column:
     return F.transform(cur, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].cast("double").alias("z")))
 
 
+def transform_points(points: Column, src: int, dst: int) -> Column:
+    """An array of points ``(x, y)`` in another CRS, as ``(x, y, z)`` with z 0; stage by stage, nothing is computed twice."""
+    flat = F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("z")))
+    return _ring_transform(flat, stages(src, dst))
+
+
 def st_transform(geom, dst: int, src: int) -> Column:
     """Reproject every vertex from ``src`` to ``dst`` (z kept; 4978 uses z as height, NULL → 0)."""
     g = as_col(geom)

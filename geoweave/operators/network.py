@@ -120,9 +120,44 @@ def append_network(a: DataFrame, b: DataFrame, key: str = "way_id") -> DataFrame
     return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti").select(*a.columns))
 
 
+def contract_chains(arcs: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of nodes with two neighbours as single arcs, by pointer jumping.
+
+    ``arcs(u, v, w)`` is symmetric, with one row a pair and no loops; nodes of ``keep`` (first column) never become inner ones.
+    Returns ``(u, v, w)`` between the nodes that stay and ``(node, end, w)`` of every inner node to the ends of its chain.
+    Each arc points to the one that follows it through an inner node; a round adds what the next arc spans and takes over
+    its pointer, so a chain of n nodes takes log2(n) rounds, each one join (an arc follows at most one other, so no key is
+    hot) and one checkpoint of the arcs still running.  Rings without a node that stays never end: the rounds
+    stop when none ends any more, and such rings are left out (nothing that stays reaches them).
+    """
+    inner = (arcs.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+             .where("n = 2").drop("n").join(keep.select(F.col(keep.columns[0]).alias("x")).distinct(), "x", "left_anti"))
+    inner = cut_lineage(inner)
+    starts = inner.select(F.col("x").alias("u"), F.lit(True).alias("inner"))
+    state = cut_lineage(arcs.join(starts, "u", "left").join(inner, F.col("v") == F.col("x"), "left").select(
+        "u", "v", "w", F.col("v").alias("end"), F.coalesce("inner", F.lit(False)).alias("inner"),
+        F.col("x").alias("nu"), F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("nv")))
+    done, running = state.where("nu IS NULL"), state.where("nu IS NOT NULL")
+    n_running, n_before = running.count(), None
+    while n_running and n_running != n_before:
+        ahead = done.unionByName(running).where("inner").select(
+            F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("w").alias("_w"), F.col("end").alias("_end"),
+            F.col("nu").alias("_nu"), F.col("nv").alias("_nv"))
+        state = cut_lineage(running.join(ahead, ["nu", "nv"]).select(
+            "u", "v", (F.col("w") + F.col("_w")).alias("w"), F.col("_end").alias("end"), "inner",
+            F.col("_nu").alias("nu"), F.col("_nv").alias("nv")))
+        done, running = done.unionByName(state.where("nu IS NULL")), state.where("nu IS NOT NULL")
+        n_running, n_before = running.count(), n_running
+    whole = done.where("NOT inner AND u <> end").groupBy("u", F.col("end").alias("v")).agg(F.min("w").alias("w"))
+    legs = done.where("inner").groupBy(F.col("u").alias("node"), "end").agg(F.min("w").alias("w"))
+    return cut_lineage(whole), legs
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """single/multi-source shortest path lengths by iterative relaxation (Bellman-Ford).
 
+    Undirected graphs are contracted first (:func:`contract_chains`, the sources stay): a road of many nodes without a
+    junction is one arc, its inner nodes get their distance at the end from both ends.
     Each round joins only the vertices whose distance improved (the frontier)
     with their out-edges and keeps the minimum per (source, vertex).  The frontier
     is cut with a reliable checkpoint every round and the distance table every
@@ -133,11 +168,22 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
     if not directed:
         e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     # the adjacency is joined in every round: materialise it once instead of re-deriving it each time
-    e = cut_lineage(e.groupBy("u", "v").agg(F.min("w").alias("w")))
-    dist = cut_lineage(sources.select(F.col(sources.columns[0]).alias("src"),
-                                      F.col(sources.columns[0]).alias("node"), F.lit(0.0).alias("d")))
-    if not e.where("w < 0").isEmpty():
+    e = cut_lineage(e.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w")))
+    if not edges.where("length_m < 0").isEmpty():
         raise ValueError("shortest paths need edge lengths of 0 or more")
+    start = F.col(sources.columns[0])
+    dist = cut_lineage(sources.select(start.alias("src"), start.alias("node"), F.lit(0.0).alias("d")).distinct())
+    if directed:
+        return _relax(e, dist)
+    whole, legs = contract_chains(e, sources)
+    dist = _relax(whole, dist)
+    inner = dist.join(legs.withColumnRenamed("node", "_n"), dist["node"] == F.col("end")).groupBy("src", F.col("_n").alias("node")).agg(
+        F.min(F.col("d") + F.col("w")).alias("d"))
+    return dist.unionByName(inner)
+
+
+def _relax(e: DataFrame, dist: DataFrame) -> DataFrame:
+    """Distances over the arcs ``e(u, v, w)`` from those in ``dist(src, node, d)``."""
     frontier, rnd = dist, 0
     while True:
         cand = (frontier.join(e, frontier["node"] == e["u"]).select("src", F.col("v").alias("node"),

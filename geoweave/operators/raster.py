@@ -13,10 +13,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions import pgcompat as pg
+from geoweave.functions.crs import transform_points
 from geoweave.operators.relational import with_ordinal
 from geoweave.session import cut_lineage
 
@@ -47,10 +50,9 @@ def untile(tiles: DataFrame, h: int, w: int) -> DataFrame:
 
 
 def tile_metadata(tiles: DataFrame) -> DataFrame:
-    """R2: extent and value constraints per tile."""
+    """R2: the tiles with their value constraints as further columns (no second pass over the tiles)."""
     v = F.col("values")
-    return tiles.select(*PIXEL_KEYS, "tile_row", "tile_col", "height", "width",
-                        F.size(F.filter(v, lambda x: x.isNotNull())).alias("n_valid"),
+    return tiles.select("*", F.size(F.filter(v, lambda x: x.isNotNull())).alias("n_valid"),
                         F.array_min(v).alias("vmin"), F.array_max(v).alias("vmax"),
                         F.aggregate(F.filter(v, lambda x: x.isNotNull()), F.lit(0.0), lambda a, b: a + b).alias("vsum"))
 
@@ -149,6 +151,149 @@ def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFra
     return out.where(F.col("_ws") != 0).select(*PIXEL_KEYS, F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
 
 
+EDGE_STEPS = 20  # a border is followed in this many steps an edge: its image is curved
+
+#: Source offsets of each kernel from the floor of the position (nearest: from the rounded one).
+REACH = {"nearest": (0,), "bilinear": (0, 1), "cubic": (-1, 0, 1, 2), "cubicspline": (-1, 0, 1, 2)}
+
+
+def warp_grid(georef: DataFrame, src: int, dst: int) -> DataFrame:
+    """Target grids of R5: ``(raster, x0, y0, dx, dy, n_rows, n_cols)`` in ``dst`` of rasters given likewise in ``src``.
+
+    ``x0, y0`` is the upper left corner, rows go down.  The extent is that of the densified border, the cells are square and the
+    diagonal keeps its number of cells.  One row a raster, no shuffle.
+    """
+    w, h = F.col("n_cols") * F.col("dx"), F.col("n_rows") * F.col("dy")
+    steps = F.sequence(F.lit(0), F.lit(EDGE_STEPS))
+    along = lambda i, size: size * i / EDGE_STEPS
+    edge = lambda x, y: F.transform(steps, lambda i: F.struct(
+        (F.col("x0") + x(i)).alias("x"), (F.col("y0") - y(i)).alias("y")))
+    zero = lambda i: F.lit(0.0)
+    border = F.concat(edge(lambda i: along(i, w), zero), edge(lambda i: along(i, w), lambda i: h),
+                      edge(zero, lambda i: along(i, h)), edge(lambda i: w, lambda i: along(i, h)))
+    g = georef.select("raster", "n_rows", "n_cols", transform_points(border, src, dst).alias("b"))
+    part = lambda f, axis: f(F.transform("b", lambda p: p[axis]))
+    g = g.select("raster", "n_rows", "n_cols", part(F.array_min, "x").alias("x0"), part(F.array_max, "x").alias("x1"),
+                 part(F.array_min, "y").alias("y1"), part(F.array_max, "y").alias("y0"))
+    w, h, rows, cols = F.col("x1") - F.col("x0"), F.col("y0") - F.col("y1"), F.col("n_rows"), F.col("n_cols")
+    g = g.select("raster", "x0", "y0", w.alias("w"), h.alias("h"), (F.sqrt(w * w + h * h) / F.sqrt((rows * rows + cols * cols).cast("double"))).alias("dx"))
+    count = lambda size: F.greatest(F.floor(F.col(size) / F.col("dx") + 0.5), F.lit(1)).cast("long")
+    return g.select("raster", "x0", "y0", "dx", F.col("dx").alias("dy"), count("h").alias("n_rows"), count("w").alias("n_cols"))
+
+
+def _weights(kind: str, d: np.ndarray) -> np.ndarray:
+    a = np.abs(d)
+    if kind == "nearest":
+        return np.ones_like(a)
+    if kind == "bilinear":
+        return np.maximum(1 - a, 0)
+    if kind == "cubic":  # Keys, a = -0.5
+        return np.where(a <= 1, (1.5 * a - 2.5) * a * a + 1, np.where(a < 2, ((2.5 - 0.5 * a) * a - 4) * a + 2, 0))
+    return np.where(a <= 1, 2 / 3 + (a / 2 - 1) * a * a, np.where(a < 2, (2 - a) ** 3 / 6, 0))
+
+
+def _resample_block(kind: str, size: int):
+    """Values of one block's target cells from its source pixels, a halo of two around them included."""
+    reach = REACH[kind]
+
+    def block(cells: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(cells) and len(pixels):
+            r0, c0 = int(cells["b_row"].iloc[0]) * size - 2, int(cells["b_col"].iloc[0]) * size - 2
+            sr, sc = cells["sr"].to_numpy(), cells["sc"].to_numpy()
+            shift = 0.5 if kind == "nearest" else 0.0
+            br, bc = np.floor(sr + shift), np.floor(sc + shift)
+            for band, px in pixels.groupby("band", sort=True):
+                values = np.full((size + 5, size + 5), np.nan)
+                values[px["row"].to_numpy() - r0, px["col"].to_numpy() - c0] = px["value"].to_numpy()
+                total, weight = np.zeros(len(cells)), np.zeros(len(cells))
+                for i in reach:
+                    for j in reach:
+                        v = values[(br + i - r0).astype(int), (bc + j - c0).astype(int)]
+                        w = np.where(np.isnan(v), 0.0, _weights(kind, br + i - sr) * _weights(kind, bc + j - sc))
+                        total, weight = total + w * np.nan_to_num(v), weight + w
+                some = weight != 0
+                out.append((np.full(some.sum(), band), cells["t_row"].to_numpy()[some], cells["t_col"].to_numpy()[some],
+                            total[some] / weight[some]))
+        if not out:
+            return pd.DataFrame({n: pd.Series(dtype=t) for n, t in (("raster", object), ("band", "int64"), ("row", "int64"), ("col", "int64"), ("value", "float64"))})
+        bands, rows, cols, values = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"raster": [cells["raster"].iloc[0]] * len(rows), "band": bands, "row": rows, "col": cols, "value": values})
+
+    return block
+
+
+def warp_crs(pixels: DataFrame, georef: DataFrame, src: int, dst: int, resample: str = "cubicspline",
+             block: int = 128) -> tuple[DataFrame, DataFrame]:
+    """Rasters in another CRS → ``(pixels, georef)`` on the grids of :func:`warp_grid`.
+
+    The centre of every target cell goes back to ``src`` and takes the weighted mean of the pixels around it: ``nearest``,
+    ``bilinear``, ``cubic`` (Keys) or ``cubicspline``, the cubic B-spline as a plain kernel (it smooths: there is no
+    prefilter).  Kernels are not widened, since the grid keeps the resolution.  NULL, NaN and absent pixels drop out of the mean; cells whose
+    centre lies outside the source raster, or that no pixel reaches, are absent.  Rows of ``pixels`` that repeat a cell are not allowed.
+    Target cells and pixels meet in blocks of ``block`` × ``block`` source pixels with a halo of two, so a pixel is shuffled
+    1.06 times and a cell once; a task holds one block of all bands, whatever the raster's size.
+    """
+    if resample not in REACH:
+        raise ValueError(f"unknown resampling {resample}")
+    grid = warp_grid(georef, src, dst)
+    source = georef.select("raster", *[F.col(c).alias("s_" + c) for c in ("x0", "y0", "dx", "dy", "n_rows", "n_cols")])
+    index = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    rows = grid.join(source, "raster").withColumn("t_row", F.explode(index("n_rows"))).repartition("raster", "t_row")
+    centres = F.transform(index("n_cols"), lambda c: F.struct(
+        (F.col("x0") + (c + 0.5) * F.col("dx")).alias("x"), (F.col("y0") - (F.col("t_row") + 0.5) * F.col("dy")).alias("y")))
+    cells = rows.select("raster", *[c for c in source.columns if c != "raster"], "t_row",
+                        F.posexplode(transform_points(centres, dst, src)).alias("t_col", "p"))
+    sr, sc = (F.col("s_y0") - F.col("p.y")) / F.col("s_dy") - 0.5, (F.col("p.x") - F.col("s_x0")) / F.col("s_dx") - 0.5
+    cells = cells.select("raster", "t_row", F.col("t_col").cast("long").alias("t_col"), sr.alias("sr"), sc.alias("sc"), "s_n_rows", "s_n_cols")
+    inside = lambda at, n: (F.col(at) >= -0.5) & (F.col(at) < F.col(n) - 0.5)
+    cells = cells.where(inside("sr", "s_n_rows") & inside("sc", "s_n_cols")).select(
+        "raster", "t_row", "t_col", "sr", "sc", F.floor(F.col("sr") / block).alias("b_row"), F.floor(F.col("sc") / block).alias("b_col"))
+    near = lambda at: F.explode(F.array_distinct(F.transform(
+        F.array(*[F.lit(i) for i in (-2, 2)]), lambda i: F.floor((F.col(at) + i) / block))))
+    px = (pixels.select(F.col("raster").alias("raster"), "band", "row", "col", F.col("value").cast("double").alias("value")).where(F.col("value").isNotNull())
+          .withColumn("b_row", near("row")).withColumn("b_col", near("col")))
+    key = ["raster", "b_row", "b_col"]
+    kinds = dict(pixels.dtypes)
+    out = cells.groupBy(*key).cogroup(px.groupBy(*key)).applyInPandas(
+        _resample_block(resample, block), f"raster {kinds['raster']}, band {kinds['band']}, row long, col long, value double")
+    return out, grid
+
+
+def granule_index(pixels: DataFrame, granules: DataFrame) -> DataFrame:
+    """R8 with time: one row per granule — ``granules(location, time, label, priority)`` with its pixel bounds.
+
+    ``pixels(location, band, row, col, value)``; a granule without pixels has NULL bounds and is never read.
+    """
+    bounds = pixels.groupBy("location").agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"),
+                                            F.min("col").alias("col_min"), F.max("col").alias("col_max"))
+    return granules.select("location", "time", "label", "priority").join(bounds, "location", "left")
+
+
+def mosaic_at(pixels: DataFrame, index: DataFrame, at=None, window: tuple[int, int, int, int] | None = None,
+              since=None) -> DataFrame:
+    """The layer at one instant: per cell the latest granule up to ``at`` that covers it (no instant: the latest of all).
+
+    ``since`` leaves out granules before it; ``window`` is ``(row_min, row_max, col_min, col_max)``, ends included.  The index rows
+    are chosen first by time and extent and only their granules' pixels are joined: with pixels stored by ``location``, other
+    folders are not read.  Among granules of one time the higher priority wins, then the greater location.  NULL pixels do not
+    cover.  Columns: ``band, row, col, value, location, time, label``.
+    """
+    chosen = index.where(F.col("row_min").isNotNull() & F.col("time").isNotNull())
+    px = pixels.select("location", "band", "row", "col", "value").where(F.col("value").isNotNull())
+    if at is not None:
+        chosen = chosen.where(F.col("time") <= F.lit(at))
+    if since is not None:
+        chosen = chosen.where(F.col("time") >= F.lit(since))
+    if window is not None:
+        r0, r1, c0, c1 = window
+        chosen = chosen.where((F.col("row_max") >= r0) & (F.col("row_min") <= r1) & (F.col("col_max") >= c0) & (F.col("col_min") <= c1))
+        px = px.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
+    hit = px.join(chosen.select("location", "time", "label", "priority"), "location")
+    best = hit.groupBy("band", "row", "col").agg(F.max(F.struct("time", "priority", "location", "label", "value")).alias("b"))
+    return best.select("band", "row", "col", "b.value", "b.location", "b.time", "b.label")
+
+
 def mosaic(rasters: Sequence[tuple[DataFrame, int, str]]) -> tuple[DataFrame, DataFrame]:
     """Many rasters → one layer.  Each input is ``(pixels, priority, location)``; where
     footprints overlap the highest priority wins, and among equal ones the greatest location.  Returns ``(pixels, index)`` where the

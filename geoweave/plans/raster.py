@@ -9,6 +9,7 @@ from geoweave.operators import raster as RS
 from geoweave.operators.relational import with_ordinal
 from geoweave.operators.styles import colour_map
 from geoweave.plans.registry import query
+from geoweave.plans.sqlmath import sql_transform
 from geoweave.plans.tables import read
 
 PIXELS_SQL = ("SELECT 'emb' AS raster, 1 AS band, vec_id AS row, CAST(i - 1 AS BIGINT) AS col, CAST(v AS DOUBLE) AS value "
@@ -48,10 +49,9 @@ FROM p GROUP BY 1, 2, 3, 4
 def raster_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16×16 tiling (row-major values), then per-tile constraints and an order checksum."""
     t = RS.tile(pixels(spark, sf_dir), 16, 16)
-    meta = RS.tile_metadata(t)
     chk = F.aggregate(F.arrays_zip("values", "offsets"), F.lit(0.0),
                       lambda a, x: a + x["values"] * (x["offsets"] + 1))
-    return t.join(meta.drop("height", "width"), ["raster", "band", "tile_row", "tile_col"]).select(
+    return RS.tile_metadata(t).select(
         "raster", "band", "tile_row", "tile_col", F.col("height").cast("bigint").alias("height"),
         F.col("width").cast("bigint").alias("width"), F.col("n_valid").cast("bigint").alias("n_valid"), "vmin", "vmax",
         F.round("vsum", 4).alias("vsum"), F.round(chk, 4).alias("checksum"))
@@ -177,3 +177,69 @@ def band_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = spark.createDataFrame([(i, i + 1, dt.datetime(2024, 1, 1 + i)) for i in range(4)],
                                   "index int, band int, time timestamp_ntz")
     return RS.band_to_time(p, times, "emb").select("raster", "band", "row", "col", "value", "layer")
+
+
+GRANULES_SQL = f"""p AS ({PIXELS_SQL}),
+g AS (SELECT 'g' || CAST(row % 5 AS VARCHAR) || '_' || CAST(t AS VARCHAR) AS location, row % 5 AS k, t,
+             TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (t * 6 + (row % 5) // 3) HOUR AS time,
+             CAST((row % 5) // 2 AS INTEGER) AS priority, band, row + 3 * t AS row, col, value + t AS value
+      FROM p, (SELECT unnest([0, 1, 2, 3]) AS t))"""
+
+
+@query("mosaic_time", f"""
+WITH {GRANULES_SQL},
+b AS (SELECT *, row_number() OVER (PARTITION BY band, row, col ORDER BY time DESC, priority DESC, location DESC) AS n
+      FROM g WHERE time <= TIMESTAMP '2024-01-01 12:30:00' AND col BETWEEN 4 AND 40)
+SELECT band, row, col, value, location, time, strftime(time, '%Y-%m-%dT%H') AS label FROM b WHERE n = 1
+""")
+def mosaic_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Granules of several times over one another; the layer at 12:30 within a band of columns."""
+    t, k = F.col("t"), F.col("row") % 5
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    steps = F.explode(F.array(*[F.lit(i) for i in range(4)]))
+    g = pixels(spark, sf_dir).withColumn("t", steps).select(
+        F.concat(F.lit("g"), k.cast("string"), F.lit("_"), t.cast("string")).alias("location"),
+        (start + F.make_dt_interval(hours=(t * 6 + F.floor(k / 3)).cast("int"))).alias("time"),
+        F.floor(k / 2).cast("int").alias("priority"), "band", (F.col("row") + 3 * t).alias("row"), "col", (F.col("value") + t).alias("value"))
+    granules = g.select("location", "time", "priority", F.date_format("time", "yyyy-MM-dd'T'HH").alias("label")).distinct()
+    return RS.mosaic_at(g, RS.granule_index(g, granules), F.lit("2024-01-01 12:30:00").cast("timestamp_ntz"),
+                        (0, 2**62, 4, 40))
+
+
+SHEETS_SQL = """SELECT 'r' || CAST(vec_id // 512 AS VARCHAR) AS raster, vec_id // 512 AS k, vec_id % 512 AS row,
+  CAST(i - 1 AS BIGINT) AS col, CAST(v AS DOUBLE) AS value
+FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"""
+
+
+@query("raster_warp_crs", f"""
+WITH p AS ({SHEETS_SQL}),
+g AS (SELECT raster, 300000.0::DOUBLE + k % 20 * 15000.0 AS x0, 200000.0::DOUBLE + k // 20 % 20 * 30000.0 AS y0, max(row) + 1 AS nr, max(col) + 1 AS nc
+      FROM p GROUP BY raster, k),
+f AS (SELECT unnest(range(21)) AS i),
+b AS (SELECT raster, x0 + nc * 50.0 * i / 20 AS x, y0 AS y FROM g, f UNION ALL SELECT raster, x0 + nc * 50.0 * i / 20, y0 - nr * 50.0 FROM g, f
+      UNION ALL SELECT raster, x0, y0 - nr * 50.0 * i / 20 FROM g, f UNION ALL SELECT raster, x0 + nc * 50.0, y0 - nr * 50.0 * i / 20 FROM g, f),
+bt AS ({sql_transform("SELECT * FROM b", ["raster"], "x", "y", 27700, 4326)}),
+e AS (SELECT raster, min(x) AS tx, max(y) AS ty, max(x) - min(x) AS w, max(y) - min(y) AS h FROM bt GROUP BY raster),
+t AS (SELECT *, sqrt(w * w + h * h) / sqrt(CAST(nr * nr + nc * nc AS DOUBLE)) AS res FROM e JOIN g USING (raster)),
+cells AS (SELECT raster, t_row, t_col, tx + (t_col + 0.5) * res AS x, ty - (t_row + 0.5) * res AS y
+          FROM (SELECT *, unnest(range(CAST(greatest(floor(w / res + 0.5), 1) AS BIGINT))) AS t_col
+                FROM (SELECT *, unnest(range(CAST(greatest(floor(h / res + 0.5), 1) AS BIGINT))) AS t_row FROM t))),
+ct AS ({sql_transform("SELECT * FROM cells", ["raster", "t_row", "t_col"], "x", "y", 4326, 27700)}),
+s AS (SELECT raster, t_row, t_col, (y0 - y) / 50.0 - 0.5 AS sr, (x - x0) / 50.0 - 0.5 AS sc, nr, nc FROM ct JOIN g USING (raster)),
+n AS (SELECT raster, t_row, t_col, floor(sr) + i AS row, floor(sc) + j AS col, abs(floor(sr) + i - sr) AS a, abs(floor(sc) + j - sc) AS b
+      FROM s, (SELECT unnest([-1, 0, 1, 2]) AS i), (SELECT unnest([-1, 0, 1, 2]) AS j)
+      WHERE sr >= -0.5 AND sr < nr - 0.5 AND sc >= -0.5 AND sc < nc - 0.5),
+m AS (SELECT raster, t_row, t_col, value, (CASE WHEN a <= 1 THEN 2.0 / 3 - a * a + a * a * a / 2 ELSE (2 - a) ** 3 / 6 END)
+        * (CASE WHEN b <= 1 THEN 2.0 / 3 - b * b + b * b * b / 2 ELSE (2 - b) ** 3 / 6 END) AS weight
+      FROM n JOIN p USING (raster, row, col) WHERE value IS NOT NULL)
+SELECT raster, t_row AS row, t_col AS col, round(sum(weight * value) / sum(weight), 4) AS value FROM m GROUP BY raster, t_row, t_col
+""")
+def raster_warp_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of 512 rows on the British grid (50 m) to geographic coordinates with the cubic B-spline."""
+    k, v = F.floor(F.col("row") / 512), pixels(spark, sf_dir)
+    v = v.select(F.concat(F.lit("r"), k.cast("string")).alias("raster"), k.alias("k"), "band", (F.col("row") % 512).alias("row"), "col", "value")
+    sheets = v.groupBy("raster", "k").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols")).select(
+        "raster", (300000.0 + F.col("k") % 20 * 15000.0).alias("x0"), (200000.0 + F.floor(F.col("k") / 20) % 20 * 30000.0).alias("y0"),
+        F.lit(50.0).alias("dx"), F.lit(50.0).alias("dy"), "n_rows", "n_cols")
+    out, _grid = RS.warp_crs(v, sheets, 27700, 4326)
+    return out.select("raster", "row", "col", F.round("value", 4).alias("value"))

@@ -38,3 +38,10 @@ def events_stream_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 on a stream: ``events.parquet`` consumed with ``availableNow``, duplicates by id skipped."""
     return run_available(spark, sf_dir, EVENTS_SCHEMA, lambda s: map_triples(s, event_templates()),
                          "events", file_glob="events.parquet", dedupe_key="event_id")
+
+
+@query("events_stream_recent", STREAM_SQL)
+def events_stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 on a stream in bounded state: known ids are skipped within a watermark of one day."""
+    return run_available(spark, sf_dir, EVENTS_SCHEMA.replace("timestamp_ntz", "timestamp"), lambda s: map_triples(s, event_templates()),
+                         "events-recent", file_glob="events.parquet", dedupe_key="event_id", within=("ts", "1 day"))

@@ -1,5 +1,6 @@
 import heapq
 
+from pyspark.sql import functions as F
 
 from geoweave.operators import network as N
 from geoweave.sources.osm import read_osm
@@ -54,3 +55,48 @@ def test_shortest_paths_against_dijkstra(spark):
     got = dict(rows(N.shortest_paths(e, spark.createDataFrame([(src,)], "s long")).select("node", "d")))
     assert set(got) == set(dist)
     assert all(abs(got[k] - dist[k]) < 1e-6 for k in dist)
+
+
+def _distances(spark, edges, sources):
+    e = spark.createDataFrame(edges, "source long, target long, length_m double")
+    s = spark.createDataFrame([(x,) for x in sources], "s long")
+    return {(r.src, r.node): r.d for r in N.shortest_paths(e, s).collect()}
+
+
+def _dijkstra(edges, source):
+    adj = {}
+    for a, b, w in edges:
+        adj.setdefault(a, []).append((b, w))
+        adj.setdefault(b, []).append((a, w))
+    dist, pq = {source: 0.0}, [(0.0, source)]
+    while pq:
+        d, u = heapq.heappop(pq)
+        if d > dist[u]:
+            continue
+        for v, w in adj.get(u, []):
+            if d + w < dist.get(v, float("inf")):
+                dist[v] = d + w
+                heapq.heappush(pq, (d + w, v))
+    return dist
+
+
+def test_chains_rings_and_loops(spark):
+    """Long chains, parallel edges, a loop, a lollipop, a ring with a source and one that nothing reaches."""
+    chain = [(i, i + 1, 1.0 + i % 3) for i in range(40)] + [(0, 100, 2.0), (100, 40, 500.0), (20, 200, 1.0), (20, 201, 1.0)]
+    lollipop = [(40, 300, 1.0), (300, 301, 1.0), (301, 302, 5.0), (302, 40, 1.0), (40, 40, 3.0), (0, 1, 0.5)]
+    rings = [(500 + i, 500 + (i + 1) % 7, 1.0) for i in range(7)] + [(600 + i, 600 + (i + 1) % 5, 1.0) for i in range(5)]
+    edges, sources = chain + lollipop + rings, [7, 200, 503]
+    got = _distances(spark, edges, sources)
+    want = {(s, n): d for s in sources for n, d in _dijkstra(edges, s).items()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_long_road_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    cut = N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    n = 20_000
+    e = spark.range(n).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"), F.lit(1.0).alias("length_m"))
+    d = N.shortest_paths(e, spark.createDataFrame([(0,)], "s long"))
+    assert d.where("d = node").count() == n + 1 and len(cuts) < 30
