@@ -239,7 +239,9 @@ def warp_crs(pixels: DataFrame, georef: DataFrame, src: int, dst: int, resample:
     grid = warp_grid(georef, src, dst)
     source = georef.select("raster", *[F.col(c).alias("s_" + c) for c in ("x0", "y0", "dx", "dy", "n_rows", "n_cols")])
     index = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    rows = grid.join(source, "raster").withColumn("t_row", F.explode(index("n_rows"))).repartition("raster", "t_row")
+    # by number: target rows are few bytes now and many cells later, so partitions must not be coalesced by their bytes
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = grid.join(source, "raster").withColumn("t_row", F.explode(index("n_rows"))).repartition(n, "raster", "t_row")
     centres = F.transform(index("n_cols"), lambda c: F.struct(
         (F.col("x0") + (c + 0.5) * F.col("dx")).alias("x"), (F.col("y0") - (F.col("t_row") + 0.5) * F.col("dy")).alias("y")))
     cells = rows.select("raster", *[c for c in source.columns if c != "raster"], "t_row",
