@@ -127,7 +127,7 @@ def contract_chains(arcs: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFr
     Returns ``(u, v, w)`` between the nodes that stay and ``(node, end, w)`` of every inner node to the ends of its chain.
     Each arc points to the one that follows it through an inner node; a round adds what the next arc spans and takes over
     its pointer, so a chain of n nodes takes log2(n) rounds, each one join (an arc follows at most one other, so no key is
-    hot) and one checkpoint of the arcs still running.  Rings without a node that stays never end: the rounds
+    hot) and one checkpoint of the arcs.  Rings without a node that stays never end: the rounds
     stop when none ends any more, and such rings are left out (nothing that stays reaches them).
     """
     inner = (arcs.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
@@ -137,16 +137,18 @@ def contract_chains(arcs: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFr
     state = cut_lineage(arcs.join(starts, "u", "left").join(inner, F.col("v") == F.col("x"), "left").select(
         "u", "v", "w", F.col("v").alias("end"), F.coalesce("inner", F.lit(False)).alias("inner"),
         F.col("x").alias("nu"), F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("nv")))
+    n_parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done, running = state.where("nu IS NULL"), state.where("nu IS NOT NULL")
     n_running, n_before = running.count(), None
     while n_running and n_running != n_before:
         ahead = done.unionByName(running).where("inner").select(
             F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("w").alias("_w"), F.col("end").alias("_end"),
             F.col("nu").alias("_nu"), F.col("nv").alias("_nv"))
-        state = cut_lineage(running.join(ahead, ["nu", "nv"]).select(
+        longer = running.join(ahead, ["nu", "nv"]).select(
             "u", "v", (F.col("w") + F.col("_w")).alias("w"), F.col("_end").alias("end"), "inner",
-            F.col("_nu").alias("nu"), F.col("_nv").alias("nv")))
-        done, running = done.unionByName(state.where("nu IS NULL")), state.where("nu IS NOT NULL")
+            F.col("_nu").alias("nu"), F.col("_nv").alias("nv"))
+        state = cut_lineage(longer.unionByName(done).coalesce(n_parts))  # one frame a round: plans and partitions do not grow
+        done, running = state.where("nu IS NULL"), state.where("nu IS NOT NULL")
         n_running, n_before = running.count(), n_running
     whole = done.where("NOT inner AND u <> end").groupBy("u", F.col("end").alias("v")).agg(F.min("w").alias("w"))
     legs = done.where("inner").groupBy(F.col("u").alias("node"), "end").agg(F.min("w").alias("w"))
