@@ -167,6 +167,34 @@ def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", F.col("geom")["type"].alias("kind"), F.when(F.col("geom")["type"] == "POINT", 0.0).otherwise(F.round(G.st_area("geom"), 6)).alias("area"))
 
 
+@query("geojson_collection", """
+SELECT doc_id AS id, sha256(text) AS note_sha256, CASE doc_id % 3 WHEN 2 THEN 2 ELSE 1 END AS n_members,
+  CASE doc_id % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'POLYGON' ELSE 'POINT POLYGON' END AS kinds,
+  CASE doc_id % 3 WHEN 0 THEN 0 ELSE 2 * (doc_id % 100 + 1) END::DOUBLE AS area FROM documents
+""")
+def geojson_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as properties of features in collection files that several tasks read, with GeometryCollections."""
+    path, k = scratch(spark, "collections"), F.col("doc_id")
+    w = k % 100 + 1
+    point = F.format_string('{"type":"Point","coordinates":[%d,1]}', w)
+    area = F.format_string('{"type":"Polygon","coordinates":[[[0,0],[%d,0],[%d,2],[0,2],[0,0]]]}', w, w)
+    shape = F.when(k % 3 == 0, point).when(k % 3 == 1, area).otherwise(
+        F.concat(F.lit('{"type":"GeometryCollection","geometries":['), point, F.lit(","), area, F.lit("]}")))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(k.alias("id"), F.col("text").alias("note"))),
+                       F.lit(',"geometry":'), shape, F.lit("}"))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").select(F.floor(k / 20000).alias("part"), F.lit(1).alias("place"), feature.alias("value"))
+    # every file opens with an object beside its features and closes with one, so that each feature ends in a comma
+    ends = docs.select("part").distinct().select("part", F.explode(F.array(
+        F.struct(F.lit(0).alias("place"), F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"{a}"}},"features":[').alias("value")),
+        F.struct(F.lit(2).alias("place"), F.lit('{"type":"End"}]}').alias("value")))).alias("e")).select("part", "e.*")
+    lines = docs.withColumn("value", F.concat("value", F.lit(","))).unionByName(ends)
+    lines.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    f = features.read_collections(spark, path, "id long, note string")
+    return f.select("id", F.sha2("note", 256).alias("note_sha256"), F.size("members").alias("n_members"),
+                    F.array_join(F.col("members.type"), " ").alias("kinds"),
+                    F.aggregate("members", F.lit(0.0), lambda a, g: a + F.when(g["type"] == "POINT", 0.0).otherwise(F.round(G.st_area(g), 6))).alias("area"))
+
+
 @query("tbox_table", f"""
 SELECT '{EX}Part' || p_partkey AS s, '{T.RDF_TYPE}' AS p, '{T.OWL}Class' AS o FROM part WHERE p_partkey % 3 < 2
 UNION ALL SELECT '{EX}Part' || p_partkey, '{T.RDFS}subClassOf', '{EX}Size' || p_size FROM part WHERE p_partkey % 3 = 0
