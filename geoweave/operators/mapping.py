@@ -59,6 +59,46 @@ def map_many(mappings: Sequence[tuple[DataFrame, Sequence[TripleTemplate]]], gra
     return out.distinct() if distinct else out
 
 
+DEFINITION_SCHEMA = ("mapping_id string, seq int, source string, subject string, predicate string, object string, "
+                     "kind string, dtype string, lang string, condition string")
+
+
+def compile_mappings(definitions: DataFrame, sources: Mapping[str, DataFrame], graph: str | None = None,
+                     distinct: bool = True, prefixes: Mapping[str, str] | None = None) -> DataFrame:
+    """K3: a table of mappings (``DEFINITION_SCHEMA``, one row a triple template) → quads, with one scan per source.
+
+    The last definition of a ``mapping_id`` wins (K4).  Definitions are the program, not the data: they are read by the driver.
+    All templates over one source become one generate over the columns they name, each distinct subject rendered once.
+    ``source`` names an entry of ``sources`` or is a SELECT; ``kind`` is ``iri``, ``literal``, ``bnode`` or ``constant`` (an IRI without
+    columns); ``condition`` is an SQL condition on the source's row, NULL for none.  No definitions: no quads.  A definition
+    without source, subject, predicate or object raises.
+    """
+    by_source: dict[str, list] = {}
+    for d in merge_mappings(definitions).orderBy("source", "mapping_id").collect():
+        if None in (d["source"], d["subject"], d["predicate"], d["object"]):
+            raise ValueError(f"incomplete mapping {d['mapping_id']}")
+        by_source.setdefault(d["source"], []).append(d)
+    parts = []
+    for source, defs in by_source.items():
+        df = sources[source] if source in sources else definitions.sparkSession.sql(source)
+        subjects = {t: f"_subject_{i}" for i, t in enumerate(dict.fromkeys(d["subject"] for d in defs))}
+
+        def obj(d) -> Column:
+            if d["kind"] == "constant":
+                t = terms.const_iri(d["object"], prefixes)
+            else:
+                t = terms.term(d["object"], d["kind"], d["dtype"], d["lang"], prefixes)
+            return terms.when_term(F.expr(d["condition"]), t) if d["condition"] else t
+
+        rendered = df.select("*", *[(terms.bnode(t[2:]) if t.startswith("_:") else terms.iri(t, prefixes)).alias(c)
+                                    for t, c in subjects.items()])
+        parts.append(map_triples(rendered, [(F.col(subjects[d["subject"]]), d["predicate"], obj(d)) for d in defs], graph, prefixes=prefixes))
+    if not parts:
+        return definitions.sparkSession.createDataFrame([], QUAD_SCHEMA)
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    return out.distinct() if distinct else out
+
+
 def merge_mappings(versions: DataFrame, id_col: str = "mapping_id", seq_col: str = "seq") -> DataFrame:
     """Mapping definitions merged by id — the last (highest ``seq``) definition wins.
 
