@@ -12,7 +12,7 @@ Object classes: 32 floor, 33 roof, 34 wall, 35 ground.  Operators marked
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ def prefer_lod(df: DataFrame, keys) -> Column:
     return F.coalesce(*[F.col(k) for k in keys if k in df.columns])
 
 
-def to_raw_buildings(df: DataFrame, column_map: Mapping[str, str], min_area: float = 0.0) -> DataFrame:
-    """Footprint × height (+ elevation) → ``(id, gmlid, geom solid, mh)``.
+def to_raw_buildings(df: DataFrame, column_map: Mapping[str, str], min_area: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """Footprint × height (+ elevation) → ``(id, gmlid, geom solid, mh)`` and the columns named in ``keep``.
 
     ``column_map`` names ``id``, ``footprint`` (``polygon`` accepted too, trap T10),
     ``height`` and optionally ``elevation`` and ``gmlid``.  NULL heights are dropped;
@@ -48,7 +48,7 @@ def to_raw_buildings(df: DataFrame, column_map: Mapping[str, str], min_area: flo
     base = df.where(F.col(hc).isNotNull()).where(G.st_area(F.col(fp)) > min_area)
     solid = G.st_translate(G.st_extrude(G.st_force3d(G.st_force2d(F.col(fp)), 0.0), F.col(hc).cast("double")),
                            0.0, 0.0, elev.cast("double"))
-    return base.select(F.col(idc).alias("id"), gml.alias("gmlid"), solid.alias("geom"), F.col(hc).cast("double").alias("mh"))
+    return base.select(F.col(idc).alias("id"), gml.alias("gmlid"), solid.alias("geom"), F.col(hc).cast("double").alias("mh"), *keep)
 
 
 def to_raw_surfaces(buildings: DataFrame) -> DataFrame:
@@ -62,11 +62,13 @@ def to_raw_surfaces(buildings: DataFrame) -> DataFrame:
                         cls.alias("class"), G.st_reverse("face").alias("geom"))
 
 
-def populate_city_tables(raw_b: DataFrame, raw_s: DataFrame, lineage: str, id_base: int = 0) -> dict[str, DataFrame]:
-    """C4 *[gap]*: raw buildings/surfaces → cityobject, building, thematic_surface, surface_geometry.
+def populate_city_tables(raw_b: DataFrame, raw_s: DataFrame, lineage: str, id_base: int = 0,
+                         attributes: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """C4 *[gap]*: raw buildings/surfaces → cityobject, building, thematic_surface, surface_geometry, cityobject_genericattrib.
 
     Ids are dense ordinals (no single-partition window): buildings first, then
-    surfaces, then one geometry row per surface.
+    surfaces, then one geometry row per surface.  Every column of ``raw_b`` named in ``attributes`` gives one attribute row per
+    building where it is not NULL, as text in ``strval``, or in ``urival`` if it holds an IRI.
     """
     b = with_ordinal(raw_b, ["gmlid"], "ord").withColumn("bid", F.col("ord") + id_base)
     nb = b.agg(F.max("ord")).first()[0] or 0
@@ -86,7 +88,15 @@ def populate_city_tables(raw_b: DataFrame, raw_s: DataFrame, lineage: str, id_ba
     geometry = s.select(F.col("gid").alias("id"), F.concat("gmlid", F.lit("_geom")).alias("gmlid"),
                         F.lit(None).cast("bigint").alias("parent_id"), F.col("gid").alias("root_id"),
                         F.col("geom").alias("geometry"), F.col("sid").alias("cityobject_id"))
-    return {"cityobject": cityobject, "building": building, "thematic_surface": thematic, "surface_geometry": geometry}
+    none = F.lit(None).cast("string")
+    named = F.array(*[F.struct(F.lit(a).alias("attrname"), F.col(a).cast("string").alias("v")) for a in attributes]) if attributes \
+        else F.lit(None).cast("array<struct<attrname:string,v:string>>")
+    uri = F.col("a.v").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
+    attrs = b.select("bid", F.explode(named).alias("a")).where(F.col("a.v").isNotNull()).select(
+        F.col("bid").alias("cityobject_id"), "a.attrname", F.when(uri, none).otherwise(F.col("a.v")).alias("strval"),
+        F.when(uri, F.col("a.v")).alias("urival"))
+    return {"cityobject": cityobject, "building": building, "thematic_surface": thematic, "surface_geometry": geometry,
+            "cityobject_genericattrib": attrs}
 
 
 def newell_normal(ring: Column) -> Column:

@@ -392,6 +392,25 @@ def merge_parts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (G.st_npoints("geometry") - F.size(F.col("geometry")["parts"])).alias("n_vertices"), "overlap_edges")
 
 
+@query("city_attributes", """
+WITH b AS (SELECT p_partkey, p_brand, p_size, 'https://example.org/type/' || p_partkey AS link,
+    row_number() OVER (ORDER BY 'bldg_' || lpad(p_partkey::VARCHAR, 12, '0')) AS id FROM part WHERE p_size > 0)
+SELECT id AS cityobject_id, 'p_brand' AS attrname, p_brand AS strval, NULL::VARCHAR AS urival FROM b WHERE p_brand IS NOT NULL
+UNION ALL SELECT id, 'half', (p_size // 2)::VARCHAR, NULL FROM b WHERE p_size % 2 = 0
+UNION ALL SELECT id, 'link', NULL, link FROM b
+""")
+def city_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: generic attribute rows of the imported buildings, texts, numbers (NULL for odd sizes) and IRIs."""
+    k = F.col("p_partkey")
+    p = boxes(spark, sf_dir).join(read(spark, sf_dir, "part", "p_partkey", "p_brand"), "p_partkey").select(
+        k.alias("id"), F.concat(F.lit("bldg_"), F.lpad(k.cast("string"), 12, "0")).alias("gmlid"), footprint(None).alias("footprint"),
+        F.col("p_size").alias("height"), "p_brand", F.when(F.col("p_size") % 2 == 0, F.floor(F.col("p_size") / 2)).alias("half"),
+        F.concat(F.lit("https://example.org/type/"), k.cast("string")).alias("link"))
+    keep = ["p_brand", "half", "link"]
+    raw = C.to_raw_buildings(p, {"id": "id", "gmlid": "gmlid", "footprint": "footprint", "height": "height"}, keep=keep)
+    return C.populate_city_tables(raw, C.to_raw_surfaces(raw), "load", attributes=keep)["cityobject_genericattrib"]
+
+
 @query("city_triples", f"""
 WITH b AS (SELECT p_partkey AS id FROM part)
 SELECT NULL::VARCHAR AS g, '{EX_CITY}Building/' || CAST(id AS VARCHAR) AS s, '{RDF_TYPE}' AS p, '{EX_CITY}Building' AS o,
