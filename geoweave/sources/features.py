@@ -52,15 +52,15 @@ def geojson_members(col, srid: int = 4326):
 
 
 def _before(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all earlier segments of the file.
+    """Adds ``name``: the sum of ``value`` over all earlier segments of the file, with ``_base`` and ``_end``, the sums at the block's ends.
 
     Summed inside a block of the file, then over the blocks' totals (one row a block), so no file is one group.
     """
     block, earlier = Window.partitionBy("file", "block").orderBy("seq"), Window.partitionBy("file").orderBy("block")
     totals = df.groupBy("file", "block").agg(F.sum(value).alias("_total"))
-    totals = totals.select("file", "block", (F.sum("_total").over(earlier) - F.col("_total")).alias("_base"))
+    totals = totals.select("file", "block", (F.sum("_total").over(earlier) - F.col("_total")).alias("_base"), F.sum("_total").over(earlier).alias("_end"))
     inside = F.sum(value).over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
-    return df.withColumn("_in", inside).join(totals, ["file", "block"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_in", "_base")
+    return df.withColumn("_in", inside).join(totals, ["file", "block"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_in")
 
 
 def split_collections(spark: SparkSession, path: str) -> DataFrame:
@@ -86,11 +86,17 @@ def split_collections(spark: SparkSession, path: str) -> DataFrame:
     quoted = F.col("q") % 2 == 1
     s = s.withColumn("opens", F.when(quoted, 0).otherwise(F.col("opens"))).withColumn(
         "delta", F.col("opens") - F.when(quoted, F.col("c1")).otherwise(F.col("c0")))
-    s = _before(s.drop("quotes", "q", "c0", "c1"), "delta", "depth")
+    s = _before(s.drop("quotes", "q", "c0", "c1", "_base", "_end"), "delta", "depth")
     s = s.withColumn("starts", ((F.col("opens") == 1) & (F.col("depth") == 1)).cast("int"))
-    s = _before(s.drop("opens", "delta", "depth"), "starts", "earlier").withColumn("no", F.col("earlier") + F.col("starts"))
-    whole = s.where("no > 0").groupBy("file", "no").agg(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("t"))
-    return whole.select("file", "no", F.concat(F.lit("{"), F.array_join(F.col("t.value"), "{")).alias("json"))
+    s = _before(s.drop("opens", "delta", "depth", "_base", "_end"), "starts", "earlier").withColumn("no", F.col("earlier") + F.col("starts"))
+    # an object inside one block is joined where its block is; only objects at a block's two ends are shuffled again
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("seq", "value")))["value"], "{")
+    pieces = s.where("no > 0").groupBy("file", "block", "no", "_base", "_end").agg(text.alias("json"))
+    inner = (F.col("no") > F.col("_base")) & (F.col("no") < F.col("_end"))
+    rims = pieces.where(~inner).groupBy("file", "no").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("block", "json")))["json"], "{").alias("json"))
+    whole = pieces.where(inner).select("file", "no", "json").unionByName(rims)
+    return whole.select("file", "no", F.concat(F.lit("{"), "json").alias("json"))
 
 
 def read_collections(spark: SparkSession, path: str, properties_schema: str, srid: int = 4326, geom_col: str = "members") -> DataFrame:
