@@ -59,11 +59,11 @@ class _Chunks(dict):
 class PairEncoder:
     """Tokens of both vocabularies for space + text.
 
-    Neither vocabulary has a token in which white space follows another character, so a text is encoded in chunks that end
-    before such white space, and each distinct chunk once.  Texts with unusual white space are encoded whole.
+    Neither vocabulary has a token in which white space other than a carriage return follows another character, so a text is
+    encoded in chunks that end before such white space, and each distinct chunk once.  Texts with unusual white space are encoded whole.
     """
 
-    CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+    CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+(?:\r[\t-\r ]*[^\t-\r ]*)*|[\t-\r ]+")
     UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     ▁　﻿\x00]")
 
     def __init__(self, byte_path: str, piece_path: str):
@@ -89,7 +89,7 @@ class PairEncoder:
         raw = self.raw_b
         if chunk[0] == " ":
             ids = self.pieces.encode(chunk[1:], num_threads=1) or [self.space]  # the processor puts the space back, but for no text
-        else:  # after the first chunk, one may start with a line break, which joins no other character
+        else:  # after the first chunk, one may start with a tab or line feed, which joins no other character
             ids = self.pieces.encode(chunk, num_threads=1)
             if ids[0] != self.space:
                 return [LOST]
