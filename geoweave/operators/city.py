@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import geom as G
 from geoweave.functions.pgcompat import stable_uuid
 from geoweave.operators.relational import with_ordinal
 from geoweave.operators.union import union_agg
-from geoweave.session import cut_lineage
+from geoweave.session import cut_lineage, shuffled
 
 GROUND, ROOF, WALL, FLOOR = 35, 33, 34, 32
 BUILDING_LOD_KEYS = ["lod4_multi_surface_id", "lod3_multi_surface_id", "lod2_multi_surface_id",
@@ -74,7 +74,7 @@ def populate_city_tables(raw_b: DataFrame, raw_s: DataFrame, lineage: str, id_ba
     nb = b.agg(F.max("ord")).first()[0] or 0
     s = with_ordinal(raw_s, ["gmlid"], "ord").withColumn("sid", F.col("ord") + id_base + nb)
     ns = s.agg(F.max("ord")).first()[0] or 0
-    s = s.join(b.select(F.col("gmlid").alias("building_gmlid"), "bid"), "building_gmlid")
+    s = s.join(shuffled(b.select(F.col("gmlid").alias("building_gmlid"), "bid")), "building_gmlid")
     s = s.withColumn("gid", F.col("sid") + ns)
     cityobject = b.select(F.col("bid").alias("id"), "gmlid", G.st_envelope("geom").alias("envelope"),
                           F.lit(26).alias("objectclass_id"), F.lit(lineage).alias("lineage")).unionByName(
@@ -115,18 +115,18 @@ def discover_surfaces(faces: DataFrame, building_col: str = "building_gmlid", ge
     n = newell_normal(ring)
     norm = F.sqrt(n["nx"] * n["nx"] + n["ny"] * n["ny"] + n["nz"] * n["nz"])
     f = faces.withColumn("_ratio", F.abs(n["nz"]) / F.when(norm > 0, norm)).withColumn("_zmax", G.st_zmax(geom_col))
-    bmin = f.groupBy(building_col).agg(F.min(G.st_zmin(geom_col)).alias("_bzmin"))
-    f = f.join(bmin, building_col)
+    f = f.where(F.col(building_col).isNotNull()).withColumn("_zmin", G.st_zmin(geom_col))
+    f = f.withColumn("_bzmin", F.min("_zmin").over(Window.partitionBy(building_col)))
     cls = (F.when(F.col("_ratio").isNull() | (F.col("_ratio") < crit_ratio), F.lit(WALL))
            .when(F.col("_zmax") == F.col("_bzmin"), F.lit(GROUND)).otherwise(F.lit(ROOF)))
-    return f.withColumn("class", cls).drop("_ratio", "_zmax", "_bzmin")
+    return f.withColumn("class", cls).select(building_col, *[c for c in faces.columns if c not in (building_col, "class")], "class")
 
 
 def add_building_height(building: DataFrame, faces: DataFrame, id_col: str = "id", face_building: str = "building_id",
                         geom_col: str = "geometry") -> DataFrame:
     """C6 *[gap]*: measured_height, where NULL, from the building's faces (zmax − zmin)."""
     h = faces.groupBy(face_building).agg((F.max(G.st_zmax(geom_col)) - F.min(G.st_zmin(geom_col))).alias("_h"))
-    out = building.join(h, building[id_col] == h[face_building], "left")
+    out = building.join(shuffled(h), building[id_col] == h[face_building], "left")
     return out.withColumn("measured_height", F.coalesce("measured_height", "_h")).drop("_h", face_building)
 
 
@@ -142,32 +142,32 @@ def add_footprint(building: DataFrame, cityobject: DataFrame, thematic: DataFram
     ``footprints(id, kind, geom)`` is the union per building.
     """
     bwf = (building.where(F.col("lod0_footprint_id").isNull()).select("id")
-           .join(cityobject.select("id", "gmlid", G.st_zmin("envelope").alias("zmin")), "id"))
+           .join(shuffled(cityobject.select("id", "gmlid", G.st_zmin("envelope").alias("zmin"))), "id"))
     ts = thematic.select(F.col("building_id"), F.col("objectclass_id"),
                          prefer_lod(thematic, SURFACE_LOD_KEYS).alias("_troot"))
     sg = surfaces.where(F.col("geometry").isNotNull()).select("root_id", "geometry")
-    ground = (sg.join(ts.where(F.col("objectclass_id") == GROUND), sg["root_id"] == ts["_troot"])
-              .join(bwf.select(F.col("id").alias("building_id")), "building_id", "left_semi"))
+    ground = (sg.join(shuffled(ts.where(F.col("objectclass_id") == GROUND)), sg["root_id"] == ts["_troot"])
+              .join(shuffled(bwf.select(F.col("id").alias("building_id"))), "building_id", "left_semi"))
     # "a precise footprint exists" = the building has ground faces (the reference groups them even when
     # their union is empty), so rough sources are known before any union is computed
     has_ground = ground.select(F.col("building_id").alias("bkey")).distinct()
     bl = building.select(F.col("id").alias("_bid"), prefer_lod(building, BUILDING_LOD_KEYS).alias("_broot"))
     rough_src = (sg.where(G.st_area("geometry") > 0.0)
-                 .join(bl, sg["root_id"] == bl["_broot"], "left")
-                 .join(ts.select("building_id", "_troot"), sg["root_id"] == ts["_troot"], "left")
+                 .join(shuffled(bl), sg["root_id"] == bl["_broot"], "left")
+                 .join(shuffled(ts.select("building_id", "_troot")), sg["root_id"] == ts["_troot"], "left")
                  .withColumn("bkey", F.coalesce("_bid", "building_id")))
     # NOT EXISTS precise (NULL keys would be kept) … AND key IN (buildings without footprint) (drops them): T6
-    rough_src = (rough_src.join(has_ground, "bkey", "left_anti")
-                 .join(bwf.select(F.col("id").alias("bkey")), "bkey", "left_semi"))
+    rough_src = (rough_src.join(shuffled(has_ground), "bkey", "left_anti")
+                 .join(shuffled(bwf.select(F.col("id").alias("bkey"))), "bkey", "left_semi"))
     # a building is either precise or rough, never both: one union pass over both face sets;
     # the union is read several times below, so it is materialised once (reliable checkpoint)
     faces = (ground.select(F.col("building_id").alias("bkey"), G.st_force2d("geometry").alias("g"))
              .unionByName(rough_src.select("bkey", G.st_force2d("geometry").alias("g"))))
     unioned = union_agg(faces, "bkey", "g", srid)
     kind = F.when(F.col("_hg").isNotNull(), F.lit("precise")).otherwise(F.lit("rough"))
-    fps = cut_lineage(unioned.join(has_ground.withColumn("_hg", F.lit(True)), "bkey", "left")
+    fps = cut_lineage(unioned.join(shuffled(has_ground.withColumn("_hg", F.lit(True))), "bkey", "left")
                       .select(F.col("bkey").alias("id"), kind.alias("kind"), F.col("g").alias("geom")))
-    soup = (bwf.join(fps, "id", "left")
+    soup = (bwf.join(shuffled(fps), "id", "left")
             .select("id", "gmlid", "zmin", F.posexplode_outer(G.st_dump("geom")).alias("part_no", "part"))
             .select("id", "gmlid", "part_no", G.st_force3d("part", F.col("zmin")).alias("geometry")))
     # new surface_geometry ids continue the existing sequence: parents first (by building id), then the
@@ -183,7 +183,7 @@ def add_footprint(building: DataFrame, cityobject: DataFrame, thematic: DataFram
     parent_rows = parents.select(F.col("footprint_id").alias("id"), F.concat("gmlid", F.lit("_footprint")).alias("gmlid"),
                                  F.lit(None).cast("bigint").alias("parent_id"), F.col("footprint_id").alias("root_id"),
                                  F.lit(None).cast(G.GEOM).alias("geometry"), F.col("bid").alias("cityobject_id"))
-    kids = numbered.where("_tag = 1").join(parents.select("bid", "footprint_id"), F.col("id") == F.col("bid"))
+    kids = numbered.where("_tag = 1").join(shuffled(parents.select("bid", "footprint_id")), F.col("id") == F.col("bid"))
     child_rows = kids.select(F.col("new_id").alias("id"),
                              F.concat("gmlid", F.lit("_footprint_child")).alias("gmlid"),
                              F.col("footprint_id").alias("parent_id"), F.col("footprint_id").alias("root_id"),
@@ -192,7 +192,7 @@ def add_footprint(building: DataFrame, cityobject: DataFrame, thematic: DataFram
     sg_all = surfaces.select(*[F.col(c) if c in surfaces.columns else F.lit(None).alias(c) for c in cols])
     new_sg = sg_all.unionByName(parent_rows).unionByName(child_rows).withColumn(
         "root_id", F.coalesce("root_id", "id"))
-    b2 = building.join(parents.select(F.col("bid").alias("id"), "footprint_id"), "id", "left").withColumn(
+    b2 = building.join(shuffled(parents.select(F.col("bid").alias("id"), "footprint_id")), "id", "left").withColumn(
         "lod0_footprint_id", F.coalesce("lod0_footprint_id", "footprint_id")).drop("footprint_id")
     return b2, new_sg, fps
 
@@ -206,8 +206,8 @@ def footprint_layer(building: DataFrame, surfaces: DataFrame, attrs: DataFrame,
     uuid = attrs.where(F.col("attrname") == "uuid").select(F.col("strval").alias("uuid"), F.col("cityobject_id").alias("_u"))
     iri = attrs.where(F.col("attrname") == "iri").select(F.col("urival").alias("iri"), F.col("cityobject_id").alias("_i"))
     g = surfaces.where(F.col("geometry").isNotNull()).select("root_id", "geometry")
-    j = (building.join(g, building["lod0_footprint_id"] == g["root_id"])
-         .join(uuid, building["id"] == uuid["_u"]).join(iri, building["id"] == iri["_i"]))
+    j = (building.join(shuffled(g), building["lod0_footprint_id"] == g["root_id"])
+         .join(shuffled(uuid), building["id"] == uuid["_u"]).join(shuffled(iri), building["id"] == iri["_i"]))
     geom = G.st_flip_coordinates("geometry") if flip else F.col("geometry")
     return j.select(F.col("id").alias("building_id"),
                     F.coalesce(F.col("measured_height").cast("double"), F.lit(default_height)).alias("building_height"),
@@ -271,7 +271,7 @@ def merge_parts(parts: DataFrame, id_col: str = "id", rel_col: str = "rel", heig
     heights = kept.groupBy("parent").agg(F.avg(height_col).alias("average_height")).where(
         F.col("average_height").isNotNull())
     shapes = union_agg(kept.select("parent", G.st_force2d(F.col(geom_col)).alias("g")), "parent", "g", srid)
-    return heights.join(shapes, "parent").select("parent", "average_height", F.lit(elevation).alias("elevation"),
+    return heights.join(shuffled(shapes), "parent").select("parent", "average_height", F.lit(elevation).alias("elevation"),
                                                  G.st_make_valid(F.col("g")).alias("geometry"), "overlap_edges")
 
 

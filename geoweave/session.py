@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join side that is shuffled, not broadcast: its size is guessed from compressed files that are far smaller than its rows."""
+    return df.hint("merge")
+
+
+def dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows dealt out by ``cols`` before costly expressions: a file of a few MB, read by one task, may hold millions of rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *cols)
+
+
+#: Rows that one task sorts or aggregates, where the number of tasks follows the input.
+TASK_ROWS = 500_000
+
+
+def tasks_for(df: DataFrame, per_row: int = 1) -> int:
+    """Tasks that hold about TASK_ROWS rows each if every row of ``df`` becomes ``per_row``; no fewer than the session's shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * per_row // TASK_ROWS))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back, for frames that are joined with themselves round after round.
+
+    A checkpoint keeps the size that its plan was guessed to have: for a join the product of both sides', so in a loop the number
+    of its digits doubles each round, until the driver holds nothing else.  Files have the size they have.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); used between iterations."""
     ensure_checkpoint_dir(df.sparkSession)
