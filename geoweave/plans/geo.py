@@ -18,6 +18,7 @@ from geoweave.plans.registry import query
 from geoweave.plans.relational import UUID_SQL
 from geoweave.plans.sqlmath import sql_transform
 from geoweave.plans.tables import read
+from geoweave.session import dealt, shuffled
 
 EX_CITY = "https://example.org/city/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -29,7 +30,7 @@ D = "(p_partkey % 7 + 1)"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = dealt(read(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k = F.col("p_partkey")
     return p.select("p_partkey", "p_size",
                     ((k % 100) * 100).cast("double").alias("x0"), (F.floor(k / 100) * 100).cast("double").alias("y0"),
@@ -380,7 +381,7 @@ FROM kept GROUP BY 1 HAVING avg(height) IS NOT NULL
 """)
 def merge_parts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 (+P9/P5/A1/G8): building parts (pairs of unit squares side by side) merged per parent."""
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = dealt(read(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k = F.col("p_partkey")
     x0 = (F.floor(k / 2) * 10 + k % 2).cast("double")
     parts = p.select(k.alias("id"), F.when(k % 2 == 1, k - 1).alias("rel"),
@@ -402,7 +403,7 @@ UNION ALL SELECT id, 'link', NULL, link FROM b
 def city_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: generic attribute rows of the imported buildings, texts, numbers (NULL for odd sizes) and IRIs."""
     k = F.col("p_partkey")
-    p = boxes(spark, sf_dir).join(read(spark, sf_dir, "part", "p_partkey", "p_brand"), "p_partkey").select(
+    p = boxes(spark, sf_dir).join(shuffled(read(spark, sf_dir, "part", "p_partkey", "p_brand")), "p_partkey").select(
         k.alias("id"), F.concat(F.lit("bldg_"), F.lpad(k.cast("string"), 12, "0")).alias("gmlid"), footprint(None).alias("footprint"),
         F.col("p_size").alias("height"), "p_brand", F.when(F.col("p_size") % 2 == 0, F.floor(F.col("p_size") / 2)).alias("half"),
         F.concat(F.lit("https://example.org/type/"), k.cast("string")).alias("link"))
@@ -434,7 +435,7 @@ SELECT k, CAST(w * 4 + 4 * h - least(w, 4) * least(h, 4) + 6 AS DOUBLE) AS area,
 """)
 def union_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G8 on shapes that overlap (two bars in an L), touch along part of an edge (T-junction) and lie inside each other."""
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = dealt(read(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     w, h, z = (F.col("p_size") % 7 + 2).cast("double"), (F.col("p_size") % 5 + 2).cast("double"), F.lit(0.0)
     faces = F.array(G.box(z, z, w, F.lit(4.0)), G.box(z, z, F.lit(4.0), h), G.box(F.lit(-2.0), F.lit(0.5), z, F.lit(3.5)),
                     G.box(F.lit(0.25), F.lit(0.25), F.lit(0.75), F.lit(0.75)))
@@ -473,7 +474,7 @@ def union_large_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as the overlapping faces of one feature, a grid of cells over it."""
     k = F.col("p_partkey")
     x, y = (k % 100).cast("double"), F.floor(k / 100).cast("double")
-    faces = read(spark, sf_dir, "part", "p_partkey").select(F.lit("all").alias("k"), G.box(x, y, x + 1.5, y + 1.0).alias("geom"), (y % 2).alias("y"))
+    faces = dealt(read(spark, sf_dir, "part", "p_partkey"), "p_partkey").select(F.lit("all").alias("k"), G.box(x, y, x + 1.5, y + 1.0).alias("geom"), (y % 2).alias("y"))
     rows = faces.groupBy("k").agg(F.count_distinct("y").alias("n_rows"))
     return union_agg(faces, "k", small=100).join(rows, "k").select("k", F.round(G.st_area("geom"), 6).alias("area"), "n_rows")
 
@@ -490,7 +491,7 @@ SELECT k, CASE k % 4 WHEN 0 THEN w * h / 2 WHEN 1 THEN w * h + 1 WHEN 2 THEN 0 E
 """)
 def make_valid_bowtie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bow ties, holes beside their shell, spikes without area, shells given twice around a hole."""
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = dealt(read(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k, w, h, z = F.col("p_partkey"), (F.col("p_size") % 9 + 2).cast("double"), (F.col("p_size") % 5 + 2).cast("double"), F.lit(0.0)
     shell = _ring((z, z), (w, z), (w, h), (z, h))
     unit = lambda x: _ring((x, z + 0.5), (x + 1, z + 0.5), (x + 1, z + 1.5), (x, z + 1.5))
