@@ -345,7 +345,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of one cell a row, with its faces, to boundary pieces (interior on the left) and pieces beside which faces overlap."""
     names = ["_k", "px", "py", "qx", "qy", "overlap"]
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):  # one cell as Python objects at a time
             p = np.array([(r["px"], r["py"], r["qx"], r["qy"]) for r in row["pieces"]])
             edges = np.array([(r["ax"], r["ay"], r["bx"], r["by"]) for r in row["edges"]]).reshape(-1, 4)
             face = np.array([r["face"] for r in row["edges"]], np.int64)
@@ -400,11 +400,13 @@ def large_union(faces: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
     turned = F.struct("ax", "ay") > F.struct("bx", "by")  # from the smaller end on
     edges = cut_lineage(edges.select("_k", "face", *(F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c)
                                                      for c, o in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay")))))
-    steps = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.count("*") / per_cell)))
-    frames = cut_lineage(edges.groupBy("_k").agg(
-        F.min("ax").alias("x0"), F.min(F.least("ay", "by")).alias("y0"),
-        F.ceil((F.max("bx") - F.min("ax") + 1) / steps).cast("double").alias("w"),
-        F.ceil((F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by")) + 1) / steps).cast("double").alias("h")))
+    # cells are squares: in a long feature, cells of its shape would each hold a slice of many edges
+    extent = edges.groupBy("_k").agg(F.min("ax").alias("x0"), F.min(F.least("ay", "by")).alias("y0"), F.max("bx").alias("x1"),
+                                     F.max(F.greatest("ay", "by")).alias("y1"), (F.lit(per_cell) / F.count("*")).alias("share"))
+    extent = extent.select("_k", "x0", "y0", (F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height"), "share")
+    side = F.greatest(F.sqrt(F.col("width") * F.col("height") * F.col("share")), F.greatest("width", "height") * F.col("share"))
+    frames = cut_lineage(extent.select("_k", "x0", "y0", F.ceil(F.least("width", side)).cast("double").alias("w"),
+                                       F.ceil(F.least("height", side)).cast("double").alias("h")))
     shifted = edges.join(frames, "_k")
     shifted = shifted.select("_k", "face", "w", "h", *((F.col(c) - F.col(c[1] + "0")).alias(c) for c in ("ax", "ay", "bx", "by")))
     columns, rows = _cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
