@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoweave.session import cut_lineage
+from geoweave.session import cut_lineage, kept, shuffled, tasks_for
 
 EARTH_R = 6371008.8  # mean Earth radius (m)
 
@@ -48,6 +48,7 @@ def build_ways(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = wn.groupBy("node_id").agg((F.count(F.lit(1)) >= 2).alias("_shared"))
     geo = wn.join(shared, "node_id").join(nodes.select("node_id", "lon", "lat"), "node_id")
     w = Window.partitionBy("way_id")
+    geo = geo.repartition(tasks_for(wn), "way_id")  # a task sorts a bounded number of rows, however many there are
     # positions may repeat inside a way: order by (pos, node_id) and renumber
     geo = geo.withColumn("pos", F.row_number().over(w.orderBy("pos", "node_id")))
     geo = (geo.withColumn("_first", F.col("pos") == 1)
@@ -133,24 +134,27 @@ def contract_chains(arcs: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFr
     inner = (arcs.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
              .where("n = 2").drop("n").join(keep.select(F.col(keep.columns[0]).alias("x")).distinct(), "x", "left_anti"))
     inner = cut_lineage(inner)
+    if inner.isEmpty():
+        return arcs, arcs.select(F.col("u").alias("node"), F.col("v").alias("end"), "w").where(F.lit(False))
     starts = inner.select(F.col("x").alias("u"), F.lit(True).alias("inner"))
-    state = cut_lineage(arcs.join(starts, "u", "left").join(inner, F.col("v") == F.col("x"), "left").select(
+    state = cut_lineage(arcs.join(shuffled(starts), "u", "left").join(shuffled(inner), F.col("v") == F.col("x"), "left").select(
         "u", "v", "w", F.col("v").alias("end"), F.coalesce("inner", F.lit(False)).alias("inner"),
         F.col("x").alias("nu"), F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("nv")))
-    n_parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done, running = state.where("nu IS NULL"), state.where("nu IS NOT NULL")
+    # arcs between nodes that stay are as they will be: no round carries them
+    n_parts, direct = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), state.where("nu IS NULL AND NOT inner")
+    done, running = state.where("nu IS NULL AND inner"), state.where("nu IS NOT NULL")
     n_running, n_before = running.count(), None
     while n_running and n_running != n_before:
         ahead = done.unionByName(running).where("inner").select(
             F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("w").alias("_w"), F.col("end").alias("_end"),
             F.col("nu").alias("_nu"), F.col("nv").alias("_nv"))
-        longer = running.join(ahead, ["nu", "nv"]).select(
+        longer = running.join(shuffled(ahead), ["nu", "nv"]).select(
             "u", "v", (F.col("w") + F.col("_w")).alias("w"), F.col("_end").alias("end"), "inner",
             F.col("_nu").alias("nu"), F.col("_nv").alias("nv"))
-        state = cut_lineage(longer.unionByName(done).coalesce(n_parts))  # one frame a round: plans and partitions do not grow
+        state = kept(longer.unionByName(done).coalesce(n_parts))  # one frame a round: plans and partitions do not grow
         done, running = state.where("nu IS NULL"), state.where("nu IS NOT NULL")
         n_running, n_before = running.count(), n_running
-    whole = done.where("NOT inner AND u <> end").groupBy("u", F.col("end").alias("v")).agg(F.min("w").alias("w"))
+    whole = direct.unionByName(done.where("NOT inner AND u <> end")).groupBy("u", F.col("end").alias("v")).agg(F.min("w").alias("w"))
     legs = done.where("inner").groupBy(F.col("u").alias("node"), "end").agg(F.min("w").alias("w"))
     return cut_lineage(whole), legs
 
@@ -169,17 +173,19 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
     e = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("length_m").alias("w"))
     if not directed:
         e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    # the adjacency is joined in every round: materialise it once instead of re-deriving it each time
-    e = cut_lineage(e.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w")))
-    if not edges.where("length_m < 0").isEmpty():
+    # the adjacency is joined in every round: materialised once, dealt out by the node that rounds join it on
+    n_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = cut_lineage(e.repartition(n_parts, "u").groupBy("u", "v").agg(F.min("w").alias("w")))
+    if not e.where("w < 0").isEmpty():
         raise ValueError("shortest paths need edge lengths of 0 or more")
+    e = e.where("u <> v")
     start = F.col(sources.columns[0])
     dist = cut_lineage(sources.select(start.alias("src"), start.alias("node"), F.lit(0.0).alias("d")).distinct())
     if directed:
         return _relax(e, dist)
     whole, legs = contract_chains(e, sources)
     dist = _relax(whole, dist)
-    inner = dist.join(legs.withColumnRenamed("node", "_n"), dist["node"] == F.col("end")).groupBy("src", F.col("_n").alias("node")).agg(
+    inner = dist.join(shuffled(legs.withColumnRenamed("node", "_n")), dist["node"] == F.col("end")).groupBy("src", F.col("_n").alias("node")).agg(
         F.min(F.col("d") + F.col("w")).alias("d"))
     return dist.unionByName(inner)
 
@@ -193,11 +199,11 @@ def _relax(e: DataFrame, dist: DataFrame) -> DataFrame:
                 .groupBy("src", "node").agg(F.min("d").alias("d")))
         better = cand.join(dist.withColumnRenamed("d", "_old"), ["src", "node"], "left") \
                      .where(F.col("_old").isNull() | (F.col("d") < F.col("_old") - 1e-9)).select("src", "node", "d")
-        better = cut_lineage(better)
+        better = kept(better)
         if better.isEmpty():
             return dist
         dist = dist.join(better.select("src", "node"), ["src", "node"], "left_anti").unionByName(better)
         rnd += 1
         if rnd % 3 == 0:  # the frontier is cut every round; the distance table every third (bounded lineage)
-            dist = cut_lineage(dist)
+            dist = kept(dist)
         frontier = better
