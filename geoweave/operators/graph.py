@@ -230,12 +230,15 @@ def changes(bindings: DataFrame, delete: Sequence[Pattern], insert: Sequence[Pat
     return _instances(bindings, items)
 
 
-def apply_changes(quads: DataFrame, changed: DataFrame) -> DataFrame:
+def apply_changes(quads: DataFrame, changed: DataFrame, tasks: int | None = None) -> DataFrame:
     """The quad table after ``changed``, as a set: one aggregation by quad (NULL-safe, combined before the shuffle).
 
     A quad both deleted and inserted stays, as in SPARQL Update, where the deletions come first; deleting an absent quad does nothing.
+    With ``tasks`` the quads are dealt out to as many before they are aggregated, so that a task's share can be bounded.
     """
     rows = quads.select(*QUAD_COLUMNS, F.lit(None).cast("boolean").alias("added")).unionByName(changed)
+    if tasks:
+        rows = rows.repartition(tasks, *QUAD_COLUMNS)
     last = rows.groupBy(*QUAD_COLUMNS).agg(F.max("added").alias("added"))
     return last.where(F.coalesce("added", F.lit(True))).select(*QUAD_COLUMNS)
 
@@ -248,7 +251,7 @@ def null_safe_anti(quads: DataFrame, remove: DataFrame) -> DataFrame:
 
 
 def modify(quads: DataFrame, delete: Sequence[Pattern], insert: Sequence[Pattern], where: Sequence[Pattern],
-           prefixes: Mapping[str, str] | None = None, graph: str | None = None) -> DataFrame:
+           prefixes: Mapping[str, str] | None = None, graph: str | None = None, tasks: int | None = None) -> DataFrame:
     """Q8: ``DELETE {…} INSERT {…} WHERE {…}`` → the new quad table (set semantics).
 
     The WHERE bindings are computed against the *old* table and feed both template sets, as SPARQL Update requires.
@@ -256,17 +259,17 @@ def modify(quads: DataFrame, delete: Sequence[Pattern], insert: Sequence[Pattern
     """
     if not delete and not insert:
         return quads.distinct()
-    return apply_changes(quads, changes(bgp(quads, where, prefixes), delete, insert, prefixes, graph))
+    return apply_changes(quads, changes(bgp(quads, where, prefixes), delete, insert, prefixes, graph), tasks)
 
 
 def run_rules(quads: DataFrame, rules: Sequence[Mapping], prefixes: Mapping[str, str] | None = None,
               checkpoint: bool = True) -> DataFrame:
     """Q9: each update rule runs once, in order; lineage is cut between rules."""
-    from geoweave.session import cut_lineage
+    from geoweave.session import cut_lineage, tasks_for
 
-    out = quads
+    out, tasks = quads, tasks_for(quads)
     for r in rules:
-        out = modify(out, r.get("delete", []), r.get("insert", []), r["where"], prefixes, r.get("graph"))
+        out = modify(out, r.get("delete", []), r.get("insert", []), r["where"], prefixes, r.get("graph"), tasks)
         if checkpoint:
             out = cut_lineage(out)
     return out

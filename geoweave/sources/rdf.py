@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geoweave.operators.graph import Pattern, apply_changes, bgp, changes
 from geoweave.operators.mapping import QUAD_COLUMNS, QUAD_SCHEMA
-from geoweave.session import cut_lineage
+from geoweave.session import cut_lineage, kept, tasks_for
 
 _IRI = r"<[^>]*>"
 _BNODE = r"_:[^\s]+"
@@ -104,9 +104,9 @@ def write_nquads(quads: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def _by_predicate(quads: DataFrame, spread: int) -> DataFrame:
-    """A predicate is spread over ``spread`` writers by subject: one that holds a third of all quads is not one task's work."""
-    n = int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return quads.select(*QUAD_COLUMNS).repartition(n, F.col("p"), F.pmod(F.xxhash64("s"), F.lit(spread)))
+    """A predicate is spread over ``spread`` writers or more by subject: one that holds a third of all quads is not one task's work."""
+    n = tasks_for(quads)  # a writer sorts its quads by predicate
+    return quads.select(*QUAD_COLUMNS).repartition(n, F.col("p"), F.pmod(F.xxhash64("s"), F.lit(max(spread, n))))
 
 
 def write_quad_table(quads: DataFrame, path: str, mode: str = "overwrite", spread: int = 16) -> None:
@@ -136,7 +136,7 @@ def change_quad_table(spark: SparkSession, path: str, changed: DataFrame, spread
     old = read_quad_table(spark, path).where(F.col("p").isin(touched))
     emptied = spark.createDataFrame([(p,) for p in touched], "p string").select(
         *[F.col(c) if c == "p" else F.lit(None).cast("string").alias(c) for c in QUAD_COLUMNS])
-    new = apply_changes(old, changed).unionByName(emptied)
+    new = kept(apply_changes(old, changed, tasks_for(old))).unionByName(emptied)
     (_by_predicate(new, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("p").parquet(path))
     return touched
