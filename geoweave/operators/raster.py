@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from geoweave.functions import pgcompat as pg
 from geoweave.functions.crs import transform_points
 from geoweave.operators.relational import with_ordinal
-from geoweave.session import cut_lineage
+from geoweave.session import cut_lineage, tasks_for
 
 PIXEL_KEYS = ["raster", "band"]
 
@@ -125,9 +125,10 @@ def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFra
     ext = pixels.groupBy(*PIXEL_KEYS).agg(F.max("row").alias("_mr"), F.max("col").alias("_mc"))
     nr = F.ceil((F.col("_mr") + 1) * scale).cast("long")
     nc = F.ceil((F.col("_mc") + 1) * scale).cast("long")
-    # target rows are dealt out before their cells are made, so one large raster is many tasks' work
+    # target rows are dealt out before their cells are made, so one large raster is many tasks' work; a task holds a bounded number
+    n = tasks_for(pixels)
     grid = (ext.select(*PIXEL_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), nr - 1)).alias("t_row"), nc.alias("_nc"))
-            .repartition(*PIXEL_KEYS, "t_row")
+            .repartition(n, *PIXEL_KEYS, "t_row")
             .select(*PIXEL_KEYS, "t_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nc") - 1)).alias("t_col")))
     sr = (F.col("t_row") + 0.5) / scale - 0.5
     sc = (F.col("t_col") + 0.5) / scale - 0.5
@@ -140,12 +141,13 @@ def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFra
                        base_r.cast("long").alias("_br"), base_c.cast("long").alias("_bc"), F.explode(offs).alias("o"))
     cand = cand.select(*PIXEL_KEYS, "t_row", "t_col", "_sr", "_sc",
                        (F.col("_br") + F.col("o.dr")).alias("row"), (F.col("_bc") + F.col("o.dc")).alias("col"))
-    j = cand.join(pixels.where(F.col("value").isNotNull()), [*PIXEL_KEYS, "row", "col"])
+    at = [*PIXEL_KEYS, "row", "col"]
+    j = cand.repartition(n, *at).join(pixels.where(F.col("value").isNotNull()).repartition(n, *at), at)
     if resample == "nearest":
         wgt = F.lit(1.0)
     else:
         wgt = _kernel(resample, F.col("row") - F.col("_sr")) * _kernel(resample, F.col("col") - F.col("_sc"))
-    j = j.withColumn("_w", wgt)
+    j = j.withColumn("_w", wgt).select(*PIXEL_KEYS, "t_row", "t_col", "_w", "value").repartition(n, *PIXEL_KEYS, "t_row", "t_col")
     out = j.groupBy(*PIXEL_KEYS, "t_row", "t_col").agg(
         (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"), F.sum("_w").alias("_ws"))
     return out.where(F.col("_ws") != 0).select(*PIXEL_KEYS, F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
