@@ -141,16 +141,21 @@ def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFra
                        base_r.cast("long").alias("_br"), base_c.cast("long").alias("_bc"), F.explode(offs).alias("o"))
     cand = cand.select(*PIXEL_KEYS, "t_row", "t_col", "_sr", "_sc",
                        (F.col("_br") + F.col("o.dr")).alias("row"), (F.col("_bc") + F.col("o.dc")).alias("col"))
-    at = [*PIXEL_KEYS, "row", "col"]
-    j = cand.repartition(n, *at).join(pixels.where(F.col("value").isNotNull()).repartition(n, *at), at)
+    # one struct as the key: of single columns, constant ones are optimised away and the rows are shuffled again
+    at = F.struct(*PIXEL_KEYS, "row", "col").alias("_at")
+    known = [F.col(c).isNotNull() for c in (*PIXEL_KEYS, "row", "col", "value")]
+    source = pixels.where(reduce(lambda a, b: a & b, known)).select(at, "value").repartition(n, "_at")
+    j = cand.select(at, "t_row", "t_col", "_sr", "_sc").repartition(n, "_at").join(source, "_at").select(
+        *[F.col("_at")[c].alias(c) for c in (*PIXEL_KEYS, "row", "col")], "t_row", "t_col", "_sr", "_sc", "value")
     if resample == "nearest":
         wgt = F.lit(1.0)
     else:
         wgt = _kernel(resample, F.col("row") - F.col("_sr")) * _kernel(resample, F.col("col") - F.col("_sc"))
-    j = j.withColumn("_w", wgt).select(*PIXEL_KEYS, "t_row", "t_col", "_w", "value").repartition(n, *PIXEL_KEYS, "t_row", "t_col")
-    out = j.groupBy(*PIXEL_KEYS, "t_row", "t_col").agg(
+    j = j.withColumn("_w", wgt).select(F.struct(*PIXEL_KEYS, "t_row", "t_col").alias("_to"), "_w", "value").repartition(n, "_to")
+    out = j.groupBy("_to").agg(
         (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"), F.sum("_w").alias("_ws"))
-    return out.where(F.col("_ws") != 0).select(*PIXEL_KEYS, F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
+    return out.where(F.col("_ws") != 0).select(*[F.col("_to")[c].alias(c) for c in PIXEL_KEYS], F.col("_to.t_row").alias("row"),
+                                               F.col("_to.t_col").alias("col"), "value")
 
 
 EDGE_STEPS = 20  # a border is followed in this many steps an edge: its image is curved
