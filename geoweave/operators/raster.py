@@ -3,13 +3,14 @@
 Pixel form: ``(raster, band, row, col, value)``; tile form:
 ``(raster, band, tile_row, tile_col, height, width, values ARRAY<DOUBLE>)`` with
 row-major values.  Tiling groups are bounded by the tile size (h × w pixels),
-resampling is a join of target cells to their source neighbours followed by a
+resampling lists the target cells of every source pixel and sums them in a
 weighted aggregate, and mosaics resolve overlaps with ``max_by`` on an explicit
 priority — all shuffles are keyed by pixel or tile, never by raster.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 from geoweave.functions import pgcompat as pg
 from geoweave.functions.crs import transform_points
 from geoweave.operators.relational import with_ordinal
-from geoweave.session import cut_lineage, tasks_for
+from geoweave.session import cut_lineage, shuffled, tasks_of
 
 PIXEL_KEYS = ["raster", "band"]
 
+#: Extents (one row a raster and band) that are broadcast; more are joined by a shuffle.
+FEW_RASTERS = 10_000
+
 
 def tile(pixels: DataFrame, h: int, w: int) -> DataFrame:
     """Pixel table → tiles of at most ``h × w`` (edge tiles are smaller), values row-major."""
@@ -97,16 +101,6 @@ def raster_times(files: DataFrame, times: DataFrame | None, time_format: str | N
     return out.select(index.alias("index"), "filename", "band", "time", label.alias("label"))
 
 
-def _neighbours(kind: str) -> list[tuple[int, int]]:
-    if kind == "nearest":
-        return [(0, 0)]
-    if kind == "bilinear":
-        return [(0, 0), (0, 1), (1, 0), (1, 1)]
-    if kind == "cubic":
-        return [(i, j) for i in (-1, 0, 1, 2) for j in (-1, 0, 1, 2)]
-    raise ValueError(kind)
-
-
 def _kernel(kind: str, d: Column) -> Column:
     if kind == "bilinear":
         return F.greatest(1 - F.abs(d), F.lit(0.0))
@@ -118,40 +112,46 @@ def _kernel(kind: str, d: Column) -> Column:
 def warp(pixels: DataFrame, scale: float, resample: str = "bilinear") -> DataFrame:
     """Resample by ``scale`` (0.5 halves the resolution) with nearest / bilinear / cubic kernels.
 
-    The target grid is generated per (raster, band) from its extent; every target
-    cell joins its source neighbours on integer (row, col) and takes the
-    normalised weighted sum (missing neighbours at the edge drop out).
+    The target grid of each (raster, band) follows from its extent; a target cell takes the normalised weighted
+    sum of its source neighbours (missing ones at the edge drop out).  Every pixel lists the few target cells that
+    have it as a neighbour, and these are summed by cell: pixels are shuffled once, no grid is made and no pixel is broadcast,
+    so neither gaps between row numbers nor the size of a raster matter.
     """
-    ext = pixels.groupBy(*PIXEL_KEYS).agg(F.max("row").alias("_mr"), F.max("col").alias("_mc"))
-    nr = F.ceil((F.col("_mr") + 1) * scale).cast("long")
-    nc = F.ceil((F.col("_mc") + 1) * scale).cast("long")
-    # target rows are dealt out before their cells are made, so one large raster is many tasks' work; a task holds a bounded number
-    n = tasks_for(pixels)
-    grid = (ext.select(*PIXEL_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), nr - 1)).alias("t_row"), nc.alias("_nc"))
-            .repartition(n, *PIXEL_KEYS, "t_row")
-            .select(*PIXEL_KEYS, "t_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nc") - 1)).alias("t_col")))
-    sr = (F.col("t_row") + 0.5) / scale - 0.5
-    sc = (F.col("t_col") + 0.5) / scale - 0.5
-    if resample == "nearest":
-        base_r, base_c = F.round(sr), F.round(sc)
-    else:
-        base_r, base_c = F.floor(sr), F.floor(sc)
-    offs = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in _neighbours(resample)])
-    cand = grid.select(*PIXEL_KEYS, "t_row", "t_col", sr.alias("_sr"), sc.alias("_sc"),
-                       base_r.cast("long").alias("_br"), base_c.cast("long").alias("_bc"), F.explode(offs).alias("o"))
-    cand = cand.select(*PIXEL_KEYS, "t_row", "t_col", "_sr", "_sc",
-                       (F.col("_br") + F.col("o.dr")).alias("row"), (F.col("_bc") + F.col("o.dc")).alias("col"))
-    # one struct as the key: of single columns, constant ones are optimised away and the rows are shuffled again
-    at = F.struct(*PIXEL_KEYS, "row", "col").alias("_at")
+    if resample not in ("nearest", "bilinear", "cubic"):
+        raise ValueError(resample)
+    reach = REACH[resample]
+    at = lambda t: (t + 0.5) / scale - 0.5
+    base = lambda t: (F.round if resample == "nearest" else F.floor)(at(t)).cast("long")
+
+    lead = 0.0 if resample == "nearest" else 0.5
+
+    def cells(source: str, extent: str) -> Column:
+        """Target rows (columns) of the grid around those that reach the source's; the bounds give way to rounding, :func:`reaches` is exact."""
+        end = F.ceil((F.col(extent) + 1) * scale).cast("long") - 1
+        slack = 1e-6 + F.abs(F.col(source)) * (1e-13 * scale)
+        first = F.ceil((F.col(source) - reach[-1] + lead) * scale - 0.5 - slack).cast("long")
+        last = F.floor((F.col(source) - reach[0] + 1 + lead) * scale - 0.5 + slack).cast("long")
+        first, last = F.greatest(first, F.least(F.lit(0), end)), F.least(last, F.greatest(F.lit(0), end))
+        return F.explode_outer(F.when(first <= last, F.sequence(first, last)))  # a plain explode makes its list twice, to drop empty ones first
+
+    def reaches(source: str, target: str) -> Column:
+        return (F.col(source) - base(F.col(target))).between(reach[0], reach[-1])
+
+    ext = pixels.groupBy(*PIXEL_KEYS).agg(F.max("row").alias("_mr"), F.max("col").alias("_mc"), F.count(F.lit(1)).alias("_n"))
+    n_rasters, n_pixels = ext.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    ext = ext.drop("_n")
     known = [F.col(c).isNotNull() for c in (*PIXEL_KEYS, "row", "col", "value")]
-    source = pixels.where(reduce(lambda a, b: a & b, known)).select(at, "value").repartition(n, "_at")
-    j = cand.select(at, "t_row", "t_col", "_sr", "_sc").repartition(n, "_at").join(source, "_at").select(
-        *[F.col("_at")[c].alias(c) for c in (*PIXEL_KEYS, "row", "col")], "t_row", "t_col", "_sr", "_sc", "value")
+    source = pixels.where(reduce(lambda a, b: a & b, known)).select(*PIXEL_KEYS, "row", "col", "value")
+    j = source.join(F.broadcast(ext) if n_rasters <= FEW_RASTERS else shuffled(ext), PIXEL_KEYS)
+    j = j.select(*PIXEL_KEYS, "row", "col", "value", "_mc", cells("row", "_mr").alias("t_row")).where(reaches("row", "t_row"))
+    j = j.select(*PIXEL_KEYS, "row", "col", "value", "t_row", cells("col", "_mc").alias("t_col")).where(reaches("col", "t_col"))
     if resample == "nearest":
         wgt = F.lit(1.0)
     else:
-        wgt = _kernel(resample, F.col("row") - F.col("_sr")) * _kernel(resample, F.col("col") - F.col("_sc"))
-    j = j.withColumn("_w", wgt).select(F.struct(*PIXEL_KEYS, "t_row", "t_col").alias("_to"), "_w", "value").repartition(n, "_to")
+        wgt = _kernel(resample, F.col("row") - at(F.col("t_row"))) * _kernel(resample, F.col("col") - at(F.col("t_col")))
+    # a task sums a bounded number of rows; one struct as the key: of single columns, constant ones are optimised away and the rows are shuffled again
+    n = tasks_of(pixels.sparkSession, (n_pixels or 0) * math.ceil(len(reach) ** 2 * scale**2))
+    j = j.select(F.struct(*PIXEL_KEYS, "t_row", "t_col").alias("_to"), wgt.alias("_w"), "value").repartition(n, "_to")
     out = j.groupBy("_to").agg(
         (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"), F.sum("_w").alias("_ws"))
     return out.where(F.col("_ws") != 0).select(*[F.col("_to")[c].alias(c) for c in PIXEL_KEYS], F.col("_to.t_row").alias("row"),

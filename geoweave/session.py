@@ -64,9 +64,14 @@ def dealt(df: DataFrame, *cols: str) -> DataFrame:
 TASK_ROWS = 500_000
 
 
+def tasks_of(spark: SparkSession, n_rows: int) -> int:
+    """Tasks that hold about TASK_ROWS rows each; no fewer than the session's shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
+
+
 def tasks_for(df: DataFrame, per_row: int = 1) -> int:
-    """Tasks that hold about TASK_ROWS rows each if every row of ``df`` becomes ``per_row``; no fewer than the session's shuffles have."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * per_row // TASK_ROWS))
+    """:func:`tasks_of` the rows of ``df`` if every one becomes ``per_row``."""
+    return tasks_of(df.sparkSession, df.count() * per_row)
 
 
 def kept(df: DataFrame) -> DataFrame:
