@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoweave.session import cut_lineage, kept, shuffled, tasks_for
+from geoweave.session import cut_lineage, freed, kept, opened, shuffled, stored, tasks_for, tasks_of
 
 EARTH_R = 6371008.8  # mean Earth radius (m)
 
@@ -121,49 +121,139 @@ def append_network(a: DataFrame, b: DataFrame, key: str = "way_id") -> DataFrame
     return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti").select(*a.columns))
 
 
-def contract_chains(arcs: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chains of nodes with two neighbours as single arcs, by pointer jumping.
+#: Inner nodes of chains that are walked by one task; more are first made fewer in rounds.
+CHAIN_ROWS = 100_000
 
-    ``arcs(u, v, w)`` is symmetric, with one row a pair and no loops; nodes of ``keep`` (first column) never become inner ones.
-    Returns ``(u, v, w)`` between the nodes that stay and ``(node, end, w)`` of every inner node to the ends of its chain.
-    Each arc points to the one that follows it through an inner node; a round adds what the next arc spans and takes over
-    its pointer, so a chain of n nodes takes log2(n) rounds, each one join (an arc follows at most one other, so no key is
-    hot) and one checkpoint of the arcs.  Rings without a node that stays never end: the rounds
-    stop when none ends any more, and such rings are left out (nothing that stays reaches them).
+#: An inner node of a chain: its neighbours, which side of theirs leads back (none if the neighbour stays) and the lengths.
+CHAIN = ["x", "ln", "ls", "lw", "rn", "rs", "rw"]
+
+
+def contract_chains(arcs: DataFrame, keep: DataFrame) -> tuple[str, DataFrame, list[str]]:
+    """Chains of nodes with two neighbours as single arcs, by taking out nodes that do not touch.
+
+    ``arcs(u, v, w)`` is symmetric, with one row a pair; loops and arcs without an end are left out, negative lengths refused.
+    Nodes of ``keep`` (first column) never become inner ones.  Returns the folder of the arcs ``(u, v, w)`` between the nodes that
+    stay, a frame with the columns of CHAIN, and folders of such rows, in the order in which nodes were taken out: each
+    stands between neighbours that stay or were taken out later, so :func:`_expand` goes through them backwards.
+    A round takes out the nodes whose hash is below their neighbours', about a third, and joins the neighbours to each
+    other: one shuffle of what is left, so all rounds together shuffle and store a fixed multiple of the nodes.  The last CHAIN_ROWS are
+    walked by one task.  Rings without a node that stays shrink to one node and are left out (nothing that stays reaches them).
     """
-    inner = (arcs.groupBy(F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
-             .where("n = 2").drop("n").join(keep.select(F.col(keep.columns[0]).alias("x")).distinct(), "x", "left_anti"))
-    inner = cut_lineage(inner)
-    if inner.isEmpty():
-        return arcs, arcs.select(F.col("u").alias("node"), F.col("v").alias("end"), "w").where(F.lit(False))
-    starts = inner.select(F.col("x").alias("u"), F.lit(True).alias("inner"))
-    state = cut_lineage(arcs.join(shuffled(starts), "u", "left").join(shuffled(inner), F.col("v") == F.col("x"), "left").select(
-        "u", "v", "w", F.col("v").alias("end"), F.coalesce("inner", F.lit(False)).alias("inner"),
-        F.col("x").alias("nu"), F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("nv")))
-    # arcs between nodes that stay are as they will be: no round carries them
-    n_parts, direct = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), state.where("nu IS NULL AND NOT inner")
-    done, running = state.where("nu IS NULL AND inner"), state.where("nu IS NOT NULL")
-    n_running, n_before = running.count(), None
-    while n_running and n_running != n_before:
-        ahead = done.unionByName(running).where("inner").select(
-            F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("w").alias("_w"), F.col("end").alias("_end"),
-            F.col("nu").alias("_nu"), F.col("nv").alias("_nv"))
-        longer = running.join(shuffled(ahead), ["nu", "nv"]).select(
-            "u", "v", (F.col("w") + F.col("_w")).alias("w"), F.col("_end").alias("end"), "inner",
-            F.col("_nu").alias("nu"), F.col("_nv").alias("nv"))
-        state = kept(longer.unionByName(done).coalesce(n_parts))  # one frame a round: plans and partitions do not grow
-        done, running = state.where("nu IS NULL"), state.where("nu IS NOT NULL")
-        n_running, n_before = running.count(), n_running
-    whole = direct.unionByName(done.where("NOT inner AND u <> end")).groupBy("u", F.col("end").alias("v")).agg(F.min("w").alias("w"))
-    legs = done.where("inner").groupBy(F.col("u").alias("node"), "end").agg(F.min("w").alias("w"))
-    return cut_lineage(whole), legs
+    spark = arcs.sparkSession
+    stay = lambda name: shuffled(keep.select(F.col(keep.columns[0]).alias(name)).distinct().withColumn("_stays", F.lit(True)))
+    real, own = F.col("u") != F.col("v"), Window.partitionBy("u")
+    arcs = arcs.select("u", "v", "w", F.sum(real.cast("int")).over(own).alias("_n"), F.min(F.when(real, F.col("v"))).over(own).alias("_lo"))
+    arcs = arcs.join(stay("u"), "u", "left")
+    inner = (F.col("_n") == 2) & F.col("_stays").isNull()
+    side = F.when(inner, F.when(F.col("v") == F.col("_lo"), 0).otherwise(1)).cast("tinyint")
+    arcs = arcs.select("u", "v", "w", side.alias("side"))
+    arcs_at = stored(arcs)
+    arcs = opened(arcs, arcs_at)
+    if not arcs.where("w < 0").isEmpty():
+        freed(spark, arcs_at)
+        raise ValueError("shortest paths need edge lengths of 0 or more")
+    # each node hears from its neighbours which of their sides leads to it
+    n, own = arcs.count(), Window.partitionBy("x")
+    heard = arcs.where(real).select(F.col("v").alias("x"), F.struct(F.col("u").alias("n"), F.col("side").alias("s"), "w").alias("l"))
+    heard = heard.repartition(tasks_of(spark, n), "x").join(stay("x"), "x", "left").select(
+        "x", "l", F.lead("l").over(own.orderBy("l.n")).alias("r"), (F.col("_stays").isNull() & (F.count(F.lit(1)).over(own) == 2)).alias("inner"))
+    heard = heard.where("inner AND r IS NOT NULL OR NOT inner AND l.s IS NULL").withColumn("r", F.when(F.col("inner"), F.col("r")))
+    state = heard.select("x", *[F.col(f"{a}.{b}").alias(a + b) for a in "lr" for b in "nsw"])
+    state_at = stored(state)
+    freed(spark, arcs_at)
+    state = opened(state, state_at)
+    direct = state.where("rn IS NULL").select(F.col("x").alias("u"), F.col("ln").alias("v"), F.col("lw").alias("w"))
+    direct_at = stored(direct)
+    chains, gone = state.where("rn IS NOT NULL"), []
+    n = chains.count()
+    while n > CHAIN_ROWS:
+        chains, state_at, taken = _take_out(chains, state_at, n, len(gone))
+        gone.append(taken)
+        n = chains.count()
+    if n:
+        gone.append(stored(chains.select(*CHAIN).repartition(1).mapInArrow(_walk, chains.select(*CHAIN).schema)))
+    freed(spark, state_at)
+    like = state.select(*CHAIN)
+    if not gone:
+        return direct_at, like, gone
+    ends = opened(like, *gone).where("ls IS NULL AND rs IS NULL AND ln <> rn").select("ln", "rn", (F.col("lw") + F.col("rw")).alias("w"))
+    both = F.inline(F.array(F.struct(F.col("ln").alias("u"), F.col("rn").alias("v"), "w"), F.struct(F.col("rn").alias("u"), F.col("ln").alias("v"), "w")))
+    whole_at = stored(opened(direct, direct_at).unionByName(ends.select(both)).groupBy("u", "v").agg(F.min("w").alias("w")))
+    freed(spark, direct_at)
+    return whole_at, like, gone
+
+
+def _take_out(chains: DataFrame, at: str, n: int, rnd: int) -> tuple[DataFrame, str, str]:
+    """One round of :func:`contract_chains`: ``n`` rows ``chains``, read from ``at``, without the nodes taken out; both are stored anew."""
+    spark = chains.sparkSession
+    key = lambda c: F.struct(F.xxhash64(c, F.lit(rnd)), F.col(c))
+    lowest = (F.col("ls").isNull() | (key("x") < key("ln"))) & (F.col("rs").isNull() | (key("x") < key("rn")))
+    chains = chains.where("ls IS NULL OR ln <> x").select(*CHAIN)  # a ring's last node touches itself
+    taken = stored(chains.where(lowest))
+    told = F.inline(F.array(*[F.struct(F.col(a + "n").alias("x"), F.col(a + "s").alias("to"), F.col(b + "n").alias("n"), F.col(b + "s").alias("s"),
+                                       (F.col("lw") + F.col("rw")).alias("w")) for a, b in ("lr", "rl")]))
+    told = opened(chains, taken).select(told).where("to IS NOT NULL")
+    told = told.select("x", *[F.when(F.col("to") == k, F.col(c)).alias(a + c) for k, a in enumerate("lr") for c in "nsw"], F.lit(True).alias("told"))
+    rest = chains.where(~lowest).withColumn("told", F.lit(False)).unionByName(told)
+    if (tasks := tasks_of(spark, n + n // 3)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rest = rest.repartition(tasks, "x")
+    by = {c: [F.max(F.when(F.col("told") == t, F.col(c))).alias(f"{c}{int(t)}") for t in (False, True)] for c in CHAIN[1:]}
+    rest = rest.groupBy("x").agg(*[x for pair in by.values() for x in pair]).select(
+        "x", *[F.when(F.col(c[0] + "n1").isNotNull(), F.col(c + "1")).otherwise(F.col(c + "0")).alias(c) for c in CHAIN[1:]])
+    rest_at = stored(rest)
+    freed(spark, at)
+    return opened(chains, rest_at), rest_at, taken
+
+
+def _walk(batches):
+    """Chains in one task: every node between the two ends of its chain."""
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(list(batches))
+    rows = list(zip(*(table[c].to_pylist() for c in CHAIN), strict=True))
+    at = {row[0]: row for row in rows}
+    plus = lambda a, b: None if a is None or b is None else a + b
+    out, seen = [], set()
+    for row in rows:
+        for side in (0, 1):
+            if row[2 + 3 * side] is not None or row[0] in seen:
+                continue
+            walk, cur, came, length = [], row, side, row[3 + 3 * side]  # from the end on this side to the other
+            while True:
+                walk.append((cur, came, length))
+                _, ahead, back, step = cur[0], *cur[4 - 3 * came:7 - 3 * came]
+                if back is None:
+                    break
+                cur, came, length = at[ahead], back, plus(length, step)
+            start, rest = row[1 + 3 * side], step
+            for cur, came, length in reversed(walk):
+                out.append((cur[0], start, None, length, ahead, None, rest))
+                seen.add(cur[0])
+                rest = plus(rest, cur[3 + 3 * came])
+    for i in range(0, len(out), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[i:i + 10_000], strict=True), table.schema, strict=True)], schema=table.schema)
+
+
+def _expand(dist: DataFrame, like: DataFrame, gone: list[str]) -> DataFrame:
+    """Distances ``(src, node, d)`` of the nodes that stay → of all: the last nodes taken out come back first, from both neighbours."""
+    spark = dist.sparkSession
+    kind = dist.select("node").union(like.select("x")).schema[0].dataType
+    dist = dist.select("src", F.col("node").cast(kind).alias("node"), F.col("d").cast("double").alias("d"))
+    known = [stored(dist)]
+    for at in reversed(gone):
+        sides = F.inline(F.array(*[F.struct(F.col(a + "n").cast(kind).alias("node"), F.col(a + "w").alias("w")) for a in "lr"]))
+        near = opened(like, at).select(F.col("x").cast(kind).alias("x"), sides)
+        back = near.join(shuffled(opened(dist, *known)), "node").groupBy("src", "x").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        known.append(stored(back.select("src", F.col("x").alias("node"), "d")))
+        freed(spark, at)
+    return opened(dist, *known)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """single/multi-source shortest path lengths by iterative relaxation (Bellman-Ford).
 
     Undirected graphs are contracted first (:func:`contract_chains`, the sources stay): a road of many nodes without a
-    junction is one arc, its inner nodes get their distance at the end from both ends.
+    junction is one arc, its inner nodes get their distance at the end from both neighbours.
     Each round joins only the vertices whose distance improved (the frontier)
     with their out-edges and keeps the minimum per (source, vertex).  The frontier
     is cut with a reliable checkpoint every round and the distance table every
@@ -171,23 +261,24 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
     Negative lengths are refused, so an empty frontier is always reached.
     """
     e = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("length_m").alias("w"))
-    if not directed:
-        e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    # the adjacency is joined in every round: materialised once, dealt out by the node that rounds join it on
-    n_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = cut_lineage(e.repartition(n_parts, "u").groupBy("u", "v").agg(F.min("w").alias("w")))
-    if not e.where("w < 0").isEmpty():
-        raise ValueError("shortest paths need edge lengths of 0 or more")
-    e = e.where("u <> v")
     start = F.col(sources.columns[0])
     dist = cut_lineage(sources.select(start.alias("src"), start.alias("node"), F.lit(0.0).alias("d")).distinct())
+    if not directed:  # both directions from one pass over the edges
+        ends = e.select(*[F.col(c).cast(e.select("u").union(e.select("v")).schema[0].dataType).alias(c) for c in "uv"], "w")
+        e = ends.select(F.inline(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))
+    # dealt out by the node that rounds join it on
+    n_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = e.repartition(n_parts, "u").groupBy("u", "v").agg(F.min("w").alias("w"))
     if directed:
-        return _relax(e, dist)
-    whole, legs = contract_chains(e, sources)
+        e = cut_lineage(e)  # the adjacency is joined in every round: materialised once
+        if not e.where("w < 0").isEmpty():
+            raise ValueError("shortest paths need edge lengths of 0 or more")
+        return _relax(e.where("u <> v"), dist)
+    whole_at, like, gone = contract_chains(e, sources)
+    whole = opened(like.select(F.col("x").alias("u"), F.col("ln").alias("v"), F.col("lw").alias("w")), whole_at)
     dist = _relax(whole, dist)
-    inner = dist.join(shuffled(legs.withColumnRenamed("node", "_n")), dist["node"] == F.col("end")).groupBy("src", F.col("_n").alias("node")).agg(
-        F.min(F.col("d") + F.col("w")).alias("d"))
-    return dist.unionByName(inner)
+    freed(edges.sparkSession, whole_at)
+    return _expand(dist, like, gone) if gone else dist
 
 
 def _relax(e: DataFrame, dist: DataFrame) -> DataFrame:

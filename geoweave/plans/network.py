@@ -10,7 +10,7 @@ from geoweave.operators import network as N
 from geoweave.operators.relational import with_ordinal
 from geoweave.plans.registry import query
 from geoweave.plans.tables import read
-from geoweave.session import cut_lineage
+from geoweave.session import kept
 
 NODE_LON = "(p_partkey % 100) / 100.0"
 NODE_LAT = "(51.0 + floor(p_partkey / 100) / 100.0)"
@@ -172,9 +172,8 @@ WITH n AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 A
 SELECT k AS node, CAST(i AS DOUBLE) AS distance_m FROM n
 """)
 def shortest_paths_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as the nodes of one road without a junction, one metre apart; log2(n) rounds, not n."""
-    at = with_ordinal(read(spark, sf_dir, "orders", "o_orderkey"), ["o_orderkey"], "i")
-    at = cut_lineage(at)
+    """All orders as the nodes of one road without a junction, one metre apart; log(n) rounds, not n."""
+    at = kept(with_ordinal(read(spark, sf_dir, "orders", "o_orderkey"), ["o_orderkey"], "i"))
     after = at.select((F.col("i") - 1).alias("i"), F.col("o_orderkey").alias("target"))
     road = at.select("i", F.col("o_orderkey").alias("source")).join(after, "i").select("source", "target", F.lit(1.0).alias("length_m"))
     first = at.agg(F.min("o_orderkey").alias("source"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,15 +76,46 @@ def tasks_for(df: DataFrame, per_row: int = 1) -> int:
     return tasks_of(df.sparkSession, df.count() * per_row)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What queries inside have shuffled goes when each ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame) -> str:
+    """Folder under the shared checkpoint folder to which ``df`` was written once; :func:`opened` reads it, :func:`freed` deletes it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def opened(like: DataFrame, *paths: str) -> DataFrame:
+    """The rows of stored folders, with the columns of ``like``."""
+    return like.sparkSession.read.schema(like.schema).parquet(*paths)
+
+
+def freed(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored folders; what was made of them must be stored itself by now, or it is lost."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back, for frames that are joined with themselves round after round.
 
     A checkpoint keeps the size that its plan was guessed to have: for a join the product of both sides', so in a loop the number
     of its digits doubles each round, until the driver holds nothing else.  Files have the size they have.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return opened(df, stored(df))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
