@@ -176,6 +176,5 @@ def shortest_paths_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = kept(with_ordinal(read(spark, sf_dir, "orders", "o_orderkey"), ["o_orderkey"], "i"))
     after = at.select((F.col("i") - 1).alias("i"), F.col("o_orderkey").alias("target"))
     road = at.select("i", F.col("o_orderkey").alias("source")).join(after, "i").select("source", "target", F.lit(1.0).alias("length_m"))
-    road = kept(road)  # else what this join shuffles stays until both directions of its edges are shuffled as well
     first = at.agg(F.min("o_orderkey").alias("source"))
     return N.shortest_paths(road, first).select("node", F.col("d").alias("distance_m"))
